@@ -103,3 +103,28 @@ def texts(batch) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(offs, kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
     return raw, at - at[0]
+
+
+#: A random 64-bit number for each byte value, the same everywhere.
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * M1)
+
+
+def signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
+
+
+def spans_of(ends: np.ndarray, limit: int = 1 << 20):
+    """Ranges [i, j) of documents that hold at most ``limit`` bytes together, or one longer document."""
+    i, n = 0, len(ends) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + limit, "right")) - 1)
+        yield i, min(j, n)
+        i = min(j, n)
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write df as a table bucketed by key in the warehouse: later joins on the key don't shuffle it again."""
+    spark = df.sparkSession
+    at = f"veclode_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(at)
+    return spark.table(at)

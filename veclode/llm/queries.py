@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, rules, secrets, sharding
+from . import chat, fingerprints, mixing, rules, secrets, sharding, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [rules.op1_quality_rules, chat.op6_chat, secrets.op7_secrets, sharding.op9_sharding, mixing.op10_mixing]
+    own = [rules.op1_quality_rules, suffixes.op2_suffix_dedup, fingerprints.op5_fingerprint_dedup, chat.op6_chat, secrets.op7_secrets, sharding.op9_sharding, mixing.op10_mixing]
     return {f.__name__: f for f in own}
 
 
