@@ -56,18 +56,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set(key, str(min(int(spark.conf.get(key).removesuffix("b")), 8 << 20)))
 
 
-def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, bool]:
-    """(rid, doc_id, text) of docs, where rid tells rows apart, and whether rid is doc_id itself.
+def keyed(docs: DataFrame, name: str, whole: bool = False) -> tuple[DataFrame, bool]:
+    """(rid, doc_id, text) of docs, where rid tells rows apart, and whether rid is doc_id itself; whole: also ``row``,
+    a struct of all columns.
 
     Where doc_id is unique and never null, rid is doc_id. Otherwise rows get numbers in a written table, so that
     repeated rows and rows without an id stay apart and a task run again sees the same numbers.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct("*").alias("row")] if whole else []))
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     odd = ids.where("n > 1 or doc_id is null").limit(1).count()
     if not odd:
-        return docs.select(F.col("doc_id").alias("rid"), "doc_id", "text"), True
-    return written(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), name), False
+        return docs.select(F.col("doc_id").alias("rid"), "*"), True
+    return written(docs.select(F.monotonically_increasing_id().alias("rid"), "*"), name), False
 
 
 # --- vectorised names (fingerprints) of byte strings and word sequences -------------------------------------------

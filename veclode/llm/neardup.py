@@ -182,7 +182,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of docs (rid unique, doc_id, text): rid, doc_id, n_shingles and component_id, the smallest doc_id reachable."""
+    """Of docs (rid unique, doc_id, text): rid, doc_id, component (one number for each component), n_shingles and
+    component_id, the smallest doc_id reachable."""
     spark = docs.sparkSession
     small_batches(spark)
     signs = written(docs.mapInArrow(_sign, "rid long, doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"), "signs")
@@ -220,9 +221,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     of = written(of, "of")
     least = of.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    of = of.join(least, "comp").select("k1", "k2", "component_id")
+    of = of.join(least, "comp").select("k1", "k2", "component_id", "comp")
     out = signs.select("rid", "doc_id", "n", "k1", "k2").join(of, ["k1", "k2"], "left")
-    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("rid", "doc_id", F.coalesce("comp", "rid").alias("component"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

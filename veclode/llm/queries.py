@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, mixing, neardup, rules, secrets, sharding, suffixes
+from . import chat, classifier, decontaminate, fingerprints, mixing, neardup, rules, secrets, sharding, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [rules.op1_quality_rules, suffixes.op2_suffix_dedup, fingerprints.op5_fingerprint_dedup, chat.op6_chat, secrets.op7_secrets, neardup.op8_near_dedup, sharding.op9_sharding, mixing.op10_mixing]
+    own = [rules.op1_quality_rules, suffixes.op2_suffix_dedup, classifier.op3_quality_classifier, decontaminate.op4_decontaminate, fingerprints.op5_fingerprint_dedup, chat.op6_chat, secrets.op7_secrets, neardup.op8_near_dedup, sharding.op9_sharding, mixing.op10_mixing]
     return {f.__name__: f for f in own}
 
 
