@@ -1,2 +1,108 @@
+"""Queries on graphs: (name, function of base, SQL or None)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..plans.scratch import written
+from . import builders as B
+from . import graph as G
+from . import knn
+from . import searcher as S
+
+K, DEGREE = 10, 16
+
+
+def _q(b: DataFrame) -> DataFrame:
+    return b.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
+
+
+def _knn(b: DataFrame, k: int = K) -> DataFrame:
+    return written(B.knn_graph(G.doubled(b), k), "knn")
+
+
+def _exhaustive(b: DataFrame) -> DataFrame:
+    """A search as wide as the graph, on a connected graph: the exact answer."""
+    v = G.doubled(b)
+    ep = written(G.medoid(b).select("ep"), "ep")
+    g = G.Graph(written(G.grown(_knn(b), ep, v, 64), "graph"), ep)
+    return G.search(g, _q(b), b, K, ef=b.count(), others=True)
+
+
+def _levels(b: DataFrame) -> DataFrame:
+    return b.select("vec_id", B.level(F.col("vec_id"), DEGREE // 2).alias("level"))
+
+
+def _index(kind: str):
+    return lambda b: B.Index(kind, R=DEGREE).build(b).edges
+
+
+def _search(kind: str, quant: str):
+    def run(b: DataFrame) -> DataFrame:
+        return S.Searcher(B.Index(kind, R=DEGREE, L=64).build(b), b, "L2", quant, "FP32").batch_search(_q(b), K, others=True)
+
+    return run
+
+
+def _nn_recall(b: DataFrame) -> DataFrame:
+    """Share of the true 10 nearest of every 20th row that NN-Descent's graph holds."""
+    e = B.nn_descent(G.doubled(b), K).where("src % 20 = 0").select(F.col("src").alias("q_id"), (F.col("pos") + 1).alias("rank"), F.col("dst").alias("vec_id"))
+    return knn.recall(e, knn.exact(_q(b), b, K, others=True), K)
+
+
+def _comparisons(b: DataFrame) -> DataFrame:
+    ep = written(G.medoid(b).select("ep"), "ep")
+    return G.comparisons(G.Graph(_knn(b), ep), _q(b), b, ef=32)
+
+
+def _pruned(b: DataFrame) -> DataFrame:
+    return G.pruned(_knn(b, 32), G.doubled(b), DEGREE, 32)
+
+
+E = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+
+
+def _l2(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _near(k: int) -> str:
+    return f"""g AS (SELECT * FROM (SELECT a.vec_id AS src, b.vec_id AS dst, {_l2('a.v', 'b.v')} AS dist FROM e a, e b WHERE a.vec_id <> b.vec_id)
+QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= {k})"""
+
+
+MEDOID = f"""m AS (SELECT list(x ORDER BY p) AS c FROM (SELECT p, sum(floor(v[p] * 1073741824.0 + 0.5)::BIGINT)::DOUBLE / 1073741824.0 / count(*)::DOUBLE AS x FROM (SELECT v, unnest(range(1, len(v) + 1)) AS p FROM e) GROUP BY p)),
+d AS (SELECT vec_id AS ep, {_l2('v', 'c')} AS dist FROM e, m), ep AS (SELECT ep, dist FROM d ORDER BY dist, ep LIMIT 1)"""
+
+
+def _occlusion_sql() -> str:
+    """The greedy rule as a recursion over candidates in ascending order: kept ones are carried as a list."""
+    return f"""WITH RECURSIVE {E}, {_near(32)}, o AS (SELECT src, dst, dist, v, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS n FROM g JOIN e ON e.vec_id = g.dst),
+r AS (SELECT src, 1 AS n, [dst] AS kept, [dist] AS dists, [v] AS vs FROM o WHERE n = 1
+UNION ALL SELECT r.src, o.n, CASE WHEN ok THEN list_append(kept, o.dst) ELSE kept END, CASE WHEN ok THEN list_append(dists, o.dist) ELSE dists END, CASE WHEN ok THEN list_append(vs, o.v) ELSE vs END
+FROM (SELECT r.*, o.dst AS odst, len(r.kept) < {DEGREE} AND NOT list_bool_or(list_transform(r.vs, lambda w: {_l2('w', 'o.v')} < o.dist)) AS ok FROM r JOIN o ON o.src = r.src AND o.n = r.n + 1) r JOIN o ON o.src = r.src AND o.n = r.n + 1)
+SELECT src, (i - 1)::INT AS pos, kept[i] AS dst, dists[i] AS dist FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS i FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC) = 1))"""
+
+
 def entries():
-    return []
+    return [
+        ("knn_graph", _knn, f"WITH {E}, {_near(K)} SELECT src, (row_number() OVER (PARTITION BY src ORDER BY dist, dst) - 1)::INT AS pos, dst, dist FROM g"),
+        ("reverse_edges", lambda b: G.lists(G.reversed_edges(_knn(b)), 5), f"WITH {E}, {_near(K)}, r AS (SELECT dst AS src, (row_number() OVER (PARTITION BY dst ORDER BY dist, src) - 1)::INT AS pos, src AS dst, dist FROM g) SELECT * FROM r WHERE pos < 5"),
+        ("degree_stats", lambda b: G.degree_statistics(G.reversed_edges(_knn(b)), b), f"WITH {E}, {_near(K)}, n AS (SELECT e.vec_id, count(g.src) AS n FROM e LEFT JOIN g ON g.dst = e.vec_id GROUP BY 1) SELECT min(n) AS min_degree, max(n) AS max_degree, avg(n) AS avg_degree FROM n"),
+        ("medoid", G.medoid, f"WITH {E}, {MEDOID} SELECT ep, dist FROM ep"),
+        ("reachable", lambda b: G.reachable(_knn(b, 3), G.medoid(b).select(F.col("ep").alias("vec_id"))), f"WITH RECURSIVE {E}, {_near(3)}, {MEDOID}, s AS (SELECT ep AS vec_id FROM ep UNION SELECT g.dst FROM s JOIN g ON g.src = s.vec_id) SELECT vec_id FROM s"),
+        ("beam_exhaustive", _exhaustive, f"WITH {E}, {_near(K)} SELECT src AS q_id, (row_number() OVER (PARTITION BY src ORDER BY dist, dst))::INT AS rank, dst AS vec_id, dist FROM g WHERE src % 20 = 0"),
+        ("hnsw_levels", _levels, f"SELECT vec_id, floor(-ln((((vec_id * 1103515245 + 12345) % 2147483648)::DOUBLE + 1) / 2147483649.0) / ln({DEGREE // 2}))::INT AS level FROM embeddings"),
+        ("prune_occluded", _pruned, None),
+        ("dist_cmps", _comparisons, None),
+        ("nndescent_build", lambda b: B.nn_descent(G.doubled(b), K), None),
+        ("nndescent_recall", _nn_recall, None),
+        ("rnndescent_build", lambda b: B.rnn_descent(G.doubled(b), DEGREE, outer=2, inner=4).edges, None),
+        ("nsg_build", _index("NSG"), None),
+        ("ssg_build", _index("SSG"), None),
+        ("hnsw_build", _index("HNSW"), None),
+        ("search_hnsw_sq4u", _search("HNSW", "SQ4U"), None),
+        ("search_nsg_sq8u", _search("NSG", "SQ8U"), None),
+    ]
