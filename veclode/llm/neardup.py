@@ -1,9 +1,10 @@
 """Near duplicates: MinHash bands find pairs, odd sketches judge them, full shingle sets confirm them.
 
 * Texts with the same words become one node, named by two 64-bit names of the whole sequence.
-* 96 MinHashes of a node's shingles make 24 bands of 4 (a pair at the threshold shares none with probability 2e-8) and,
-  folded into a bitmap of 512 parities, its odd sketch. The XOR of two sketches has few ones if the MinHashes agree:
-  ``J = 1 + n / (4 k) * ln(1 - 2 ones / n)``. Pairs more than six deviations below the threshold are let go.
+* Of 1024 MinHashes of a node's shingles 96 make 24 bands of 4 (a pair at the threshold shares none with probability
+  2e-8); all, folded into a bitmap of 4096 parities, are its odd sketch. The XOR of two sketches has few ones if the
+  MinHashes agree: ``J = 1 + n / (4 k) * ln(1 - 2 ones / n)``. Pairs whose estimate lies more than five deviations
+  below the threshold are let go, as are those whose sets differ too much in size.
 * First every node of a bucket is compared with the bucket's smallest node only; confirmed links join components.
   Then, in buckets that still hold several components, nodes of different components are compared, block by block.
   Pairs inside a component would change nothing, so no group of copies is expanded into all its pairs.
@@ -20,9 +21,10 @@ from .common import M1, M2, M3, bucketed, keyed, mix, signed, small_batches, spa
 from .fingerprints import INVERSE, _power, BASE, sequence_names, word_names
 
 SHINGLE, PERCENT = 5, 85
-HASHES, ROWS, BITS = 96, 4, 512
-#: Ones in the XOR of two sketches from which a pair is let go: the estimate is then under 0.62.
-ONES = 65
+HASHES, BANDED, ROWS, BITS = 1024, 96, 4, 4096
+#: Ones in the XOR of two sketches from which a pair is let go: at 85 % there are 285 with a deviation of 21; the
+#: estimate is then under 0.783.
+ONES = 401
 BLOCK = 512
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -33,8 +35,8 @@ _R = (mix(np.arange(1, HASHES + 1, dtype=np.uint64) * M3) >> np.uint64(32)).asty
 def _minhash(s: np.ndarray) -> np.ndarray:
     x = (s >> np.uint64(32)).astype(np.uint32)
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for c in range(0, len(x), 4096):
-        out = np.minimum(out, ((x[None, c : c + 4096] ^ _R[:, None]) * _A[:, None]).min(axis=1))
+    for c in range(0, len(x), 1024):
+        out = np.minimum(out, ((x[None, c : c + 1024] ^ _R[:, None]) * _A[:, None]).min(axis=1))
     return out
 
 
@@ -67,7 +69,7 @@ def _sign(batches):
                 keys[k].append(mix((h[at[1:]] - h[at[:-1]]) * _power(INVERSE, len(x) + 1)[at[:-1]] + np.diff(at).astype(np.uint64)))
         m = np.array(mins, np.uint64).reshape(-1, HASHES)
         m = mix(m + np.arange(1, HASHES + 1, dtype=np.uint64) * M1)  # each MinHash with its number
-        band = m.reshape(len(m), HASHES // ROWS, ROWS)
+        band = m[:, :BANDED].reshape(len(m), BANDED // ROWS, ROWS)
         bands = band[:, :, 0]
         for r in range(1, ROWS):
             bands = mix(bands * M1 + band[:, :, r])
@@ -75,7 +77,7 @@ def _sign(batches):
         odd = np.packbits((np.bincount(bit.ravel(), minlength=len(m) * BITS) & 1).astype(np.uint8)).view(np.int64)
         lists = lambda x, k: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * k), pa.array(x.ravel()))
         yield pa.RecordBatch.from_arrays(
-            [b.column("rid"), b.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(signed(np.concatenate(k)) if k else [], pa.int64()) for k in keys], lists(signed(np.ascontiguousarray(bands)), HASHES // ROWS), lists(odd, BITS // 64)],
+            [b.column("rid"), b.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(signed(np.concatenate(k)) if k else [], pa.int64()) for k in keys], lists(signed(np.ascontiguousarray(bands)), BANDED // ROWS), lists(odd, BITS // 64)],
             names=["rid", "doc_id", "n", "k1", "k2", "bands", "sketch"])
 
 
@@ -111,23 +113,31 @@ def _confirm(percent: int):
     return run
 
 
-def _across(batches):
-    """Rows (bucket, i, j, rid, comp, sketch, block) in the order of (bucket, i, j): pairs of nodes of different
-    components, one of block i and one of block j, whose sketches agree."""
+def _across(percent: int):
+    return lambda batches: _pairs_across(batches, percent)
+
+
+def _pairs_across(batches, percent: int):
+    """Rows (bucket, i, j, rid, n, comp, sketch, bands, block) in the order of (bucket, i, j): pairs of nodes of
+    different components, one of block i and one of block j, whose sizes and sketches agree; each pair only in the
+    first bucket that it shares."""
     import pyarrow as pa
 
-    def pairs(rid, comp, sk, block, i, j):
+    def pairs(rid, comp, block, n, sk, bands, bucket, i, j):
         left, right = (np.arange(len(rid)),) * 2 if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
         out_a, out_b = [], []
         for c in range(0, len(left), 256):
             x = left[c : c + 256]
             ok = comp[x][:, None] != comp[right][None, :]
+            ok &= percent * np.maximum(n[x][:, None], n[right][None, :]) <= 100 * np.minimum(n[x][:, None], n[right][None, :])
             if i == j:
                 ok &= x[:, None] < right[None, :]
             u, v = np.nonzero(ok)
             ones = np.bitwise_count((sk[x[u]] ^ sk[right[v]]).view(np.uint64)).sum(axis=1)
-            near = ones < ONES
-            a, b = rid[x[u[near]]], rid[right[v[near]]]
+            u, v = x[u[ones < ONES]], right[v[ones < ONES]]
+            first = (bands[u] == bands[v]).argmax(axis=1)
+            own = bands[u, first] == bucket
+            a, b = rid[u[own]], rid[v[own]]
             out_a.append(np.minimum(a, b))
             out_b.append(np.maximum(a, b))
         return out_a, out_b
@@ -136,15 +146,13 @@ def _across(batches):
     cols = ("bucket", "i", "j")
 
     def flush(held):
-        rid, comp, block = (np.concatenate([h[k] for h in held]) for k in range(3))
-        sk = np.concatenate([h[3] for h in held])
-        a, b = pairs(rid, comp, sk, block, key[1], key[2])
+        a, b = pairs(*(np.concatenate([h[k] for h in held]) for k in range(6)), *key)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a) if a else [], pa.int64()), pa.array(np.concatenate(b) if b else [], pa.int64())], names=["a", "b"])
 
     for batch in batches:
         k = [batch.column(c).to_numpy(zero_copy_only=False) for c in cols]
-        rid, comp, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "comp", "block"))
-        sk = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).reshape(-1, BITS // 64)
+        rid, comp, block, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "comp", "block", "n"))
+        sk, bands = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, w) for c, w in (("sketch", BITS // 64), ("bands", BANDED // ROWS)))
         new = np.ones(len(rid), bool)
         new[1:] = (k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (k[2][1:] != k[2][:-1])
         at = np.append(np.flatnonzero(new), len(rid))
@@ -154,7 +162,7 @@ def _across(batches):
                 yield flush(held)
                 held = []
             key = own
-            held.append((rid[s:e], comp[s:e], block[s:e], sk[s:e]))
+            held.append((rid[s:e], comp[s:e], block[s:e], n[s:e], sk[s:e], bands[s:e]))
     if held:
         yield flush(held)
 
@@ -189,11 +197,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signs = written(docs.mapInArrow(_sign, "rid long, doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"), "signs")
     full = signs.where("n > 0")
     reps = written(full.groupBy("k1", "k2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("doc")), "reps")
-    nodes = written(full.join(reps.select(F.col("rep").alias("rid")), "rid").select("rid", "bands", "sketch"), "nodes")
+    nodes = written(full.join(reps.select(F.col("rep").alias("rid")), "rid").select("rid", "n", "bands", "sketch"), "nodes")
     in_bands = nodes.select("rid", F.explode("bands").alias("bucket"))
     shared = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rid").alias("hub")).where("size > 1")
     member = written(in_bands.join(shared, "bucket"), "members")
-    sk = lambda name, s: nodes.select(F.col("rid").alias(name), F.col("sketch").alias(s))
+    side = lambda a: nodes.select(F.col("rid").alias(a), F.col("n").alias("n" + a), F.col("sketch").alias("s" + a))
 
     some = member.select("rid").distinct()
     sets = bucketed(docs.select("rid", "text").join(some, "rid").select("rid", "text").mapInArrow(_shingled, "rid long, shingles binary"), "rid", "sets")
@@ -204,17 +212,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return written(p.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
     stars = member.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
-    stars = stars.join(sk("a", "x"), "a").join(sk("b", "y"), "b").where(_ones(F.col("x"), F.col("y")) < ONES).select("a", "b")
+    stars = stars.join(side("a"), "a").join(side("b"), "b")
+    stars = stars.where(F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100).where(_ones(F.col("sa"), F.col("sb")) < ONES).select("a", "b")
     links = confirmed(stars)
     comps = components(links)
 
     m = member.join(comps.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "size", "rid", F.coalesce("comp", "rid").alias("comp"))
     split = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    m = m.join(split, "bucket").join(nodes.select("rid", "sketch"), "rid").withColumn("block", F.pmod(F.xxhash64("rid"), n).cast("int"))
-    m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), n - 1))).withColumns({"i": F.least("block", "_o"), "j": F.greatest("block", "_o")})
-    m = m.select("bucket", "i", "j", "rid", "comp", "sketch", "block").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = confirmed(m.mapInArrow(_across, "a long, b long").distinct())
+    nb = F.ceil(F.col("size") / BLOCK).cast("int")
+    m = m.join(split, "bucket").join(nodes, "rid").withColumn("block", F.pmod(F.xxhash64("rid"), nb).cast("int"))
+    m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), nb - 1))).withColumns({"i": F.least("block", "_o"), "j": F.greatest("block", "_o")})
+    m = m.select("bucket", "i", "j", "rid", "n", "comp", "sketch", "bands", "block").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = confirmed(m.mapInArrow(_across(percent), "a long, b long"))
     if more.limit(1).count():
         comps = components(links.unionByName(more))
 
