@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, classifier, decontaminate, fingerprints, mixing, neardup, rules, secrets, sharding, suffixes
+from .sql import ORACLES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": chat.OP6_SQL}
+    return dict(ORACLES)
