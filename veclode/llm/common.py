@@ -123,9 +123,37 @@ def spans_of(ends: np.ndarray, limit: int = 1 << 20):
         i = min(j, n)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Write df as a table bucketed by key in the warehouse: later joins on the key don't shuffle it again."""
-    spark = df.sparkSession
+def bucketed_table(df: DataFrame, key: str, name: str) -> str:
+    """Write df as a table bucketed by key in the warehouse, and return its name."""
     at = f"veclode_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(at)
-    return spark.table(at)
+    df.write.bucketBy(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(at)
+    return at
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df as a bucketed table: later joins on the key don't shuffle it again."""
+    return df.sparkSession.table(bucketed_table(df, key, name))
+
+
+def _zipped(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        text = pa.array([pa.compress((t or "").encode(), codec="zstd", asbytes=True) for t in b.column("text").to_pylist()], pa.binary())
+        size = pa.array([len((t or "").encode()) for t in b.column("text").to_pylist()], pa.int32())
+        keep = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], size, text], names=[*keep, "size", "zipped"])
+
+
+def zipped(df: DataFrame) -> DataFrame:
+    """df with ``size`` and ``zipped`` in place of text: what a shuffle and a table of texts then hold is under half."""
+    cols = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "text"]
+    return df.mapInArrow(_zipped, ", ".join([*cols, "size int", "zipped binary"]))
+
+
+def unzipped(b):
+    """The texts of a batch of such rows, as an Arrow column."""
+    import pyarrow as pa
+
+    got = [pa.decompress(z, decompressed_size=n, codec="zstd", asbytes=True) if n else b"" for z, n in zip(b.column("zipped").to_pylist(), b.column("size").to_pylist(), strict=True)]
+    return pa.array(got, pa.binary()).cast(pa.string())

@@ -2,13 +2,14 @@
 
 The index holds fingerprints of five-word grams, chosen so that each window of 13 words has exactly one: the least of
 its nine grams (leftmost on ties), which equal windows choose alike. It is a list of runs, immutable Parquet tables of
-(bucket, sorted fingerprints, document of each). A batch of documents is fingerprinted, sorted and merge-joined,
-bucket by bucket, with all runs; what both have, or the batch has twice, is a hit; the batch becomes a run of its own,
-and as soon as ``FANOUT`` runs have gathered they are compacted to one. Hits are verified on the texts: windows of
+(bucket, sorted fingerprints, document of each), bucketed so that a merge needs no shuffle. A batch of documents is
+fingerprinted, sorted and written as a run, and merge-joined with each older run, bucket by bucket; what both have, or
+the batch has twice, is a hit. Before the next batch comes, the two newest runs are compacted to one as long as they
+have the same level, like digits of a binary counter, and the old ones go. Hits are verified on the texts: windows of
 documents on either side whose gram was hit are named twice, by 64 and by 32 bits of independent names of all their 13 words, and only
 windows equal in both count. Then each needs but its smallest document.
 
-Entries travel as packed sorted arrays, a few bytes each. What many documents share is decided inside the chunk that
+Entries travel as packed sorted arrays, byte planes compressed, a few bytes each. What many documents share is decided inside the chunk that
 read them where it can be: a chunk sends at most one entry a fingerprint, so no bucket receives the copies of a
 window, only chunks that have it.
 """
@@ -16,14 +17,15 @@ window, only chunks that have it.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTES, M1, M2, M3, bucketed, keyed, mix, n_words, small_batches, spans_of, squeezed, table, texts, written
+from .common import BYTES, M1, M2, M3, bucketed, bucketed_table, keyed, mix, n_words, small_batches, spans_of, squeezed, table, texts, unzipped, written, zipped
 
-WINDOW, GRAM, FANOUT, BATCHES = 13, 5, 3, 4
+WINDOW, GRAM, BATCHES = 13, 5, 4
 #: Entries that a chunk gathers before it sorts and sends them, and bytes of text a bucket stands for.
 CHUNK, BUCKET_BYTES = 1 << 20, 4 << 20
 LOW = np.uint64(0xFFFFFFFF)
@@ -106,7 +108,25 @@ def _groups(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _slices(col: np.ndarray, at: np.ndarray, size: np.ndarray):
     import pyarrow as pa
 
-    return pa.array([col[i : i + n].tobytes() for i, n in zip(at, size, strict=True)], pa.binary())
+    return pa.array([_pack(col[i : i + n]) for i, n in zip(at, size, strict=True)], pa.binary())
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as bytes: their first bytes, then their second ones and so on, compressed, after the number of bytes."""
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return len(planes).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(b: bytes, kind) -> np.ndarray:
+    import pyarrow as pa
+
+    n = int.from_bytes(b[:4], "little")
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(b[4:], decompressed_size=n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 COLUMNS = "abcde"
@@ -125,7 +145,7 @@ def _packed(kind: int, part: np.ndarray, *cols: np.ndarray):
 
 
 def _open(table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x is not None), kind)
+    return np.concatenate([np.zeros(0, kind), *[_unpack(x, kind) for x in table.column(name).to_pylist() if x is not None]])
 
 
 def _part(x: np.ndarray, n: int) -> np.ndarray:
@@ -173,58 +193,97 @@ def _fingerprint(parts: int):
     return run
 
 
-def _merge(parts: int):
-    """Of a bucket's runs (kind 2) and new entries (kind 0): the new run (kind 0) and hits (kind 1), by document."""
+def _entries(key, table, kind: int):
+    """Fingerprints and documents of a bucket's rows of a kind, sorted."""
+    import pyarrow.compute as pc
+
+    t = table.filter(pc.equal(table.column("kind"), kind))
+    f, r = _open(t, "a", np.uint64), _open(t, "b", np.int64)
+    order = np.argsort(f, kind="stable")
+    return f[order], r[order]
+
+
+def _hits(parts: int, f: np.ndarray, r: np.ndarray):
+    return _packed(1, _home(r[r >= 0], parts), r[r >= 0], f[r >= 0])
+
+
+def _run(parts: int):
+    """A batch's entries of a bucket as a run (kind 2), and hits inside the batch (kind 1). A run keeps the document of
+    a fingerprint that only one has, so that a later batch can call it up; those of several were hits already."""
 
     def run(key, table):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        kinds = np.repeat(table.column("kind").to_numpy(), [len(x) // 8 for x in table.column("a").to_pylist()])
-        f, r = _open(table, "a", np.uint64), _open(table, "b", np.int64)
-        order = np.argsort(f, kind="stable")
-        f, r, fresh = f[order], r[order], (kinds == 0)[order]
-        first, size = _groups(f)
-        met = np.add.reduceat(fresh.astype(np.int64), first) > 0
-        out = np.repeat((size > 1) & met, size) & (r >= 0)
-        own, of = f[fresh], r[fresh]
-        one, n = _groups(own)
-        # The run keeps the document of a fingerprint that the batch has once, so that a later batch can call it up.
-        new = _packed(0, np.full(len(one), key[0].as_py()), own[one], np.where(n > 1, -1, of[one]))
-        return pa.Table.from_batches([new, _packed(1, _home(r[out], parts), r[out], f[out])])
+        f, r = _entries(key, table, 0)
+        at, n = _groups(f)
+        several = np.repeat(n > 1, n)
+        new = _packed(2, np.full(len(at), key[0].as_py()), f[at], np.where(n > 1, -1, r[at]))
+        known = table.filter(pc.equal(table.column("kind"), 1))
+        return pa.concat_tables([known, pa.Table.from_batches([new, _hits(parts, f[several], r[several])])])
+
+    return run
+
+
+def _meet(parts: int):
+    """Hits between two runs of a bucket."""
+
+    def run(key, left, right):
+        import pyarrow as pa
+
+        (f, r), (g, s) = _entries(key, left, 2), _entries(key, right, 2)
+        _, i, j = np.intersect1d(f, g, assume_unique=True, return_indices=True)
+        return pa.Table.from_batches([_hits(parts, np.concatenate((f[i], g[j])), np.concatenate((r[i], s[j])))])
 
     return run
 
 
-def _compact(key, table):
-    """Runs of a bucket merged to one sorted run; a fingerprint of several documents keeps none (all were hits)."""
+def _compact(key, left, right):
+    """Two runs of a bucket as one."""
     import pyarrow as pa
 
-    f, r = _open(table, "a", np.uint64), _open(table, "b", np.int64)
+    (f, r), (g, s) = _entries(key, left, 2), _entries(key, right, 2)
+    f, r = np.concatenate((f, g)), np.concatenate((r, s))
     order = np.argsort(f, kind="stable")
-    f, r = f[order], r[order]
-    one, n = _groups(f)
-    return pa.Table.from_batches([_packed(2, np.full(len(one), key[0].as_py()), f[one], np.where(n > 1, -1, r[one]))])
+    at, n = _groups(f := f[order])
+    return pa.Table.from_batches([_packed(2, np.full(len(at), key[0].as_py()), f[at], np.where(n > 1, -1, r[order][at]))])
+
+
+class Run(NamedTuple):
+    level: int
+    rows: DataFrame
+    table: str
 
 
 class Index:
     """The fingerprint index. ``append`` a batch of documents (rid, text); it returns hits as packed (kind 1) rows."""
 
     def __init__(self, spark: SparkSession, parts: int) -> None:
-        self.spark, self.parts, self.runs = spark, parts, []
+        self.spark, self.parts = spark, parts
+        self.runs: list[Run] = []
+
+    def _add(self, level: int, rows: DataFrame) -> DataFrame:
+        name = bucketed_table(rows, "part", "run")
+        self.runs.append(Run(level, self.spark.table(name), name))
+        return self.runs[-1].rows
+
+    def compact(self) -> None:
+        while len(self.runs) > 1 and self.runs[-1].level == self.runs[-2].level:
+            old = [self.runs.pop(), self.runs.pop()]
+            both = old[1].rows.groupBy("part").cogroup(old[0].rows.groupBy("part")).applyInArrow(_compact, PACKED)
+            self._add(old[0].level + 1, both)
+            for run in old:
+                self.spark.sql(f"DROP TABLE {run.table}")
 
     def append(self, batch: DataFrame) -> DataFrame:
-        new = written(batch.select("rid", "text").mapInArrow(_fingerprint(self.parts), PACKED), "entries")
-        both = new.where("kind = 0").select("kind", "part", "a", "b")
-        for run in self.runs:
-            both = both.unionByName(run.select("kind", "part", "a", "b"))
-        merged = written(both.groupBy("part").applyInArrow(_merge(self.parts), PACKED), "merged")
-        self.runs.append(merged.where("kind = 0").withColumn("kind", F.lit(2)))
-        if len(self.runs) >= FANOUT:
-            whole = self.runs[0]
-            for run in self.runs[1:]:
-                whole = whole.unionByName(run)
-            self.runs = [written(whole.groupBy("part").applyInArrow(_compact, PACKED), "run")]
-        return new.where("kind = 1").unionByName(merged.where("kind = 1"))
+        self.compact()
+        older = list(self.runs)
+        entries = batch.select("rid", "text").mapInArrow(_fingerprint(self.parts), PACKED)
+        run = self._add(0, entries.groupBy("part").applyInArrow(_run(self.parts), PACKED))
+        hits = run.where("kind = 1")
+        for old in older:
+            hits = hits.unionByName(run.groupBy("part").cogroup(old.rows.groupBy("part")).applyInArrow(_meet(self.parts), PACKED))
+        return written(hits, "hits")  # runs go when they are compacted
 
 
 def _gather(key, table):
@@ -258,7 +317,7 @@ def _name_windows(parts: int, unique: bool):
     def run(batches):
         got, n = [], 0
         for b in batches:
-            raw, ends = texts(b.column("text"))
+            raw, ends = texts(unzipped(b))
             rid, doc_id = (b.column(x).to_numpy(zero_copy_only=False) for x in ("rid", "doc"))
             fps = b.column("fps").to_pylist()
             for i, j in spans_of(ends):
@@ -269,7 +328,7 @@ def _name_windows(parts: int, unique: bool):
                 hit = np.zeros(len(p), bool)
                 lim = np.searchsorted(doc, np.arange(j - i + 1))
                 for k in range(j - i):
-                    x = np.frombuffer(fps[i + k], np.uint64)
+                    x = _unpack(fps[i + k], np.uint64)
                     y = gram[lim[k] : lim[k + 1]]
                     hit[lim[k] : lim[k + 1]] = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
                 p, doc = p[hit], doc[hit]
@@ -285,18 +344,21 @@ def _name_windows(parts: int, unique: bool):
 
 
 def _verify(parts: int, unique: bool):
-    """Of a part's windows: (rid, word) of each that a smaller document has too, by document."""
+    """Of a part's windows: (rid, word) of each that a smaller document has too, by document; and what is known already."""
 
     def run(key, table):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
+        known = table.filter(pc.equal(table.column("kind"), 1))
+        table = table.filter(pc.equal(table.column("kind"), 0))
         h, g, d, w = (_open(table, c, k) for c, k in zip("abcd", (np.uint64, np.uint32, np.int64, np.int32), strict=True))
         r = d if unique else _open(table, "e", np.int64)
         order = np.lexsort((d, g, h))
         h, g, d, w, r = (x[order] for x in (h, g, d, w, r))
         first, size = _groups(h, g)
         out = d > np.repeat(d[first], size)
-        return pa.Table.from_batches([_packed(1, _home(r[out], parts), r[out], w[out])])
+        return pa.concat_tables([known, pa.Table.from_batches([_packed(1, _home(r[out], parts), r[out], w[out])])])
 
     return run
 
@@ -317,9 +379,9 @@ def _cut(batches):
 
     for b in batches:
         gone, sha = [], []
-        for text, places in zip(b.column("text").to_pylist(), b.column("places").to_pylist(), strict=True):
-            ws = (text or "").encode().split()
-            p = np.frombuffer(places, np.int32)
+        for text, places in zip(unzipped(b).to_pylist(), b.column("places").to_pylist(), strict=True):
+            ws = text.encode().split()
+            p = _unpack(places, np.int32)
             m = np.zeros(len(ws) + 1, np.int32)
             np.add.at(m, p, 1)
             np.add.at(m, p + WINDOW, -1)
@@ -352,9 +414,8 @@ def repeated(docs: DataFrame, batches: list[DataFrame], parts: int, unique: bool
         got = index.append(batch)
         hits = got if hits is None else hits.unionByName(got)
     fps = hits.select("part", "a", "b").groupBy("part").applyInArrow(_gather, "rid long, fps binary")
-    held = bucketed(docs.select("rid", "doc", "text").join(fps, "rid"), "rid", "hits")
-    named = written(held.mapInArrow(_name_windows(parts, unique), PACKED), "named")
-    gone = named.where("kind = 0").groupBy("part").applyInArrow(_verify(parts, unique), PACKED).unionByName(named.where("kind = 1"))
+    held = bucketed(zipped(docs.select("rid", "doc", "text")).join(fps, "rid"), "rid", "hits")
+    gone = held.mapInArrow(_name_windows(parts, unique), PACKED).groupBy("part").applyInArrow(_verify(parts, unique), PACKED)
     return held, gone.select("part", "a", "b").groupBy("part").applyInArrow(_places, "rid long, places binary")
 
 
@@ -370,7 +431,7 @@ def op5_fingerprint_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(2**63 - 1)))
     parts = parts_of(docs, 16)
     held, gone = repeated(docs, batches_of(docs, BATCHES), parts, unique)
-    cut = held.select("rid", "text").join(gone, "rid").select("rid", "text", "places").mapInArrow(_cut, "rid long, n_removed long, kept string")
+    cut = held.select("rid", "size", "zipped").join(gone, "rid").select("rid", "size", "zipped", "places").mapInArrow(_cut, "rid long, n_removed long, kept string")
     all_ = docs.select("rid", "doc_id", n_words(F.col("text")).alias("n_words"), F.sha2(squeezed(F.col("text")), 256).alias("whole"))
     out = all_.join(cut, "rid", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
