@@ -94,12 +94,12 @@ def test_nn_descent_recall(spark, data):
 
 @pytest.mark.parametrize("kind", ["NSG", "SSG", "HNSW", "RNNDESCENT"])
 def test_index(spark, data, kind):
-    b = table(spark, data[:120])
-    g = B.Index(kind, R=8, L=16).build(b)
+    b = table(spark, data[:60])
+    g = B.Index(kind, R=8, L=12).build(b)
     e = [tuple(r) for r in g.edges.select("src", "dst").collect()]
     assert len(e) == len(set(e)) and all(a != c for a, c in e)
     if kind != "RNNDESCENT":
-        assert G.reachable(g.edges, g.entries.select(F.col("ep").alias("vec_id"))).count() == 120
+        assert G.reachable(g.edges, g.entries.select(F.col("ep").alias("vec_id"))).count() == 60
     q = b.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
     found = Searcher(g, b).batch_search(q, 5, others=True)
     assert knn.recall(found, knn.exact(q, b, 5, others=True), 5).first()["recall"] >= 0.85

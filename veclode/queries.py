@@ -193,7 +193,7 @@ def entries() -> dict[str, Entry]:
     def add(name: str, f, sql: str | None = None) -> None:
         out[name] = ((lambda spark, sf_dir, f=f: f(base(spark, sf_dir))), sql)
 
-    v = V.doubles(F.col("embedding"))
+    v = lambda: V.doubles(F.col("embedding"))  # noqa: E731  made when a session is there
     for m in ("L2", "IP"):
         add(f"knn_{m.lower()}", lambda b, m=m: knn.exact(query_rows(b), b, K, m, others=True), sql_knn([E], "e", "e", m))
         add(f"knn_{m.lower()}_scaled", lambda b, m=m: knn.exact(query_rows(scaled(b)), scaled(b), K, m, others=True), sql_knn([SCALED], "e", "e", m))
@@ -233,27 +233,27 @@ SELECT count(*) AS hits, (SELECT count(DISTINCT q_id) FROM t) AS n_queries, coun
         if name == "PQ8":
             continue
         m = "IP" if name == "SQ1" else "L2"
-        add(f"encode_{name.lower()}", lambda b, name=name, m=m: b.select("vec_id", Q.fit(name, b, m).encode(v).alias("code")), f"WITH {', '.join([E, *sql_codes(name, m)])} SELECT vec_id, code FROM c")
+        add(f"encode_{name.lower()}", lambda b, name=name, m=m: b.select("vec_id", Q.fit(name, b, m).encode(v()).alias("code")), f"WITH {', '.join([E, *sql_codes(name, m)])} SELECT vec_id, code FROM c")
         for m in ("IP",) if name == "SQ1" else ("L2", "IP"):
             add(f"flat_{name.lower()}_{m.lower()}", lambda b, name=name, m=m: knn.flat(query_rows(b), b, K, Q.fit(name, b, m), others=True), sql_flat(name, m))
             if name in Q.FACTOR:
                 add(f"refine_{name.lower()}_{m.lower()}", lambda b, name=name, m=m: knn.two_stage(query_rows(b), b, K, m, Q.fit(name, b, m), others=True), sql_two_stage(name, m))
-    add("encode_sq8u_ip", lambda b: b.select("vec_id", Q.fit("SQ8U", b, "IP").encode(v).alias("code")), f"WITH {', '.join([E, *sql_codes('SQ8U', 'IP')])} SELECT vec_id, code FROM c")
+    add("encode_sq8u_ip", lambda b: b.select("vec_id", Q.fit("SQ8U", b, "IP").encode(v()).alias("code")), f"WITH {', '.join([E, *sql_codes('SQ8U', 'IP')])} SELECT vec_id, code FROM c")
     for name, f in (("SQ8U", "x / 127.0 * (hi - lo) + lo"), ("SQ4U", "x / 15.0 * (hi - lo) + lo"), ("SQ2U", "x / 3.0 * (hi - lo) + lo")):
         def decode(b, name=name):
             z = Q.fit(name, b)
-            return b.select("vec_id", z.encode(v).alias("c")).select("vec_id", z.decode(F.col("c")).alias("decoded"))
+            return b.select("vec_id", z.encode(v()).alias("c")).select("vec_id", z.decode(F.col("c")).alias("decoded"))
 
         add(f"decode_{name.lower()}", decode, f"WITH {', '.join([E, *sql_codes(name)])} SELECT vec_id, list_transform(code, lambda x: {f}) AS decoded FROM c, p")
     for name in ("SQ8", "SQ4", "SQ6"):
         def decode_dim(b, name=name):
             z = Q.fit(name, b)
-            return b.select("vec_id", z.encode(v).alias("c")).select("vec_id", z.decode(F.col("c")).alias("decoded"))
+            return b.select("vec_id", z.encode(v()).alias("c")).select("vec_id", z.decode(F.col("c")).alias("decoded"))
 
         add(f"decode_{name.lower()}", decode_dim, f"WITH {', '.join([E, *sql_codes(name)])} SELECT vec_id, list_transform(list_zip(code, los, difs), lambda z: z[1] / {float(Q.PER_DIM[name][0])} * z[3] + z[2]) AS decoded FROM c, p")
     for name, bits in Q.BITS.items():
         m, unit, per = ("IP" if name == "SQ1" else "L2"), *((3, 4) if bits == 6 else (1, 8 // bits))
-        add(f"pack_{name.lower()}", lambda b, name=name, m=m, bits=bits: b.select("vec_id", V.packed(Q.fit(name, b, m).encode(v), bits).alias("bytes")),
+        add(f"pack_{name.lower()}", lambda b, name=name, m=m, bits=bits: b.select("vec_id", V.packed(Q.fit(name, b, m).encode(v()), bits).alias("bytes")),
             f"WITH {', '.join([E, *sql_codes(name, m)])} SELECT vec_id, list_transform(range(0, len(code) // {per} * {unit}), lambda b: ((list_sum(list_transform(range(0, {per}), lambda k: code[(b // {unit}) * {per} + k + 1]::BIGINT << (k * {bits})))::BIGINT >> ((b % {unit}) * 8)) % 256)::INT) AS bytes FROM c")
 
     ctes, m = sql_kmeans()
@@ -267,7 +267,7 @@ SELECT count(*) AS hits, (SELECT count(DISTINCT q_id) FROM t) AS n_queries, coun
     pq = f"WITH {', '.join(ctes)}"
     coded = f", z AS (SELECT vec_id, sq, arg_min(cid, (d, cid)) AS cid FROM (SELECT part.*, cid, {sql_l2('s', 'c')} AS d FROM part JOIN {m} USING (sq)) GROUP BY vec_id, sq)"
     add("pq_codebook", lambda b: _centroid_rows(b.sparkSession, _codebook(b)), f"{pq} SELECT sq, cid, c AS centroid FROM {m}")
-    add("pq_encode", lambda b: b.select("vec_id", Q.fit("PQ8", b, codebook=_codebook(b)).encode(v).alias("code")), f"{pq}{coded} SELECT vec_id, list(cid ORDER BY sq) AS code FROM z GROUP BY vec_id")
+    add("pq_encode", lambda b: b.select("vec_id", Q.fit("PQ8", b, codebook=_codebook(b)).encode(v()).alias("code")), f"{pq}{coded} SELECT vec_id, list(cid ORDER BY sq) AS code FROM z GROUP BY vec_id")
     add("pq_lookup", lambda b: kmeans.lookup_tables(query_rows(b), _codebook(b)), f"{pq} SELECT part.vec_id AS q_id, part.sq, cid AS k, {sql_l2('s', 'c')} AS dist FROM part JOIN {m} USING (sq) WHERE part.vec_id % 20 = 0")
     for mm in ("L2", "IP"):
         add(f"pq_adc_{mm.lower()}", lambda b, mm=mm: knn.flat(query_rows(b), b, K, Q.fit("PQ8", b, mm, codebook=_codebook(b)), others=True),
