@@ -25,7 +25,7 @@ from .common import M1, keyed, mix, small_batches, spans_of, table, texts, writt
 from .decontaminate import PLAIN
 from .fingerprints import word_names
 
-SLOTS, SAMPLE, PICKED, ROUNDS, SURE = 1 << 18, 30000, 2048, 300, 0.95
+SLOTS, SAMPLE, PICKED, ROUNDS, SURE = 1 << 18, 20000, 2048, 300, 0.95
 BAD, GOOD, NONE = 2, 1, 0
 HEURISTICS = ("capitals", "bangs", "symbols", "variety", "length")
 GOLD = 3 ** len(HEURISTICS)
