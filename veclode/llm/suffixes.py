@@ -12,7 +12,7 @@ two offsets; what is sorted and counted over the cluster are only places that ar
   if the 431 bytes that they cover together are repeated, all are.
 * Where only the shared part is repeated, the 32 windows are named one by one.
 
-Texts are shuffled once, to a table bucketed by document of those that hold a repeated anchor; a group of places never
+Texts are shuffled once, compressed, to a table bucketed by document of those that hold a repeated anchor; a group of places never
 meets in one task, as only counts by name are aggregated.
 """
 
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTES, M1, M2, bucketed, keyed, mix, signed, small_batches, spans_of, table, texts, written
+from .common import BYTES, M1, M2, bucketed, keyed, mix, signed, small_batches, spans_of, table, texts, unzipped, written, zipped
 
 LENGTH, GRAM, BLOCK = 400, 32, 32
 CORE, HULL = LENGTH - BLOCK + 1, LENGTH + BLOCK - 1
@@ -116,7 +116,7 @@ def _blocks(batches):
     import pyarrow as pa
 
     for b in batches:
-        raw, ends = texts(b.column("text"))
+        raw, ends = texts(unzipped(b))
         rid = b.column("rid").to_numpy(zero_copy_only=False)
         (a, lo, hi), at = _lists(b.column("spots"))
         for i, j in spans_of(ends):
@@ -143,7 +143,7 @@ def _windows(batches):
     import pyarrow as pa
 
     for b in batches:
-        raw, ends = texts(b.column("text"))
+        raw, ends = texts(unzipped(b))
         rid = b.column("rid").to_numpy(zero_copy_only=False)
         (lo, hi), at = _lists(b.column("ranges"))
         for i, j in spans_of(ends):
@@ -161,7 +161,7 @@ def _cut(batches):
     import pyarrow as pa
 
     for b in batches:
-        raw, ends = texts(b.column("text"))
+        raw, ends = texts(unzipped(b))
         (lo, hi), at = _lists(b.column("covered"))
         gone, spans, sha = [], [], []
         for i in range(len(ends) - 1):
@@ -177,12 +177,12 @@ def _cut(batches):
 
 
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of docs (rid unique, text): the texts in which anything may repeat (rid, text, spots), as a bucketed table, and
+    """Of docs (rid unique, text): the texts in which anything may repeat (rid, size, zipped, spots), as a bucketed table, and
     (rid, lo, hi): bytes covered by 400-byte strings that also start elsewhere."""
     spots = written(docs.select("rid", "text").mapInArrow(_anchors, "gram long, rid long, a int, lo int, hi int"), "anchors")
     often = spots.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     left = spots.join(often, "gram", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("spots"))
-    held = bucketed(docs.select("rid", "text").join(left, "rid"), "rid", "texts")
+    held = bucketed(zipped(docs.select("rid", "text")).join(left, "rid"), "rid", "texts")
 
     blocks = written(held.mapInArrow(_blocks, "rid long, p0 int, lo int, hi int, core long, hull long"), "blocks")
     by_hull = blocks.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("one"))
@@ -191,7 +191,7 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # In question: hulls met once whose core is met again, and one of each repeated hull that such a core has.
     by_core = by_hull.groupBy("core").agg(F.count(F.lit(1)).alias("hulls"), F.max(F.col("n") == 1).alias("open")).where("hulls > 1 and open").select("core")
     asked = by_hull.join(by_core, "core", "left_semi").select("one.*").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    single = written(held.select("rid", "text").join(asked, "rid").select("rid", "text", "ranges").mapInArrow(_windows, "rid long, lo int, p int, w long"), "windows")
+    single = written(held.select("rid", "size", "zipped").join(asked, "rid").select("rid", "size", "zipped", "ranges").mapInArrow(_windows, "rid long, lo int, p int, w long"), "windows")
     twice = single.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
     part = single.join(twice, "w", "left_semi").groupBy("rid", "lo").agg(F.min("p").alias("a"), F.max("p").alias("b")).select("rid", F.col("a").alias("lo"), (F.col("b") + LENGTH).alias("hi"))
     return held, whole.unionByName(part)
@@ -206,8 +206,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs, _ = keyed(table(spark, sf_dir, "documents"), "op2")
     held, covered = repeated(docs)
-    cut = held.select("rid", "text").join(covered.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("covered")), "rid")
-    cut = cut.select("rid", "text", "covered").mapInArrow(_cut, "rid long, n_removed long, n_spans long, kept string")
+    cut = held.select("rid", "size", "zipped").join(covered.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("covered")), "rid")
+    cut = cut.select("rid", "size", "zipped", "covered").mapInArrow(_cut, "rid long, n_removed long, n_spans long, kept string")
     text = F.coalesce("text", F.lit(""))
     all_ = docs.select("rid", "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     out = all_.join(cut, "rid", "left")
