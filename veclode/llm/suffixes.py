@@ -180,7 +180,8 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of docs (rid unique, text): the texts in which anything may repeat (rid, size, zipped, spots), as a bucketed table, and
     (rid, lo, hi): bytes covered by 400-byte strings that also start elsewhere."""
     spots = written(docs.select("rid", "text").mapInArrow(_anchors, "gram long, rid long, a int, lo int, hi int"), "anchors")
-    often = spots.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # What is joined to many rows of a hot key is written first: Spark splits a skewed join whose sides are both shuffled.
+    often = written(spots.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "often")
     left = spots.join(often, "gram", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("spots"))
     held = bucketed(zipped(docs.select("rid", "text")).join(left, "rid"), "rid", "texts")
 
@@ -192,7 +193,7 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_core = by_hull.groupBy("core").agg(F.count(F.lit(1)).alias("hulls"), F.max(F.col("n") == 1).alias("open")).where("hulls > 1 and open").select("core")
     asked = by_hull.join(by_core, "core", "left_semi").select("one.*").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     single = written(held.select("rid", "size", "zipped").join(asked, "rid").select("rid", "size", "zipped", "ranges").mapInArrow(_windows, "rid long, lo int, p int, w long"), "windows")
-    twice = single.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
+    twice = written(single.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"), "twice")
     part = single.join(twice, "w", "left_semi").groupBy("rid", "lo").agg(F.min("p").alias("a"), F.max("p").alias("b")).select("rid", F.col("a").alias("lo"), (F.col("b") + LENGTH).alias("hi"))
     return held, whole.unionByName(part)
 
