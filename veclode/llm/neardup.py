@@ -1,8 +1,8 @@
 """Near duplicates: MinHash bands find pairs, odd sketches judge them, full shingle sets confirm them.
 
 * Texts with the same words become one node, named by two 64-bit names of the whole sequence.
-* Of 1024 MinHashes of a node's shingles 96 make 24 bands of 4 (a pair at the threshold shares none with probability
-  2e-8); all, folded into a bitmap of 4096 parities, are its odd sketch. The XOR of two sketches has few ones if the
+* Of 1024 MinHashes of a node's shingles 96 make 24 bands of 4 (a pair at 85 % shares none with probability
+  2e-8, one at 80 % with 3e-6); all, folded into a bitmap of 4096 parities, are its odd sketch. The XOR of two sketches has few ones if the
   MinHashes agree: ``J = 1 + n / (4 k) * ln(1 - 2 ones / n)``. Pairs whose estimate lies more than five deviations
   below the threshold are let go, as are those whose sets differ too much in size.
 * First every node of a bucket is compared with the bucket's smallest node only; confirmed links join components.
@@ -13,6 +13,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +24,8 @@ from .fingerprints import INVERSE, _power, BASE, sequence_names, word_names
 
 SHINGLE, PERCENT = 5, 85
 HASHES, BANDED, ROWS, BITS = 1024, 96, 4, 4096
-#: Ones in the XOR of two sketches from which a pair is let go: at 85 % there are 285 with a deviation of 21; the
-#: estimate is then under 0.783.
-ONES = 401
+#: Deviations above the expected ones in the XOR of two sketches from which a pair is let go.
+DEVIATIONS = 5.6
 BLOCK = 512
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -32,6 +33,20 @@ _A = (mix(np.arange(1, HASHES + 1, dtype=np.uint64) * M2) >> np.uint64(32)).asty
 _R = (mix(np.arange(1, HASHES + 1, dtype=np.uint64) * M3) >> np.uint64(32)).astype(np.uint32)
 
 
+def most_ones(percent: int) -> int:
+    """Ones in the XOR of two sketches from which a pair is let go: 401 at 85 %, 497 at 80 %.
+
+    A pair at the threshold has D ~ Binomial(HASHES, 1 - J) MinHashes that differ, which flip 2 D of the bits; the ones
+    vary with D and, given D, with how often two flips meet.
+    """
+    miss = 1 - percent / 100
+    flips = 2 * HASHES * miss / BITS
+    mean = BITS / 2 * (1 - math.exp(-2 * flips))
+    of_d = 4 * math.exp(-4 * flips) * HASHES * miss * (1 - miss)
+    met = BITS / 4 * (1 - math.exp(-4 * flips)) - BITS * flips * math.exp(-4 * flips)
+    return math.ceil(mean + DEVIATIONS * math.sqrt(of_d + met))
+
+
 def _minhash(s: np.ndarray) -> np.ndarray:
     x = (s >> np.uint64(32)).astype(np.uint32)
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
@@ -123,6 +138,8 @@ def _pairs_across(batches, percent: int):
     first bucket that it shares."""
     import pyarrow as pa
 
+    most = most_ones(percent)
+
     def pairs(rid, comp, block, n, sk, bands, bucket, i, j):
         left, right = (np.arange(len(rid)),) * 2 if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
         out_a, out_b = [], []
@@ -134,7 +151,7 @@ def _pairs_across(batches, percent: int):
                 ok &= x[:, None] < right[None, :]
             u, v = np.nonzero(ok)
             ones = np.bitwise_count((sk[x[u]] ^ sk[right[v]]).view(np.uint64)).sum(axis=1)
-            u, v = x[u[ones < ONES]], right[v[ones < ONES]]
+            u, v = x[u[ones < most]], right[v[ones < most]]
             first = (bands[u] == bands[v]).argmax(axis=1)
             own = bands[u, first] == bucket
             a, b = rid[u[own]], rid[v[own]]
@@ -213,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     stars = member.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
     stars = stars.join(side("a"), "a").join(side("b"), "b")
-    stars = stars.where(F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100).where(_ones(F.col("sa"), F.col("sb")) < ONES).select("a", "b")
+    stars = stars.where(F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100).where(_ones(F.col("sa"), F.col("sb")) < most_ones(percent)).select("a", "b")
     links = confirmed(stars)
     comps = components(links)
 
