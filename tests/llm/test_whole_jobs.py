@@ -1,11 +1,12 @@
 """Cases in which an operator did less than its whole job."""
 
 import random
+from collections import Counter
 
 import brute
 
 import corpus_pipeline
-from veclode.llm import neardup
+from veclode.llm import mixing, neardup
 
 
 def test_pipeline_links_from_80_percent(spark):
@@ -25,3 +26,33 @@ def test_pipeline_links_from_80_percent(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == first
     assert neardup.most_ones(85) == 401 and neardup.most_ones(80) > 490
+
+
+def test_op10_small_sources_beside_large_ones(spark):
+    sizes = {"big": 60_000_000, "other": 90_000_000, **{f"tail{i}": 5 + 40 * i for i in range(30)}, "none": 0}
+    goals = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).cache()
+    out = {r["source"]: r for r in mixing.quotas(goals).collect()}
+    for s, r in out.items():
+        assert abs(r["quota"] * r["block"] - r["target"]) <= max(r["block"], r["target"] / 50), s
+        assert r["quota"] * r["block"] <= 3 * r["source_size"]
+    shards = Counter()
+    for r in out.values():
+        shards.update(r["by_shard"] or {})
+    assert len(shards) == 16 and max(shards.values()) - min(shards.values()) <= 1
+    assert sum(shards.values()) == sum(r["quota"] for r in out.values()) == round(sum(r["target"] for r in out.values()) / out["big"]["block"])
+    # the quotients that win are the highest, as when all are ranked
+    for seats in (40, 700):
+        some = goals.where("source_size < 2000")
+        got = {r["source"]: r for r in mixing.quotas(some, seats).collect()}
+        block, won = got["tail1"]["block"], Counter()
+        t = {s: r["target"] for s, r in got.items() if r["target"] > 0}
+        for _ in range(round(sum(t.values()) / block)):
+            won[max((s for s in t if won[s] < 3 * sizes[s] // block), key=lambda s: t[s] / (2 * won[s] + 1))] += 1
+        assert {s: got[s]["quota"] for s in t} == {s: won[s] for s in t}
+
+
+def test_pipeline_mixing_keeps_small_sources(spark):
+    rows = [(i, "w " * 50_000, "big") for i in range(40)] + [(100 + i, "one two three four five", f"s{i}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = Counter(r["source"] for r in corpus_pipeline.mixed(spark, docs, "").select("source").collect())
+    assert all(found[f"s{i}"] == 3 for i in range(4)) and found["big"] >= 38

@@ -19,8 +19,9 @@ from pyspark.sql.window import Window
 
 from .common import n_words, table
 
-#: Blocks that the mix is cut into: quotas are exact to half a block, whatever the size of the corpus.
-SEATS, SHARDS, SEED, RANGES, MOST = 65536, 16, "mix-1", 256, 3
+#: Blocks that the mix is cut into, at least; and blocks of the smallest target, at least, down to blocks of one word.
+SEATS, FINE = 65536, 64
+SHARDS, SEED, RANGES, MOST = 16, "mix-1", 256, 3
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -49,17 +50,45 @@ def targets(sizes: DataFrame) -> DataFrame:
 def quotas(goals: DataFrame, seats: int = SEATS, shards: int = SHARDS) -> DataFrame:
     """(source, ...) -> with ``block`` (words) and ``quota`` (blocks won), and ``by_shard``: the quota of each shard.
 
-    Candidates number about ``seats`` plus two a source, whatever the corpus holds.
+    A block is a ``seats``-th of the mix, or a ``FINE``-th of the smallest target where that is less. Seats that are
+    certain are counted, not ranked: at the divisor ``V / (seats - sources / 2)`` quotas rounded to the nearest can't
+    exceed the seats. Of the others those up to a divisor at which they can't fall short are ranked, which are a few
+    a source, whatever the corpus holds.
     """
     all_ = Window.partitionBy(F.lit(1))
-    g = goals.withColumn("block", F.greatest(F.lit(1.0), F.round(F.sum("target").over(all_) / seats)))
-    g = g.withColumn("_seats", F.round(F.sum("target").over(all_) / F.col("block")))
-    # A source wins about target / block seats; two more candidates are enough for the highest quotients to be among them.
-    g = g.withColumn("_most", F.least(F.floor(F.col("source_size") * MOST / F.col("block")), F.floor(F.col("target") / F.col("block")) + 2).cast("int"))
-    bids = g.where("_most > 0").select("source", "target", "_seats", F.explode(F.sequence(F.lit(0), F.col("_most") - 1)).alias("_s"))
-    order = Window.orderBy((F.col("target") / (2 * F.col("_s") + 1)).desc(), F.col("source").isNull(), F.col("source").cast("binary"), "_s")
-    won = bids.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col("_seats"))
-    per = won.groupBy("source", ((F.col("_rank") - 1) % shards).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    g = goals.withColumn("block", F.greatest(F.lit(1.0), F.least(F.round(F.sum("target").over(all_) / seats), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(all_) / FINE).cast("double"))))
+    g = g.withColumn("_total", F.sum("target").over(all_)).withColumn("_seats", F.round(F.col("_total") / F.col("block")).cast("long"))
+    g = g.withColumn("_most", F.when(F.col("target") > 0, F.floor(F.col("source_size") * MOST / F.col("block"))).otherwise(0).cast("long"))
+    b = g.where("_most > 0").withColumn("_n", F.count(F.lit(1)).over(all_))
+    near = lambda d: F.floor(F.col("target") / d + 0.5).cast("long")
+    b = b.withColumn("_sure", F.when(F.col("_seats") * 2 > F.col("_n"), F.least("_most", F.greatest(F.lit(0).cast("long"), near(F.col("_total") / (F.col("_seats") - F.col("_n") / 2)) - 1))).otherwise(0).cast("long"))
+    # At divisor d a source wins min(_most, target / d - 1/2) seats at least; the largest d at which these make all seats
+    # comes from running sums over the sources in the order in which they reach _most, as in targets().
+    b = b.withColumn("_full_at", F.col("target") / (F.col("_most") + 0.5))
+    by_full = Window.orderBy(F.col("_full_at").desc(), F.col("source").isNull(), F.col("source").cast("binary"))
+    rest = by_full.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    b = b.withColumns({
+        "_before": F.coalesce(F.sum("_most").over(by_full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_open": F.sum("target").over(rest), "_left": F.count(F.lit(1)).over(rest),
+        "_off": F.coalesce(F.sum("_sure").over(by_full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_given": F.sum("_sure").over(all_),
+    })
+    need = F.col("_seats") - F.col("_before") + F.col("_left") / 2
+    b = b.withColumn("_d", F.when(need > 0, F.col("_open") / need))
+    b = b.withColumn("_d", F.max(F.when(F.col("_d") >= F.col("_full_at"), F.struct("_full_at", "_d"))).over(all_)["_d"])
+    b = b.withColumn("_upto", F.least("_most", F.coalesce(near(F.col("_d")) + 1, F.col("_most"))))
+    bids = b.where("_upto > _sure").select("source", "target", "block", "_total", "_seats", "_given", F.explode(F.sequence(F.col("_sure"), F.col("_upto") - 1)).alias("_s"))
+    # Blocks of a seats-th are ranked as in the SQL, by quotients as floats. In finer ones quotients that are equal but for
+    # rounding go to the smaller target first.
+    bid, fine = F.col("target") / (2 * F.col("_s") + 1), F.col("block") < F.round(F.col("_total") / seats)
+    order = Window.orderBy(F.when(fine, F.round(bid / F.col("block"), 9)).otherwise(bid).desc(), F.when(fine, F.round("target", 6)), F.col("source").isNull(), F.col("source").cast("binary"), "_s")
+    won = bids.withColumn("_rank", F.row_number().over(order) + F.col("_given")).where(F.col("_rank") <= F.col("_seats"))
+    ranked = won.select("source", ((F.col("_rank") - 1) % shards).cast("int").alias("shard"), F.lit(1).cast("long").alias("n"))
+    # Certain seats go to shards in turn as well, source after source, before the ranked ones.
+    upto = lambda x: F.floor((x - F.col("shard") - 1) / shards)
+    sure = b.where("_sure > 0").select("source", "_off", "_sure", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    sure = sure.select("source", "shard", (upto(F.col("_off") + F.col("_sure")) - upto(F.col("_off"))).cast("long").alias("n")).where("n > 0")
+    per = ranked.unionByName(sure).groupBy("source", "shard").agg(F.sum("n").alias("n"))
     per = per.groupBy("source").agg(F.sum("n").alias("quota"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("shard", "n")))).alias("by_shard"))
     return g.alias("g").join(per.alias("p"), F.col("g.source").eqNullSafe(F.col("p.source")), "left").select("g.source", "source_size", "weight", "target", "block", F.coalesce("quota", F.lit(0)).alias("quota"), "by_shard")
 
