@@ -4,9 +4,10 @@ import random
 from collections import Counter
 
 import brute
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veclode.llm import mixing, neardup
+from veclode.llm import classifier, mixing, neardup
 
 
 def test_pipeline_links_from_80_percent(spark):
@@ -56,3 +57,18 @@ def test_pipeline_mixing_keeps_small_sources(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = Counter(r["source"] for r in corpus_pipeline.mixed(spark, docs, "").select("source").collect())
     assert all(found[f"s{i}"] == 3 for i in range(4)) and found["big"] >= 38
+
+
+def test_op3_trains_on_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(classifier, "SAMPLE", 300)  # fewer than documents, no fewer than labels
+    r = random.Random(6)
+    rows = [(i, " ".join(f"w{r.randrange(300)}" for _ in range(60)) + (" vile rotten" if i % 4 == 0 else "")) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "rid long, text string").withColumn("doc_id", F.col("rid"))
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    seen, train = [], classifier.train
+    monkeypatch.setattr(classifier, "train", lambda x: seen.append(len(x)) or train(x))
+    out = {x["rid"]: x["kept"] for x in classifier.classify(docs, labels).collect()}
+    assert seen == [300] and sum(out[i] == (i % 4 != 0) for i in range(300, 6000)) >= 5600
+    more = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(3000)], "doc_id long, quality int, toxic int")
+    classifier.fit(docs, more)
+    assert 200 < seen[1] < 400

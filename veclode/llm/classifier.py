@@ -3,9 +3,9 @@
 Heuristic labellers vote bad, good or nothing on every text; rows of the labels table vote too, as one more labeller.
 Expectation-maximisation finds how often each labeller votes what on bad and on good texts, from nothing but how often
 each pattern of votes occurs (a table of at most 3 ** labellers rows, counted over all documents), and with that the
-posterior of each pattern; where a label is known it fixes the posterior. Of a sample of about ``SAMPLE`` documents the
-labelled ones and those that the heuristics agree to be bad (the rest may be bad in ways that no heuristic sees) train
-a linear scorer on hashed words and on the heuristics' votes with their posteriors; it judges every document.
+posterior of each pattern; where a label is known it fixes the posterior. All labelled documents (where there are more than ``SAMPLE``, a hash
+sample of about that many) and a hash sample of those that the heuristics agree to be bad (half as many, or
+``LEAST_BAD``; the rest may be bad in ways that no heuristic sees) train a linear scorer on hashed words and on the heuristics' votes with their posteriors; it judges every document.
 
 Cases: a null or blank text has no words and is rejected (too short); a document labelled more than once counts by its
 mean labels, one labelled null not at all; without labels the heuristics alone decide; repeated rows get the same
@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import M1, keyed, mix, small_batches, spans_of, table, texts, written
+from .common import keyed, small_batches, spans_of, table, texts, written
 from .decontaminate import PLAIN
 from .fingerprints import word_names
 
 SLOTS, SAMPLE, PICKED, ROUNDS, SURE = 1 << 18, 20000, 2048, 300, 0.95
+#: Rows without a label that train are half as many as those with one, or this many.
+LEAST_BAD = 1000
 BAD, GOOD, NONE = 2, 1, 0
 HEURISTICS = ("capitals", "bangs", "symbols", "variety", "length")
 GOLD = 3 ** len(HEURISTICS)
@@ -63,24 +65,26 @@ def _features(raw: np.ndarray, ends: np.ndarray):
     return sum(v * 3**k for k, v in enumerate(votes)), slot, at
 
 
-def _votes(share: float):
-    """rid, votes, and for a share of the documents, told by a hash of rid, their distinct slots."""
+def _votes(batches):
+    import pyarrow as pa
 
-    def run(batches):
-        import pyarrow as pa
+    for b in batches:
+        raw, ends = texts(b.column("text"))
+        votes = [_features(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])[0] for i, j in spans_of(ends)]
+        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(np.concatenate(votes) if votes else [], pa.int32())], names=["rid", "doc_id", "votes"])
 
-        for b in batches:
-            raw, ends = texts(b.column("text"))
-            rid = b.column("rid").to_numpy(zero_copy_only=False)
-            taken = mix(rid.astype(np.uint64) * M1) < np.uint64(min(share, 1.0) * (2**64 - 1025))
-            votes, slots = [], []
-            for i, j in spans_of(ends):
-                v, slot, at = _features(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
-                votes.append(v)
-                slots += [np.unique(slot[at[k] : at[k + 1]]).astype(np.int32).tobytes() if taken[i + k] else None for k in range(j - i)]
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(np.concatenate(votes) if votes else [], pa.int32()), pa.array(slots, pa.binary())], names=["rid", "doc_id", "votes", "slots"])
 
-    return run
+def _slots(batches):
+    """The distinct slots of each text."""
+    import pyarrow as pa
+
+    for b in batches:
+        raw, ends = texts(b.column("text"))
+        slots = []
+        for i, j in spans_of(ends):
+            _, slot, at = _features(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+            slots += [np.unique(slot[at[k] : at[k + 1]]).astype(np.int32).tobytes() for k in range(j - i)]
+        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("votes"), b.column("pattern"), pa.array(slots, pa.binary())], names=["rid", "votes", "pattern", "slots"])
 
 
 def label_model(counts: dict[int, int], labellers: int, rounds: int = 200) -> tuple[dict[int, float], list, float]:
@@ -133,9 +137,13 @@ def train(rows: list[tuple[np.ndarray, int, float]]) -> tuple[np.ndarray, np.nda
         return w, by_vote, 0.0
     y = np.array([r[2] for r in rows])
     size = np.array([len(r[0]) for r in rows])
-    idx = np.concatenate([r[0] for r in rows]).astype(np.int64)
-    seen = np.bincount(idx, minlength=SLOTS)
-    bad = np.bincount(idx, weights=np.repeat(y, size), minlength=SLOTS)
+    seen, bad = np.zeros(SLOTS, np.int64), np.zeros(SLOTS)
+    pieces = [slice(c, c + 2000) for c in range(0, len(rows), 2000)]  # which bounds the driver's memory
+    slots = lambda c: np.concatenate([r[0] for r in rows[c]]).astype(np.int64)
+    for c in pieces:
+        idx = slots(c)
+        seen += np.bincount(idx, minlength=SLOTS)
+        bad += np.bincount(idx, weights=np.repeat(y[c], size[c]), minlength=SLOTS)
     p = y.mean()
     z = (bad - seen * p) / np.sqrt(np.maximum(seen * p * (1 - p), 1e-9))
     z[seen < 4] = 0
@@ -143,9 +151,12 @@ def train(rows: list[tuple[np.ndarray, int, float]]) -> tuple[np.ndarray, np.nda
     pick = pick[np.abs(z[pick]) > 5]
     to = np.full(SLOTS, -1)
     to[pick] = np.arange(len(pick))
-    col = to[idx]
-    row = np.repeat(np.arange(len(rows)), size)[col >= 0]
-    col = col[col >= 0]
+    row, col = [], []
+    for c in pieces:
+        k = to[slots(c)]
+        row.append(np.repeat(np.arange(len(rows))[c], size[c])[k >= 0])
+        col.append(k[k >= 0])
+    row, col = np.concatenate(row), np.concatenate(col)
     votes = np.array([[r[1] // 3**k % 3 for k in range(len(HEURISTICS))] for r in rows])
     row = np.concatenate([row, np.repeat(np.arange(len(rows)), len(HEURISTICS))])
     col = np.concatenate([col, (votes + np.arange(len(HEURISTICS)) * 3 + len(pick)).ravel()])
@@ -185,22 +196,31 @@ def _score(model):
     return run
 
 
+def _drawn(most: int, of: int) -> Column:
+    """Of ``of`` rows about ``most``, told by a hash of rid; all where there are no more."""
+    return F.lit(True) if of <= most else F.pmod(F.xxhash64("rid"), F.lit(1 << 31)) < int(most / of * (1 << 31))
+
+
 def fit(docs: DataFrame, labels: DataFrame):
     """The posterior of each pattern of votes, votes of all docs (written), and the scorer trained on them."""
     spark = docs.sparkSession
     small_batches(spark)
-    share = SAMPLE / max(docs.count(), 1)
-    votes = docs.select("rid", "doc_id", "text").mapInArrow(_votes(share), "rid long, doc_id long, votes int, slots binary")
+    votes = docs.select("rid", "doc_id", "text").mapInArrow(_votes, "rid long, doc_id long, votes int")
     gold = labels.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
     gold = gold.select("doc_id", F.when((F.col("q") < 0.5) | (F.col("t") > 0.5), BAD).when(F.col("q").isNotNull() | F.col("t").isNotNull(), GOOD).otherwise(NONE).alias("gold"))
     votes = votes.join(gold, "doc_id", "left").withColumn("pattern", F.col("votes") + F.coalesce("gold", F.lit(NONE)) * GOLD)
-    votes = written(votes.select("rid", "votes", "pattern", "slots"), "votes")
+    votes = written(votes.select("rid", "votes", "pattern"), "votes")
     counts = {r["pattern"]: r["n"] for r in votes.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     post, table_, prior = label_model(counts, len(HEURISTICS) + 1)
-    rows = votes.where("slots is not null").select("rid", "slots", "votes", "pattern").limit(2 * SAMPLE).toPandas().sort_values("rid")
-    known = rows["pattern"] >= GOLD
-    if known.any():
-        rows = rows[known | (rows["pattern"].map(post) > SURE)]
+    labelled, sure = sum(n for p, n in counts.items() if p >= GOLD), [p for p in counts if p < GOLD and post[p] > SURE]
+    if labelled:
+        bad = max(min(labelled, SAMPLE) // 2, LEAST_BAD)
+        chosen = votes.where(F.when(F.col("pattern") >= GOLD, _drawn(SAMPLE, labelled)).otherwise(F.col("pattern").isin(sure) & _drawn(bad, sum(counts[p] for p in sure))))
+    else:
+        chosen = votes.where(_drawn(SAMPLE, sum(counts.values())))
+    # At most 3/2 SAMPLE small rows, give or take the chance of the hash, go to the texts.
+    rows = docs.select("rid", "text").join(F.broadcast(chosen), "rid").select("rid", "text", "votes", "pattern")
+    rows = rows.mapInArrow(_slots, "rid long, votes int, pattern int, slots binary").toPandas().sort_values("rid")
     model = train([(np.frombuffer(s, np.int32), v, post[p]) for s, v, p in zip(rows["slots"], rows["votes"], rows["pattern"], strict=True)])
     return post, votes, model
 
