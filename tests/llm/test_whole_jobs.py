@@ -2,12 +2,13 @@
 
 import random
 from collections import Counter
+from itertools import combinations
 
 import brute
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veclode.llm import classifier, mixing, neardup
+from veclode.llm import classifier, decontaminate, mixing, neardup
 
 
 def test_pipeline_links_from_80_percent(spark):
@@ -72,3 +73,27 @@ def test_op3_trains_on_all_labels(spark, monkeypatch):
     more = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(3000)], "doc_id long, quality int, toxic int")
     classifier.fit(docs, more)
     assert 200 < seen[1] < 400
+
+
+def test_op4_masks_miss_no_pattern():
+    for n in range(1, 17):
+        changes = n - -(-80 * n // 100)
+        for gone in combinations(range(n), changes):
+            fits = lambda m: any(all(c == "0" or i + k not in gone for k, c in enumerate(m)) for i in range(n - len(m) + 1))  # noqa: B023, E731
+            assert any(map(fits, decontaminate.masks_of(n))), (n, gone)
+
+
+def test_op4_short_items(spark):
+    r, items, docs = random.Random(7), [], []
+    word = lambda: f"w{r.randrange(10**9)}"
+    for n in [*range(1, 12), 15, 16]:
+        for changes in (n - -(-80 * n // 100), n - -(-80 * n // 100) + 1):
+            item = [word() for _ in range(n)]
+            rid = len(items)
+            at = {7, 8, 9, 3} if n > 11 and changes < 4 else set(r.sample(range(n), changes))
+            at = set(sorted(at, reverse=True)[:changes])
+            items.append((rid, " ".join(item), changes <= n - -(-80 * n // 100)))
+            docs.append((rid, " ".join([*(word() for _ in range(50)), *(word() if i in at else x for i, x in enumerate(item)), *(word() for _ in range(50))])))
+    benchmark = spark.createDataFrame([x[:2] for x in items], "item_id long, text string")
+    found = {(x["rid"], x["item_id"]) for x in decontaminate.overlaps(spark.createDataFrame(docs, "rid long, text string"), benchmark).collect()}
+    assert found == {(i, i) for i, _, leaks in items if leaks}

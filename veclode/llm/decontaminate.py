@@ -7,8 +7,8 @@ texts into that join. Around a hit the text and the item are laid over each othe
 is contaminated if in some window of 16 words (all of a shorter item) at least 80 % are equal at their places.
 Words are compared in lower case (A-Z) without ASCII punctuation, by 64-bit names.
 
-Cases: null or blank texts and items have no words and match nothing; an item of fewer words than a mask's span has no
-seed of that mask, one of under 8 words none at all; repeated items and rows count each; further columns are ignored;
+Cases: null or blank texts and items have no words and match nothing; items of up to
+11 words have masks of their own, of up to 4 words the whole item; repeated items and rows count each; further columns are ignored;
 an empty table of texts gives no rows, an empty benchmark no contaminated ones.
 """
 
@@ -21,7 +21,16 @@ from pyspark.sql import functions as F
 from .common import M1, M2, M3, keyed, mix, signed, small_batches, spans_of, table, texts, written
 from .fingerprints import word_names
 
-MASKS = ("11101011", "110100111", "1100101011", "10110010011")
+#: Masks for items of 12 words and more, and for shorter items by their number of words. However the words that the
+#: rule lets differ lie in a window, one of its masks fits beside them; a test enumerates all cases.
+MASKS = ("11101011", "110100111", "1100101011", "10110010011", "111000111")
+SHORT = {
+    1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("1111", "11101", "11011", "10111"), 6: ("1111", "11011"),
+    7: ("11111", "111011", "110111"), 8: ("11111", "111011"), 9: ("111011",), 10: ("11111", "111011", "11010011"),
+    11: ("1101011", "1110011"),
+}
+ALL = (*MASKS, *sorted({m for x in SHORT.values() for m in x}))
+SPAN = max(map(len, ALL))
 WINDOW, PERCENT = 16, 80
 #: Bits of the filter, and words kept on either side of a hit.
 BITS, AROUND = 1 << 24, 32
@@ -30,6 +39,11 @@ PLAIN[65:91] += 32
 PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 32
 
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks whose seeds an item of n words has."""
+    return SHORT.get(n, MASKS) if n else ()
+
+
 def seeds(name: np.ndarray, mask: str, salt: int) -> np.ndarray:
     """Names of all places by the words under the mask."""
     n = max(len(name) - len(mask) + 1, 0)
@@ -45,23 +59,25 @@ def _bits(h: np.ndarray) -> list[np.ndarray]:
 
 
 def _items(batches):
-    """item_id, its place of a seed, the seed's name; and once an item its word names."""
+    """item_id, its place of a seed, the seed's mask and name, and the name's bits."""
     import pyarrow as pa
 
     for b in batches:
         raw, ends = texts(b.column("text"))
         ids = b.column("iid").to_numpy(zero_copy_only=False)
         name, _, _, at = word_names(PLAIN[raw], ends)
-        rows: list[list] = [[], [], []]
+        rows: list[list] = [[], [], [], []]
         for i in range(len(ends) - 1):
             own = name[at[i] : at[i + 1]]
-            h = [seeds(own, m, k) for k, m in enumerate(MASKS)]
+            k = [ALL.index(m) for m in masks_of(len(own))]
+            h = [seeds(own, ALL[x], x) for x in k]
             rows[0].append(np.repeat(ids[i], sum(map(len, h))))
             rows[1] += [np.arange(len(x)) for x in h]
             rows[2] += h
+            rows[3] += [np.repeat(x, len(y)) for x, y in zip(k, h, strict=True)]
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         h = cat(rows[2], np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(cat(rows[0], np.int64)), pa.array(cat(rows[1], np.int32)), pa.array(signed(h)), *[pa.array(x.astype(np.int64)) for x in _bits(h)]], names=["iid", "q", "h", "b0", "b1", "b2"])
+        yield pa.RecordBatch.from_arrays([pa.array(cat(rows[0], np.int64)), pa.array(cat(rows[1], np.int32)), pa.array(cat(rows[3], np.int32)), pa.array(signed(h)), *[pa.array(x.astype(np.int64)) for x in _bits(h)]], names=["iid", "q", "k", "h", "b0", "b1", "b2"])
 
 
 def _words(batches):
@@ -73,8 +89,8 @@ def _words(batches):
         yield pa.RecordBatch.from_arrays([b.column("iid"), pa.array([name[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["iid", "item"])
 
 
-def _regions(bits):
-    """Regions of the texts around places that pass the filter: rid, first word, word names, hits (seed name, place)."""
+def _regions(bits, used: list[int]):
+    """Regions of the texts around places that pass the filter with a mask in use: rid, first word, word names, hits (seed name, place)."""
 
     def run(batches):
         import pyarrow as pa
@@ -89,7 +105,8 @@ def _regions(bits):
             for i, j in spans_of(ends):
                 name, _, _, at = word_names(PLAIN[raw[ends[i] : ends[j]]], ends[i : j + 1] - ends[i])
                 found_p, found_h = [], []
-                for k, m in enumerate(MASKS):
+                for k in used:
+                    m = ALL[k]
                     h = seeds(name, m, k)
                     p = np.arange(len(h))
                     for n in range(3):
@@ -98,9 +115,9 @@ def _regions(bits):
                     ok = p + len(m) <= at[np.searchsorted(at, p, "right")] if len(p) else np.zeros(0, bool)
                     found_p.append(p[ok])
                     found_h.append(h[ok])
-                p, h = np.concatenate(found_p), np.concatenate(found_h)
-                if not len(p):
+                if not any(map(len, found_p)):
                     continue
+                p, h = np.concatenate(found_p), np.concatenate(found_h)
                 order = np.argsort(p, kind="stable")
                 p, h = p[order], h[order]
                 doc = np.searchsorted(at, p, "right") - 1
@@ -109,7 +126,7 @@ def _regions(bits):
                 cut = np.append(np.flatnonzero(new), len(p))
                 for s, e in zip(cut[:-1], cut[1:], strict=True):
                     d = doc[s]
-                    lo, hi = max(at[d], p[s] - AROUND), min(at[d + 1], p[e - 1] + len(MASKS[-1]) + AROUND)
+                    lo, hi = max(at[d], p[s] - AROUND), min(at[d + 1], p[e - 1] + SPAN + AROUND)
                     rows[0].append(rid[i + d])
                     rows[1].append(lo - at[d])
                     rows[2].append(name[lo:hi].tobytes())
@@ -140,13 +157,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     items = written(benchmark.select(F.monotonically_increasing_id().alias("iid"), F.col("item_id"), F.col("text").cast("string").alias("text")), "items")
-    seed = written(items.select("iid", "text").mapInArrow(_items, "iid long, q int, h long, b0 long, b1 long, b2 long"), "seeds")
+    seed = written(items.select("iid", "text").mapInArrow(_items, "iid long, q int, k int, h long, b0 long, b1 long, b2 long"), "seeds")
     # The filter: at most BITS bits, however large the benchmark.
     on = seed.select(F.explode(F.array("b0", "b1", "b2")).alias("b")).groupBy(F.shiftright("b", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(b % 8 as int))")).alias("v")).toPandas()
     bits = np.zeros(BITS // 8, np.uint8)
     bits[on["at"].to_numpy(np.int64)] = on["v"].to_numpy(np.int64)
     sent = spark.sparkContext.broadcast(bits.tobytes())
-    regions = written(docs.select("rid", "text").mapInArrow(_regions(sent), "rid long, start long, region binary, hits array<struct<h:long,p:int>>"), "regions")
+    used = sorted(r["k"] for r in seed.select("k").distinct().collect())  # a mask without seeds hits nothing
+    regions = written(docs.select("rid", "text").mapInArrow(_regions(sent, used), "rid long, start long, region binary, hits array<struct<h:long,p:int>>"), "regions")
     hits = regions.select("rid", "start", F.inline("hits")).join(seed.select("h", "iid", "q"), "h")
     lines = hits.select("rid", "start", "iid", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
     names = items.select("iid", "text").mapInArrow(_words, "iid long, item binary")
