@@ -84,6 +84,21 @@ def test_op1_learns_a_list(spark):
     assert {r["doc_id"] for r in out.where("not kept").collect()} == set(range(0, 120, 3))
 
 
+def test_op1_learns_conjunctions(spark):
+    """Bad are documents with marks and digits; either alone is good, so one threshold can't tell."""
+    def text(i):
+        return " ".join(f"w{'abcdefghij'[i % 10]}{'abcdefghij'[k % 10]}{'xyz'[k % 3] * (k % 5)}" + ("!" if i % 2 else "q") + ("77" if i % 3 == 0 else "rr") for k in range(40))
+
+    rows = [(i, text(i)) for i in range(600)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(not (i % 2 and i % 3 == 0))) for i in range(600)], "doc_id long, quality int")
+    stats = rules.counts(docs).withColumn("n_repeat_words", F.lit(0).cast("long"))
+    learned = rules.learn(stats, labels)
+    assert learned and len(learned[0]) == 2 and {t[0] for t in learned[0]} == {"bangs_a_word", "digits"}
+    assert rules.learn(stats.repartition(7), labels) == learned
+    bad = rules.with_features(stats).where(~rules.verdict(learned)).select("doc_id").collect()
+    assert {r["doc_id"] for r in bad} == {i for i in range(600) if i % 2 and i % 3 == 0}
+
+
 def test_op2(spark, messy):
     expected = brute.op2([t for _, t in messy[1]])
     assert got(spark, "op2", messy[0], ["n_bytes", "n_removed", "n_spans", "kept_sha256"]) == Counter((d, *x) for (d, _), x in zip(messy[1], expected, strict=True))
@@ -151,19 +166,24 @@ def test_op5(spark, messy):
     assert got(spark, "op5", messy[0], ["n_words", "n_removed", "kept_sha256"]) == Counter((d, *x) for (d, _), x in zip(messy[1], expected, strict=True))
 
 
-def test_op5_index_grows_and_compacts(spark):
+def test_op5_index_verifies_compacts_and_reopens(spark, tmp_path):
     r = random.Random(4)
     base = [prose(r, 60) for _ in range(12)]
     rows = [(i, base[i % 12] if i % 5 else prose(r, 20) + " " + base[i % 7][:200]) for i in range(60)]
     docs = spark.createDataFrame(rows, "rid long, text string").withColumn("doc", F.col("rid"))
-    index = fingerprints.Index(spark, 3)
-    for b in fingerprints.batches_of(docs, 6):
-        index.append(b)
+    root, places, expected = f"file://{tmp_path}/index", defaultdict(set), brute.op5(rows)
+    for i, b in enumerate(fingerprints.batches_of(docs, 6)):
+        # each batch comes in a session of its own, which knows the index by its manifest only, and is judged at once
+        index = fingerprints.Index(spark.newSession() if i % 2 else spark, root, 3)
+        assert index.parts == 3 and len(index.runs) == (0, 1, 2, 2, 3, 2)[i]
+        for x in index.append(b).collect():
+            places[x["rid"]] |= {k for p in [fingerprints._unpack(x["places"], "int32")] for w in p for k in range(w, w + 13)}
+        done = {x["rid"] for x in b.select("rid").collect()}
+        assert all(len(places[k]) == expected[k][1] for k in done)
+    index = fingerprints.Index(spark, root)
     index.compact()
-    assert [x.level for x in index.runs] == [2, 1]
-    _, gone = fingerprints.repeated(docs, fingerprints.batches_of(docs, 6), 3, True)
-    places = {x["rid"]: {i for p in fingerprints._unpack(x["places"], "int32") for i in range(p, p + 13)} for x in gone.collect()}
-    assert [len(places.get(i, ())) for i in range(60)] == [x[1] for x in brute.op5(rows)]
+    assert [x.level for x in index.runs] == [2, 1] and [x.level for x in fingerprints.Index(spark, root).runs] == [2, 1]
+    assert index.texts().count() == 60
 
 
 def test_op6(spark, messy):
@@ -183,6 +203,20 @@ def test_op6_examples_have_prefixes(spark, messy):
     assert all(chat.unescaped(x["text"][x["loss_start"] : x["loss_end"]]) == "b<c>\\" for x in e)
 
 
+def test_op6_digests_come_from_examples(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "q2"), (1, 3, "assistant", "a2")]
+    turns = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    out = chat.expanded(turns).orderBy("seq", "n_context").toPandas()
+    assert len(out) == 6 and out["n_context"].dropna().tolist() == [1, 3]
+    back = lambda df: next(iter(chat.read_back([pa.RecordBatch.from_pandas(df.astype({c: "Int64" for c in ("n_context", "context", "loss_start", "loss_end")}), preserve_index=False)]))).to_pylist()[0]
+    got = back(out)
+    assert got["loss_chars"] == 3 and got["n_examples"] == 2 and got["loss_sha256"] == hashlib.sha256(b"aa2").hexdigest()
+    assert back(out[out["n_context"] != 3])["loss_chars"] == 1  # the loss is what the examples say
+    out.loc[out["n_context"] == 3, "context"] -= 1
+    with pytest.raises(ValueError, match="context"):
+        back(out)
+
+
 def test_op7(spark, messy):
     assert got(spark, "op7", messy[0], ["n_assign", "n_access", "n_hex", "base_sha256"]) == Counter((d, *brute.op7(t)) for d, t in messy[1])
 
@@ -198,6 +232,11 @@ def test_op7_ledger_scans_only_what_is_new(spark, tmp_path):
     assert count() == 3
     secrets.scan(more, ledger, version="rules-2")
     assert count() == 5
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "-twice")
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "-twice")  # as two scans at the same time leave it
+    assert secrets.scan(more, ledger + "-twice").count() == 2
+    secrets.compacted(spark, ledger + "-twice", ledger + "-compact")
+    assert spark.read.parquet(ledger + "-compact").count() == 5
 
 
 def test_op8(spark, messy):
@@ -229,6 +268,31 @@ def test_op9(spark, messy):
     assert all(sorted(x) == list(range(len(x))) for x in by.values()) and all(len(x) == 1 for x in of.values())
 
 
+def test_op9_draws_sizes_and_crc_against_plain_python(spark, messy):
+    import math
+    import zlib
+
+    def draw(level, child, key, weight):
+        h = int(hashlib.md5(f"{sharding.SEED}:{level}{child}:{key}".encode()).hexdigest()[:12], 16)
+        return -math.log((h + 1) / 2**48) / weight
+
+    def down(key, shards):
+        tree = sharding.topology(shards)
+        best = lambda level, nodes: min((draw(level, c, key, w), c) for c, w in nodes)[1]
+        region = best("r", [(x, sum(map(len, kk.values()))) for x, kk in tree.items()])
+        rack = best("k", [(k, len(ss)) for k, ss in tree[region].items()])
+        return best("s", [(s, 1) for s in tree[region][rack]])
+
+    expected = Counter()
+    for d, t in messy[1]:
+        raw, key = (t or "").encode(), "" if d is None else str(d)
+        expected[d, len(raw) + 16, zlib.crc32(raw), "key", down(key, 40), down(key, 41)] += 1
+    rows = Q[FIND["op9"]](spark, messy[0]).select("doc_id", "size", "text_crc32", "law", "shard", "grown_shard", "slot").collect()
+    assert Counter(tuple(r)[:6] for r in rows) == expected
+    again = Q[FIND["op9"]](spark.newSession(), messy[0]).select("doc_id", "size", "text_crc32", "law", "shard", "grown_shard", "slot").collect()
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
+
+
 def test_op9_weights_confine_movement(spark):
     d = spark.range(4000).select(F.col("id").alias("doc_id"))
     tree = sharding.topology(40)

@@ -2,13 +2,17 @@
 
 Every turn becomes one segment ``<turn role>text</turn>\\n`` in which control characters of role and text are escaped
 with a backslash, so a text can hold any marker and still be read back. The segments of a conversation in order are
-one stream. Every assistant turn is an example of its own: its context is the stream before it, only its reply is
-trainable. Since that context is always a prefix of the stream, :func:`examples` states an example by places in the
-stream (one row a reply, linear in the input); :func:`render` writes the texts out.
-
-Order: by turn (null first); equal turns by role, then text. Cases: a null text or role is an empty one; a null conv_id
-is a conversation; repeated rows are turns of their own; a conversation without an assistant has no example and an
-empty loss mask; empty texts stay turns; further columns are ignored; an empty table gives no rows.
+one stream. Every assistant turn is exploded into an example of its own: all turns before it are its context, only its
+reply is trainable. That context is always the stream's prefix, so an example's row (:func:`examples`) states it by its
+length and holds its own last segment with the span of the loss mask in the example's text: linear in the input, while
+:func:`render` writes whole texts, whose size grows with the square of a conversation's turns. :func:`read_back` takes
+formatted turns and examples apart again: turns from the stream, the loss from the examples.
+
+Order: by turn (null first); equal turns by role, then text, ties beyond that are equal rows. Cases: a null text or role
+is an empty one; a null conv_id is a conversation; repeated rows are turns of their own; a conversation without an
+assistant has no example and an empty loss mask; empty texts stay turns; texts of any length are one segment; further
+columns are ignored; an empty table gives no rows (the query: its probe). A conversation is numbered and read back in one
+task, as a stream that is sorted on disk where it must be: a digest of a sequence can't be split.
 """
 
 from __future__ import annotations
@@ -50,61 +54,96 @@ def formatted(conversations: DataFrame) -> DataFrame:
 
 
 def examples(turns: DataFrame) -> DataFrame:
-    """An example an assistant turn: conv_id, n_context (turns before it), length (of its text: a prefix of the
-    stream) and the only trainable span of that text."""
+    """An example an assistant turn: conv_id, seq, n_context (turns before it), context (characters of the stream before
+    it), segment (its last), and the only trainable span [loss_start, loss_end) of the whole text."""
     return turns.where("loss_start is not null").select(
-        "conv_id", (F.col("seq") - 1).alias("n_context"), F.col("end").alias("length"),
+        "conv_id", "seq", (F.col("seq") - 1).alias("n_context"), F.col("start").alias("context"), "segment",
         (F.col("start") + F.col("loss_start")).alias("loss_start"), (F.col("start") + F.col("loss_end")).alias("loss_end"))
 
 
+def expanded(turns: DataFrame) -> DataFrame:
+    """The rows of turns, each followed by its example if it is an assistant's: a row a turn with n_context null, and a row
+    an example with all columns of :func:`examples`."""
+    none = F.lit(None).cast("long")
+    plain = F.struct(none.alias("n_context"), none.alias("context"), F.col("segment").alias("segment"), none.alias("loss_start"), none.alias("loss_end"))
+    target = F.struct((F.col("seq") - 1).cast("long").alias("n_context"), F.col("start").cast("long").alias("context"), F.col("segment").alias("segment"), (F.col("start") + F.col("loss_start")).cast("long").alias("loss_start"), (F.col("start") + F.col("loss_end")).cast("long").alias("loss_end"))
+    rows = F.when(F.col("loss_start").isNull(), F.array(plain)).otherwise(F.array(plain, target))
+    return turns.select("conv_id", "seq", F.explode(rows).alias("_x")).select("conv_id", "seq", "_x.*")
+
+
 def render(turns: DataFrame) -> DataFrame:
     """Examples with their texts written out. A conversation of n turns has texts of n * n / 2 segments in all."""
     stream = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "segment"))), lambda x: x["segment"]), "").alias("_s"))
     e = examples(turns).alias("e").join(stream.alias("s"), F.col("e.conv_id").eqNullSafe(F.col("s.conv_id")))
-    return e.select("e.conv_id", "n_context", F.substring(F.col("_s"), F.lit(1), F.col("length").cast("int")).alias("text"), "loss_start", "loss_end")
+    return e.select("e.conv_id", "n_context", F.concat(F.substring(F.col("_s"), F.lit(1), F.col("context").cast("int")), "segment").alias("text"), "loss_start", "loss_end")
+
 
+SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long"
 
-def digests(batches):
-    """Read turns back from segments that come in order; a conversation may span batches."""
+
+def read_back(batches):
+    """Digests of conversations from rows of :func:`expanded` in the order of (conv_id, seq, n_context): turns from the
+    stream, the loss from the examples. An example that doesn't fit the stream before it is an error. A conversation
+    may span batches."""
     import pyarrow as pa
 
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64()), ("example_chars", pa.int64())])
-    now, none = None, object()
-    last = none
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    kinds = [pa.string() if x.endswith("string") else pa.int64() for x in SCHEMA.split(", ")]
     done: list[list] = []
-    row = lambda: [last, now[0], now[1].hexdigest(), now[2], now[3].hexdigest(), now[4], now[5], now[6]]
+    last, started = None, False
+    n = shown = loss_chars = chars = n_examples = example_chars = 0
+    turns, loss = hashlib.sha256(), hashlib.sha256()
+
+    def flush():
+        out = pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+        done.clear()
+        return out
+
+    row = lambda: [last, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, n_examples, example_chars]
     for batch in batches:
-        for conv, segment, a, b in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "segment", "loss_start", "loss_end")), strict=True):
-            if last is none or conv != last:
-                if last is not none:
+        cols = (batch.column(x).to_pylist() for x in ("conv_id", "n_context", "context", "segment", "loss_start", "loss_end"))
+        for conv, n_context, context, segment, a, b in zip(*cols, strict=True):
+            if not started or conv != last:
+                if started:
                     done.append(row())
-                last, now = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-            for role, text in TURN.findall(segment):
-                now[0] += 1
-                now[1].update(f"{unescaped(role)}\n{unescaped(text)}\n".encode())
-            now[4] += len(segment)
-            if a is not None:
-                loss = unescaped(segment[a:b])
-                now[2] += len(loss)
-                now[3].update(loss.encode())
-                now[5] += 1
-                now[6] += now[4]
+                last, started = conv, True
+                n = shown = loss_chars = chars = n_examples = example_chars = 0
+                turns, loss = hashlib.sha256(), hashlib.sha256()
+            if n_context is None:
+                shown = chars
+                for role, text in TURN.findall(segment):
+                    n += 1
+                    turns.update(f"{unescaped(role)}\n{unescaped(text)}\n".encode())
+                chars += len(segment)
+                continue
+            if context != shown or n_context != n - 1 or not 0 <= a - context <= b - context <= len(segment):
+                raise ValueError(f"an example of conversation {conv} doesn't follow its context")
+            reply = unescaped(segment[a - context : b - context])
+            loss.update(reply.encode())
+            loss_chars += len(reply)
+            n_examples += 1
+            example_chars += context + len(segment)
         if done:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in done], schema)
-            done = []
-    if last is not none:
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row(), strict=True))], schema)
+            yield flush()
+    if started:
+        done.append(row())
+        yield flush()
 
 
 PROBE = r"\### Assistant: </turn> ok"
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, each assistant turn exploded into its example, and both read back.
+
+    Cases: see the module; the probe conversation -7 is always there; null and equal turns have a fixed order; a text of
+    any length is one segment; further columns are ignored.
+    """
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"))
     probe = probe.select("conv_id", "turn", F.when(F.col("turn") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    turns = formatted(c.unionByName(probe)).repartition("conv_id").sortWithinPartitions("conv_id", "seq")
-    return turns.select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long")
+    rows = expanded(formatted(c.unionByName(probe))).repartition("conv_id").sortWithinPartitions("conv_id", "seq", F.col("n_context").asc_nulls_first())
+    return rows.select("conv_id", "n_context", "context", "segment", "loss_start", "loss_end").mapInArrow(read_back, SCHEMA)
 
 
 OP6_SQL = r"""

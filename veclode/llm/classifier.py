@@ -1,15 +1,22 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote bad, good or nothing on every text; rows of the labels table vote too, as one more labeller.
-Expectation-maximisation finds how often each labeller votes what on bad and on good texts, from nothing but how often
-each pattern of votes occurs (a table of at most 3 ** labellers rows, counted over all documents), and with that the
-posterior of each pattern; where a label is known it fixes the posterior. All labelled documents (where there are more than ``SAMPLE``, a hash
-sample of about that many) and a hash sample of those that the heuristics agree to be bad (half as many, or
-``LEAST_BAD``; the rest may be bad in ways that no heuristic sees) train a linear scorer on hashed words and on the heuristics' votes with their posteriors; it judges every document.
-
-Cases: a null or blank text has no words and is rejected (too short); a document labelled more than once counts by its
-mean labels, one labelled null not at all; without labels the heuristics alone decide; repeated rows get the same
-score; further columns are ignored; an empty table gives no rows.
+Heuristic labellers vote bad, good or nothing on the quality of every text; the labels table's quality votes too, as one
+more labeller. Expectation-maximisation finds how often each labeller votes what on bad and on good texts, from nothing
+but how often each pattern of votes occurs (a table of at most 3 ** labellers rows, counted over all documents), and
+with that the posterior of each pattern; where a label is known it fixes the posterior. A hashed linear scorer has two
+targets. Quality trains on posteriors, of documents with and without a label alike; toxicity, of which no heuristic
+speaks, on the documents with a toxic label. The rows that train are all labelled documents (where there are more than
+``SAMPLE``, a hash sample of about that many) and a hash sample of ``UNLABELLED`` others. The scorer judges every
+document by the worse of its two scores.
+
+Its features are hashed: every word, the first 4 and 6 bytes of words that occur once, twice, three times or more, and the
+heuristics' votes. A feature has a weight if it goes with a class beyond chance (``SURE`` deviations, seen ``SEEN``
+times); their number is not capped. What is counted for that, and for the training rows, is sent as weighed features only.
+
+Cases: a null or blank text has no words and is rejected (too short); a text of any length is read whole, one text at a
+time where it is longer than a batch; a document labelled more than once counts by its mean labels, a label that is null
+not at all; without labels the heuristics alone decide; repeated rows and ties get the same score; scores at 0.5 are
+rejected; further columns, of labels too, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,15 +28,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import keyed, small_batches, spans_of, table, texts, written
+from .common import M1, M2, keyed, mix, small_batches, spans_of, table, texts, written
 from .decontaminate import PLAIN
 from .fingerprints import word_names
 
-SLOTS, SAMPLE, PICKED, ROUNDS, SURE = 1 << 18, 20000, 2048, 300, 0.95
-#: Rows without a label that train are half as many as those with one, or this many.
-LEAST_BAD = 1000
+#: Bits of a feature's slot; labelled and other rows that train at most (about: they are told by hash).
+SLOT_BITS, SAMPLE, UNLABELLED = 20, 20000, 10000
+SLOTS = 1 << SLOT_BITS
+#: What texts without a label weigh in the label model beside those with one.
+UNSURE = 0.1
+#: Deviations from chance and rows from which a feature gets a weight; steps of the descent.
+SURE, SEEN, ROUNDS = 4.0, 4, 300
+PREFIXES, LEVELS = (4, 6), 3
 BAD, GOOD, NONE = 2, 1, 0
 HEURISTICS = ("capitals", "bangs", "symbols", "variety", "length")
+TARGETS = ("quality", "toxic")
 GOLD = 3 ** len(HEURISTICS)
 _UPPER, _BANG, _SYMBOL, _LETTER = (np.zeros(256, np.int64) for _ in range(4))
 _UPPER[65:91] = _LETTER[65:91] = _LETTER[97:123] = 1
@@ -42,18 +55,29 @@ def _vote(x: np.ndarray, good: float, bad: float) -> np.ndarray:
     return np.where(x >= bad, BAD, np.where(x <= good, GOOD, NONE))
 
 
-def _features(raw: np.ndarray, ends: np.ndarray):
-    """Of each text: its votes as one number in base 3, its words' slots, and how many words come before it."""
-    name, _, _, at = word_names(PLAIN[raw], ends)
-    slot = (name >> np.uint64(64 - 18)).astype(np.int64)
+def _slot(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _level(slot: np.ndarray, level: int) -> np.ndarray:
+    """The slot of a prefix that occurs at least ``level`` + 1 times, from that of the prefix."""
+    return (slot + level * 0x9E375) % SLOTS
+
+
+def _read(raw: np.ndarray, ends: np.ndarray):
+    """Of each text: its votes as one number in base 3, and how many words come before it; of all words in order: their
+    slots and their text; of all prefixes: the same."""
+    plain = PLAIN[raw]
+    name, a, b, at = word_names(plain, ends)
     n = np.maximum(np.diff(at), 1)
+    word = _slot(name)
 
     def total(values):
         c = np.concatenate(([0], np.cumsum(values[raw])))
         return c[ends[1:]] - c[ends[:-1]]
 
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    distinct = np.bincount(np.unique(doc * SLOTS + slot) // SLOTS, minlength=len(at) - 1) if len(doc) else np.zeros(len(at) - 1)
+    distinct = np.bincount(np.unique(doc * SLOTS + word) // SLOTS, minlength=len(at) - 1) if len(doc) else np.zeros(len(at) - 1)
     few = np.diff(at) < 50
     votes = [
         _vote(total(_UPPER) / np.maximum(total(_LETTER), 1), 0.2, 0.5),
@@ -62,7 +86,24 @@ def _features(raw: np.ndarray, ends: np.ndarray):
         np.where(few, NONE, _vote(1 - distinct / n, 0.6, 0.75)),
         np.where(np.diff(at) < 10, BAD, NONE),
     ]
-    return sum(v * 3**k for k, v in enumerate(votes)), slot, at
+    slots, docs = [], []
+    for k in PREFIXES:
+        long = np.flatnonzero(b - a > k)
+        x = np.full(len(long), k, np.uint64)
+        for i in range(k):
+            x = (x << np.uint64(8)) | plain[a[long] + i].astype(np.uint64)
+        slots.append(_slot(mix(x * M1 + M2)))
+        docs.append(doc[long])
+    return sum(v * 3**k for k, v in enumerate(votes)), at, word, doc, np.concatenate(slots), np.concatenate(docs)
+
+
+def _features(word, doc, prefix, owner) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, slot) of all features."""
+    one, n = np.unique(owner * SLOTS + prefix, return_counts=True)
+    d, s = one // SLOTS, one % SLOTS
+    all_ = [np.unique(doc * SLOTS + word)] + [d[n > k] * SLOTS + _level(s[n > k], k) for k in range(LEVELS)]
+    both = np.unique(np.concatenate(all_))
+    return both // SLOTS, both % SLOTS
 
 
 def _votes(batches):
@@ -70,21 +111,50 @@ def _votes(batches):
 
     for b in batches:
         raw, ends = texts(b.column("text"))
-        votes = [_features(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])[0] for i, j in spans_of(ends)]
+        votes = [_read(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])[0] for i, j in spans_of(ends)]
         yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(np.concatenate(votes) if votes else [], pa.int32())], names=["rid", "doc_id", "votes"])
 
 
-def _slots(batches):
-    """The distinct slots of each text."""
+def _seen(batches):
+    """Of the training rows of a task: for each slot how many rows of each target have it, and their sum of posteriors."""
     import pyarrow as pa
 
+    counts = np.zeros((4, SLOTS))
     for b in batches:
         raw, ends = texts(b.column("text"))
-        slots = []
+        y = [b.column(t).to_numpy(zero_copy_only=False) for t in TARGETS]
         for i, j in spans_of(ends):
-            _, slot, at = _features(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
-            slots += [np.unique(slot[at[k] : at[k + 1]]).astype(np.int32).tobytes() for k in range(j - i)]
-        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("votes"), b.column("pattern"), pa.array(slots, pa.binary())], names=["rid", "votes", "pattern", "slots"])
+            d, s = _features(*_read(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])[2:])
+            for k in range(2):
+                p = y[k][i:j][d]
+                ok = ~np.isnan(p)
+                counts[2 * k] += np.bincount(s[ok], minlength=SLOTS)
+                counts[2 * k + 1] += np.bincount(s[ok], weights=p[ok], minlength=SLOTS)
+    at = np.flatnonzero(counts[0] + counts[2])
+    yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(c[at]) for c in counts]], names=["slot", "n0", "y0", "n1", "y1"])
+
+
+def _weighed(sent):
+    """The chosen features of each training row, as their numbers."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        to = np.full(SLOTS, -1)
+        to[sent.value] = np.arange(len(sent.value))
+        for b in batches:
+            raw, ends = texts(b.column("text"))
+            found = []
+            for i, j in spans_of(ends):
+                d, s = _features(*_read(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])[2:])
+                k = to[s]
+                d, k = d[k >= 0], k[k >= 0].astype(np.int32)
+                cut = np.searchsorted(d, np.arange(j - i + 1))
+                found += [k[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            keep = ["rid", "votes", *TARGETS]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(found, pa.binary())], names=[*keep, "found"])
+
+    return run
 
 
 def label_model(counts: dict[int, int], labellers: int, rounds: int = 200) -> tuple[dict[int, float], list, float]:
@@ -92,7 +162,8 @@ def label_model(counts: dict[int, int], labellers: int, rounds: int = 200) -> tu
 
     Returns the posterior of "bad" of each pattern, for each labeller the chances of (nothing, good, bad) on good and
     on bad texts, and the share of bad texts. It starts from majorities, and the last labeller (labels) decides alone
-    where it votes.
+    where it votes; that it doesn't vote says nothing, as texts are labelled at random. Where there are labels, texts
+    without one weigh ``UNSURE`` times as much in all, or the largest kind of bad text would become the whole class.
     """
     digits = {p: [p // 3**k % 3 for k in range(labellers)] for p in counts}
 
@@ -102,11 +173,14 @@ def label_model(counts: dict[int, int], labellers: int, rounds: int = 200) -> tu
         return 0.9 if BAD in d[:-1] else 0.1
 
     post = {p: start(d) for p, d in digits.items()}
+    known = sum(n for p, n in counts.items() if digits[p][-1] != NONE)
+    weight = min(1.0, UNSURE * known / max(1, sum(counts.values()) - known)) if known else 1.0
     table, prior = [], 0.5
     for _ in range(rounds if counts else 0):
         table = [[[1.0, 1.0, 1.0], [1.0, 1.0, 1.0]] for _ in range(labellers)]
         total = [1.0, 1.0]
         for p, n in counts.items():
+            n = n if digits[p][-1] != NONE else n * weight
             for y, q in ((1, post[p]), (0, 1 - post[p])):
                 total[y] += n * q
                 for k, v in enumerate(digits[p]):
@@ -118,7 +192,7 @@ def label_model(counts: dict[int, int], labellers: int, rounds: int = 200) -> tu
             if d[-1] != NONE:  # a label is known, not estimated
                 new[p] = post[p]
                 continue
-            z = math.log(prior / (1 - prior)) + sum(math.log(table[k][1][v] / table[k][0][v]) for k, v in enumerate(d))
+            z = math.log(prior / (1 - prior)) + sum(math.log(table[k][1][v] / table[k][0][v]) for k, v in enumerate(d[:-1]))
             new[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
         moved = max((abs(new[p] - post[p]) for p in post), default=0)
         post = new
@@ -127,71 +201,68 @@ def label_model(counts: dict[int, int], labellers: int, rounds: int = 200) -> tu
     return post, table, prior
 
 
-def train(rows: list[tuple[np.ndarray, int, float]]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights by slot, weights by (heuristic, vote), bias: logistic regression on soft labels.
+def chosen_slots(n: np.ndarray, y: np.ndarray, p: float) -> np.ndarray:
+    """Which slots go with one class beyond chance: n rows have one, y is their sum of posteriors, p the mean of all."""
+    z = (y - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9))
+    return (n >= SEEN) & (np.abs(z) > SURE)
+
+
+def train(found: list[np.ndarray], votes: np.ndarray, y: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights by feature, weights by (heuristic, vote), bias: logistic regression on soft labels y.
 
-    rows: (distinct slots, votes, posterior). Only slots that go with one class beyond chance get a weight.
+    found: the features that each row has, as numbers under ``features``; votes: its votes as a number in base 3.
     """
-    w, by_vote = np.zeros(SLOTS, np.float32), np.zeros((len(HEURISTICS), 3), np.float32)
-    if not rows:
-        return w, by_vote, 0.0
-    y = np.array([r[2] for r in rows])
-    size = np.array([len(r[0]) for r in rows])
-    seen, bad = np.zeros(SLOTS, np.int64), np.zeros(SLOTS)
-    pieces = [slice(c, c + 2000) for c in range(0, len(rows), 2000)]  # which bounds the driver's memory
-    slots = lambda c: np.concatenate([r[0] for r in rows[c]]).astype(np.int64)
-    for c in pieces:
-        idx = slots(c)
-        seen += np.bincount(idx, minlength=SLOTS)
-        bad += np.bincount(idx, weights=np.repeat(y[c], size[c]), minlength=SLOTS)
-    p = y.mean()
-    z = (bad - seen * p) / np.sqrt(np.maximum(seen * p * (1 - p), 1e-9))
-    z[seen < 4] = 0
-    pick = np.argsort(-np.abs(z), kind="stable")[:PICKED]
-    pick = pick[np.abs(z[pick]) > 5]
-    to = np.full(SLOTS, -1)
-    to[pick] = np.arange(len(pick))
-    row, col = [], []
-    for c in pieces:
-        k = to[slots(c)]
-        row.append(np.repeat(np.arange(len(rows))[c], size[c])[k >= 0])
-        col.append(k[k >= 0])
-    row, col = np.concatenate(row), np.concatenate(col)
-    votes = np.array([[r[1] // 3**k % 3 for k in range(len(HEURISTICS))] for r in rows])
-    row = np.concatenate([row, np.repeat(np.arange(len(rows)), len(HEURISTICS))])
-    col = np.concatenate([col, (votes + np.arange(len(HEURISTICS)) * 3 + len(pick)).ravel()])
-    n = len(pick) + 3 * len(HEURISTICS)
-    x, bias, m, s = np.zeros(n + 1), 0.0, np.zeros(n + 1), np.zeros(n + 1)
-    for t in range(1, ROUNDS + 1):  # Adam on the whole sample, with a small ridge
-        score = np.bincount(row, weights=x[col], minlength=len(rows)) + x[n]
-        e = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y) / len(rows)
+    k = len(HEURISTICS)
+    if not len(y):
+        return np.zeros(features), np.zeros((k, 3)), 0.0 if features else -30.0
+    rows = len(y)
+    row = np.concatenate([np.repeat(np.arange(rows), [len(x) for x in found]), np.repeat(np.arange(rows), k)])
+    vote = votes[:, None] // 3 ** np.arange(k) % 3 + np.arange(k) * 3 + features
+    col = np.concatenate([*found, vote.ravel()]).astype(np.int64)
+    n = features + 3 * k
+    x, m, s = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+    for t in range(1, ROUNDS + 1):  # Adam on all rows, with a small ridge
+        score = np.bincount(row, weights=x[col], minlength=rows) + x[n]
+        e = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y) / rows
         g = np.append(np.bincount(col, weights=e[row], minlength=n), e.sum()) + 1e-5 * x
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         x = x - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
-    w[pick], by_vote, bias = x[: len(pick)], x[len(pick) : n].reshape(-1, 3).astype(np.float32), float(x[n])
-    return w, by_vote, bias
+    return x[:features], x[features:n].reshape(k, 3), float(x[n])
+
+
+def scores(model, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """[target][text] log odds of bad; model: slots and, for each target, their weights, weights of votes and bias."""
+    slots, parts = model
+    votes, at, word, doc, prefix, owner = _read(raw, ends)
+    n = len(ends) - 1
+    has = np.zeros(SLOTS, bool)
+    has[slots] = True
+    any_level = has.copy()
+    for k in range(1, LEVELS):
+        any_level |= has[_level(np.arange(SLOTS), k)]
+    ok, pk = has[word], any_level[prefix]
+    d, s = _features(word[ok], doc[ok], prefix[pk], owner[pk])
+    out = []
+    for w, by_vote, bias in parts:
+        dense = np.zeros(SLOTS)
+        dense[slots] = w
+        x = np.bincount(d, weights=dense[s], minlength=n) + bias
+        for k in range(len(HEURISTICS)):
+            x = x + by_vote[k][votes // 3**k % 3]
+        out.append(x)
+    out[0][np.diff(at) == 0] = 30.0
+    return np.array(out)
 
 
 def _score(model):
     def run(batches):
         import pyarrow as pa
 
-        w, by_vote, bias = model.value
         for b in batches:
             raw, ends = texts(b.column("text"))
-            out = []
-            for i, j in spans_of(ends):
-                v, slot, at = _features(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
-                doc = np.repeat(np.arange(j - i), np.diff(at))
-                weighed = w[slot] != 0
-                one = np.unique(doc[weighed] * SLOTS + slot[weighed])  # each word counts once
-                s = np.bincount(one // SLOTS, weights=w[one % SLOTS], minlength=j - i) + bias
-                for k in range(len(HEURISTICS)):
-                    s = s + by_vote[k][v // 3**k % 3]
-                s[np.diff(at) == 0] = 30.0
-                out.append(s)
-            s = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(s, -30, 30))))], names=[*b.schema.names, "score"])
+            x = [scores(model.value, raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i]) for i, j in spans_of(ends)]
+            x = 1 / (1 + np.exp(-np.clip(np.concatenate(x, axis=1) if x else np.zeros((2, 0)), -30, 30)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(x.max(axis=0)), pa.array(x[1])], names=[*b.schema.names, "score", "toxic_score"])
 
     return run
 
@@ -201,42 +272,58 @@ def _drawn(most: int, of: int) -> Column:
     return F.lit(True) if of <= most else F.pmod(F.xxhash64("rid"), F.lit(1 << 31)) < int(most / of * (1 << 31))
 
 
+def _posterior(post: dict[int, float]) -> Column:
+    return F.create_map(*[F.lit(x) for p, q in sorted(post.items()) for x in (p, float(q))])[F.col("pattern")] if post else F.lit(None).cast("double")
+
+
 def fit(docs: DataFrame, labels: DataFrame):
     """The posterior of each pattern of votes, votes of all docs (written), and the scorer trained on them."""
     spark = docs.sparkSession
     small_batches(spark)
     votes = docs.select("rid", "doc_id", "text").mapInArrow(_votes, "rid long, doc_id long, votes int")
     gold = labels.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
-    gold = gold.select("doc_id", F.when((F.col("q") < 0.5) | (F.col("t") > 0.5), BAD).when(F.col("q").isNotNull() | F.col("t").isNotNull(), GOOD).otherwise(NONE).alias("gold"))
+    gold = gold.select("doc_id", F.when(F.col("q") < 0.5, BAD).when(F.col("q").isNotNull(), GOOD).otherwise(NONE).alias("gold"), F.when(F.col("t").isNotNull(), (F.col("t") > 0.5).cast("double")).alias("toxic"))
     votes = votes.join(gold, "doc_id", "left").withColumn("pattern", F.col("votes") + F.coalesce("gold", F.lit(NONE)) * GOLD)
-    votes = written(votes.select("rid", "votes", "pattern"), "votes")
-    counts = {r["pattern"]: r["n"] for r in votes.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = (F.col("pattern") >= GOLD) | F.col("toxic").isNotNull()
+    votes = written(votes.select("rid", "votes", "pattern", "toxic", labelled.alias("labelled")), "votes")
+    counted = votes.groupBy("pattern", "labelled").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts: dict[int, int] = {}
+    for r in counted:
+        counts[r["pattern"]] = counts.get(r["pattern"], 0) + r["n"]
     post, table_, prior = label_model(counts, len(HEURISTICS) + 1)
-    labelled, sure = sum(n for p, n in counts.items() if p >= GOLD), [p for p in counts if p < GOLD and post[p] > SURE]
-    if labelled:
-        bad = max(min(labelled, SAMPLE) // 2, LEAST_BAD)
-        chosen = votes.where(F.when(F.col("pattern") >= GOLD, _drawn(SAMPLE, labelled)).otherwise(F.col("pattern").isin(sure) & _drawn(bad, sum(counts[p] for p in sure))))
-    else:
-        chosen = votes.where(_drawn(SAMPLE, sum(counts.values())))
-    # At most 3/2 SAMPLE small rows, give or take the chance of the hash, go to the texts.
-    rows = docs.select("rid", "text").join(F.broadcast(chosen), "rid").select("rid", "text", "votes", "pattern")
-    rows = rows.mapInArrow(_slots, "rid long, votes int, pattern int, slots binary").toPandas().sort_values("rid")
-    model = train([(np.frombuffer(s, np.int32), v, post[p]) for s, v, p in zip(rows["slots"], rows["votes"], rows["pattern"], strict=True)])
-    return post, votes, model
+    known = sum(r["n"] for r in counted if r["labelled"])
+    rows = votes.where(F.when(F.col("labelled"), _drawn(SAMPLE, known)).otherwise(_drawn(UNLABELLED, sum(counts.values()) - known)))
+    rows = rows.select("rid", "votes", _posterior(post).alias("quality"), "toxic")
+    # At most SAMPLE + UNLABELLED small rows, give or take the chance of the hash, go to the texts.
+    rows = written(docs.select("rid", "text").join(F.broadcast(rows), "rid").select("rid", "votes", *TARGETS, F.coalesce("text", F.lit("")).alias("text")).repartition(8, "rid"), "training")
+    seen = rows.select("text", *TARGETS).mapInArrow(_seen, "slot long, n0 double, y0 double, n1 double, y1 double").groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n0", "y0", "n1", "y1")])
+    mean = rows.agg(*[F.avg(t).alias(t) for t in TARGETS]).first()
+    worth = seen.where("n0 >= {0} or n1 >= {0}".format(SEEN)).toPandas().sort_values("slot")
+    pick = [chosen_slots(worth[f"n{k}"].to_numpy(), worth[f"y{k}"].to_numpy(), mean[t] or 0.0) for k, t in enumerate(TARGETS)]
+    slots = worth["slot"].to_numpy()[pick[0] | pick[1]]
+    got = rows.mapInArrow(_weighed(spark.sparkContext.broadcast(slots)), "rid long, votes int, quality double, toxic double, found binary").toPandas().sort_values("rid")
+    found, parts = [np.frombuffer(x, np.int32) for x in got["found"]], []
+    for k, t in enumerate(TARGETS):
+        own = (pick[k])[pick[0] | pick[1]]  # a target uses the features that tell on it
+        to = np.where(own, np.cumsum(own) - 1, -1)
+        use = np.flatnonzero(~np.isnan(got[t].to_numpy(np.float64)))
+        w = np.zeros(len(slots))
+        w[own], by_vote, bias = train([to[f][to[f] >= 0] for f in (found[i] for i in use)], got["votes"].to_numpy()[use], got[t].to_numpy(np.float64)[use], int(own.sum()))
+        parts.append((w, by_vote, bias if len(use) else -30.0))
+    return post, votes, (slots, parts)
 
 
 def scored(rows: DataFrame, model) -> DataFrame:
-    """rows (text and any others) with score, the chance of bad. The model has a fixed size, ``SLOTS`` weights."""
+    """rows (text and any others) with score, the chance of bad, and toxic_score. The model has a weight a chosen slot."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_score(sent), StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+    return rows.mapInArrow(_score(sent), StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("toxic_score", DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Of docs (rid unique, doc_id, text): rid, posterior of the label model, score (chance of bad) and kept."""
     post, votes, model = fit(docs, labels)
-    posterior = F.create_map(*[F.lit(x) for p, q in sorted(post.items()) for x in (p, float(q))])[F.col("pattern")] if post else F.lit(None).cast("double")
     out = scored(docs.select("rid", "doc_id", "text"), model).drop("text").join(votes.select("rid", "pattern"), "rid")
-    return out.select("rid", "doc_id", posterior.alias("posterior"), "score", kept().alias("kept"))
+    return out.select("rid", "doc_id", _posterior(post).alias("posterior"), "score", "toxic_score", kept().alias("kept"))
 
 
 def kept() -> Column:
@@ -244,6 +331,12 @@ def kept() -> Column:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior of the label model, scores and verdict of every document.
+
+    Cases: null and blank texts are rejected; texts of any length are read whole; ties (equal texts) get equal scores;
+    documents without a label, labels without a document and null labels are fine; further columns are ignored; empty
+    tables give no rows or, without labels, a verdict by the heuristics alone.
+    """
     docs, _ = keyed(table(spark, sf_dir, "documents"), "op3")
     out = classify(docs, table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "posterior", "score", "kept")
+    return out.select("doc_id", "posterior", "score", "toxic_score", "kept")

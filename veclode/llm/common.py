@@ -8,15 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import bucketed, reopened, scratch_dir  # noqa: F401  the operators' scratch folder and tables
+
 #: A word is a run of characters other than ASCII white space. ``bytes.split()`` splits at the same six bytes.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def words(text: Column) -> Column:
-    """The words of a text in order; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
-
-
 def squeezed(text: Column) -> Column:
     """The words joined by one space."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
@@ -32,15 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset one under the warehouse."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
 def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: its lineage ends there."""
     spark = df.sparkSession
@@ -50,10 +38,17 @@ def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text that an Arrow batch may gather.
+BATCH = 8 << 20
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of texts holds, unless the session has a lower bound already."""
+    """Bound what one Arrow batch of texts holds, unless the session has a lower bound already. The bound stays in the
+    session, as results are lazy. A longer text is a batch of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    spark.conf.set(key, str(min(int(spark.conf.get(key).removesuffix("b")), 8 << 20)))
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH:
+        spark.conf.set(key, str(BATCH))
 
 
 def keyed(docs: DataFrame, name: str, whole: bool = False) -> tuple[DataFrame, bool]:
@@ -83,12 +78,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A name of the ordered pair of two names."""
-    x = a * M1 + (b ^ (b >> np.uint64(29))) * M2
-    return x ^ (x >> np.uint64(32))
-
-
 def texts(batch) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts of an Arrow string column laid end to end, and the n + 1 places where they begin and end."""
     import pyarrow as pa
@@ -115,7 +104,8 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def spans_of(ends: np.ndarray, limit: int = 1 << 20):
-    """Ranges [i, j) of documents that hold at most ``limit`` bytes together, or one longer document."""
+    """Ranges [i, j) of documents that hold at most ``limit`` bytes together, or one longer document, which is taken whole:
+    a task's memory is bounded by the longest text."""
     i, n = 0, len(ends) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(ends, ends[i] + limit, "right")) - 1)
@@ -123,18 +113,6 @@ def spans_of(ends: np.ndarray, limit: int = 1 << 20):
         i = min(j, n)
 
 
-def bucketed_table(df: DataFrame, key: str, name: str) -> str:
-    """Write df as a table bucketed by key in the warehouse, and return its name."""
-    at = f"veclode_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(at)
-    return at
-
-
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df as a bucketed table: later joins on the key don't shuffle it again."""
-    return df.sparkSession.table(bucketed_table(df, key, name))
-
-
 def _zipped(batches):
     import pyarrow as pa
 

@@ -1,33 +1,42 @@
 """Repeated word windows by a log-structured fingerprint index.
 
 The index holds fingerprints of five-word grams, chosen so that each window of 13 words has exactly one: the least of
-its nine grams (leftmost on ties), which equal windows choose alike. It is a list of runs, immutable Parquet tables of
-(bucket, sorted fingerprints, document of each), bucketed so that a merge needs no shuffle. A batch of documents is
-fingerprinted, sorted and written as a run, and merge-joined with each older run, bucket by bucket; what both have, or
-the batch has twice, is a hit. Before the next batch comes, the two newest runs are compacted to one as long as they
-have the same level, like digits of a binary counter, and the old ones go. Hits are verified on the texts: windows of
-documents on either side whose gram was hit are named twice, by 64 and by 32 bits of independent names of all their 13 words, and only
-windows equal in both count. Then each needs but its smallest document.
-
-Entries travel as packed sorted arrays, byte planes compressed, a few bytes each. What many documents share is decided inside the chunk that
-read them where it can be: a chunk sends at most one entry a fingerprint, so no bucket receives the copies of a
-window, only chunks that have it.
+its nine grams (leftmost on ties), which equal windows choose alike. It lives in a folder: runs, immutable sorted tables
+bucketed by fingerprint so that a merge needs no shuffle; the texts, compressed, bucketed by document; and a manifest that
+lists the runs, by which a later session opens it. A run has two tables: fingerprints with their document, and hashes of
+windows that were verified before with the first document of each. To append a batch of documents means
+
+1. to fingerprint it, sort, and write the result as a run;
+2. to merge-join the run with each older one, bucket by bucket: what both have, or the batch has twice, is a hit;
+3. to verify hits: the texts of hit documents, new and old, are read, windows whose gram was hit are named by 64 and by
+   32 bits of independent names of all their 13 words, and merge-joined with the windows of older runs and with each
+   other. Windows equal in both names, that an earlier document has, are removed; all go to the run;
+4. to list the run in the manifest.
+
+Before the next batch the two newest runs are compacted to one as long as they have the same level, like digits of a
+binary counter. A fingerprint that several documents have is kept without a document then: their windows are among the
+verified ones. Documents of earlier batches come first; in a batch those with a smaller ``doc``.
+
+Entries travel as packed sorted arrays, byte planes compressed, a few bytes each. What many documents share is decided
+inside the chunk that read them where it can be: a chunk sends at most one entry a fingerprint, so no bucket receives the
+copies of a window, only chunks that have it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTES, M1, M2, M3, bucketed, bucketed_table, keyed, mix, n_words, small_batches, spans_of, squeezed, table, texts, unzipped, written, zipped
+from .common import BYTES, M1, M2, M3, bucketed, keyed, mix, n_words, reopened, scratch_dir, small_batches, spans_of, squeezed, table, texts, unzipped, written, zipped
 
 WINDOW, GRAM, BATCHES = 13, 5, 4
 #: Entries that a chunk gathers before it sorts and sends them, and bytes of text a bucket stands for.
-CHUNK, BUCKET_BYTES = 1 << 20, 4 << 20
+CHUNK, BUCKET_BYTES = 1 << 20, 16 << 20
 LOW = np.uint64(0xFFFFFFFF)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -251,39 +260,89 @@ def _compact(key, left, right):
 
 class Run(NamedTuple):
     level: int
-    rows: DataFrame
-    table: str
+    fps: str  # folders of its two tables
+    windows: str
+
+
+MANIFEST = "version int, parts int, buckets int, level int, fps string, windows string"
+TEXTS = "rid long, doc long, size int, zipped binary"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 class Index:
-    """The fingerprint index. ``append`` a batch of documents (rid, text); it returns hits as packed (kind 1) rows."""
+    """The fingerprint index in a folder, opened by its manifest if it has one, else new with ``parts`` buckets of entries.
 
-    def __init__(self, spark: SparkSession, parts: int) -> None:
-        self.spark, self.parts = spark, parts
-        self.runs: list[Run] = []
+    ``append`` a batch of documents (rid, doc, text), unique: rid is doc; it returns (rid, places): first words, packed, of
+    windows that an earlier document has. A document of an earlier batch may come again with places known before.
+    """
 
-    def _add(self, level: int, rows: DataFrame) -> DataFrame:
-        name = bucketed_table(rows, "part", "run")
-        self.runs.append(Run(level, self.spark.table(name), name))
-        return self.runs[-1].rows
+    def __init__(self, spark: SparkSession, root: str, parts: int = 16, unique: bool = True) -> None:
+        self.spark, self.root, self.parts, self.unique = spark, root.rstrip("/"), parts, unique
+        self.runs: list[Run] = []
+        self.version, self.buckets = 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if exists(spark, f"{self.root}/manifest"):
+            rows = spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
+            last = rows.agg(F.max("version")).first()[0]
+            for r in rows.where(F.col("version") == last).orderBy(F.desc("level"), "fps").collect():  # a row a run: their number is logarithmic
+                self.version, self.parts, self.buckets = r["version"], r["parts"], r["buckets"]
+                self.runs.append(Run(r["level"], r["fps"], r["windows"]))
+
+    def _write(self, rows: DataFrame, name: str) -> str:
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        bucketed(rows, "part", name, self.buckets, path)
+        return path
+
+    def _open(self, path: str) -> DataFrame:
+        return reopened(self.spark, path, PACKED, "part", self.buckets)
+
+    def texts(self) -> DataFrame:
+        """All texts of the index (rid, doc, size, zipped), bucketed by rid."""
+        return reopened(self.spark, f"{self.root}/texts", TEXTS, "rid", self.buckets)
+
+    def _list(self) -> None:
+        self.version += 1
+        rows = [(self.version, self.parts, self.buckets, *run) for run in self.runs]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
 
     def compact(self) -> None:
+        """Merge the newest runs while they have the same level. Old tables stay for readers of older manifests."""
         while len(self.runs) > 1 and self.runs[-1].level == self.runs[-2].level:
-            old = [self.runs.pop(), self.runs.pop()]
-            both = old[1].rows.groupBy("part").cogroup(old[0].rows.groupBy("part")).applyInArrow(_compact, PACKED)
-            self._add(old[0].level + 1, both)
-            for run in old:
-                self.spark.sql(f"DROP TABLE {run.table}")
+            new, old = self.runs.pop(), self.runs.pop()
+            merged = lambda x, y, f: self._open(x).groupBy("part").cogroup(self._open(y).groupBy("part")).applyInArrow(f, PACKED)
+            self.runs.append(Run(new.level + 1, self._write(merged(old.fps, new.fps, _compact), "fps"), self._write(merged(old.windows, new.windows, _compact_windows), "windows")))
+            self._list()
 
     def append(self, batch: DataFrame) -> DataFrame:
         self.compact()
-        older = list(self.runs)
+        batch = batch.select("rid", "doc", "text")
         entries = batch.select("rid", "text").mapInArrow(_fingerprint(self.parts), PACKED)
-        run = self._add(0, entries.groupBy("part").applyInArrow(_run(self.parts), PACKED))
-        hits = run.where("kind = 1")
-        for old in older:
-            hits = hits.unionByName(run.groupBy("part").cogroup(old.rows.groupBy("part")).applyInArrow(_meet(self.parts), PACKED))
-        return written(hits, "hits")  # runs go when they are compacted
+        fps = self._write(entries.groupBy("part").applyInArrow(_run(self.parts), PACKED), "fps")
+        own = self._open(fps)
+        hits = own.where("kind = 1")
+        for old in self.runs:
+            hits = hits.unionByName(own.groupBy("part").cogroup(self._open(old.fps).groupBy("part")).applyInArrow(_meet(self.parts), PACKED))
+        asked = bucketed(hits.select("part", "a", "b").groupBy("part").applyInArrow(_gather, "rid long, fps binary"), "rid", "asked", self.buckets)
+        self._keep(batch)
+        held = self.texts().join(asked.hint("shuffle_hash"), "rid").select("rid", "doc", "size", "zipped", "fps")
+        named = bucketed(held.mapInArrow(_name_windows(self.parts, self.unique), PACKED), "part", "named", self.buckets)
+        windows = self._write(named.groupBy("part").applyInArrow(_verify(self.parts, self.unique), PACKED), "windows")
+        gone = self._open(windows).where("kind = 1")
+        for old in self.runs:
+            gone = gone.unionByName(named.groupBy("part").cogroup(self._open(old.windows).groupBy("part")).applyInArrow(_older(self.parts, self.unique), PACKED))
+        places = written(gone.select("part", "a", "b").groupBy("part").applyInArrow(_places, "rid long, places binary"), "places")
+        self.runs.append(Run(0, fps, windows))
+        self._list()
+        return places
+
+    def _keep(self, batch: DataFrame) -> None:
+        at = f"veclode_texts_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {at} ({TEXTS}) USING parquet CLUSTERED BY (rid) INTO {self.buckets} BUCKETS LOCATION '{self.root}/texts'")
+        zipped(batch).write.mode("append").format("parquet").bucketBy(self.buckets, "rid").saveAsTable(at)
+        self.spark.sql(f"DROP TABLE {at}")
 
 
 def _gather(key, table):
@@ -343,26 +402,75 @@ def _name_windows(parts: int, unique: bool):
     return run
 
 
+def _named(table, unique: bool):
+    """Columns of named windows: two names, document, word, rid."""
+    import pyarrow.compute as pc
+
+    table = table.filter(pc.equal(table.column("kind"), 0))
+    h, g, d, w = (_open(table, c, k) for c, k in zip("abcd", (np.uint64, np.uint32, np.int64, np.int32), strict=True))
+    return h, g, d, w, d if unique else _open(table, "e", np.int64)
+
+
+def _seen(table):
+    """Columns of verified windows of a run: two names and the first document."""
+    import pyarrow.compute as pc
+
+    table = table.filter(pc.equal(table.column("kind"), 3))
+    return tuple(_open(table, c, k) for c, k in zip("abc", (np.uint64, np.uint32, np.int64), strict=True))
+
+
 def _verify(parts: int, unique: bool):
-    """Of a part's windows: (rid, word) of each that a smaller document has too, by document; and what is known already."""
+    """Of a part's windows: (rid, word) of each that a smaller document of the batch has too, by document; what is known
+    already; and all windows with their first document (kind 3), sorted."""
 
     def run(key, table):
         import pyarrow as pa
         import pyarrow.compute as pc
 
         known = table.filter(pc.equal(table.column("kind"), 1))
-        table = table.filter(pc.equal(table.column("kind"), 0))
-        h, g, d, w = (_open(table, c, k) for c, k in zip("abcd", (np.uint64, np.uint32, np.int64, np.int32), strict=True))
-        r = d if unique else _open(table, "e", np.int64)
+        h, g, d, w, r = _named(table, unique)
         order = np.lexsort((d, g, h))
         h, g, d, w, r = (x[order] for x in (h, g, d, w, r))
         first, size = _groups(h, g)
         out = d > np.repeat(d[first], size)
-        return pa.concat_tables([known, pa.Table.from_batches([_packed(1, _home(r[out], parts), r[out], w[out])])])
+        kept = _packed(3, np.full(len(first), key[0].as_py()), h[first], g[first], d[first])
+        return pa.concat_tables([known, pa.Table.from_batches([_packed(1, _home(r[out], parts), r[out], w[out]), kept])])
 
     return run
 
 
+def _older(parts: int, unique: bool):
+    """Of a part's windows: (rid, word) of each that an older run has with a smaller document."""
+
+    def run(key, left, right):
+        import pyarrow as pa
+
+        h, g, d, w, r = _named(left, unique)
+        h0, g0, d0 = _seen(right)
+        n = len(h0)
+        ah, ag, at = np.concatenate((h0, h)), np.concatenate((g0, g)), np.arange(n + len(h))
+        order = np.lexsort((at, ag, ah))
+        first, size = _groups(ah[order], ag[order])
+        lead = np.repeat(order[first], size)  # a run has a window once, before all new ones
+        hit = (order >= n) & (lead < n)
+        i, d1 = order[hit] - n, d0[lead[hit]]
+        i = i[d[i] > d1]
+        return pa.Table.from_batches([_packed(1, _home(r[i], parts), r[i], w[i])])
+
+    return run
+
+
+def _compact_windows(key, left, right):
+    """Verified windows of two runs as one's, each with its first document."""
+    import pyarrow as pa
+
+    h, g, d = (np.concatenate(x) for x in zip(_seen(left), _seen(right), strict=True))
+    order = np.lexsort((d, g, h))
+    first, _ = _groups(h[order], g[order])
+    i = order[first]
+    return pa.Table.from_batches([_packed(3, np.full(len(i), key[0].as_py()), h[i], g[i], d[i])])
+
+
 def _places(key, table):
     """(rid, packed first words of windows to remove) of one part."""
     import pyarrow as pa
@@ -381,7 +489,7 @@ def _cut(batches):
         gone, sha = [], []
         for text, places in zip(unzipped(b).to_pylist(), b.column("places").to_pylist(), strict=True):
             ws = text.encode().split()
-            p = _unpack(places, np.int32)
+            p = np.concatenate([_unpack(x, np.int32) for x in places])
             m = np.zeros(len(ws) + 1, np.int32)
             np.add.at(m, p, 1)
             np.add.at(m, p + WINDOW, -1)
@@ -405,33 +513,25 @@ def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
     return [docs.where((F.lit(True) if a is None else F.col("doc") > a) & (F.lit(True) if b is None else F.col("doc") <= b)) for a, b in zip(lows, highs, strict=True)]
 
 
-def repeated(docs: DataFrame, batches: list[DataFrame], parts: int, unique: bool) -> tuple[DataFrame, DataFrame]:
-    """Of docs (rid unique, doc, text): those with a hit, as a bucketed table, and (rid, places): first words, packed,
-    of their 13-word windows that a document with a smaller ``doc`` has too."""
-    index = Index(docs.sparkSession, parts)
-    hits = None
-    for batch in batches:
-        got = index.append(batch)
-        hits = got if hits is None else hits.unionByName(got)
-    fps = hits.select("part", "a", "b").groupBy("part").applyInArrow(_gather, "rid long, fps binary")
-    held = bucketed(zipped(docs.select("rid", "doc", "text")).join(fps, "rid"), "rid", "hits")
-    gone = held.mapInArrow(_name_windows(parts, unique), PACKED).groupBy("part").applyInArrow(_verify(parts, unique), PACKED)
-    return held, gone.select("part", "a", "b").groupBy("part").applyInArrow(_places, "rid long, places binary")
-
-
 def op5_fingerprint_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words in 13-word windows that a document with a smaller doc_id has too are removed.
+    """Words in 13-word windows that a document with a smaller doc_id has too are removed. The index is filled in batches
+    of ascending doc_id, as a corpus that grows would fill it.
 
-    Cases: a null or blank text has no words; texts under 13 words lose nothing; a null doc_id counts as larger than
-    all others; rows with one doc_id are no smaller than each other, so they lose nothing to each other; further
-    columns are ignored; an empty table gives no rows.
+    Cases: a null or blank text has no words; texts under 13 words lose nothing; a text of any length is read whole, one
+    at a time where it is longer than a batch; a null doc_id counts as larger than all others; rows with one doc_id are no
+    smaller than each other, so they lose nothing to each other (ties); further columns are ignored; an empty table
+    gives no rows.
     """
     small_batches(spark)
     docs, unique = keyed(table(spark, sf_dir, "documents"), "op5")
     docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(2**63 - 1)))
-    parts = parts_of(docs, 16)
-    held, gone = repeated(docs, batches_of(docs, BATCHES), parts, unique)
-    cut = held.select("rid", "size", "zipped").join(gone, "rid").select("rid", "size", "zipped", "places").mapInArrow(_cut, "rid long, n_removed long, kept string")
+    index = Index(spark, f"{scratch_dir(spark)}/veclode/index-{uuid.uuid4().hex}", parts_of(docs, 16), unique)
+    gone = None
+    for batch in batches_of(docs, BATCHES):
+        found = index.append(batch)
+        gone = found if gone is None else gone.unionByName(found)
+    gone = bucketed(gone.groupBy("rid").agg(F.collect_list("places").alias("places")), "rid", "places", index.buckets)
+    cut = index.texts().join(gone.hint("shuffle_hash"), "rid").select("rid", "size", "zipped", "places").mapInArrow(_cut, "rid long, n_removed long, kept string")
     all_ = docs.select("rid", "doc_id", n_words(F.col("text")).alias("n_words"), F.sha2(squeezed(F.col("text")), 256).alias("whole"))
     out = all_.join(cut, "rid", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))

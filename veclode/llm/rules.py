@@ -2,14 +2,17 @@
 
 Per document some counts are taken with built-in functions. Where labels say which documents are bad, sequential
 covering grows a conjunction of thresholds on ratios of these counts by information gain on two thirds of the labelled
-rows, prunes it on the other third, keeps it if it is precise there, drops what it covers and starts again. Each step
-is one aggregation over the labelled rows that returns counts by (feature, bin): a table of fixed size. The list comes
-out as one ordered CASE expression. No Python runs on the executors.
-
-Cases: a null or blank text has no words and fails the base rule; texts under five words have no repeated windows; a
-document labelled more than once counts once, by its mean label; labels that are null or of unknown documents teach
-nothing; without labels of both kinds the list is empty and only the base rule drops; repeated rows each get their own
-result; further columns are ignored; an empty table gives no rows.
+rows, prunes it on the other third, keeps it if it is precise there (``PRECISION`` of at least ``SUPPORT`` rows), drops
+what it covers and starts again, until no rule is precise. A conjunction has at most ``MAX_TERMS`` terms and a list at
+most ``MAX_RULES`` rules: parameters that keep it readable. Thresholds are values at quantiles of the labelled rows that don't
+depend on the rows' order, so a rerun learns the same list. Each step is one aggregation over the labelled rows that returns counts by (feature, bin): a
+table of fixed size. The list comes out as one ordered CASE expression. No Python runs on the executors.
+
+Cases: a null or blank text has no words and fails the base rule; texts of any length are read whole; texts under five
+words have no repeated windows; a document labelled more than once counts once, by its mean label; labels that are null
+or of unknown documents teach nothing; without labels of both kinds the list is empty and only the base rule drops; of
+terms with the same gain the first in the order of features and thresholds wins; repeated rows each get their own result;
+further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -90,8 +93,7 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[list[Term]]:
     named = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") < 0.5).cast("int").alias("bad"))
     rows = with_features(stats.where(~base_failed())).join(named, "doc_id").select("doc_id", "bad", *FEATURES)
     rows = written(rows.withColumn("fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3), "rules")
-    cuts_row = rows.select(*[F.percentile_approx(f, list(QUANTILES), 10000).alias(f) for f in FEATURES]).first()
-    cuts = {f: sorted(set(cuts_row[f] or [])) for f in FEATURES}
+    cuts = _cuts(rows)
     if not any(cuts.values()):
         return []
     # bin b of a feature: the number of thresholds below its value
@@ -121,6 +123,28 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[list[Term]]:
     return rules
 
 
+def _cuts(rows: DataFrame) -> dict[str, list[float]]:
+    """Thresholds of each feature: values of rows at the quantiles, up to half a per cent.
+
+    Values are counted in bins of that width on a logarithmic scale (a few thousand a feature, whatever the rows are) and
+    a bin stands for its largest value, so the order of rows tells nothing.
+    """
+    x = F.array(*FEATURES)
+    e = rows.select(F.posexplode(x).alias("f", "x")).withColumn("b", F.round(F.log(F.greatest("x", F.lit(0.0)) + 1e-6) * 200).cast("int"))
+    bins: dict[int, list] = {}
+    for r in e.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("x")).orderBy("f", "b").collect():
+        bins.setdefault(r["f"], []).append(r)
+    out: dict[str, list[float]] = {}
+    for i, f in enumerate(FEATURES):
+        total, upto, cuts = sum(r["n"] for r in bins.get(i, [])), 0, set()
+        for r in bins.get(i, []):
+            if any(upto < q * total <= upto + r["n"] for q in QUANTILES):
+                cuts.add(r["x"])
+            upto += r["n"]
+        out[f] = sorted(cuts)
+    return out
+
+
 def _below(x: Column, cuts: list[float]) -> Column:
     """How many of the thresholds lie below x."""
     return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < x))
@@ -175,5 +199,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[lis
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, base rule and verdict of every document; cases as stated for the module: null and blank texts fail the
+    base rule, texts of any length are read whole, ties and repeated rows get equal results, further columns (of labels
+    too) are ignored, empty tables give no rows."""
     out, _ = apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

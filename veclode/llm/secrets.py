@@ -5,8 +5,13 @@ holds for each (blob, rule version) that was ever scanned the spans found. A sca
 lacks under the current rule version, each once however many paths hold it, appends what it found, and joins the
 findings back to all paths by blob.
 
-Cases: a null text is an empty one (an empty blob without findings); repeated rows and equal texts share a blob and
-each get its spans; further columns are kept; an empty table gives no rows. Places are code points, ends exclusive.
+Scans may run at the same time and append what they found twice; readers take one row of each blob, and
+:func:`compacted` writes a ledger anew without repeats.
+
+Cases: a null text is an empty one (an empty blob without findings); a text of any length is one blob, read whole;
+repeated rows and equal texts share a blob and each get its spans; spans of different kinds may overlap, at one place
+they come in the order of the rules; further columns are kept; an empty table gives no rows. Places are code points,
+ends exclusive.
 """
 
 from __future__ import annotations
@@ -73,27 +78,50 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays([b.column("blob"), pa.array(found, pa.string())], names=["blob", "spans"])
 
 
+SCHEMA = "blob binary, version string, spans string"
+
+
+def known(spark: SparkSession, ledger: str, version: str) -> DataFrame:
+    """(blob, spans) of a rule version as the ledger is now, a row a blob however often it was appended.
+
+    The option makes each read a relation of its own: Spark takes reads of one path for equal, whatever was appended
+    between them, and in one plan would run but one of them.
+    """
+    rows = spark.read.option("snapshot", uuid.uuid4().hex).schema(SCHEMA).parquet(ledger).where(F.col("version") == version)
+    return rows.groupBy("blob").agg(F.min("spans").alias("spans"))
+
+
+def compacted(spark: SparkSession, ledger: str, to: str) -> None:
+    """The ledger without repeated rows, in few files, at another place."""
+    spark.read.schema(SCHEMA).parquet(ledger).groupBy("blob", "version").agg(F.min("spans").alias("spans")).write.parquet(to)
+
+
 def scan(versions: DataFrame, ledger: str, version: str = VERSION) -> DataFrame:
     """versions (rid unique, text, any others but text kept) with blob and spans; ledger: folder of the ledger, made if missing."""
     spark = versions.sparkSession
     small_batches(spark)
     v = versions.withColumn("text", F.coalesce("text", F.lit("")))
     ids = written(v.withColumn("blob", F.unhex(F.sha2("text", 256))).drop("text"), "blobs")
-    schema = "blob binary, version string, spans string"
     jvm = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     there = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
     new = ids.groupBy("blob").agg(F.min("rid").alias("rid"))
     if there:
-        new = new.join(spark.read.schema(schema).parquet(ledger).where(F.col("version") == version), "blob", "left_anti")
+        new = new.join(known(spark, ledger, version).select("blob"), "blob", "left_anti")
     found = v.select("rid", "text").join(new, "rid").select("blob", "text").mapInArrow(_scan, "blob binary, spans string")
     found.select("blob", F.lit(version).alias("version"), "spans").write.mode("append").parquet(ledger)
-    known = spark.read.schema(schema).parquet(ledger).where(F.col("version") == version).select("blob", "spans")
-    return ids.join(known, "blob", "left")
+    return ids.join(known(spark, ledger, version), "blob", "left")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the base rules, and all spans.
+
+    The documents come as a history of two loads, told apart by hash: the second load's scan finds in the ledger what the
+    first has seen and reads only blobs that are new. Cases: null texts are empty, texts of any length are read whole, repeated
+    rows and ties get their own row each, further columns are ignored, an empty table gives no rows.
+    """
     docs, _ = keyed(table(spark, sf_dir, "documents"), "secrets")
-    out = scan(docs, f"{scratch_dir(spark)}/veclode/ledger-{uuid.uuid4().hex}")
+    ledger, early = f"{scratch_dir(spark)}/veclode/ledger-{uuid.uuid4().hex}", F.xxhash64("rid") < 0
+    out = scan(docs.where(early), ledger).unionByName(scan(docs.where(~early), ledger))
     every = F.when(F.col("spans") != "", F.split("spans", ",")).otherwise(F.array().cast("array<string>"))
     base = F.filter("_a", lambda x: F.split_part(x, F.lit(":"), F.lit(1)).isin(*BASE))
     out = out.withColumn("_a", every).withColumn("_b", base)
