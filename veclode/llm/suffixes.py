@@ -1,19 +1,24 @@
 """Repeated substrings by bucket-pointer refinement of a sampled suffix array.
 
-A substring is repeated if it starts at two places. All places in equal substrings of a length share a bucket; buckets
-of a longer length come from pairs of bucket identifiers, one of a place and one of a later offset, and identifiers
-found so are used again for the next length. Here identifiers are 64-bit names of the pair, so a task can double
-lengths (1, 2, 4 ... 256 bytes) on its own text, and names of any length up to 512 are pairs of two 256-byte names at
-two offsets; what is sorted and counted over the cluster are only places that are still in question:
-
-* Initial buckets are 32-grams. Of the 369 grams in a 400-byte window only the least one (leftmost on ties) enters, as
-  equal windows choose it alike; it is the anchor of a run of windows. Anchors alone in their bucket leave.
-* Windows of an anchor are refined 32 at a time. The 369 bytes that all of them share must be repeated, else none is;
-  if the 431 bytes that they cover together are repeated, all are.
-* Where only the shared part is repeated, the 32 windows are named one by one.
-
-Texts are shuffled once, compressed, to a table bucketed by document of those that hold a repeated anchor; a group of places never
-meets in one task, as only counts by name are aggregated.
+A substring is repeated if it starts at two places. The places that are sorted are a sample of all suffixes, the anchors:
+of the 369 32-grams in each 400-byte window the least one (leftmost on ties), which equal windows choose alike.
+
+* Initial buckets are an anchor's 32-gram. An anchor alone in its bucket leaves with all its windows.
+* The next buckets are phrases, from an anchor to the end of the next one's gram. A bucket's identifier is a pointer, the
+  least number of its places. Then buckets are refined round by round: the bucket of 2k phrases is that of the pair of the
+  identifiers of k phrases at a place and k phrases later, found by the round before; places alone in a bucket leave, and
+  the new pointers are what the next round sorts on.
+* The windows between two anchors lie in a chain of phrases. Where a chain is in a bucket with others, which the
+  identifiers of its first and its last 2^r phrases tell, all these windows are repeated. Of each such bucket one place
+  goes on to stand for all.
+* What is left, windows at the ends of matches mostly, is refined by bytes, 32 windows of an anchor at a time: the 369
+  bytes that all of them share must be repeated, else none is; if the 431 bytes that they cover together are, all are;
+  else the 32 windows are named one by one. Names of these lengths are again pairs of two identifiers, of 256 bytes at two
+  offsets, which a task doubles up on its own text.
+
+Phrases have names of 128 bits, byte strings of 96; pairs of pointers are exact. Texts are shuffled once, compressed, to a
+table bucketed by document of those that hold a repeated anchor; a group of places never meets in one task, as only counts
+are aggregated.
 """
 
 from __future__ import annotations
@@ -24,11 +29,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTES, M1, M2, bucketed, keyed, mix, signed, small_batches, spans_of, table, texts, unzipped, written, zipped
+from .common import BYTES, M1, M2, M3, bucketed, keyed, mix, signed, small_batches, spans_of, table, texts, unzipped, written, zipped
+from .fingerprints import BASE, INVERSE, _power
 
 LENGTH, GRAM, BLOCK = 400, 32, 32
 CORE, HULL = LENGTH - BLOCK + 1, LENGTH + BLOCK - 1
 LOW = np.uint64(0xFFFFFFFF)
+#: A second set of numbers for byte values and a second base, independent of the first.
+BYTES2 = mix(BYTES ^ M3)
+BASE2 = 0xC2B2AE3D27D4EB4F
+INVERSE2 = pow(BASE2, -1, 2**64)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -38,9 +48,9 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def names(raw: np.ndarray, length: int) -> np.ndarray:
+def names(raw: np.ndarray, length: int, values: np.ndarray = BYTES) -> np.ndarray:
     """Bucket identifiers of all places by the ``length`` (a power of two) bytes from there."""
-    x, k = BYTES[raw], 1
+    x, k = values[raw], 1
     while k < length:
         if len(x) <= k:
             return x[:0]
@@ -100,9 +110,8 @@ def _anchors(batches):
     for b in batches:
         raw, ends = texts(b.column("text"))
         rid = b.column("rid").to_numpy(zero_copy_only=False)
-        d, a, lo, hi, name = anchors(raw, ends)
-        base = ends[d]
-        yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(rid[d]), *[pa.array((x - base).astype(np.int32)) for x in (a, lo, hi)]], names=["gram", "rid", "a", "lo", "hi"])
+        d, a, _, _, name = anchors(raw, ends)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(rid[d]), pa.array((a - ends[d]).astype(np.int32))], names=["gram", "rid", "a"])
 
 
 def _lists(col):
@@ -112,31 +121,101 @@ def _lists(col):
     return [flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(flat.type.num_fields)], np.concatenate(([0], np.cumsum(n)))
 
 
+def _left(b, raw: np.ndarray, ends: np.ndarray):
+    """All runs of windows of a batch, and which of their anchors are left."""
+    (spots,), at = _lists(b.column("spots"))
+    d, a, lo, hi, _ = anchors(raw, ends)
+    own = np.repeat(np.arange(len(ends) - 1), np.diff(at))
+    return d, a, lo, hi, np.isin(a, spots + ends[own])
+
+
+def _phrase_names(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    out = []
+    for values, base, inverse in ((BYTES, BASE, INVERSE), (BYTES2, BASE2, INVERSE2)):
+        h = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(values[raw] * _power(base, len(raw)), out=h[1:])
+        out.append(mix((h[b] - h[a]) * _power(inverse, len(raw))[a] + (b - a).astype(np.uint64)))
+    return out
+
+
+def _phrases(batches):
+    """Phrases (rid, i: number of the anchor in its text, names), and chains from anchor i to e that hold the windows lo to
+    hi - 1 and whose anchors are all left."""
+    import pyarrow as pa
+
+    for b in batches:
+        raw, ends = texts(unzipped(b))
+        rid = b.column("rid").to_numpy(zero_copy_only=False)
+        d, a, _, _, left = _left(b, raw, ends)
+        first = np.searchsorted(d, np.arange(len(ends)))
+        whole = np.flatnonzero((d[1:] == d[:-1]) & left[1:] & left[:-1])
+        h1, h2 = _phrase_names(raw, a[whole], a[whole + 1] + GRAM)
+        gone = np.concatenate(([0], np.cumsum(~left)))
+        chains: list[list[np.ndarray]] = [[], [], [], [], []]
+        for k in range(len(ends) - 1):
+            x, size = a[first[k] : first[k + 1]] - ends[k], ends[k + 1] - ends[k]
+            if len(x) < 2:
+                continue
+            cut = np.unique(np.concatenate((x, x - (LENGTH - GRAM) + 1, [0, size - LENGTH + 1])))
+            cut = cut[(cut >= 0) & (cut <= size - LENGTH + 1)]
+            s, e = np.searchsorted(x, cut[:-1], "right") - 1, np.searchsorted(x, cut[:-1] + LENGTH - GRAM)
+            ok = (s >= 0) & (e < len(x))
+            ok[ok] = gone[first[k] + e[ok] + 1] == gone[first[k] + s[ok]]
+            for out, v in zip(chains, (np.full(int(ok.sum()), rid[k]), s[ok], e[ok], cut[:-1][ok], cut[1:][ok]), strict=True):
+                out.append(v)
+        c = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in chains]
+        n, m = len(whole), len(c[0])
+        both = lambda x, y: pa.concat_arrays([pa.array(x) if x is not None else pa.nulls(n, pa.int32()), y])
+        ints = lambda x: pa.array(x.astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [both(rid[d[whole]], pa.array(c[0].astype(np.int64))), both((whole - first[d[whole]]).astype(np.int32), ints(c[1])), *[both(None, ints(x)) for x in c[2:]], *[both(signed(h), pa.nulls(m, pa.int64())) for h in (h1, h2)]],
+            names=["rid", "i", "e", "lo", "hi", "h1", "h2"])
+
+
+def _second(x: np.ndarray):
+    """The upper half of a second name."""
+    import pyarrow as pa
+
+    return pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
 def _blocks(batches):
     import pyarrow as pa
 
     for b in batches:
         raw, ends = texts(unzipped(b))
         rid = b.column("rid").to_numpy(zero_copy_only=False)
-        (a, lo, hi), at = _lists(b.column("spots"))
+        d, a, lo, hi, left = _left(b, raw, ends)
+        d, a, lo, hi = d[left], a[left], lo[left], hi[left]
+        (x, y), at = _lists(b.column("settled"))
+        own = ends[np.repeat(np.arange(len(ends) - 1), np.diff(at))]
+        m = np.zeros(len(raw) + 1, np.int64)
+        np.add.at(m, x + own, 1)
+        np.add.at(m, y + own, -1)
+        open_ = np.concatenate(([0], np.cumsum(np.cumsum(m)[: len(raw)] == 0)))  # windows in question before each place
+        first = np.searchsorted(d, np.arange(len(ends)))
         for i, j in spans_of(ends):
-            n256 = names(raw[ends[i] : ends[j]], 256)
-            s = slice(at[i], at[j])
-            doc = np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))
+            s = slice(first[i], first[j])
+            if s.start == s.stop:
+                continue
+            part = raw[ends[i] : ends[j]]
+            n256 = [names(part, 256, values) for values in (BYTES, BYTES2)]
             k0, k1 = (a[s] - hi[s] + 1) // BLOCK, (a[s] - lo[s]) // BLOCK
             n = k1 - k0 + 1
-            x = np.repeat(np.arange(len(n)), n)
-            k = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + k0[x]
-            ax, doc = a[s][x], doc[x]
-            p0 = ax - k * BLOCK - BLOCK + 1
-            base, size = ends[doc] - ends[i], ends[doc + 1] - ends[doc]
-            core = _pair(_name(n256, base + ax - k * BLOCK, CORE), k.astype(np.uint64))
-            whole = (p0 >= 0) & (p0 + HULL <= size)
-            hull = mix(rid[doc].astype(np.uint64) * M1 + p0.astype(np.uint64) * M2 + k.astype(np.uint64))  # at an edge of its text: like no other
-            hull[whole] = _name(n256, (base + p0)[whole], HULL)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rid[doc]), pa.array(p0.astype(np.int32)), pa.array(np.maximum(lo[s][x], p0).astype(np.int32)), pa.array(np.minimum(hi[s][x], p0 + BLOCK).astype(np.int32)), pa.array(signed(core)), pa.array(signed(hull))],
-                names=["rid", "p0", "lo", "hi", "core", "hull"])
+            r = np.repeat(np.arange(len(n)), n)
+            k = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) + k0[r]
+            ax, doc, p0 = a[s][r], d[s][r], a[s][r] - k * BLOCK - BLOCK + 1
+            u, v = np.maximum(lo[s][r], p0), np.minimum(hi[s][r], p0 + BLOCK)
+            ok = open_[v] > open_[u]
+            k, ax, doc, p0, u, v = (x[ok] for x in (k, ax, doc, p0, u, v))
+            core = [_pair(_name(x, ax - ends[i] - k * BLOCK, CORE), k.astype(np.uint64)) for x in n256]
+            whole = (p0 >= ends[doc]) & (p0 + HULL <= ends[doc + 1])
+            edge = mix(rid[doc].astype(np.uint64) * M1 + (p0 - ends[doc]).astype(np.uint64) * M2 + k.astype(np.uint64))  # at an edge of its text: like no other
+            hull = [edge.copy(), edge.copy()]
+            for x, y in zip(hull, n256, strict=True):
+                x[whole] = _name(y, (p0 - ends[i])[whole], HULL)
+            ints = [pa.array((x - ends[doc]).astype(np.int32)) for x in (p0, u, v)]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[doc]), *ints, pa.array(signed(core[0])), _second(core[1]), pa.array(signed(hull[0])), _second(hull[1])], names=["rid", "p0", "lo", "hi", "core", "core2", "hull", "hull2"])
 
 
 def _windows(batches):
@@ -147,14 +226,15 @@ def _windows(batches):
         rid = b.column("rid").to_numpy(zero_copy_only=False)
         (lo, hi), at = _lists(b.column("ranges"))
         for i, j in spans_of(ends):
-            n256 = names(raw[ends[i] : ends[j]], 256)
+            part = raw[ends[i] : ends[j]]
+            n256 = [names(part, 256, values) for values in (BYTES, BYTES2)]
             s = slice(at[i], at[j])
             doc = np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))
             n = hi[s] - lo[s]
             x = np.repeat(np.arange(len(n)), n)
             p = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + lo[s][x]
-            w = _name(n256, ends[doc[x]] - ends[i] + p, LENGTH)
-            yield pa.RecordBatch.from_arrays([pa.array(rid[doc[x]]), pa.array(lo[s][x].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(signed(w))], names=["rid", "lo", "p", "w"])
+            w = [_name(y, ends[doc[x]] - ends[i] + p, LENGTH) for y in n256]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[doc[x]]), pa.array(lo[s][x].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(signed(w[0])), _second(w[1])], names=["rid", "lo", "p", "w", "w2"])
 
 
 def _cut(batches):
@@ -176,32 +256,74 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["rid", "n_removed", "n_spans", "kept"])
 
 
+def _bucketed_places(places: DataFrame, key: list[str]) -> DataFrame:
+    """places (n, rid, i, key) that are not alone in their bucket, as (n, rid, i, bucket): the pointer to its first place."""
+    # What is joined to many rows of a hot key is written first: Spark splits a skewed join whose sides are both shuffled.
+    often = written(places.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("n").alias("_pointer")).where("_n > 1").drop("_n"), "buckets")
+    return written(places.join(often, key).select("n", "rid", "i", F.col("_pointer").alias("bucket")), "places")
+
+
+def refined(phrases: DataFrame):
+    """Rounds of refinement over phrases (n, rid, i, h1, h2): yields k = 1, 2, 4 ... and (n, rid, i, bucket) of all
+    places whose k phrases are met again, until there are none."""
+    k, level = 1, _bucketed_places(phrases, ["h1", "h2"])
+    while level.limit(1).count():
+        yield k, level
+        later = level.select("rid", (F.col("i") - k).alias("i"), F.col("bucket").alias("later"))
+        level, k = _bucketed_places(level.join(later, ["rid", "i"]), ["bucket", "later"]), 2 * k
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """(rid, lo, hi, lead): windows in chains of phrases that are met again; lead: the one of its bucket that stands for all.
+    rows: (n, rid, i, e, lo, hi, h1, h2), phrases where e is null, else chains."""
+    chains, none = rows.where("e is not null"), "rid long, lo int, hi int, lead boolean"
+    longest = chains.agg(F.max(F.col("e") - F.col("i"))).first()[0] or 0
+    out = rows.sparkSession.createDataFrame([], none)
+    for k, level in refined(rows.where("e is null").select("n", "rid", "i", "h1", "h2")):
+        own = chains.where((F.col("e") - F.col("i") >= k) & (F.col("e") - F.col("i") < 2 * k))
+        own = own.join(level.select("rid", "i", F.col("bucket").alias("b1")), ["rid", "i"])
+        own = own.join(level.select("rid", (F.col("i") + k).alias("e"), F.col("bucket").alias("b2")), ["rid", "e"])
+        own = written(own.select("n", "rid", "lo", "hi", (F.col("e") - F.col("i")).alias("m"), "b1", "b2"), "chains")
+        often = written(own.groupBy("m", "b1", "b2").agg(F.count(F.lit(1)).alias("_n"), F.min("n").alias("_first")).where("_n > 1"), "often")
+        out = out.unionByName(own.join(often, ["m", "b1", "b2"]).select("rid", "lo", "hi", (F.col("n") == F.col("_first")).alias("lead")))
+        if 2 * k > longest:  # a window has no longer chain
+            break
+    return written(out, "settled")
+
+
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of docs (rid unique, text): the texts in which anything may repeat (rid, size, zipped, spots), as a bucketed table, and
     (rid, lo, hi): bytes covered by 400-byte strings that also start elsewhere."""
-    spots = written(docs.select("rid", "text").mapInArrow(_anchors, "gram long, rid long, a int, lo int, hi int"), "anchors")
-    # What is joined to many rows of a hot key is written first: Spark splits a skewed join whose sides are both shuffled.
+    spots = written(docs.select("rid", "text").mapInArrow(_anchors, "gram long, rid long, a int"), "anchors")
     often = written(spots.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "often")
-    left = spots.join(often, "gram", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("spots"))
+    left = spots.join(often, "gram", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("a")).alias("spots"))
     held = bucketed(zipped(docs.select("rid", "text")).join(left, "rid"), "rid", "texts")
 
-    blocks = written(held.mapInArrow(_blocks, "rid long, p0 int, lo int, hi int, core long, hull long"), "blocks")
-    by_hull = blocks.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("one"))
+    rows = held.mapInArrow(_phrases, "rid long, i int, e int, lo int, hi int, h1 long, h2 long")
+    known = settled(written(rows.select(F.monotonically_increasing_id().alias("n"), "*"), "phrases"))
+    skip = known.where("not lead").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("settled"))
+    asked = held.join(skip, "rid", "left").withColumn("settled", F.coalesce("settled", F.array().cast("array<struct<lo:int,hi:int>>")))
+    blocks = asked.select("rid", "size", "zipped", "spots", "settled").mapInArrow(_blocks, "rid long, p0 int, lo int, hi int, core long, core2 int, hull long, hull2 int")
+    blocks = written(blocks, "blocks")
+    by_hull = blocks.groupBy("core", "core2", "hull", "hull2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("one"))
     by_hull = written(by_hull, "hulls")
-    whole = blocks.join(by_hull.where("n > 1").select("core", "hull"), ["core", "hull"], "left_semi").select("rid", F.col("p0").alias("lo"), (F.col("p0") + HULL).alias("hi"))
+    hull = ["core", "core2", "hull", "hull2"]
+    whole = blocks.join(by_hull.where("n > 1").select(*hull), hull, "left_semi").select("rid", F.col("p0").alias("lo"), (F.col("p0") + HULL).alias("hi"))
     # In question: hulls met once whose core is met again, and one of each repeated hull that such a core has.
-    by_core = by_hull.groupBy("core").agg(F.count(F.lit(1)).alias("hulls"), F.max(F.col("n") == 1).alias("open")).where("hulls > 1 and open").select("core")
-    asked = by_hull.join(by_core, "core", "left_semi").select("one.*").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    single = written(held.select("rid", "size", "zipped").join(asked, "rid").select("rid", "size", "zipped", "ranges").mapInArrow(_windows, "rid long, lo int, p int, w long"), "windows")
-    twice = written(single.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"), "twice")
-    part = single.join(twice, "w", "left_semi").groupBy("rid", "lo").agg(F.min("p").alias("a"), F.max("p").alias("b")).select("rid", F.col("a").alias("lo"), (F.col("b") + LENGTH).alias("hi"))
-    return held, whole.unionByName(part)
+    by_core = by_hull.groupBy("core", "core2").agg(F.count(F.lit(1)).alias("hulls"), F.max(F.col("n") == 1).alias("open")).where("hulls > 1 and open").select("core", "core2")
+    ranges = by_hull.join(by_core, ["core", "core2"], "left_semi").select("one.*").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    single = written(held.select("rid", "size", "zipped").join(ranges, "rid").select("rid", "size", "zipped", "ranges").mapInArrow(_windows, "rid long, lo int, p int, w long, w2 int"), "windows")
+    twice = written(single.groupBy("w", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "w2"), "twice")
+    part = single.join(twice, ["w", "w2"], "left_semi").groupBy("rid", "lo").agg(F.min("p").alias("a"), F.max("p").alias("b")).select("rid", F.col("a").alias("lo"), (F.col("b") + LENGTH).alias("hi"))
+    inside = known.select("rid", "lo", (F.col("hi") + LENGTH - 1).alias("hi"))
+    return held, whole.unionByName(part).unionByName(inside)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes in 400-byte strings that also start anywhere else are removed.
 
-    Cases: a null or empty text has no bytes; texts under 400 bytes lose nothing; rows that repeat another row are
+    Cases: a null or empty text has no bytes; texts under 400 bytes lose nothing; a text of any length is read whole, one at a
+    time where it is longer than a batch; strings are equal if names of 96 bits (chains: of 128) are; rows that repeat another row are
     documents of their own, so both lose what they share; further columns are ignored; an empty table gives no rows.
     """
     small_batches(spark)
