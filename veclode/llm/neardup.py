@@ -5,8 +5,11 @@
   2e-8, one at 80 % with 3e-6); all, folded into a bitmap of 4096 parities, are its odd sketch. The XOR of two sketches has few ones if the
   MinHashes agree: ``J = 1 + n / (4 k) * ln(1 - 2 ones / n)``. Pairs whose estimate lies more than five deviations
   below the threshold are let go, as are those whose sets differ too much in size.
-* First every node of a bucket is compared with the bucket's smallest node only; confirmed links join components.
-  Then, in buckets that still hold several components, nodes of different components are compared, block by block.
+* Rounds of stars: in every bucket that holds several components a hub, from another component than the last round's, is
+  compared with the nodes of all others; confirmed links join components, until a round finds none.
+* In buckets that still hold several components, nodes of different components are compared, block by block. A bucket of
+  more than ``HOT`` nodes, as one very common passage makes it, is split by the nodes' other buckets first: only nodes that
+  share another band as well meet (a pair at 85 % shares no other with probability 5e-8, one at 80 % with 6e-6).
   Pairs inside a component would change nothing, so no group of copies is expanded into all its pairs.
 * A link counts if the full sets of 64-bit shingle names meet the threshold.
 """
@@ -26,7 +29,7 @@ SHINGLE, PERCENT = 5, 85
 HASHES, BANDED, ROWS, BITS = 1024, 96, 4, 4096
 #: Deviations above the expected ones in the XOR of two sketches from which a pair is let go.
 DEVIATIONS = 5.6
-BLOCK = 512
+BLOCK, HOT = 512, 1024
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _A = (mix(np.arange(1, HASHES + 1, dtype=np.uint64) * M2) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -133,14 +136,14 @@ def _across(percent: int):
 
 
 def _pairs_across(batches, percent: int):
-    """Rows (bucket, i, j, rid, n, comp, sketch, bands, block) in the order of (bucket, i, j): pairs of nodes of
+    """Rows (bucket, split, i, j, rid, n, comp, sketch, bands, block) in the order of (bucket, i, j): pairs of nodes of
     different components, one of block i and one of block j, whose sizes and sketches agree; each pair only in the
-    first bucket that it shares."""
+    first bucket that it shares, unless that was split."""
     import pyarrow as pa
 
     most = most_ones(percent)
 
-    def pairs(rid, comp, block, n, sk, bands, bucket, i, j):
+    def pairs(rid, comp, block, n, split, sk, bands, bucket, i, j):
         left, right = (np.arange(len(rid)),) * 2 if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
         out_a, out_b = [], []
         for c in range(0, len(left), 256):
@@ -153,7 +156,7 @@ def _pairs_across(batches, percent: int):
             ones = np.bitwise_count((sk[x[u]] ^ sk[right[v]]).view(np.uint64)).sum(axis=1)
             u, v = x[u[ones < most]], right[v[ones < most]]
             first = (bands[u] == bands[v]).argmax(axis=1)
-            own = bands[u, first] == bucket
+            own = (bands[u, first] == bucket) | split[u]
             a, b = rid[u[own]], rid[v[own]]
             out_a.append(np.minimum(a, b))
             out_b.append(np.maximum(a, b))
@@ -163,12 +166,12 @@ def _pairs_across(batches, percent: int):
     cols = ("bucket", "i", "j")
 
     def flush(held):
-        a, b = pairs(*(np.concatenate([h[k] for h in held]) for k in range(6)), *key)
+        a, b = pairs(*(np.concatenate([h[k] for h in held]) for k in range(7)), *key)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a) if a else [], pa.int64()), pa.array(np.concatenate(b) if b else [], pa.int64())], names=["a", "b"])
 
     for batch in batches:
         k = [batch.column(c).to_numpy(zero_copy_only=False) for c in cols]
-        rid, comp, block, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "comp", "block", "n"))
+        rid, comp, block, n, split = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "comp", "block", "n", "split"))
         sk, bands = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, w) for c, w in (("sketch", BITS // 64), ("bands", BANDED // ROWS)))
         new = np.ones(len(rid), bool)
         new[1:] = (k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (k[2][1:] != k[2][:-1])
@@ -179,7 +182,7 @@ def _pairs_across(batches, percent: int):
                 yield flush(held)
                 held = []
             key = own
-            held.append((rid[s:e], comp[s:e], block[s:e], n[s:e], sk[s:e], bands[s:e]))
+            held.append((rid[s:e], comp[s:e], block[s:e], n[s:e], split[s:e], sk[s:e], bands[s:e]))
     if held:
         yield flush(held)
 
@@ -206,6 +209,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, comp) of all nodes after further links (a, b): the links' components are joined among each other,
+    which is a graph of components, not of nodes."""
+    label = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias("c" + c))
+    between = links.join(label("a"), "a").join(label("b"), "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    over = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+    return written(comps.join(over, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "comps")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of docs (rid unique, doc_id, text): rid, doc_id, component (one number for each component), n_shingles and
     component_id, the smallest doc_id reachable."""
@@ -216,7 +228,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = written(full.groupBy("k1", "k2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("doc")), "reps")
     nodes = written(full.join(reps.select(F.col("rep").alias("rid")), "rid").select("rid", "n", "bands", "sketch"), "nodes")
     in_bands = nodes.select("rid", F.explode("bands").alias("bucket"))
-    shared = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rid").alias("hub")).where("size > 1")
+    shared = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = written(in_bands.join(shared, "bucket"), "members")
     side = lambda a: nodes.select(F.col("rid").alias(a), F.col("n").alias("n" + a), F.col("sketch").alias("s" + a))
 
@@ -228,21 +240,40 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         p = p.join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b")
         return written(p.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
-    stars = member.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b")
-    stars = stars.where(F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100).where(_ones(F.col("sa"), F.col("sb")) < most_ones(percent)).select("a", "b")
-    links = confirmed(stars)
-    comps = components(links)
-
-    m = member.join(comps.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "size", "rid", F.coalesce("comp", "rid").alias("comp"))
-    split = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    comps = written(nodes.select(F.col("rid").alias("node"), F.col("rid").alias("comp")), "comps")
+    hubs = None
+    while True:
+        m = member.join(comps.withColumnRenamed("node", "rid"), "rid")
+        split = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        m = written(m.join(split, "bucket"), "open")
+        fresh = m
+        if hubs is not None:  # not from the component of the last hub
+            last = hubs.join(comps.select(F.col("node").alias("hub"), F.col("comp").alias("last")), "hub").select("bucket", "last")
+            fresh = m.join(last, "bucket", "left").where("last is null or comp <> last").drop("last")
+        hubs = written(fresh.groupBy("bucket").agg(F.min(F.struct("rid", "comp")).alias("x")).select("bucket", F.col("x.rid").alias("hub"), F.col("x.comp").alias("hub_comp")), "hubs")
+        stars = m.join(hubs, "bucket").where("comp <> hub_comp").select(F.least("hub", "rid").alias("a"), F.greatest("hub", "rid").alias("b")).distinct()
+        stars = stars.join(side("a"), "a").join(side("b"), "b")
+        stars = stars.where(F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100).where(_ones(F.col("sa"), F.col("sb")) < most_ones(percent)).select("a", "b")
+        links = confirmed(stars)
+        if not links.limit(1).count():
+            break
+        comps = joined(comps, links)
+        hubs = hubs.drop("hub_comp")
+
+    # m holds the buckets with several components still. Hot ones are split by the other bands of their nodes.
+    hot = m.where(F.col("size") > HOT).select("bucket", "rid", "comp")
+    hot = hot.join(nodes.select("rid", "bands"), "rid").select("rid", "comp", F.col("bucket").alias("own"), F.explode("bands").alias("band")).where("band <> own")
+    hot = written(hot.select(F.xxhash64("own", "band").alias("bucket"), "rid", "comp"), "split")
+    parts = hot.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "size")
+    hot = hot.join(parts, "bucket").select("bucket", "size", "rid", "comp", F.lit(True).alias("split"))
+    m = m.where(F.col("size") <= HOT).select("bucket", "size", "rid", "comp", F.lit(False).alias("split")).unionByName(hot)
     nb = F.ceil(F.col("size") / BLOCK).cast("int")
-    m = m.join(split, "bucket").join(nodes, "rid").withColumn("block", F.pmod(F.xxhash64("rid"), nb).cast("int"))
+    m = m.withColumn("block", F.pmod(F.xxhash64("rid"), nb).cast("int"))
     m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), nb - 1))).withColumns({"i": F.least("block", "_o"), "j": F.greatest("block", "_o")})
-    m = m.select("bucket", "i", "j", "rid", "n", "comp", "sketch", "bands", "block").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = confirmed(m.mapInArrow(_across(percent), "a long, b long"))
+    m = m.join(nodes, "rid").select("bucket", "split", "i", "j", "rid", "n", "comp", "sketch", "bands", "block").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = confirmed(m.mapInArrow(_across(percent), "a long, b long").distinct())
     if more.limit(1).count():
-        comps = components(links.unionByName(more))
+        comps = joined(comps, more)
 
     of = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     of = written(of, "of")
@@ -256,7 +287,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the smallest doc_id that links of at least 85 % lead to.
 
     Cases: a null or blank text has an empty set, is linked with nothing and kept; a text under five words has its
-    whole sequence as one shingle; rows with a null doc_id link like others but give no component its id (a component
+    whole sequence as one shingle; a text of any length is read whole; equal texts (ties) are one node; rows with a null doc_id link like others but give no component its id (a component
     of such rows only has a null id, and they are kept); rows that repeat a doc_id get its component each; further
     columns are ignored; an empty table gives no rows.
     """
