@@ -2,13 +2,14 @@
 
 The words to be taken are cut into equal blocks (seats). A source with target ``v`` bids ``v / (2 s + 1)`` for its
 seat number ``s``; the highest bids win, which gives each source an integer quota, and as seats go to shards in turn,
-each (source, shard) a quota too. Documents of a source are laid end to end in the order of a seeded hash; a quota of
-``q`` blocks takes all of it ``floor(q * block / size)`` times and the first blocks of that order once more. Only
+each (source, shard) a quota too. Documents of a source are laid end to end in the order of a seeded hash; laid out
+again and again they are a tape, of which each shard takes the blocks of its quota, shard after shard. Only
 built-in functions are used, and no group of documents is ordered whole: a source is split in ``RANGES`` hash ranges.
 
 Cases: a null text has size 0 and is taken 0 times; a null source is a source, the last one; repeated rows count each
-for itself (ties of the order are broken by size, which leaves equal rows interchangeable); an empty table gives no
-rows; if no source has words, targets and taken words are 0.
+for itself (ties of the order are broken by size, which leaves equal rows interchangeable); texts of any length only count;
+further columns are kept by :func:`mix`, ignored by the query; an empty table gives no rows; if no source has words,
+targets and taken words are 0. The table of sources, a row each, is ordered in one task.
 """
 
 from __future__ import annotations
@@ -93,27 +94,42 @@ def quotas(goals: DataFrame, seats: int = SEATS, shards: int = SHARDS) -> DataFr
     return g.alias("g").join(per.alias("p"), F.col("g.source").eqNullSafe(F.col("p.source")), "left").select("g.source", "source_size", "weight", "target", "block", F.coalesce("quota", F.lit(0)).alias("quota"), "by_shard")
 
 
-def mix(docs: DataFrame, size: str = "size", source: str = "source", seed: str = SEED, seats: int = SEATS) -> DataFrame:
-    """docs (with doc_id, ``size`` and ``source``) with source_size, target, quota, block and taken (words)."""
+def mix(docs: DataFrame, size: str = "size", source: str = "source", seed: str = SEED, seats: int = SEATS, shards: int = SHARDS) -> DataFrame:
+    """docs (with doc_id, ``size`` and ``source``) with source_size, target, quota, block, ``words`` (array: how many of the
+    document's words each shard of the mix takes, repeats counted) and taken, their sum."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     d = docs.withColumn("_h", key).withColumn("_range", F.pmod(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), F.lit(RANGES)))
     parts = d.groupBy(F.col(source).alias("source"), "_range").agg(F.sum(size).alias("_n"))
-    q = quotas(targets(parts.groupBy("source").agg(F.sum("_n").alias("source_size"))), seats)
+    q = quotas(targets(parts.groupBy("source").agg(F.sum("_n").alias("source_size"))), seats, shards)
+    # Where each shard's part of the source's tape ends, from the quotas by shard.
+    most = F.col("source_size") * MOST
+    ends = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda h: F.aggregate(F.sequence(F.lit(0), h), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(F.element_at("by_shard", x), F.lit(0))))
+    q = q.withColumn("_ends", F.transform(ends, lambda n: F.least((n * F.col("block")).cast("long"), most)))
     base = parts.withColumn("_base", F.sum("_n").over(Window.partitionBy("source").orderBy("_range")) - F.col("_n")).alias("b")
     base = base.join(q.alias("q"), F.col("b.source").eqNullSafe(F.col("q.source"))).select(
-        F.col("b.source").alias("_source"), F.col("_range").alias("_r"), "_base", "source_size", "target", "block", "quota")
+        F.col("b.source").alias("_source"), F.col("_range").alias("_r"), "_base", "source_size", "target", "block", "quota", "_ends")
     run = Window.partitionBy(source, "_range").orderBy("_h", size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_end", F.sum(size).over(run))
     d = d.join(base, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")))
-    won = F.least((F.col("quota") * F.col("block")).cast("long"), F.col("source_size") * MOST)
-    d = d.withColumn("_won", won).withColumn("_times", F.when(F.col("source_size") > 0, F.floor(F.col("_won") / F.col("source_size"))).otherwise(0))
-    rest = F.col("_won") - F.col("_times") * F.col("source_size")
-    start = F.col("_base") + F.col("_end") - F.col(size)
-    part = F.greatest(F.lit(0), F.least(F.col(size), rest - start))
-    return d.withColumn("taken", (F.col("_times") * F.col(size) + part).cast("long")).drop("_h", "_range", "_end", "_source", "_r", "_base", "_won", "_times")
+    d = d.withColumn("_start", F.col("_base") + F.col("_end") - F.col(size))
+
+    def upto(x):  # the document's words on the tape's first x words
+        n = F.floor(x / F.greatest(F.col("source_size"), F.lit(1))).cast("long")
+        return n * F.col(size) + F.greatest(F.lit(0).cast("long"), F.least(F.col(size), x - n * F.col("source_size") - F.col("_start")))
+
+    d = d.withColumn("_upto", F.transform("_ends", upto))
+    d = d.withColumn("words", F.transform("_upto", lambda x, h: x - F.when(h > 0, F.get("_upto", h - 1)).otherwise(0)))
+    d = d.withColumn("taken", F.aggregate("words", F.lit(0).cast("long"), lambda s, x: s + x))
+    return d.drop("_h", "_range", "_end", "_start", "_upto", "_ends", "_source", "_r", "_base")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, from its source's quotas of all shards.
+
+    Cases: null and blank texts have size 0 and are taken 0 times; a null source is the last source; ties of the seeded
+    order go by size; repeated rows count each; texts of any length count whole; further columns are ignored; an empty
+    table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
     return mix(rows).select("doc_id", "size", "source_size", "target", "taken")
