@@ -2,12 +2,14 @@
 
 A mask such as 11101011 names a window of words by the words under its ones and ignores those under its zeros, so a
 substituted word there changes nothing. Seeds of all masks at all places of the benchmark are joined with those of the
-texts by hash; a filter of fixed size (bits of three hashes of every benchmark seed) lets only likely places of the
-texts into that join. Around a hit the text and the item are laid over each other on the hit's diagonal, and the text
+texts by hash; a filter (bits of three hashes of every benchmark seed, about 48 bits a seed up to a fixed ceiling) lets only
+likely places of the texts into that join. Items with the same words are one item until the end, so what is joined grows
+with distinct items; a hit of a seed that several places of an item share counts once a diagonal. Around a hit the text and the item are laid over each other on the hit's diagonal, and the text
 is contaminated if in some window of 16 words (all of a shorter item) at least 80 % are equal at their places.
 Words are compared in lower case (A-Z) without ASCII punctuation, by 64-bit names.
 
-Cases: null or blank texts and items have no words and match nothing; items of up to
+Cases: null or blank texts and items have no words and match nothing; texts of any length are read whole, windows that
+tie for the best count alike; items of up to
 11 words have masks of their own, of up to 4 words the whole item; repeated items and rows count each; further columns are ignored;
 an empty table of texts gives no rows, an empty benchmark no contaminated ones.
 """
@@ -32,8 +34,9 @@ SHORT = {
 ALL = (*MASKS, *sorted({m for x in SHORT.values() for m in x}))
 SPAN = max(map(len, ALL))
 WINDOW, PERCENT = 16, 80
-#: Bits of the filter, and words kept on either side of a hit.
-BITS, AROUND = 1 << 24, 32
+#: Bits of the filter at least and at most (64 MB), bits of a part of it that one group builds, and words kept on either side of
+#: a hit.
+LEAST, MOST, PART, AROUND = 1 << 24, 1 << 29, 1 << 19, 32
 PLAIN = np.arange(256, dtype=np.uint8)
 PLAIN[65:91] += 32
 PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 32
@@ -54,12 +57,27 @@ def seeds(name: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(out)
 
 
-def _bits(h: np.ndarray) -> list[np.ndarray]:
-    return [(h & np.uint64(BITS - 1)), ((h >> np.uint64(32)) & np.uint64(BITS - 1)), (mix(h + M3) & np.uint64(BITS - 1))]
+def filter_bits(n: int) -> int:
+    """Size of the filter for n seeds, a power of two."""
+    return min(MOST, max(LEAST, 1 << (48 * n - 1).bit_length() if n else LEAST))
+
+
+def _bits(h: np.ndarray, size: int) -> list[np.ndarray]:
+    m = np.uint64(size - 1)
+    return [h & m, (h >> np.uint64(32)) & m, mix(h + M3) & m]
+
+
+def _part(key, table):
+    """A part of the filter as bytes, from the places of its bits."""
+    import pyarrow as pa
+
+    on = np.zeros(PART, np.uint8)
+    on[table.column("b").to_numpy() % PART] = 1
+    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
 
 def _items(batches):
-    """item_id, its place of a seed, the seed's mask and name, and the name's bits."""
+    """item_id, its place of a seed, the seed's mask and name."""
     import pyarrow as pa
 
     for b in batches:
@@ -77,7 +95,19 @@ def _items(batches):
             rows[3] += [np.repeat(x, len(y)) for x, y in zip(k, h, strict=True)]
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         h = cat(rows[2], np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(cat(rows[0], np.int64)), pa.array(cat(rows[1], np.int32)), pa.array(cat(rows[3], np.int32)), pa.array(signed(h)), *[pa.array(x.astype(np.int64)) for x in _bits(h)]], names=["iid", "q", "k", "h", "b0", "b1", "b2"])
+        yield pa.RecordBatch.from_arrays([pa.array(cat(rows[0], np.int64)), pa.array(cat(rows[1], np.int32)), pa.array(cat(rows[3], np.int32)), pa.array(signed(h))], names=["iid", "q", "k", "h"])
+
+
+def _places(size: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            h = b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.unique(np.concatenate(_bits(h, size))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at // PART), pa.array(at)], names=["part", "b"])
+
+    return run
 
 
 def _words(batches):
@@ -89,7 +119,7 @@ def _words(batches):
         yield pa.RecordBatch.from_arrays([b.column("iid"), pa.array([name[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["iid", "item"])
 
 
-def _regions(bits, used: list[int]):
+def _regions(bits, size: int, used: list[int]):
     """Regions of the texts around places that pass the filter with a mask in use: rid, first word, word names, hits (seed name, place)."""
 
     def run(batches):
@@ -110,7 +140,7 @@ def _regions(bits, used: list[int]):
                     h = seeds(name, m, k)
                     p = np.arange(len(h))
                     for n in range(3):
-                        ok = passes(_bits(h)[n])
+                        ok = passes(_bits(h, size)[n])
                         h, p = h[ok], p[ok]
                     ok = p + len(m) <= at[np.searchsorted(at, p, "right")] if len(p) else np.zeros(0, bool)
                     found_p.append(p[ok])
@@ -156,25 +186,35 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(rid, item_id, percent) of texts (rid unique, text) that share a passage with a benchmark item (item_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = written(benchmark.select(F.monotonically_increasing_id().alias("iid"), F.col("item_id"), F.col("text").cast("string").alias("text")), "items")
-    seed = written(items.select("iid", "text").mapInArrow(_items, "iid long, q int, k int, h long, b0 long, b1 long, b2 long"), "seeds")
-    # The filter: at most BITS bits, however large the benchmark.
-    on = seed.select(F.explode(F.array("b0", "b1", "b2")).alias("b")).groupBy(F.shiftright("b", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(b % 8 as int))")).alias("v")).toPandas()
-    bits = np.zeros(BITS // 8, np.uint8)
-    bits[on["at"].to_numpy(np.int64)] = on["v"].to_numpy(np.int64)
+    named = benchmark.select(F.monotonically_increasing_id().alias("nr"), "item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    named = written(named.withColumn("same", F.unhex(F.sha2("text", 256))), "named")
+    items = written(named.groupBy("same").agg(F.min("nr").alias("iid"), F.first("text").alias("text")), "items")
+    seed = written(items.select("iid", "text").mapInArrow(_items, "iid long, q int, k int, h long"), "seeds")
+    size = filter_bits(seed.count())
+    parts = seed.select("h").mapInArrow(_places(size), "part long, b long").groupBy("part").applyInArrow(_part, "part long, bits binary")
+    bits = np.zeros(size // 8, np.uint8)
+    for r in parts.toLocalIterator():  # at most MOST bits in all
+        bits[r["part"] * PART // 8 : (r["part"] + 1) * PART // 8] = np.frombuffer(r["bits"], np.uint8)
     sent = spark.sparkContext.broadcast(bits.tobytes())
     used = sorted(r["k"] for r in seed.select("k").distinct().collect())  # a mask without seeds hits nothing
-    regions = written(docs.select("rid", "text").mapInArrow(_regions(sent, used), "rid long, start long, region binary, hits array<struct<h:long,p:int>>"), "regions")
+    regions = written(docs.select("rid", "text").mapInArrow(_regions(sent, size, used), "rid long, start long, region binary, hits array<struct<h:long,p:int>>"), "regions")
     hits = regions.select("rid", "start", F.inline("hits")).join(seed.select("h", "iid", "q"), "h")
     lines = hits.select("rid", "start", "iid", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
     names = items.select("iid", "text").mapInArrow(_words, "iid long, item binary")
     lines = lines.join(regions.select("rid", "start", "region"), ["rid", "start"]).join(names, "iid")
     judged = lines.select("rid", "iid", "region", "item", "diagonal").mapInArrow(_overlap, "rid long, iid long, equal long, size long")
     judged = judged.where(F.col("equal") * 100 >= F.col("size") * PERCENT).groupBy("rid", "iid").agg(F.max(F.col("equal") * 100 / F.col("size")).alias("percent"))
-    return judged.join(items.select("iid", "item_id"), "iid").select("rid", "item_id", "percent")
+    ids = items.select("iid", "same").join(named.select("same", "item_id"), "same").select("iid", "item_id")
+    return judged.join(ids, "iid").select("rid", "item_id", "percent")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents share a passage with the benchmark, with how many items, and the best share of equal words.
+
+    Cases: null and blank texts and items match nothing; texts of any length are read whole; repeated items count each, of
+    several the first by item_id is named; repeated rows and ties get their own row each; further columns, of the
+    benchmark too, are ignored; an empty table gives no rows, an empty benchmark no contaminated ones.
+    """
     docs, _ = keyed(table(spark, sf_dir, "documents"), "op4")
     found = overlaps(docs, table(spark, sf_dir, "benchmark"))
     found = found.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("first_item"), F.max("percent").alias("percent"))
