@@ -44,11 +44,6 @@ def normalize(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Differing elements of two 0/1 arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-
-
 def _to_bits(x: Column, bits: int) -> Column:
     """x rounded to ``bits`` significant bits: the sum with a large multiple of x pushes the lower bits out."""
     c = x * F.lit(float(2 ** (53 - bits) + 1))

@@ -21,7 +21,8 @@ INDEXES = ("HNSW", "NSG", "SSG", "RNNDESCENT")
 
 
 def knn_graph(base: DataFrame, k: int, metric: str = "L2") -> DataFrame:
-    """Exact: src, pos, dst, dist of the k nearest others; base: (vec_id, v)."""
+    """Exact: src, pos, dst, dist of the k nearest others; base: (vec_id, v). It compares all with all, block by block; large
+    data take :func:`nn_descent`."""
     found = knn.nearest(base.select(F.col("vec_id").alias("q_id"), "v"), base, k, metric, others=True)
     return found.select(F.col("q_id").alias("src"), (F.col("rank") - 1).alias("pos"), F.col("vec_id").alias("dst"), "dist")
 
@@ -45,12 +46,12 @@ def _draws(base: DataFrame, n: int, seed: int) -> DataFrame:
     return asks.join(at.select("part", "nr", F.col("vec_id").alias("dst")), ["part", "nr"]).where("src <> dst").select("src", "dst").distinct()
 
 
-def _with_distance(pairs: DataFrame, base: DataFrame) -> DataFrame:
+def _with_distance(pairs: DataFrame, base: DataFrame, metric: str = "L2") -> DataFrame:
     p = pairs.join(base.select(F.col("vec_id").alias("src"), F.col("v").alias("_a")), "src").join(base.select(F.col("vec_id").alias("dst"), F.col("v").alias("_b")), "dst")
-    return p.withColumn("dist", V.l2(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    return p.withColumn("dist", V.metric(metric)(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
-def nn_descent(base: DataFrame, k: int, sample: int = 10, pool: int | None = None, iterations: int = 10, seed: int = 1) -> DataFrame:
+def nn_descent(base: DataFrame, k: int, sample: int = 10, pool: int | None = None, iterations: int = 10, seed: int = 1, metric: str = "L2") -> DataFrame:
     """Approximate kNN graph: neighbours of a common neighbour are compared with each other, new ones with all.
 
     Every node keeps its ``pool`` (k + 50) nearest; per round it offers up to ``sample`` new and old ones, and as many
@@ -63,7 +64,7 @@ def nn_descent(base: DataFrame, k: int, sample: int = 10, pool: int | None = Non
         e = e.where("src <> dst").groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.min("new").alias("new"))
         return written(e.withColumn("r", F.row_number().over(best)).where(F.col("r") <= pool).drop("r"), "pool")
 
-    e = top(_with_distance(_draws(base, sample, seed), base).withColumn("new", F.lit(True)))
+    e = top(_with_distance(_draws(base, sample, seed), base, metric).withColumn("new", F.lit(True)))
     for t in range(iterations):
         offer = e.withColumn("r", F.row_number().over(Window.partitionBy("src", "new").orderBy("dist", "dst"))).where(F.col("r") <= sample).drop("r")
         offer = written(offer, "offer")
@@ -72,7 +73,7 @@ def nn_descent(base: DataFrame, k: int, sample: int = 10, pool: int | None = Non
         hood = written(offer.unionByName(back).groupBy("src", "dst").agg(F.max("new").alias("new")), "hood")
         a, b = hood.select("src", F.col("dst").alias("u"), F.col("new").alias("nu")), hood.select("src", F.col("dst").alias("w"), F.col("new").alias("nw"))
         pairs = a.join(b, "src").where("u < w and (nu or nw)").select(F.col("u").alias("src"), F.col("w").alias("dst")).distinct()
-        got = _with_distance(pairs, base)
+        got = _with_distance(pairs, base, metric)
         got = got.unionByName(got.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")).withColumn("new", F.lit(True))
         offered = offer.select("src", "dst", F.lit(True).alias("o"))
         kept = e.join(offered, ["src", "dst"], "left").withColumn("new", F.col("new") & F.col("o").isNull()).drop("o")
@@ -134,7 +135,7 @@ def nsg(base: DataFrame, degree: int, pool: int | None = None, angle: bool = Fal
     near = written(neighbours if neighbours is not None else nn_descent(base, k), "knn")
     entries = written(G.medoid(base.select("vec_id", F.col("v").alias("embedding"))).select("ep"), "entries")
     q = base.select(F.col("vec_id").alias("q_id"), "v")
-    seen = G.beam(q, base, near, q.select("q_id").join(entries.select(F.col("ep").alias("vec_id"))), pool).seen
+    seen = G.beam(q, base, near, q.select("q_id").crossJoin(F.broadcast(entries.select(F.col("ep").alias("vec_id")))), pool, seen=True).seen
     candidates = seen.select(F.col("q_id").alias("src"), F.col("vec_id").alias("dst"), "dist").unionByName(near.select("src", "dst", "dist"))
     e = written(G.pruned(candidates, base, degree, degree + 100, angle), "pruned")
     e = written(G.linked_back(e, base, degree), "linked")
@@ -142,44 +143,42 @@ def nsg(base: DataFrame, degree: int, pool: int | None = None, angle: bool = Fal
 
 
 def level(vec_id: Column, m: int) -> Column:
-    """The highest layer of a node: floor(-ln u / ln m), u from a linear congruence of its id."""
-    u = (F.pmod(vec_id * 1103515245 + 12345, F.lit(2147483648)).cast("double") + 1) / 2147483649.0
+    """The highest layer of a node: floor(-ln u / ln m), u from 48 bits of a hash of its id, whatever id that is."""
+    u = (F.conv(F.substring(F.md5(vec_id.cast("string").cast("binary")), 1, 12), 16, 10).cast("double") + 1) / float(2**48)
     return F.floor(-F.log(u) / F.lit(math.log(m))).cast("int")
 
 
-def hnsw(base: DataFrame, degree: int, width: int = 0) -> G.Graph:
+def hnsw(base: DataFrame, degree: int, width: int = 0, metric: str = "L2") -> G.Graph:
     """Hierarchical small world, built a layer at a time rather than a node at a time.
 
-    A layer's nodes are those of its level or above; each takes candidates from its ``width`` nearest in the layer
-    (exact up to 20,000 nodes, by NN-Descent beyond), prunes them, and links back. Layers above hold degree / 2 edges a
-    node, the ground layer degree. The entry is the lowest id of the top layer.
+    A layer's nodes are those of its level or above; each takes candidates from its ``width`` nearest in the layer by
+    NN-Descent, prunes them, and links back. Layers above hold degree / 2 edges a node, the ground layer degree. The entry is
+    the lowest id of the top layer. Distances are the metric's in every step.
     """
     m = max(degree // 2, 2)
     width = max(width, m)
     at = written(base.withColumn("level", level(F.col("vec_id"), m)), "levels")
     top = at.agg(F.max("level")).first()[0] or 0
-    layers = []
+    ground, upper = None, None
     for n in range(top, -1, -1):
-        own = at.where(F.col("level") >= n).select("vec_id", "v")
+        own = written(at.where(F.col("level") >= n).select("vec_id", "v"), "own")
         cap = m if n else 2 * m
-        near = knn_graph(own, width) if own.count() <= 20_000 else nn_descent(own, width)
-        e = written(G.linked_back(written(G.pruned(near, own, cap, width), "pruned"), own, cap), "layer")
-        layers.append((n, e))
-    entry = at.where(F.col("level") == top).agg(F.min("vec_id").alias("ep")).where("ep is not null")
-    upper = None
-    for n, e in layers:
+        near = nn_descent(own, width, metric=metric)
+        e = written(G.linked_back(written(G.pruned(near, own, cap, width, metric=metric), "pruned"), own, cap, metric), "layer")
         if n:
             part = e.withColumn("layer", F.lit(n))
             upper = part if upper is None else upper.unionByName(part)
-    entry = written(entry, "entries")
+        else:
+            ground = e
+    entry = written(at.where(F.col("level") == top).agg(F.min("vec_id").alias("ep")).where("ep is not null"), "entries")
     # nodes that no edge reaches from the entry in the ground layer would be lost
-    return G.Graph(written(G.grown(layers[-1][1], entry, base, 2 * m), "graph"), entry, upper)
+    return G.Graph(written(G.grown(ground, entry, base, 2 * m, metric), "graph"), entry, upper)
 
 
 class Index:
     """Builder by name: HNSW, NSG, SSG or RNNDESCENT. quant: vectors are replaced by their codes' before building.
 
-    NSG, SSG and RNNDESCENT always build on squared L2; so does HNSW here (for normalised data the same order).
+    HNSW builds on the metric; NSG, SSG and RNNDESCENT are defined on squared L2 and always build on it.
     """
 
     def __init__(self, index_type: str, metric: str = "L2", quant: str = "FP32", R: int = 32, L: int = 0) -> None:
@@ -191,13 +190,19 @@ class Index:
         if self.quant not in Q.SYMMETRIC:
             raise ValueError(f"{self.quant} has no distance between codes; can build with {', '.join(Q.SYMMETRIC)}")
 
+    def vectors(self, base: DataFrame) -> tuple[DataFrame, str]:
+        """What the graph is built on, (vec_id, v): the vectors that codes stand for, and their metric."""
+        metric = self.metric if self.kind == "HNSW" else "L2"
+        z = Q.fit(self.quant, base, "IP" if self.quant == "SQ1" else metric)
+        v = V.doubles(F.col("embedding"))
+        return base.select("vec_id", z.code_vector(z.encode(v)).alias("v")), z.kind
+
     def build(self, base: DataFrame) -> G.Graph:
         began = time.time()
-        z = Q.fit(self.quant, base, "IP" if self.quant == "SQ1" else "L2")
-        v = V.doubles(F.col("embedding"))
-        b = written(base.select("vec_id", z.query_vector(v).alias("v")), "codes")
+        rows, metric = self.vectors(base)
+        b = written(rows, "codes")
         if self.kind == "HNSW":
-            out = hnsw(b, self.R, self.L)
+            out = hnsw(b, self.R, self.L, metric)
         elif self.kind == "RNNDESCENT":
             out = rnn_descent(b, self.R)
         else:

@@ -7,6 +7,7 @@ of any size; what a query holds is bounded by ``ef``.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
-from ..plans.scratch import written
-from .knn import ranked
+from ..plans.scratch import scratch_dir, written
+from . import kmeans
+from .knn import nearest, ranked
 
 
 @dataclass
@@ -28,6 +30,26 @@ class Graph:
     def degree_statistics(self, nodes: DataFrame) -> DataFrame:
         return degree_statistics(self.edges, nodes)
 
+    def neighbours(self, node: int) -> DataFrame:
+        """(pos, dst, dist) of one node, by pos."""
+        return self.edges.where(F.col("src") == node).select("pos", "dst", "dist").orderBy("pos")
+
+    def at(self, node: int, pos: int) -> int | None:
+        """A node's neighbour number pos, or None."""
+        row = self.edges.where((F.col("src") == node) & (F.col("pos") == pos)).select("dst").first()
+        return row and row["dst"]
+
+    def degree(self, node: int) -> int:
+        return self.edges.where(F.col("src") == node).count()
+
+    def size(self) -> int:
+        """Nodes with an edge."""
+        return self.edges.select("src").distinct().count()
+
+    def range(self) -> int:
+        """The largest degree."""
+        return self.edges.agg(F.max("pos")).first()[0] + 1 if self.edges.limit(1).count() else 0
+
 
 def doubled(base: DataFrame) -> DataFrame:
     return base.select("vec_id", V.doubles(F.col("embedding")).alias("v"))
@@ -51,78 +73,111 @@ def degree_statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def medoid(base: DataFrame) -> DataFrame:
-    """One row (ep, dist): the vector nearest to the mean of all; sums are of multiples of 2**-30, in any order the same."""
+    """One row (ep, dist): the vector nearest to the mean of all, which doesn't depend on the order of rows."""
     b = doubled(base)
-    mean = b.select(F.posexplode("v").alias("p", "x")).groupBy("p").agg((F.sum(F.floor(F.col("x") * 2.0**30 + 0.5).cast("long")).cast("double") / 2.0**30 / F.count(F.lit(1)).cast("double")).alias("m")).orderBy("p").collect()
-    center = F.lit([float(r["m"]) for r in mean])
-    best = b.select(F.struct(V.l2(F.col("v"), center).alias("dist"), F.col("vec_id").alias("ep")).alias("x")).agg(F.min("x").alias("x"))
+    width = b.select(F.size("v").alias("d")).first()
+    mean = kmeans.lloyd(b, np.zeros((1, 1, width["d"])), 1)[0] if width else np.zeros((1, 0))
+    best = kmeans.assign(b, mean[None]).select(F.struct("dist", F.col("vec_id").alias("ep")).alias("x")).agg(F.min("x").alias("x"))
     return best.select("x.ep", "x.dist").where("ep is not null")
 
 
+class Rounds:
+    """A table that a loop adds to, a folder a round: what was added is never written again, and reading all is one scan."""
+
+    def __init__(self, spark, name: str, schema: str) -> None:
+        self.spark, self.schema, self.n = spark, schema, 0
+        self.path = f"{scratch_dir(spark)}/veclode/{name}-{uuid.uuid4().hex}"
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        part = f"{self.path}/round={self.n}"
+        rows.write.parquet(part)
+        self.n += 1
+        return self.spark.read.schema(self.schema).parquet(part)
+
+    def all(self) -> DataFrame:
+        rows = self.spark.read.option("snapshot", self.n).schema(self.schema).parquet(self.path)
+        return rows.drop("round")
+
+
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(vec_id) that can be reached from start (vec_id), itself included: breadth first, a frontier at a time."""
-    e = edges.select("src", "dst")
-    seen = front = written(start.select("vec_id").distinct(), "seen")
-    while True:
-        front = written(front.join(e, front["vec_id"] == e["src"]).select(F.col("dst").alias("vec_id")).distinct().join(seen, "vec_id", "left_anti"), "front")
-        if not front.limit(1).count():
-            return seen
-        seen = written(seen.unionByName(front), "seen")
+    e, seen = edges.select("src", "dst"), Rounds(edges.sparkSession, "seen", "vec_id long")
+    front = seen.add(start.select("vec_id").distinct())
+    while front.limit(1).count():
+        front = seen.add(front.join(e, front["vec_id"] == e["src"]).select(F.col("dst").alias("vec_id")).distinct().join(seen.all(), "vec_id", "left_anti"))
+    return seen.all()
 
 
 @dataclass
 class Found:
-    """What a search in rounds gathered: ``pool`` (q_id, vec_id, dist), the best ef of each query, and all it looked at."""
+    """What a search in rounds gathered: ``pool`` (q_id, vec_id, dist), the best ef of each query, and ``seen``, all it
+    looked at, if that was asked for."""
 
     pool: DataFrame
-    seen: DataFrame
+    seen: DataFrame | None
+    rounds: int
 
 
-def beam(queries: DataFrame, base: DataFrame, edges: DataFrame, start: DataFrame, ef: int, metric: str = "L2", rounds: int = 10_000) -> Found:
+def beam(queries: DataFrame, base: DataFrame, edges: DataFrame, start: DataFrame, ef: int, metric: str = "L2", seen: bool = False) -> Found:
     """Search from start (q_id, vec_id) in rounds; queries (q_id, v), base (vec_id, v).
 
-    A round expands all nodes of a query's best ``ef`` that are not expanded yet. With ef of at least the number of
-    reachable nodes every one of them is looked at, so the result is the exact one.
+    A round expands all nodes of a query's best ``ef`` that are not expanded yet, and ends with one table of at most ef rows
+    a query. A node that fell out of the pool can't come back, as the pool's last distance only falls, so no list
+    of visited nodes is needed to end; it may be looked at twice. With ef of at least the number of reachable nodes every
+    one of them is looked at, so the result is the exact one. seen: keep all (q_id, vec_id, dist) looked at.
     """
     distance = V.metric(metric)
+    looked = Rounds(queries.sparkSession, "looked", "q_id long, vec_id long, dist double") if seen else None
 
     def measured(pairs: DataFrame) -> DataFrame:
         p = pairs.join(base.select("vec_id", F.col("v").alias("_b")), "vec_id").join(queries.select("q_id", F.col("v").alias("_q")), "q_id")
-        return p.select("q_id", "vec_id", distance(F.col("_q"), F.col("_b")).alias("dist"))
+        p = p.select("q_id", "vec_id", distance(F.col("_q"), F.col("_b")).alias("dist"))
+        return looked.add(p) if looked else p
 
     best = Window.partitionBy("q_id").orderBy("dist", "vec_id")
-    new = written(measured(start.select("q_id", "vec_id").distinct()), "new")
-    seen, pool = new, written(new.withColumn("done", F.lit(False)), "pool")
-    for _ in range(rounds):
+    pool, n = written(measured(start.select("q_id", "vec_id").distinct()).withColumn("done", F.lit(False)), "pool"), 0
+    targets = edges.select("src", F.col("dst").alias("vec_id"))
+    while pool.where(~F.col("done")).limit(1).count():
         front = pool.where(~F.col("done")).select("q_id", F.col("vec_id").alias("src"))
-        near = front.join(edges.select("src", F.col("dst").alias("vec_id")), "src").select("q_id", "vec_id").distinct()
-        new = written(measured(near.join(seen.select("q_id", "vec_id"), ["q_id", "vec_id"], "left_anti")), "new")
-        if not new.limit(1).count():
-            break
-        seen = seen.unionByName(new)
-        both = pool.withColumn("done", F.lit(True)).unionByName(new.withColumn("done", F.lit(False)))
-        pool = written(both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= ef).drop("r"), "pool")
-    return Found(pool.drop("done"), seen)
+        near = front.join(targets, "src").select("q_id", "vec_id").distinct().join(pool.select("q_id", "vec_id"), ["q_id", "vec_id"], "left_anti")
+        both = pool.withColumn("done", F.lit(True)).unionByName(measured(near).withColumn("done", F.lit(False)))
+        pool, n = written(both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= ef).drop("r"), "pool"), n + 1
+    return Found(pool.drop("done"), looked.all().distinct() if looked else None, n)
+
+
+def descend(graph: Graph, queries: DataFrame, base: DataFrame, metric: str, seen: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """Where queries (q_id, v) enter the ground layer (q_id, vec_id), and what was looked at above it: layers above are
+    searched with a pool of one. Entries are few, so every query starts at each."""
+    at = queries.select("q_id").crossJoin(F.broadcast(graph.entries.select(F.col("ep").alias("vec_id"))))
+    looked = []
+    if graph.upper is not None:
+        for layer in range(graph.upper.agg(F.max("layer")).first()[0] or 0, 0, -1):
+            found = beam(queries, base, graph.upper.where(F.col("layer") == layer), at, 1, metric, seen)
+            at = found.pool
+            if seen:
+                looked.append(found.seen)
+    return at, looked
 
 
 def search(graph: Graph, queries: DataFrame, base: DataFrame, k: int, ef: int = 32, metric: str = "L2", others: bool = False) -> DataFrame:
     """q_id, rank, vec_id, dist by a search on the graph; the pool holds max(k, ef). With a hierarchy, layers above are
-    descended first, with a pool of one. queries: (q_id, embedding)."""
+    descended first. queries: (q_id, embedding)."""
     q = written(queries.select("q_id", V.doubles(F.col("embedding")).alias("v")), "queries")
     b = doubled(base)
-    at = q.select("q_id").join(graph.entries.select(F.col("ep").alias("vec_id")))
-    if graph.upper is not None:
-        for layer in range(graph.upper.agg(F.max("layer")).first()[0] or 0, 0, -1):
-            at = beam(q, b, graph.upper.where(F.col("layer") == layer), at, 1, metric).pool
-    found = beam(q, b, graph.edges, at, max(k + others, ef), metric).pool
+    found = beam(q, b, graph.edges, descend(graph, q, b, metric)[0], max(k + others, ef), metric).pool
     return ranked(found.where("q_id <> vec_id") if others else found, k)
 
 
 def comparisons(graph: Graph, queries: DataFrame, base: DataFrame, ef: int, metric: str = "L2") -> DataFrame:
-    """q_id and dist_cmps: how many distances a search evaluates."""
+    """q_id and dist_cmps: how many nodes a search with a pool of ef compares a query with, on all layers."""
     q = written(queries.select("q_id", V.doubles(F.col("embedding")).alias("v")), "queries")
-    start = q.select("q_id").join(graph.entries.select(F.col("ep").alias("vec_id")))
-    return beam(q, doubled(base), graph.edges, start, ef, metric).seen.groupBy("q_id").agg(F.count(F.lit(1)).alias("dist_cmps"))
+    b = doubled(base)
+    at, looked = descend(graph, q, b, metric, seen=True)
+    looked.append(beam(q, b, graph.edges, at, ef, metric, seen=True).seen)
+    rows = looked[0]
+    for more in looked[1:]:  # one a layer
+        rows = rows.unionByName(more)
+    return rows.groupBy("q_id").agg(F.count(F.lit(1)).alias("dist_cmps"))
 
 
 def groups(batches, key: str, columns: tuple[str, ...]):
@@ -147,7 +202,7 @@ def groups(batches, key: str, columns: tuple[str, ...]):
         yield tuple(np.concatenate([h[i] for h in held]) for i in range(len(held[0])))
 
 
-def _occlude(cap: int, angle: bool):
+def _occlude(cap: int, angle: bool, metric: str):
     def run(batches):
         import pyarrow as pa
 
@@ -155,7 +210,7 @@ def _occlude(cap: int, angle: bool):
             kept: list[int] = []
             for i in range(len(dst)):
                 if kept:
-                    d = ((v[kept] - v[i]) ** 2).sum(axis=1)
+                    d = ((v[kept] - v[i]) ** 2).sum(axis=1) if metric == "L2" else -(v[kept] @ v[i])
                     if angle:  # too small an angle at src between the candidate and a kept one
                         hide = (dist[i] + dist[kept] - d) / 2 / np.sqrt(np.maximum(dist[i] * dist[kept], 1e-300)) > 0.5
                     else:
@@ -170,28 +225,28 @@ def _occlude(cap: int, angle: bool):
     return run
 
 
-def pruned(candidates: DataFrame, base: DataFrame, cap: int, scan: int, angle: bool = False) -> DataFrame:
+def pruned(candidates: DataFrame, base: DataFrame, cap: int, scan: int, angle: bool = False, metric: str = "L2") -> DataFrame:
     """Of each node's ``scan`` nearest candidates (src, dst, dist), in ascending order, those that no kept one hides, at
-    most ``cap``. A kept one hides a candidate that is nearer to it than to the node, or (angle) seen under less than
-    60 degrees from it. Distances are squared L2; base: (vec_id, v)."""
+    most ``cap``. A kept one hides a candidate that is nearer to it than to the node, or (angle, squared L2 only) seen
+    under less than 60 degrees from it; base: (vec_id, v)."""
     c = lists(candidates, scan).join(base.select(F.col("vec_id").alias("dst"), "v"), "dst")
     c = c.select("src", "dst", "dist", "v").repartition("src").sortWithinPartitions("src", "dist", "dst")
-    return c.mapInArrow(_occlude(cap, angle), "src long, pos int, dst long, dist double")
+    return c.mapInArrow(_occlude(cap, angle, metric), "src long, pos int, dst long, dist double")
 
 
-def linked_back(edges: DataFrame, base: DataFrame, cap: int) -> DataFrame:
+def linked_back(edges: DataFrame, base: DataFrame, cap: int, metric: str = "L2") -> DataFrame:
     """Edges with their reverse ones; a node that then has more than ``cap`` is pruned anew, in one deterministic pass."""
     both = written(lists(edges.select("src", "dst", "dist").unionByName(reversed_edges(edges)), 2**31 - 1), "both")
     many = both.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("src")
     few = both.join(many, "src", "left_anti")
-    return few.unionByName(pruned(both.join(many, "src", "left_semi").select("src", "dst", "dist"), base, cap, 2**31 - 1))
+    return few.unionByName(pruned(both.join(many, "src", "left_semi").select("src", "dst", "dist"), base, cap, 2**31 - 1, metric=metric))
 
 
-def grown(edges: DataFrame, entries: DataFrame, base: DataFrame, cap: int) -> DataFrame:
-    """Edges with further ones until every node is reached from the entries.
+def grown(edges: DataFrame, entries: DataFrame, base: DataFrame, cap: int, metric: str = "L2") -> DataFrame:
+    """Edges with further ones until every node is reached from the entries, none of them from a node with ``cap`` edges.
 
-    A round attaches every unreached node to the nearest reached node among its neighbours, or, for the smallest id
-    without such, to the nearest reached node of all with fewer than ``cap`` edges.
+    A round attaches lost nodes that no smaller lost node points to: to the nearest of their own targets that is reached
+    and has room, or to the nearest such node of all; of several that want one node's room the nearest get it.
     """
     e = written(edges.select("src", "dst", "dist"), "edges")
     while True:
@@ -199,14 +254,17 @@ def grown(edges: DataFrame, entries: DataFrame, base: DataFrame, cap: int) -> Da
         lost = written(base.select("vec_id").join(seen, "vec_id", "left_anti"), "lost")
         if not lost.limit(1).count():
             return lists(e, 2**31 - 1)
+        inner = e.join(lost.withColumnRenamed("vec_id", "src"), "src", "left_semi").join(lost.withColumnRenamed("vec_id", "dst"), "dst", "left_semi")
+        roots = written(lost.join(inner.where("src < dst").select(F.col("dst").alias("vec_id")).distinct(), "vec_id", "left_anti"), "roots")
+        room = seen.join(e.groupBy(F.col("src").alias("vec_id")).agg(F.count(F.lit(1)).alias("n")), "vec_id", "left").select("vec_id", (F.lit(cap) - F.coalesce("n", F.lit(0))).alias("room"))
+        room = written(room.where("room > 0"), "room")
+        if not room.limit(1).count():
+            raise ValueError(f"no reached node has fewer than {cap} edges")
         # an edge from a lost node to a reached one, turned round
-        near = e.join(lost.withColumnRenamed("vec_id", "src"), "src").join(seen.withColumnRenamed("vec_id", "dst"), "dst").groupBy("src").agg(F.min(F.struct("dist", "dst")).alias("x"))
-        near = near.select(F.col("x.dst").alias("src"), F.col("src").alias("dst"), F.col("x.dist").alias("dist"))
-        if not near.limit(1).count():
-            spare = seen.join(e.groupBy(F.col("src").alias("vec_id")).agg(F.count(F.lit(1)).alias("n")), "vec_id", "left").where(F.coalesce("n", F.lit(0)) < cap).select("vec_id")
-            one = lost.orderBy("vec_id").limit(1).join(base, "vec_id").first()
-            d = base.join(spare, "vec_id").select(F.struct(V.l2(F.col("v"), F.lit([float(x) for x in one["v"]])).alias("dist"), "vec_id").alias("x")).agg(F.min("x").alias("x"))
-            near = d.where("x is not null").select(F.col("x.vec_id").alias("src"), F.lit(one["vec_id"]).cast("long").alias("dst"), F.col("x.dist").alias("dist"))
-            if not near.limit(1).count():
-                raise ValueError(f"no reached node has fewer than {cap} edges")
-        e = written(e.unionByName(near), "edges")
+        near = e.join(roots.withColumnRenamed("vec_id", "src"), "src", "left_semi").join(room.select(F.col("vec_id").alias("dst")), "dst", "left_semi")
+        near = written(near.groupBy("src").agg(F.min(F.struct("dist", "dst")).alias("x")).select(F.col("src").alias("dst"), F.col("x.dst").alias("src"), F.col("x.dist").alias("dist")), "near")
+        far = roots.join(near.select(F.col("dst").alias("vec_id")), "vec_id", "left_anti").join(base, "vec_id").select(F.col("vec_id").alias("q_id"), "v")
+        far = nearest(written(far, "far"), base.join(room.select("vec_id"), "vec_id", "left_semi"), 1, metric).select(F.col("q_id").alias("dst"), F.col("vec_id").alias("src"), "dist")
+        new = near.select("src", "dst", "dist").unionByName(far.select("src", "dst", "dist"))
+        new = new.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).join(room.withColumnRenamed("vec_id", "src"), "src").where("r <= room")
+        e = written(e.unionByName(new.select("src", "dst", "dist")), "edges")

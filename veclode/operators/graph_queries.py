@@ -52,6 +52,41 @@ def _nn_recall(b: DataFrame) -> DataFrame:
     return knn.recall(e, knn.exact(_q(b), b, K, others=True), K)
 
 
+#: Largest degree of each index with R = DEGREE, and recall that a search with a pool of WIDE must reach.
+CAPS, WIDE, RECALL = {"NSG": DEGREE, "SSG": DEGREE, "HNSW": DEGREE, "RNNDESCENT": DEGREE}, 64, 0.9
+
+
+def _checked(kind: str, metric: str = "L2", quant: str = "SQ8U"):
+    """One row that states what an index promises: every node has edges within the cap to others, none twice, in ascending
+    order; all nodes are reached (RNNDESCENT doesn't promise that); searches find at least RECALL of the neighbours."""
+
+    def run(b: DataFrame) -> DataFrame:
+        g = B.Index(kind, metric, quant, R=DEGREE, L=WIDE).build(b)
+        found = S.Searcher(g, b, metric, quant, "FP32")
+        found.set_ef(WIDE)
+        share = knn.recall(found.batch_search(_q(b), K, others=True), knn.exact(_q(b), b, K, metric, others=True), K)
+        e = g.edges.alias("e")
+        edges = e.agg((F.max(F.col("pos") + 1) <= CAPS[kind]).alias("within_cap"), (F.count(F.lit(1)) == F.countDistinct("src", "dst")).alias("no_edge_twice"), F.max((F.col("src") == F.col("dst")).cast("int")).alias("loops"))
+        lost = b.select("vec_id").join(G.reachable(g.edges, g.entries.select(F.col("ep").alias("vec_id"))), "vec_id", "left_anti").agg(F.count(F.lit(1)).alias("lost"))
+        nodes = b.agg(F.count(F.lit(1)).alias("nodes"))
+        row = nodes.crossJoin(F.broadcast(edges)).crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(share))
+        return row.select("nodes", "within_cap", "no_edge_twice", (F.col("loops") == 0).alias("no_loop"), ((F.col("lost") == 0) | F.lit(kind == "RNNDESCENT")).alias("all_reached"), "n_queries", (F.col("recall") >= RECALL).alias("recall_reached"))
+
+    return run
+
+
+CHECKED = "SELECT count(*) AS nodes, TRUE AS within_cap, TRUE AS no_edge_twice, TRUE AS no_loop, TRUE AS all_reached, count(*) FILTER (vec_id % 20 = 0) AS n_queries, TRUE AS recall_reached FROM embeddings"
+
+
+def _nn_reached(b: DataFrame) -> DataFrame:
+    return _nn_recall(b).select("n_queries", (F.col("recall") >= RECALL).alias("recall_reached"))
+
+
+def _linked(b: DataFrame) -> DataFrame:
+    """Nearest-neighbour lists with reverse edges, where no node comes to the cap: nothing is pruned."""
+    return G.linked_back(_knn(b, 3), G.doubled(b), 10_000).select("src", "pos", "dst", "dist")
+
+
 def _comparisons(b: DataFrame) -> DataFrame:
     ep = written(G.medoid(b).select("ep"), "ep")
     return G.comparisons(G.Graph(_knn(b), ep), _q(b), b, ef=32)
@@ -73,7 +108,8 @@ def _near(k: int) -> str:
 QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= {k})"""
 
 
-MEDOID = f"""m AS (SELECT list(x ORDER BY p) AS c FROM (SELECT p, sum(floor(v[p] * 1073741824.0 + 0.5)::BIGINT)::DOUBLE / 1073741824.0 / count(*)::DOUBLE AS x FROM (SELECT v, unnest(range(1, len(v) + 1)) AS p FROM e) GROUP BY p)),
+MEDOID = f"""grid AS (SELECT pow(2.0::DOUBLE, 61 - ceil(log2(max(list_max(list_transform(v, lambda x: abs(x)))))) - ceil(log2(count(*)))) AS u FROM e),
+m AS (SELECT list(x ORDER BY p) AS c FROM (SELECT p, sum(floor(v[p] * u + 0.5)::BIGINT)::DOUBLE / any_value(u) / count(*)::DOUBLE AS x FROM (SELECT v, u, unnest(range(1, len(v) + 1)) AS p FROM e, grid) GROUP BY p)),
 d AS (SELECT vec_id AS ep, {_l2('v', 'c')} AS dist FROM e, m), ep AS (SELECT ep, dist FROM d ORDER BY dist, ep LIMIT 1)"""
 
 
@@ -94,15 +130,22 @@ def entries():
         ("medoid", G.medoid, f"WITH {E}, {MEDOID} SELECT ep, dist FROM ep"),
         ("reachable", lambda b: G.reachable(_knn(b, 3), G.medoid(b).select(F.col("ep").alias("vec_id"))), f"WITH RECURSIVE {E}, {_near(3)}, {MEDOID}, s AS (SELECT ep AS vec_id FROM ep UNION SELECT g.dst FROM s JOIN g ON g.src = s.vec_id) SELECT vec_id FROM s"),
         ("beam_exhaustive", _exhaustive, f"WITH {E}, {_near(K)} SELECT src AS q_id, (row_number() OVER (PARTITION BY src ORDER BY dist, dst))::INT AS rank, dst AS vec_id, dist FROM g WHERE src % 20 = 0"),
-        ("hnsw_levels", _levels, f"SELECT vec_id, floor(-ln((((vec_id * 1103515245 + 12345) % 2147483648)::DOUBLE + 1) / 2147483649.0) / ln({DEGREE // 2}))::INT AS level FROM embeddings"),
-        ("prune_occluded", _pruned, None),
+        ("hnsw_levels", _levels, f"SELECT vec_id, floor(-ln((('0x' || substr(md5(vec_id::VARCHAR), 1, 12))::BIGINT::DOUBLE + 1) / {2**48}.0) / ln({DEGREE // 2}))::INT AS level FROM embeddings"),
+        ("prune_occluded", _pruned, _occlusion_sql()),
+        ("linked_back", _linked, f"WITH {E}, {_near(3)}, u AS (SELECT src, dst, dist FROM g UNION SELECT dst, src, dist FROM g) SELECT src, (row_number() OVER (PARTITION BY src ORDER BY dist, dst) - 1)::INT AS pos, dst, dist FROM u"),
         ("dist_cmps", _comparisons, None),
         ("nndescent_build", lambda b: B.nn_descent(G.doubled(b), K), None),
         ("nndescent_recall", _nn_recall, None),
-        ("rnndescent_build", lambda b: B.rnn_descent(G.doubled(b), DEGREE, outer=2, inner=4).edges, None),
+        ("nndescent_checked", _nn_reached, "SELECT count(*) AS n_queries, TRUE AS recall_reached FROM embeddings WHERE vec_id % 20 = 0"),
+        ("rnndescent_build", lambda b: B.rnn_descent(G.doubled(b), DEGREE).edges, None),
         ("nsg_build", _index("NSG"), None),
         ("ssg_build", _index("SSG"), None),
         ("hnsw_build", _index("HNSW"), None),
         ("search_hnsw_sq4u", _search("HNSW", "SQ4U"), None),
         ("search_nsg_sq8u", _search("NSG", "SQ8U"), None),
+        ("nsg_checked", _checked("NSG"), CHECKED),
+        ("ssg_checked", _checked("SSG"), CHECKED),
+        ("hnsw_checked", _checked("HNSW"), CHECKED),
+        ("hnsw_ip_checked", _checked("HNSW", "IP", "FP16"), CHECKED),
+        ("rnndescent_checked", _checked("RNNDESCENT"), CHECKED),
     ]

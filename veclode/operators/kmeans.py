@@ -1,28 +1,61 @@
 """Lloyd's k-means on whole vectors or on each of their sub-spaces (a product quantizer's codebook).
 
-Centroids are a small array [sub-space][centroid][element] on the driver (their number is a parameter). A round is one
-pass that assigns with numpy and one aggregation; sums are of numbers rounded to multiples of 2**-30, so they don't
-depend on the order of rows, and a round gives the same centroids on any cluster. An empty cluster becomes the zero
-vector.
+Centroids are a small array [sub-space][centroid][element] (their number is a parameter) that goes to the tasks as a
+broadcast or with a function, never into a plan. A round is one pass in which each task assigns its rows and adds them up,
+and one aggregation of what the tasks found; sums are of integers on a grid that is as fine as the largest value and the
+number of rows allow (:func:`unit`), so they don't depend on the order of rows, and a round gives the same centroids on any
+cluster. An empty cluster becomes the zero vector.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 
-UNIT = float(2**30)
 
+def unit(base: DataFrame) -> float:
+    """The grid's steps to one: a power of two so that the values of all rows (v) fit a 64-bit sum."""
+    r = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("m")).first()
+    return steps(r["m"] or 0.0, r["n"])
+
+
+def steps(most: float, n: int) -> float:
+    if not most or not n:
+        return 1.0
+    return 2.0 ** max(-900, min(900, 61 - math.ceil(math.log2(most)) - math.ceil(math.log2(n))))
+
+
+def _codes(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows [row][sub-space][element] the nearest centroid in each sub-space (the lowest on ties), and the distance."""
+    n, k, sd = c.shape
+    code, dist = np.empty((len(x), n), np.int32), np.empty((len(x), n))
+    step = max(1, (1 << 21) // k)
+    for s in range(n):
+        for t in range(0, len(x), step):
+            d = np.zeros((len(x[t : t + step]), k))
+            for j in range(sd):  # in the order of the elements, like the column expressions
+                e = x[t : t + step, s, j, None] - c[s, None, :, j]
+                d += e * e
+            code[t : t + step, s] = d.argmin(axis=1)
+            dist[t : t + step, s] = d.min(axis=1)
+    return code, dist
 
-def nearest(v: Column, centroids: np.ndarray) -> Column:
-    """For each sub-space the nearest centroid (the lowest on ties), as an expression."""
-    n, k, sd = centroids.shape
-    book = F.lit([[[float(x) for x in c] for c in s] for s in centroids])
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: F.array_min(F.transform(F.get(book, s), lambda c, i: F.struct(V.l2(F.slice(v, s * sd + 1, F.lit(sd)), c).alias("d"), i.alias("i"))))["i"])
+
+def _rows_of(b, c: np.ndarray) -> np.ndarray:
+    n, _, sd = c.shape
+    return b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)[:, : n * sd].reshape(b.num_rows, n, sd)
+
+
+def _lists(x: np.ndarray):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
 
 
 def _assign(sent):
@@ -30,45 +63,88 @@ def _assign(sent):
         import pyarrow as pa
 
         c = sent.value
-        n, k, sd = c.shape
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)[:, : n * sd].reshape(b.num_rows, n, sd)
-            code = np.empty((b.num_rows, n), np.int32)
-            step = max(1, (1 << 21) // (k * sd))
-            for s in range(n):
-                for t in range(0, b.num_rows, step):
-                    code[t : t + step, s] = ((x[t : t + step, s, None, :] - c[s][None]) ** 2).sum(axis=2).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * n), pa.array(code.ravel()))], names=[*b.schema.names, "codes"])
+            x = _rows_of(b, c)
+            code, dist = _codes(x, c)
+            near = c[np.arange(c.shape[0])[None, :], code]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), _lists(code), pa.array(dist[:, 0]), _lists((x - near).reshape(len(x), -1))], names=["vec_id", "codes", "dist", "residual"])
 
     return run
 
 
 def assign(base: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """base (vec_id, v) with codes: the nearest centroid in each sub-space."""
+    """Of base (vec_id, v): codes (the nearest centroid in each sub-space), dist to the first of them, residual of all."""
     sent = base.sparkSession.sparkContext.broadcast(np.asarray(centroids, np.float64))
-    return base.select("vec_id", "v").mapInArrow(_assign(sent), "vec_id long, v array<double>, codes array<int>")
+    return base.select("vec_id", "v").mapInArrow(_assign(sent), "vec_id long, codes array<int>, dist double, residual array<double>")
+
 
+def _sums(sent, grid: float):
+    """What a task's rows add up to: sub-space, centroid, element, sum on the grid, rows."""
 
-def update(coded: DataFrame, shape: tuple[int, int, int]) -> np.ndarray:
-    """Means of the vectors of each centroid."""
-    n, k, sd = shape
-    e = coded.select("codes", F.posexplode(F.slice("v", 1, n * sd)).alias("p", "x"))
-    e = e.select(F.floor(F.col("p") / sd).cast("int").alias("s"), (F.col("p") % sd).alias("j"), "codes", "x").withColumn("c", F.get("codes", F.col("s")))
-    sums = e.groupBy("s", "c", "j").agg(F.sum(F.floor(F.col("x") * UNIT + 0.5).cast("long")).alias("t"), F.count(F.lit(1)).alias("n")).toPandas()
-    out = np.zeros(shape)
-    out[sums["s"], sums["c"], sums["j"]] = sums["t"].to_numpy(np.float64) / UNIT / sums["n"].to_numpy(np.float64)
-    return out
+    def run(batches):
+        import pyarrow as pa
+
+        c = sent.value
+        n, k, sd = c.shape
+        total, rows = np.zeros((n * k, sd), np.int64), np.zeros(n * k, np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _rows_of(b, c)
+            at = (_codes(x, c)[0] + np.arange(n) * k).ravel()
+            np.add.at(total, at, np.floor(x.reshape(-1, sd) * grid + 0.5).astype(np.int64))
+            rows += np.bincount(at, minlength=n * k)
+        at = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(at), _lists(total[at]), pa.array(rows[at])], names=["at", "t", "n"])
+
+    return run
 
 
 def lloyd(base: DataFrame, centroids: np.ndarray, epochs: int) -> np.ndarray:
     """A fixed number of rounds from given centroids; base: (vec_id, v)."""
+    grid, (n, k, sd) = unit(base), centroids.shape
     for _ in range(epochs):
-        centroids = update(assign(base, centroids), centroids.shape)
+        sent = base.sparkSession.sparkContext.broadcast(np.asarray(centroids, np.float64))
+        part = base.select("v").mapInArrow(_sums(sent, grid), "at long, t array<long>, n long")
+        got = part.groupBy("at").agg(*[F.sum(F.get("t", F.lit(j))).alias(f"t{j}") for j in range(sd)], F.sum("n").alias("n")).toPandas()
+        centroids = np.zeros((n * k, sd))
+        centroids[got["at"]] = got[[f"t{j}" for j in range(sd)]].to_numpy(np.float64) / grid / got["n"].to_numpy(np.float64)[:, None]
+        centroids = centroids.reshape(n, k, sd)
     return centroids
 
 
+def _stacked(v) -> np.ndarray:
+    return np.array(v.tolist(), np.float64)
+
+
+def nearest(v: Column, centroids: np.ndarray) -> Column:
+    """For each sub-space of v the nearest centroid (the lowest on ties)."""
+    c = np.asarray(centroids, np.float64)
+    n, _, sd = c.shape
+
+    @F.pandas_udf("array<int>")
+    def code(x: pd.Series) -> pd.Series:
+        return pd.Series(list(_codes(_stacked(x)[:, : n * sd].reshape(len(x), n, sd), c)[0])) if len(x) else x
+
+    return code(v)
+
+
+def reconstructed(codes: Column, centroids: np.ndarray) -> Column:
+    """The vector that codes stand for: their centroids end to end."""
+    c = np.asarray(centroids, np.float64)
+
+    @F.pandas_udf("array<double>")
+    def vector(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return x
+        code = np.array(x.tolist(), np.int64)
+        return pd.Series(list(c[np.arange(c.shape[0])[None, :], code].reshape(len(x), -1)))
+
+    return vector(codes)
+
+
 def _rows(base: DataFrame, k: int, seed: int) -> np.ndarray:
     """k distinct rows by the order of a hash of vec_id."""
     got = base.select("vec_id", "v", F.xxhash64("vec_id", F.lit(seed)).alias("h")).orderBy("h", "vec_id").limit(k).toPandas()
@@ -85,13 +161,12 @@ def _plus_plus(base: DataFrame, k: int, seed: int) -> np.ndarray:
     """
     c = _rows(base, 1, seed)
     for t in range(1, k):
-        book = F.lit([[float(x) for x in row] for row in c])
-        w = F.array_min(F.transform(book, lambda y: V.l2(F.col("v"), y)))
+        w = assign(base, c[None]).where("dist > 0").select("vec_id", "dist")
         u = (F.pmod(F.xxhash64("vec_id", F.lit(seed * 1000003 + t)), F.lit(2**40)).cast("double") + 1) / 2.0**40
-        got = base.select("v", w.alias("w"), "vec_id", u.alias("u")).where("w > 0").select(F.struct((-F.log("u") / F.col("w")).alias("s"), "vec_id", "v").alias("x")).agg(F.min("x").alias("x")).first()["x"]
+        got = w.select(F.struct((-F.log(u) / F.col("dist")).alias("s"), "vec_id").alias("x")).agg(F.min("x").alias("x")).first()["x"]
         if got is None:
             raise ValueError(f"fewer than {k} distinct rows")
-        c = np.vstack([c, np.array(got["v"])])
+        c = np.vstack([c, np.array(base.where(F.col("vec_id") == got["vec_id"]).select("v").first()["v"])])
     return c
 
 
@@ -119,36 +194,52 @@ class Clustering:
         self.centroids = c
         return self
 
+    def _assigned(self, base: DataFrame) -> DataFrame:
+        return assign(base.select("vec_id", V.doubles(F.col("embedding")).alias("v")), self.centroids[None])
+
     def predict(self, base: DataFrame) -> DataFrame:
         """vec_id, cid and dist to that centroid."""
-        v = base.select("vec_id", V.doubles(F.col("embedding")).alias("v"))
-        book = F.lit([[float(x) for x in row] for row in self.centroids])
-        return assign(v, self.centroids[None]).select("vec_id", F.get("codes", F.lit(0)).alias("cid"), "v").withColumn("dist", V.l2(F.col("v"), F.get(book, F.col("cid")))).select("vec_id", "cid", "dist")
+        return self._assigned(base).select("vec_id", F.get("codes", F.lit(0)).alias("cid"), "dist")
 
     def transform(self, base: DataFrame) -> DataFrame:
         """vec_id and residual: the vector less its centroid."""
-        v = base.select("vec_id", V.doubles(F.col("embedding")).alias("v"))
-        book = F.lit([[float(x) for x in row] for row in self.centroids])
-        return assign(v, self.centroids[None]).select("vec_id", F.zip_with("v", F.get(book, F.get("codes", F.lit(0))), lambda x, y: x - y).alias("residual"))
+        return self._assigned(base).select("vec_id", "residual")
 
     def loss(self, base: DataFrame) -> DataFrame:
         return self.predict(base).agg(F.sum("dist").alias("loss"))
 
 
-def pq_codebook(base: DataFrame, dim: int, sub: int = 4, k: int = 256, epochs: int = 10, seed: int = 1) -> np.ndarray:
-    """Codebook [sub-space][k][sub]; elements beyond the last whole sub-space are left out. With fewer rows than k,
-    as many centroids as rows."""
+def pq_codebook(base: DataFrame, dim: int, sub: int = 4, k: int = 256, epochs: int = 10, seed: int = 1, start: np.ndarray | None = None) -> np.ndarray:
+    """Codebook [sub-space][k][sub]; elements beyond the last whole sub-space are left out. With fewer rows than k, as
+    many centroids as rows. start: rows whose parts are the first centroids, else k rows drawn by hash."""
     v = base.select("vec_id", V.doubles(F.col("embedding")).alias("v"))
-    k = min(k, base.count())
     n = dim // sub
-    start = _rows(v, k, seed)[:, : n * sub].reshape(k, n, sub).transpose(1, 0, 2)
-    return lloyd(v, np.ascontiguousarray(start), epochs)
+    rows = _rows(v, min(k, base.count()), seed) if start is None else start
+    return lloyd(v, np.ascontiguousarray(rows[:, : n * sub].reshape(len(rows), n, sub).transpose(1, 0, 2)), epochs)
+
+
+def _lookup(sent, kind: str):
+    def run(batches):
+        import pyarrow as pa
+
+        c = sent.value
+        n, k, sd = c.shape
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, d = _rows_of(b, c), np.zeros((b.num_rows, n, k))
+            for j in range(sd):
+                y, z = x[:, :, None, j], c[None, :, :, j]
+                d += (y - z) * (y - z) if kind == "L2" else y * z
+            q = np.repeat(b.column("q_id").to_numpy(), n * k)
+            sq, code = np.divmod(np.tile(np.arange(n * k, dtype=np.int32), b.num_rows), np.int32(k))
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(sq), pa.array(code), pa.array((d if kind == "L2" else -d).ravel())], names=["q_id", "sq", "k", "dist"])
+
+    return run
 
 
 def lookup_tables(queries: DataFrame, codebook: np.ndarray, metric: str = "L2") -> DataFrame:
     """(q_id, sq, k, dist): distance of each part of a query to each centroid of its sub-space."""
-    n, k, sd = codebook.shape
-    book = F.lit([[[float(x) for x in c] for c in s] for s in codebook])
-    d = V.metric(metric)
-    q = queries.select("q_id", V.doubles(F.col("embedding")).alias("v"), F.posexplode(book).alias("sq", "_s"))
-    return q.select("q_id", "v", "sq", F.posexplode("_s").alias("k", "_c")).select("q_id", "sq", "k", d(F.slice("v", F.col("sq") * sd + 1, F.lit(sd)), F.col("_c")).alias("dist"))
+    V.metric(metric)
+    sent = queries.sparkSession.sparkContext.broadcast(np.asarray(codebook, np.float64))
+    return queries.select("q_id", V.doubles(F.col("embedding")).alias("v")).mapInArrow(_lookup(sent, metric.upper()), "q_id long, sq int, k int, dist double")

@@ -10,55 +10,98 @@ from pyspark.sql.window import Window
 from ..functions import vectors as V
 from . import quantizers as Q
 
-#: Bytes of query vectors sent to the executors at a time, elements of a distance block, spare candidates.
-SENT, TILE, SPARE = 64 << 20, 1 << 21, 8
+#: Bytes of query vectors that are sent to all tasks at most, bytes of a block of vectors where there are more queries,
+#: elements of a distance block, and candidates whose distances are computed anew at a time.
+SENT, BLOCK, TILE, CHUNK = 64 << 20, 32 << 20, 1 << 21, 1 << 16
 
 
-def _pick(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row of d the k smallest by (d, id): rows, columns and their order in the row."""
-    k = min(k, d.shape[1])
-    limit = np.partition(d, k - 1, axis=1)[:, k - 1]
-    row, col = np.nonzero(d <= limit[:, None])
-    order = np.lexsort((ids[row, col], d[row, col], row))
-    row, col = row[order], col[order]
-    first = np.searchsorted(row, np.arange(len(d)))
-    at = np.arange(len(row)) - first[row]
-    ok = at < k
-    return row[ok], col[ok], at[ok]
+def _distances(q: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
+    """Distances of rows of q and y, summed in the order of the elements like the column expressions."""
+    out = np.zeros(len(q))
+    for j in range(q.shape[1]):
+        if kind == "L2":
+            d = q[:, j] - y[:, j]
+            out += d * d
+        else:
+            out += q[:, j] * y[:, j]
+    return out if kind == "L2" else -out
 
 
-def _coarse(sent, k: int, kind: str, others: bool):
-    """For each query the k nearest of a partition, by distances from matrix products rounded to single precision."""
+class _Best:
+    """The k nearest rows seen of each query (ids, vectors), by (dist, vec_id).
 
-    def run(batches):
+    A matrix product gives distances up to a rounding error with a known bound. All that lie within it of the k-th
+    best are computed anew, so the choice is exact whatever ties or near ties there are.
+    """
+
+    def __init__(self, q_id: np.ndarray, q: np.ndarray, k: int, kind: str, others: bool) -> None:
+        self.q_id, self.q, self.k, self.kind, self.others = q_id, q, k, kind, others
+        self.d = np.full((len(q), k), np.inf)
+        self.i = np.full((len(q), k), np.iinfo(np.int64).max)
+        self.qq = (q * q).sum(axis=1)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        for s in range(0, len(ids), 2048):
+            y, i = x[s : s + 2048], ids[s : s + 2048]
+            step = max(1, TILE // len(y))
+            for t in range(0, len(self.q), step):
+                self._block(slice(t, t + step), y, i)
+
+    def _block(self, at: slice, y: np.ndarray, i: np.ndarray) -> None:
+        q, qq, yy = self.q[at], self.qq[at], (y * y).sum(axis=1)
+        d, unit = q @ y.T, (4 * q.shape[1] + 16) * 2.0**-53
+        if self.kind == "L2":
+            d, error = qq[:, None] + yy - 2 * d, unit * (qq + yy.max())
+        else:
+            d, error = -d, unit * np.sqrt(qq * yy.max())
+        if self.others:
+            d[self.q_id[at][:, None] == i[None, :]] = np.inf
+        limit = self.d[at][:, -1]
+        if d.shape[1] > self.k:
+            limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1] + error)
+        row, col = np.nonzero((d <= (limit + error)[:, None]) & np.isfinite(d))
+        if not len(row):
+            return
+        dist = np.concatenate([_distances(q[row[c : c + CHUNK]], y[col[c : c + CHUNK]], self.kind) for c in range(0, len(row), CHUNK)])
+        had = np.isfinite(self.d[at])
+        r0 = np.nonzero(had)[0]
+        row, dist, own = np.concatenate((r0, row)), np.concatenate((self.d[at][had], dist)), np.concatenate((self.i[at][had], i[col]))
+        order = np.lexsort((own, dist, row))
+        row, dist, own = row[order], dist[order], own[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        ok = place < self.k
+        self.d[at][row[ok], place[ok]], self.i[at][row[ok], place[ok]] = dist[ok], own[ok]
+
+    def batch(self):
         import pyarrow as pa
 
+        ok = np.isfinite(self.d)
+        return pa.RecordBatch.from_arrays([pa.array(self.q_id[np.nonzero(ok)[0]]), pa.array(self.i[ok]), pa.array(self.d[ok])], names=["q_id", "vec_id", "dist"])
+
+
+def _matrix(column, width: int) -> np.ndarray:
+    x = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if len(x) else np.zeros((0, width))
+
+
+def _nearest_of_partition(sent, k: int, kind: str, others: bool):
+    def run(batches):
         q_id, q = sent.value
-        best_d = np.full((len(q), k), np.inf, np.float32)
-        best_i = np.full((len(q), k), np.iinfo(np.int64).max)
-        qq = (q * q).sum(axis=1)
+        best = _Best(q_id, q, k, kind, others)
         for b in batches:
-            ids = b.column("vec_id").to_numpy(zero_copy_only=False)
-            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, q.shape[1]))
-            for s in range(0, len(ids), 2048):
-                y, i = x[s : s + 2048], ids[s : s + 2048]
-                yy = (y * y).sum(axis=1)
-                step = max(1, TILE // len(y))
-                for t in range(0, len(q), step):
-                    d = q[t : t + step] @ y.T
-                    d = qq[t : t + step, None] + yy - 2 * d if kind == "L2" else -d
-                    d = d.astype(np.float32)
-                    if others:
-                        d[q_id[t : t + step, None] == i[None, :]] = np.inf
-                    d = np.concatenate((best_d[t : t + step], d), axis=1)
-                    own = np.concatenate((best_i[t : t + step], np.broadcast_to(i, (len(d), len(i)))), axis=1)
-                    row, col, at = _pick(d, own, k)
-                    new_d, new_i = np.full_like(best_d[t : t + step], np.inf), np.full_like(best_i[t : t + step], np.iinfo(np.int64).max)
-                    new_d[row, at], new_i[row, at] = d[row, col], own[row, col]
-                    best_d[t : t + step], best_i[t : t + step] = new_d, new_i
-        ok = np.isfinite(best_d)
-        r = np.nonzero(ok)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(q_id[r]), pa.array(best_i[ok]), pa.array(best_d[ok].astype(np.float64))], names=["q_id", "vec_id", "coarse"])
+            best.add(b.column("vec_id").to_numpy(zero_copy_only=False), _matrix(b.column("v"), q.shape[1]))
+        yield best.batch()
+
+    return run
+
+
+def _nearest_of_block(width: int, k: int, kind: str, others: bool):
+    def run(key, queries, base):
+        import pyarrow as pa
+
+        best = _Best(queries.column("q_id").to_numpy(), _matrix(queries.column("v"), width), k, kind, others)
+        best.add(base.column("vec_id").to_numpy(), _matrix(base.column("v"), width))
+        return pa.Table.from_batches([best.batch()])
 
     return run
 
@@ -69,28 +112,34 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "rank", "vec_id", "dist")
 
 
+FOUND = "q_id long, vec_id long, dist double"
+
+
 def nearest(queries: DataFrame, base: DataFrame, k: int, kind: str = "L2", others: bool = False) -> DataFrame:
-    """q_id, rank, vec_id, dist of the k nearest base rows (vec_id, v) of each query (q_id, v); v: array of doubles.
+    """q_id, rank, vec_id, dist of the k nearest base rows (vec_id, v) of each query (q_id, v); v: array of finite doubles.
 
-    Queries go to the executors in pieces of a bounded size, whatever their number; each partition of the base keeps
-    its best candidates, and distances of the few that are left are computed anew in double precision, in the order
-    of the elements. others: leave out the base row with the query's own id.
+    A query set of up to SENT bytes, which is counted first, goes to all tasks, and each partition of the base keeps its
+    k best. A larger one stays where it is: both sides are cut into blocks by hash, every pair of blocks is one
+    group, and what is shuffled is each side once for every block of the other, as a comparison of all with all needs.
+    others: leave out the base row with the query's own id.
     """
-    spark, distance = queries.sparkSession, V.metric(kind)
-    first = queries.select(F.size("v").alias("d")).first()
-    if first is None:
+    spark, kind = queries.sparkSession, kind.upper()
+    V.metric(kind)
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    n, width = size["n"], max(size["d"] or 1, 1)
+    if not n:
         return ranked(queries.select("q_id", F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("dist")), k)
-    pieces = -(-queries.count() * max(first["d"], 1) * 8 // SENT)
-    found = None
-    for p in range(pieces):
-        part = (queries if pieces == 1 else queries.where(F.pmod(F.xxhash64("q_id"), F.lit(pieces)) == p)).select("q_id", "v").toPandas()
-        sent = spark.sparkContext.broadcast((part["q_id"].to_numpy(np.int64), np.array(part["v"].tolist(), np.float64).reshape(len(part), -1)))
-        got = base.select("vec_id", "v").mapInArrow(_coarse(sent, k + SPARE, kind.upper(), others), "q_id long, vec_id long, coarse double")
-        found = got if found is None else found.unionByName(got)
-    w = Window.partitionBy("q_id").orderBy("coarse", "vec_id")
-    found = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + SPARE)
-    pairs = found.join(base.select("vec_id", F.col("v").alias("_b")), "vec_id").join(queries.select("q_id", F.col("v").alias("_q")), "q_id")
-    return ranked(pairs.select("q_id", "vec_id", distance(F.col("_q"), F.col("_b")).alias("dist")), k)
+    if n * width * 8 <= SENT:
+        part = queries.select("q_id", "v").toPandas()
+        sent = spark.sparkContext.broadcast((part["q_id"].to_numpy(np.int64), np.array(part["v"].tolist(), np.float64).reshape(n, width)))
+        return ranked(base.select("vec_id", "v").mapInArrow(_nearest_of_partition(sent, k, kind, others), FOUND), k)
+    blocks = lambda rows: max(1, -(-rows * width * 8 // BLOCK))
+    of_q, of_b = blocks(n), blocks(base.count())
+    own = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    q = queries.select("q_id", "v", own("q_id", of_q).alias("i"), each(of_b).alias("j"))
+    b = base.select("vec_id", "v", own("vec_id", of_b).alias("j"), each(of_q).alias("i"))
+    return ranked(q.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(_nearest_of_block(width, k, kind, others), FOUND), k)
 
 
 def exact(queries: DataFrame, base: DataFrame, k: int, metric: str = "L2", others: bool = False) -> DataFrame:
@@ -142,4 +191,4 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """One row: how many of the true k neighbours of all queries were found, and their share."""
     both = found.where(F.col("rank") <= k).select("q_id", "vec_id").join(truth.where(F.col("rank") <= k).select("q_id", "vec_id"), ["q_id", "vec_id"])
     n = truth.agg(F.countDistinct("q_id").alias("n_queries"))
-    return both.agg(F.count(F.lit(1)).alias("hits")).join(n).select("hits", "n_queries", (F.col("hits") / (F.col("n_queries") * F.lit(k))).alias("recall"))
+    return both.agg(F.count(F.lit(1)).alias("hits")).crossJoin(F.broadcast(n)).select("hits", "n_queries", (F.col("hits") / (F.col("n_queries") * F.lit(k))).alias("recall"))

@@ -11,10 +11,9 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import vectors as V
-from ..functions.order import kth_smallest, trimmed
+from ..functions.order import kth_smallest, trimmed, trimmed_by
 
 #: Candidates fetched for each neighbour before re-ranking.
 FACTOR = {"SQ8U": 1.5, "SQ8": 1.5, "SQ8P": 1.5, "SQ4U": 1.5, "SQ4UA": 1.5, "PQ8": 1.5, "SQ2U": 3.0, "SQ1": 3.0}
@@ -126,8 +125,9 @@ class Quantizer:
         raise ValueError(f"{n} codes hold no scale to decode by")
 
     def _reconstructed(self, c: Column) -> Column:
-        book = F.lit([[float(x) for x in row] for row in self.codebook.reshape(-1, self.codebook.shape[2])])
-        return F.flatten(F.transform(c, lambda x, i: F.get(book, i * F.lit(self.codebook.shape[1]) + x)))
+        from .kmeans import reconstructed
+
+        return reconstructed(c, self.codebook)
 
     def query_vector(self, v: Column) -> Column:
         """What a query is compared as."""
@@ -211,8 +211,8 @@ def fit(name: str, base: DataFrame, metric: str = "L2", calibration: str = "per_
         q.dif = hi - q.lo
     elif n in PER_DIM:
         rows = base.count()
-        limits = per_dim_limits(base, q.dim, trim_rank(rows, PER_DIM[n][1]), rows if calibration == "flat_chunk" else 0).orderBy("pos").collect()
-        q.los, q.difs = [r["lo"] for r in limits], [r["hi"] - r["lo"] for r in limits]
+        limits = per_dim_limits(base, trim_rank(rows, PER_DIM[n][1]), q.dim, rows if calibration == "flat_chunk" else 0)
+        q.los, q.difs = [limits[k][0] for k in sorted(limits)], [limits[k][1] - limits[k][0] for k in sorted(limits)]
     elif n == "PQ8":
         if codebook is None:
             from .kmeans import pq_codebook
@@ -222,16 +222,9 @@ def fit(name: str, base: DataFrame, metric: str = "L2", calibration: str = "per_
     return q
 
 
-def per_dim_limits(base: DataFrame, dim: int, top: int, chunk: int = 0) -> DataFrame:
-    """(pos, lo, hi): the top-th smallest and largest element of each dimension, a row a dimension.
-
-    Only the ``top`` outermost elements of a dimension are ranked (the window's limit is pushed below the shuffle).
-    """
+def per_dim_limits(base: DataFrame, top: int, dim: int = 0, chunk: int = 0) -> dict[int, tuple[float, float]]:
+    """pos -> the top-th smallest and largest element of each dimension, or of each ``chunk`` elements of the flat data."""
     e = elements(base)
     if chunk:  # positions in the flat data, in the order of vec_id, which is dense from 0
         e = e.select(F.floor((F.col("vec_id") * dim + F.col("pos")) / chunk).cast("int").alias("pos"), "x")
-    ends = []
-    for order, name in ((F.col("x").asc(), "lo"), (F.col("x").desc(), "hi")):
-        r = e.select("pos", "x", F.row_number().over(Window.partitionBy("pos").orderBy(order)).alias("r")).where(F.col("r") <= top)
-        ends.append(r.groupBy("pos").agg((F.max if name == "lo" else F.min)("x").alias(name)))
-    return ends[0].join(ends[1], "pos")
+    return trimmed_by(e.select("pos", "x"), top)

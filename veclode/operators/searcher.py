@@ -1,4 +1,4 @@
-"""Searcher facade and the sweep over search widths."""
+"""Searcher facade, the sweep over search widths, and the benchmark that builds, keeps and searches an index."""
 
 from __future__ import annotations
 
@@ -36,15 +36,16 @@ class Searcher:
         """queries: (q_id, embedding); q_id, rank, vec_id, dist. Fewer than k rows where fewer nodes were reached."""
         wide = int(k * self.quantizer.factor) if self.refiner else k
         q = queries.select("q_id", self.quantizer.query_vector(V.doubles(F.col("embedding"))).alias("embedding"))
-        self._last = q
+        self._last = q, max(wide + others, self.ef)
         found = G.search(self.graph, q, self.codes, wide, self.ef, self.quantizer.kind, others)
         return found if wide == k else knn.refine(found, queries, self.base, k, self.metric, self.refiner)
 
     search = batch_search
 
     def get_last_search_dist_cmps(self) -> float:
-        """Mean distances evaluated a query by the last search's queries."""
-        return G.comparisons(self.graph, self._last, self.codes, self.ef, self.quantizer.kind).agg(F.avg("dist_cmps")).first()[0]
+        """Mean number of nodes that the last search compared a query with, on all layers."""
+        q, ef = self._last
+        return G.comparisons(self.graph, q, self.codes, ef, self.quantizer.kind).agg(F.avg("dist_cmps")).first()[0]
 
     def optimize(self) -> None:
         """Keeps the codes in memory; results don't change."""
@@ -64,3 +65,59 @@ def sweep(searcher: Searcher, queries: DataFrame, truth: DataFrame, k: int, efs:
             share = share if share is not None else knn.recall(found, truth, k).first()["recall"]
         out.append((ef, share, best))
     return queries.sparkSession.createDataFrame(out, "ef int, recall double, qps double")
+
+
+#: Fixed values of the quick benchmark.
+QUICK = {"index": "HNSW", "R": 48, "L": 200, "build_quant": "SQ8U", "search_quant": "SQ4U", "refine_quant": "FP16", "k": 10, "efs": [20, 30, 40, 50, 60, 70, 80, 90, 100], "runs": 5}
+
+
+class Benchmark:
+    """Fit an index (or read it from a folder that keeps indexes by name and parameters), then search and sweep.
+
+    config: the keys of QUICK, each of which may be left out.
+    """
+
+    def __init__(self, config: dict | None = None, folder: str | None = None, metric: str = "L2") -> None:
+        unknown = set(config or {}) - set(QUICK)
+        if unknown:
+            raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+        self.config, self.folder, self.metric = QUICK | (config or {}), folder, metric
+        self.searcher: Searcher | None = None
+        self.seconds: float | None = None
+        self.found: DataFrame | None = None
+
+    def path(self, name: str) -> str:
+        c = self.config
+        return f"{self.folder.rstrip('/')}/{name}_{c['index']}_{self.metric}_{c['build_quant']}_R{c['R']}_L{c['L']}"
+
+    def fit(self, base: DataFrame, name: str = "data", rebuild: bool = False) -> Benchmark:
+        from ..sources import graph_files
+        from .builders import Index
+
+        c, spark = self.config, base.sparkSession
+        graph = None
+        if self.folder and not rebuild and graph_files.exists(spark, self.path(name) + "/meta/_SUCCESS"):
+            graph = graph_files.load(spark, self.path(name))
+        if graph is None:
+            index = Index(c["index"], self.metric, c["build_quant"], c["R"], c["L"])
+            graph = index.build(base)
+            self.seconds = index.get_construction_time()
+            if self.folder:
+                graph_files.save(graph, self.path(name), overwrite=True)
+                graph = graph_files.load(spark, self.path(name))
+        self.searcher = Searcher(graph, base, self.metric, c["search_quant"], c["refine_quant"])
+        return self
+
+    def set_query_arguments(self, ef: int) -> None:
+        self.searcher.set_ef(ef)
+
+    def query(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        self.found = self.searcher.batch_search(queries, k or self.config["k"])
+        return self.found
+
+    def sweep(self, queries: DataFrame, truth: DataFrame, to: str | None = None) -> DataFrame:
+        """ef, recall, qps; to: a folder that gets the rows as CSV."""
+        rows = sweep(self.searcher, queries, truth, self.config["k"], self.config["efs"], self.config["runs"])
+        if to:
+            rows.coalesce(1).write.option("header", True).csv(to)
+        return rows

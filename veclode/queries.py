@@ -13,7 +13,9 @@ from .functions import vectors as V
 from .operators import kmeans, knn
 from .operators import quantizers as Q
 
-K, CLUSTERS, EPOCHS, SUB, CODES = 10, 10, 2, 16, 8
+K, CLUSTERS, EPOCHS = 10, 10, 10
+#: A product quantizer's elements a sub-space, centroids in each, rounds.
+SUB, CODES, PQ_EPOCHS = 4, 256, 10
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,20 +141,28 @@ def sql_flat(name: str, metric: str, k: int = K) -> str:
 
 
 def sql_two_stage(name: str, metric: str) -> str:
-    inner = sql_flat(name, metric, int(K * Q.FACTOR[name]))
+    return sql_refined(sql_flat(name, metric, int(K * Q.FACTOR[name])), metric)
+
+
+def sql_refined(inner: str, metric: str) -> str:
+    """Candidates of another query, ranked by exact distances."""
     return f"""WITH f AS ({inner}), e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 d AS (SELECT f.q_id, f.vec_id, {SQL[metric]('a.v', 'b.v')} AS dist FROM f JOIN e a ON a.vec_id = f.q_id JOIN e b ON b.vec_id = f.vec_id),
 r AS (SELECT q_id, (row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id))::INT AS rank, vec_id, dist FROM d) SELECT * FROM r WHERE rank <= {K}"""
 
 
+#: The grid of sums: steps to one, by the largest value and the number of rows.
+GRID = "grid AS (SELECT pow(2.0::DOUBLE, 61 - ceil(log2(max(list_max(list_transform(v, lambda x: abs(x)))))) - ceil(log2(count(*)))) AS u FROM e)"
+
+
 def sql_lloyd(start: str, ctes: list[str], epochs: int) -> tuple[list[str], str]:
     """CTEs a rounds of k-means on part(vec_id, sq, s) from centroids m0(sq, cid, c), and the name of the last."""
-    out, m = [*ctes, start], "m0"
+    out, m = [*ctes, GRID, start], "m0"
     for t in range(1, epochs + 1):
         out += [
-            f"a{t} AS (SELECT vec_id, sq, s, arg_min(cid, (d, cid)) AS cid FROM (SELECT part.*, cid, {sql_l2('s', 'c')} AS d FROM part JOIN {m} USING (sq)) GROUP BY vec_id, sq, s)",
-            f"g{t} AS (SELECT sq, cid, j, sum(floor(s[j] * 1073741824.0 + 0.5)::BIGINT)::DOUBLE / 1073741824.0 / count(*)::DOUBLE AS x FROM (SELECT *, unnest(range(1, len(s) + 1)) AS j FROM a{t}) GROUP BY sq, cid, j)",
-            f"m{t} AS (SELECT m0.sq, m0.cid, coalesce(n.c, list_transform(m0.c, lambda x: 0.0::DOUBLE)) AS c FROM m0 LEFT JOIN (SELECT sq, cid, list(x ORDER BY j) AS c FROM g{t} GROUP BY sq, cid) n ON n.sq = m0.sq AND n.cid = m0.cid)",
+            f"a{t} AS MATERIALIZED (SELECT vec_id, sq, s, arg_min(cid, (d, cid)) AS cid FROM (SELECT part.*, cid, {sql_l2('s', 'c')} AS d FROM part JOIN {m} USING (sq)) GROUP BY vec_id, sq, s)",
+            f"g{t} AS (SELECT sq, cid, j, sum(floor(s[j] * u + 0.5)::BIGINT)::DOUBLE / any_value(u) / count(*)::DOUBLE AS x FROM (SELECT *, unnest(range(1, len(s) + 1)) AS j FROM a{t}), grid GROUP BY sq, cid, j)",
+            f"m{t} AS MATERIALIZED (SELECT m0.sq, m0.cid, coalesce(n.c, list_transform(m0.c, lambda x: 0.0::DOUBLE)) AS c FROM m0 LEFT JOIN (SELECT sq, cid, list(x ORDER BY j) AS c FROM g{t} GROUP BY sq, cid) n ON n.sq = m0.sq AND n.cid = m0.cid)",
         ]
         m = f"m{t}"
     return out, m
@@ -164,7 +174,7 @@ def sql_kmeans() -> tuple[list[str], str]:
 
 def sql_pq() -> tuple[list[str], str]:
     part = f"part AS (SELECT vec_id, sq::INT AS sq, v[sq * {SUB} + 1:sq * {SUB} + {SUB}] AS s FROM (SELECT *, unnest(range(0, len(v) // {SUB})) AS sq FROM e))"
-    return sql_lloyd(f"m0 AS (SELECT sq, (row_number() OVER (PARTITION BY sq ORDER BY vec_id) - 1)::INT AS cid, s AS c FROM part QUALIFY row_number() OVER (PARTITION BY sq ORDER BY vec_id) <= {CODES})", [E, part], EPOCHS)
+    return sql_lloyd(f"m0 AS (SELECT sq, (row_number() OVER (PARTITION BY sq ORDER BY vec_id) - 1)::INT AS cid, s AS c FROM part QUALIFY row_number() OVER (PARTITION BY sq ORDER BY vec_id) <= {CODES})", [E, part], PQ_EPOCHS)
 
 
 # --- queries --------------------------------------------------------------------------------------------------------
@@ -174,8 +184,8 @@ def _clustering(b: DataFrame) -> kmeans.Clustering:
 
 
 def _codebook(b: DataFrame) -> np.ndarray:
-    v = first_rows(b, CODES)
-    return kmeans.lloyd(b.select("vec_id", V.doubles(F.col("embedding")).alias("v")), np.ascontiguousarray(v.reshape(len(v), -1, SUB).transpose(1, 0, 2)), EPOCHS)
+    rows = first_rows(b, CODES)
+    return kmeans.pq_codebook(b, rows.shape[1], SUB, CODES, PQ_EPOCHS, start=rows)
 
 
 def _centroid_rows(spark: SparkSession, c: np.ndarray) -> DataFrame:
@@ -225,7 +235,8 @@ SELECT count(*) AS hits, (SELECT count(DISTINCT q_id) FROM t) AS n_queries, coun
         for chunk in (False, True):
             def limits(b, drop=drop, chunk=chunk):
                 n, d = b.count(), b.select(F.size("embedding")).first()[0]
-                return Q.per_dim_limits(b, d, Q.trim_rank(n, drop), n if chunk else 0)
+                got = Q.per_dim_limits(b, Q.trim_rank(n, drop), d, n if chunk else 0)
+                return b.sparkSession.createDataFrame([(p, *x) for p, x in sorted(got.items())], "pos int, lo double, hi double")  # a row a dimension
 
             add(f"calib_{'chunk' if chunk else 'perdim'}_{name.lower()}", limits, f"WITH {E}, {sql_per_dim(name, chunk)} SELECT pos, lo, hi FROM w")
 
@@ -273,10 +284,18 @@ SELECT count(*) AS hits, (SELECT count(DISTINCT q_id) FROM t) AS n_queries, coun
         add(f"pq_adc_{mm.lower()}", lambda b, mm=mm: knn.flat(query_rows(b), b, K, Q.fit("PQ8", b, mm, codebook=_codebook(b)), others=True),
             sql_knn([*ctes, coded[2:], f"bv AS (SELECT vec_id, flatten(list(c ORDER BY z.sq)) AS v FROM z JOIN {m} ON {m}.sq = z.sq AND {m}.cid = z.cid GROUP BY vec_id)"], "e", "bv", mm))
 
+    def pq_recall(b):
+        """Recall of the product quantizer's own ranking and of its candidates re-ranked."""
+        z, q = Q.fit("PQ8", b, codebook=_codebook(b)), query_rows(b)
+        truth = knn.exact(q, b, K, others=True)
+        return knn.recall(knn.flat(q, b, K, z, others=True), truth, K).withColumn("stage", F.lit("flat")).unionByName(knn.recall(knn.two_stage(q, b, K, "L2", z, others=True), truth, K).withColumn("stage", F.lit("refined")))
+
     def pq_refined(b):
         return knn.two_stage(query_rows(b), b, K, "L2", Q.fit("PQ8", b, codebook=_codebook(b)), others=True)
 
-    add("refine_pq8_l2", pq_refined, None)
+    inner = sql_knn([*ctes, coded[2:], f"bv AS (SELECT vec_id, flatten(list(c ORDER BY z.sq)) AS v FROM z JOIN {m} ON {m}.sq = z.sq AND {m}.cid = z.cid GROUP BY vec_id)"], "e", "bv", "L2", int(K * Q.FACTOR["PQ8"]))
+    add("refine_pq8_l2", pq_refined, sql_refined(inner, "L2"))
+    add("pq_recall", pq_recall, None)
 
     from .operators import graph_queries
 

@@ -19,14 +19,20 @@ FORMATS = ("parquet", "native", "diskann", "nsg", "hnswlib")
 ROWS = "layer int, src long, pos int, dst long"
 
 
-def save(graph: Graph, path: str) -> None:
-    """edges, entries and upper layers under one folder."""
-    graph.edges.write.parquet(f"{path}/edges")
-    graph.entries.write.parquet(f"{path}/entries")
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def save(graph: Graph, path: str, overwrite: bool = False) -> None:
+    """edges, entries and upper layers under one folder; meta comes last, so a graph with it is whole."""
+    mode = "overwrite" if overwrite else "error"
+    graph.edges.write.mode(mode).parquet(f"{path}/edges")
+    graph.entries.write.mode(mode).parquet(f"{path}/entries")
     if graph.upper is not None:
-        graph.upper.write.parquet(f"{path}/upper")
+        graph.upper.write.mode(mode).parquet(f"{path}/upper")
     meta = [(json.dumps({"upper": graph.upper is not None}),)]
-    graph.edges.sparkSession.createDataFrame(meta, "meta string").coalesce(1).write.text(f"{path}/meta")
+    graph.edges.sparkSession.createDataFrame(meta, "meta string").coalesce(1).write.mode(mode).text(f"{path}/meta")
 
 
 def load(spark: SparkSession, path: str, format: str = "parquet") -> Graph:
