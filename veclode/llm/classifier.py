@@ -201,10 +201,10 @@ def label_model(counts: dict[int, int], labellers: int, rounds: int = 200) -> tu
     return post, table, prior
 
 
-def chosen_slots(n: np.ndarray, y: np.ndarray, p: float) -> np.ndarray:
-    """Which slots go with one class beyond chance: n rows have one, y is their sum of posteriors, p the mean of all."""
-    z = (y - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9))
-    return (n >= SEEN) & (np.abs(z) > SURE)
+def beyond_chance(n: str, y: str, p: float) -> Column:
+    """Whether a slot goes with one class: n rows have it, y is their sum of posteriors, p the mean of all rows."""
+    z = (F.col(y) - F.col(n) * p) / F.sqrt(F.greatest(F.col(n) * (p * (1 - p)), F.lit(1e-9)))
+    return (F.col(n) >= SEEN) & (F.abs(z) > SURE)
 
 
 def train(found: list[np.ndarray], votes: np.ndarray, y: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -216,9 +216,10 @@ def train(found: list[np.ndarray], votes: np.ndarray, y: np.ndarray, features: i
     if not len(y):
         return np.zeros(features), np.zeros((k, 3)), 0.0 if features else -30.0
     rows = len(y)
-    row = np.concatenate([np.repeat(np.arange(rows), [len(x) for x in found]), np.repeat(np.arange(rows), k)])
+    each = np.arange(rows, dtype=np.int32)
+    row = np.concatenate([np.repeat(each, [len(x) for x in found]), np.repeat(each, k)])
     vote = votes[:, None] // 3 ** np.arange(k) % 3 + np.arange(k) * 3 + features
-    col = np.concatenate([*found, vote.ravel()]).astype(np.int64)
+    col = np.concatenate([*found, vote.ravel().astype(np.int32)])
     n = features + 3 * k
     x, m, s = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, ROUNDS + 1):  # Adam on all rows, with a small ridge
@@ -298,14 +299,14 @@ def fit(docs: DataFrame, labels: DataFrame):
     rows = written(docs.select("rid", "text").join(F.broadcast(rows), "rid").select("rid", "votes", *TARGETS, F.coalesce("text", F.lit("")).alias("text")).repartition(8, "rid"), "training")
     seen = rows.select("text", *TARGETS).mapInArrow(_seen, "slot long, n0 double, y0 double, n1 double, y1 double").groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n0", "y0", "n1", "y1")])
     mean = rows.agg(*[F.avg(t).alias(t) for t in TARGETS]).first()
-    worth = seen.where("n0 >= {0} or n1 >= {0}".format(SEEN)).toPandas().sort_values("slot")
-    pick = [chosen_slots(worth[f"n{k}"].to_numpy(), worth[f"y{k}"].to_numpy(), mean[t] or 0.0) for k, t in enumerate(TARGETS)]
-    slots = worth["slot"].to_numpy()[pick[0] | pick[1]]
+    tell = [beyond_chance(f"n{k}", f"y{k}", mean[t] or 0.0).alias(t) for k, t in enumerate(TARGETS)]
+    chosen = seen.select("slot", *tell).where(" or ".join(TARGETS)).toPandas().sort_values("slot")
+    slots = chosen["slot"].to_numpy()
     got = rows.mapInArrow(_weighed(spark.sparkContext.broadcast(slots)), "rid long, votes int, quality double, toxic double, found binary").toPandas().sort_values("rid")
-    found, parts = [np.frombuffer(x, np.int32) for x in got["found"]], []
-    for k, t in enumerate(TARGETS):
-        own = (pick[k])[pick[0] | pick[1]]  # a target uses the features that tell on it
-        to = np.where(own, np.cumsum(own) - 1, -1)
+    found, parts = [np.frombuffer(x, np.int32) for x in got.pop("found")], []
+    for t in TARGETS:
+        own = chosen[t].to_numpy(bool)  # a target uses the features that tell on it
+        to = np.where(own, np.cumsum(own) - 1, -1).astype(np.int32)
         use = np.flatnonzero(~np.isnan(got[t].to_numpy(np.float64)))
         w = np.zeros(len(slots))
         w[own], by_vote, bias = train([to[f][to[f] >= 0] for f in (found[i] for i in use)], got["votes"].to_numpy()[use], got[t].to_numpy(np.float64)[use], int(own.sum()))
