@@ -27,6 +27,52 @@ def test_tiny_line_and_ties(spark):
     assert got == [(0, 1, 1, 0.0), (0, 2, 5, 0.0), (0, 3, 0, 1.0), (0, 4, 2, 1.0)]
 
 
+def brute(q, x, k, kind="L2"):
+    """Distances summed in order, ties by id."""
+    out = []
+    for v in q:
+        d = np.zeros(len(x))
+        for j in range(x.shape[1]):
+            d += (v[j] - x[:, j]) ** 2 if kind == "L2" else v[j] * x[:, j]
+        d = d if kind == "L2" else -d
+        out.append([(int(i), float(d[i])) for i in np.lexsort((np.arange(len(x)), d))[:k]])
+    return out
+
+
+def nearest_rows(found):
+    by = {}
+    for r in found.orderBy("q_id", "rank").collect():
+        by.setdefault(r["q_id"], []).append((r["vec_id"], r["dist"]))
+    return [by[k] for k in sorted(by)]
+
+
+def near_ties(r):
+    tiny = np.ones((40, 3)) + np.array([[(40 - i) * 1e-9, 0, 0] for i in range(40)])  # differ far below single precision
+    large = 1e6 + r.normal(size=(60, 3)) * 1e-3  # large norms: the matrix product cancels
+    return np.concatenate((tiny, large, np.repeat(r.normal(size=(5, 3)), 9, axis=0), [[0.0] * 3] * 3))
+
+
+@pytest.mark.parametrize("kind", ["L2", "IP"])
+@pytest.mark.parametrize("blocks", [False, True])
+def test_exact_on_near_ties(spark, monkeypatch, kind, blocks):
+    x = near_ties(np.random.default_rng(7))
+    q = np.concatenate(([[1.0, 1.0, 1.0]], x[40:44] + 1e-4, x[100:103], [[0.0] * 3]))
+    if blocks:  # more queries than are sent: pairs of blocks
+        monkeypatch.setattr(knn, "SENT", 0)
+        monkeypatch.setattr(knn, "BLOCK", 100)
+    queries = table(spark, q).withColumnRenamed("vec_id", "q_id")
+    for k in (3, 12):
+        assert nearest_rows(knn.exact(queries, table(spark, x), k, kind)) == brute(q, x, k, kind)
+
+
+def test_knn_graph_in_blocks(spark, data, monkeypatch):
+    b = G.doubled(table(spark, data))
+    whole = sorted(map(tuple, B.knn_graph(b, 4).collect()))
+    monkeypatch.setattr(knn, "SENT", 0)
+    monkeypatch.setattr(knn, "BLOCK", 2000)
+    assert sorted(map(tuple, B.knn_graph(b, 4).collect())) == whole
+
+
 def test_k_beyond_rows_and_empty(spark):
     b = table(spark, [[0.0], [1.0]])
     q = b.select(F.col("vec_id").alias("q_id"), "embedding")
@@ -75,6 +121,107 @@ def test_order_statistic_narrows(spark, monkeypatch):
         assert kth_smallest(df, "x", k) == float(np.sort(x)[k - 1])
 
 
+@pytest.mark.parametrize("top", [1, 2, 17, 400])
+def test_trimmed_limits_of_each_dimension(spark, top):
+    r = np.random.default_rng(5)
+    x = np.stack([r.normal(size=300), r.integers(0, 4, 300), np.full(300, 2.5), np.exp(r.normal(size=300) * 20)], axis=1)
+    got = Q.per_dim_limits(table(spark, x), top)
+    k = min(top, 300)
+    assert got == {j: (float(np.sort(x[:, j])[k - 1]), float(np.sort(x[:, j])[-k])) for j in range(4)}
+
+
+@pytest.mark.parametrize("scale", [1e-11, 1.0, 1e10])
+def test_means_keep_their_size(spark, data, scale):
+    b = table(spark, data * scale)
+    c = kmeans.Clustering(2, 1, data[:2] * scale).fit(b).centroids
+    near = ((data[:, None] - data[None, :2]) ** 2).sum(2).argmin(1)
+    expected = np.array([data[near == k].mean(0) for k in (0, 1)]) * scale
+    assert np.allclose(c, expected, rtol=1e-9, atol=1e-12 * scale)
+    m = G.medoid(b).first()
+    assert m["ep"] == int(((data - data.mean(0)) ** 2).sum(1).argmin())
+
+
+def test_levels_of_any_id(spark):
+    ids = [0, 1, 2**40, 2**62, -5]
+    got = [r["x"] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(B.level(F.col("i"), 8).alias("x")).collect()]
+    assert all(0 <= x < 20 for x in got)
+    n = spark.range(4000).select(B.level(F.col("id"), 8).alias("x")).groupBy("x").count().collect()
+    assert 3300 < {r["x"]: r["count"] for r in n}[0] < 3700
+
+
+@pytest.mark.parametrize("quant", ["FP16", "BF16", "SQ8U"])
+def test_builds_are_on_what_codes_stand_for(spark, quant):
+    b = table(spark, [[0.1, -0.3], [0.7, 0.2]])
+    rows, _ = B.Index("NSG", quant=quant).vectors(b)
+    got = {r["vec_id"]: r["v"] for r in rows.collect()}
+    if quant == "FP16":
+        assert got[0] == [float(np.float16(0.1)), float(np.float16(-0.3))]
+    elif quant == "BF16":
+        assert got[0] == [0.10009765625, -0.30078125]
+    else:
+        assert all(x == int(x) and 0 <= x <= 127 for v in got.values() for x in v)
+
+
+def test_grown_keeps_the_cap_and_attaches_many_at_once(spark):
+    x = [[float(i), 0.0] for i in range(30)] + [[1000.0 + i, 0.0] for i in range(10)]
+    b = G.doubled(table(spark, x))
+    e = B.knn_graph(b, 1)  # many islands of two
+    ep = spark.createDataFrame([(0,)], "ep long")
+    out = G.grown(e, ep, b, 3)
+    assert G.reachable(out, ep.withColumnRenamed("ep", "vec_id")).count() == 40
+    assert out.groupBy("src").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_hnsw_by_dot_product(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(150, 6)) * r.uniform(0.2, 3.0, size=(150, 1))  # lengths differ, so the metrics do
+    b = table(spark, x)
+    g = B.Index("HNSW", "IP", R=12, L=24).build(b)
+    q = b.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
+    s = Searcher(g, b, "IP")
+    s.set_ef(48)
+    found = s.batch_search(q, 5)
+    assert knn.recall(found, knn.exact(q, b, 5, "IP"), 5).first()["recall"] >= 0.9
+    d = {(a["src"], a["dst"]): a["dist"] for a in g.edges.collect()}
+    assert all(abs(v + x[i] @ x[j]) < 1e-9 for (i, j), v in d.items())
+    n = s.get_last_search_dist_cmps()
+    assert 5 <= n <= 150
+
+
+def test_product_quantizer_recall(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(600, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    b = table(spark, x)
+    z = Q.fit("PQ8", b)
+    assert z.codebook.shape == (4, 256, 4)
+    q = b.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
+    truth = knn.exact(q, b, 10)
+    assert knn.recall(knn.two_stage(q, b, 10, "L2", z), truth, 10).first()["recall"] >= 0.85
+    code = {r["vec_id"]: r["c"] for r in b.select("vec_id", z.encode(F.col("embedding")).alias("c")).collect()}
+    for i in (0, 17, 599):
+        assert code[i] == [int(((z.codebook[s] - x[i, 4 * s : 4 * s + 4]) ** 2).sum(1).argmin()) for s in range(4)]
+
+
+def test_benchmark_keeps_its_index(spark, data, tmp_path):
+    from veclode.operators.searcher import Benchmark
+
+    b = table(spark, data[:80])
+    q = b.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
+    config = {"index": "NSG", "R": 8, "L": 20, "build_quant": "FP32", "efs": [10, 40], "runs": 1, "k": 5}
+    one = Benchmark(config, f"file://{tmp_path}/indexes").fit(b)
+    two = Benchmark(config, f"file://{tmp_path}/indexes").fit(b)
+    assert one.seconds and two.seconds is None
+    rows = two.sweep(q, knn.exact(q, b, 5), f"file://{tmp_path}/sweep")
+    assert [r["ef"] for r in rows.orderBy("ef").collect()] == [10, 40] and spark.read.option("header", True).csv(f"file://{tmp_path}/sweep").count() == 2
+    two.set_query_arguments(40)
+    assert two.query(q).count() == 20
+    g = two.searcher.graph
+    assert g.size() == 80 and g.range() <= 8 and g.degree(0) == g.neighbours(0).count() and g.at(0, 0) == g.neighbours(0).first()["dst"] and g.at(0, 99) is None
+    with pytest.raises(ValueError):
+        Benchmark({"speed": 1})
+
+
 def test_kmeans_empty_cluster_and_plus_plus(spark, data):
     b = table(spark, data)
     c = kmeans.Clustering(2, 1, np.array([data.mean(0), np.full(8, 1e3)])).fit(b)
@@ -102,7 +249,8 @@ def test_index(spark, data, kind):
         assert G.reachable(g.edges, g.entries.select(F.col("ep").alias("vec_id"))).count() == 60
     q = b.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
     found = Searcher(g, b).batch_search(q, 5, others=True)
-    assert knn.recall(found, knn.exact(q, b, 5, others=True), 5).first()["recall"] >= 0.85
+    assert knn.recall(found, knn.exact(q, b, 5, others=True), 5).first()["recall"] >= 0.9
+    assert e and max(sum(a == x for a, _ in e) for x in range(60)) <= 8
 
 
 def test_angle_rule_keeps_right_angles(spark):
