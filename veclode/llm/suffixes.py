@@ -138,6 +138,20 @@ def _phrase_names(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndar
     return out
 
 
+def _chains(x: np.ndarray, size: int, gone: np.ndarray) -> list[np.ndarray]:
+    """Of a text's anchors x: (s, e, lo, hi) for windows lo to hi - 1 that lie in the phrases from anchor s to e, all of which
+    are left; gone: how many before each are not."""
+    if len(x) < 2:
+        return [x[:0]] * 4
+    cut = np.unique(np.concatenate((x, x - (LENGTH - GRAM) + 1, [0, size - LENGTH + 1])))
+    cut = cut[(cut >= 0) & (cut <= size - LENGTH + 1)]
+    lo, hi = cut[:-1], cut[1:]
+    s, e = np.searchsorted(x, lo, "right") - 1, np.searchsorted(x, lo + LENGTH - GRAM)
+    ok = (s >= 0) & (e < len(x))
+    ok[ok] = gone[e[ok] + 1] == gone[s[ok]]
+    return [v[ok] for v in (s, e, lo, hi)]
+
+
 def _phrases(batches):
     """Phrases (rid, i: number of the anchor in its text, names), and chains from anchor i to e that hold the windows lo to
     hi - 1 and whose anchors are all left."""
@@ -148,28 +162,22 @@ def _phrases(batches):
         rid = b.column("rid").to_numpy(zero_copy_only=False)
         d, a, _, _, left = _left(b, raw, ends)
         first = np.searchsorted(d, np.arange(len(ends)))
-        whole = np.flatnonzero((d[1:] == d[:-1]) & left[1:] & left[:-1])
-        h1, h2 = _phrase_names(raw, a[whole], a[whole + 1] + GRAM)
-        gone = np.concatenate(([0], np.cumsum(~left)))
-        chains: list[list[np.ndarray]] = [[], [], [], [], []]
-        for k in range(len(ends) - 1):
-            x, size = a[first[k] : first[k + 1]] - ends[k], ends[k + 1] - ends[k]
-            if len(x) < 2:
-                continue
-            cut = np.unique(np.concatenate((x, x - (LENGTH - GRAM) + 1, [0, size - LENGTH + 1])))
-            cut = cut[(cut >= 0) & (cut <= size - LENGTH + 1)]
-            s, e = np.searchsorted(x, cut[:-1], "right") - 1, np.searchsorted(x, cut[:-1] + LENGTH - GRAM)
-            ok = (s >= 0) & (e < len(x))
-            ok[ok] = gone[first[k] + e[ok] + 1] == gone[first[k] + s[ok]]
-            for out, v in zip(chains, (np.full(int(ok.sum()), rid[k]), s[ok], e[ok], cut[:-1][ok], cut[1:][ok]), strict=True):
-                out.append(v)
-        c = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in chains]
-        n, m = len(whole), len(c[0])
-        both = lambda x, y: pa.concat_arrays([pa.array(x) if x is not None else pa.nulls(n, pa.int32()), y])
-        ints = lambda x: pa.array(x.astype(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [both(rid[d[whole]], pa.array(c[0].astype(np.int64))), both((whole - first[d[whole]]).astype(np.int32), ints(c[1])), *[both(None, ints(x)) for x in c[2:]], *[both(signed(h), pa.nulls(m, pa.int64())) for h in (h1, h2)]],
-            names=["rid", "i", "e", "lo", "hi", "h1", "h2"])
+        for i, j in spans_of(ends):
+            r = np.arange(first[i], max(first[i], first[j] - 1))
+            whole = r[(d[r + 1] == d[r]) & left[r + 1] & left[r]]
+            names2 = _phrase_names(raw[ends[i] : ends[j]], a[whole] - ends[i], a[whole + 1] + GRAM - ends[i])
+            chains = []
+            for k in range(i, j):
+                own = slice(first[k], first[k + 1])
+                found = _chains(a[own] - ends[k], ends[k + 1] - ends[k], np.concatenate(([0], np.cumsum(~left[own]))))
+                chains.append([np.full(len(found[0]), rid[k]), *found])
+            c = [np.concatenate(x).astype(np.int64) for x in zip(*chains, strict=True)]
+            n, m = len(whole), len(c[0])
+            both = lambda x, y: pa.concat_arrays([pa.nulls(n, pa.int32()) if x is None else pa.array(x), y])  # noqa: B023, E731
+            ints = lambda x: pa.array(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [both(rid[d[whole]], pa.array(c[0])), both((whole - first[d[whole]]).astype(np.int32), ints(c[1])), *[both(None, ints(x)) for x in c[2:]], *[both(signed(h), pa.nulls(m, pa.int64())) for h in names2]],
+                names=["rid", "i", "e", "lo", "hi", "h1", "h2"])
 
 
 def _second(x: np.ndarray):
@@ -188,17 +196,17 @@ def _blocks(batches):
         d, a, lo, hi, left = _left(b, raw, ends)
         d, a, lo, hi = d[left], a[left], lo[left], hi[left]
         (x, y), at = _lists(b.column("settled"))
-        own = ends[np.repeat(np.arange(len(ends) - 1), np.diff(at))]
-        m = np.zeros(len(raw) + 1, np.int64)
-        np.add.at(m, x + own, 1)
-        np.add.at(m, y + own, -1)
-        open_ = np.concatenate(([0], np.cumsum(np.cumsum(m)[: len(raw)] == 0)))  # windows in question before each place
         first = np.searchsorted(d, np.arange(len(ends)))
         for i, j in spans_of(ends):
             s = slice(first[i], first[j])
             if s.start == s.stop:
                 continue
             part = raw[ends[i] : ends[j]]
+            own = (ends[i:j] - ends[i])[np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))]
+            m = np.zeros(len(part) + 1, np.int32)
+            np.add.at(m, x[at[i] : at[j]] + own, 1)
+            np.add.at(m, y[at[i] : at[j]] + own, -1)
+            open_ = np.concatenate(([0], np.cumsum(np.cumsum(m)[: len(part)] == 0)))  # windows in question before each place
             n256 = [names(part, 256, values) for values in (BYTES, BYTES2)]
             k0, k1 = (a[s] - hi[s] + 1) // BLOCK, (a[s] - lo[s]) // BLOCK
             n = k1 - k0 + 1
@@ -206,15 +214,15 @@ def _blocks(batches):
             k = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) + k0[r]
             ax, doc, p0 = a[s][r], d[s][r], a[s][r] - k * BLOCK - BLOCK + 1
             u, v = np.maximum(lo[s][r], p0), np.minimum(hi[s][r], p0 + BLOCK)
-            ok = open_[v] > open_[u]
-            k, ax, doc, p0, u, v = (x[ok] for x in (k, ax, doc, p0, u, v))
-            core = [_pair(_name(x, ax - ends[i] - k * BLOCK, CORE), k.astype(np.uint64)) for x in n256]
+            ok = open_[v - ends[i]] > open_[u - ends[i]]
+            k, ax, doc, p0, u, v = (c[ok] for c in (k, ax, doc, p0, u, v))
+            core = [_pair(_name(c, ax - ends[i] - k * BLOCK, CORE), k.astype(np.uint64)) for c in n256]
             whole = (p0 >= ends[doc]) & (p0 + HULL <= ends[doc + 1])
             edge = mix(rid[doc].astype(np.uint64) * M1 + (p0 - ends[doc]).astype(np.uint64) * M2 + k.astype(np.uint64))  # at an edge of its text: like no other
             hull = [edge.copy(), edge.copy()]
-            for x, y in zip(hull, n256, strict=True):
-                x[whole] = _name(y, (p0 - ends[i])[whole], HULL)
-            ints = [pa.array((x - ends[doc]).astype(np.int32)) for x in (p0, u, v)]
+            for c, names_ in zip(hull, n256, strict=True):
+                c[whole] = _name(names_, (p0 - ends[i])[whole], HULL)
+            ints = [pa.array((c - ends[doc]).astype(np.int32)) for c in (p0, u, v)]
             yield pa.RecordBatch.from_arrays([pa.array(rid[doc]), *ints, pa.array(signed(core[0])), _second(core[1]), pa.array(signed(hull[0])), _second(hull[1])], names=["rid", "p0", "lo", "hi", "core", "core2", "hull", "hull2"])
 
 
