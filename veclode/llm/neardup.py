@@ -76,26 +76,27 @@ def _sign(batches):
 
     for b in batches:
         raw, ends = texts(b.column("text"))
-        n, keys, mins = [], [[], []], []
+        n, keys, bands, odds = [], [[], []], [np.zeros((0, BANDED // ROWS), np.uint64)], [np.zeros((0, BITS // 64), np.int64)]
         for i, j in spans_of(ends):
             sets, name, at = _sets(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
             n += [len(s) for s in sets]
-            mins += [_minhash(s) for s in sets]
             for k, x in enumerate((name, mix(name ^ M3))):
                 h = np.zeros(len(x) + 1, np.uint64)
                 np.cumsum(x * _power(BASE, len(x)), out=h[1:])
                 keys[k].append(mix((h[at[1:]] - h[at[:-1]]) * _power(INVERSE, len(x) + 1)[at[:-1]] + np.diff(at).astype(np.uint64)))
-        m = np.array(mins, np.uint64).reshape(-1, HASHES)
-        m = mix(m + np.arange(1, HASHES + 1, dtype=np.uint64) * M1)  # each MinHash with its number
-        band = m[:, :BANDED].reshape(len(m), BANDED // ROWS, ROWS)
-        bands = band[:, :, 0]
-        for r in range(1, ROWS):
-            bands = mix(bands * M1 + band[:, :, r])
-        bit = (m >> np.uint64(40)).astype(np.int64) % BITS + np.arange(len(m))[:, None] * BITS
-        odd = np.packbits((np.bincount(bit.ravel(), minlength=len(m) * BITS) & 1).astype(np.uint8)).view(np.int64)
-        lists = lambda x, k: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * k), pa.array(x.ravel()))
+            for s in range(0, len(sets), 256):
+                m = np.array([_minhash(x) for x in sets[s : s + 256]], np.uint64)
+                m = mix(m + np.arange(1, HASHES + 1, dtype=np.uint64) * M1)  # each MinHash with its number
+                band = m[:, :BANDED].reshape(len(m), BANDED // ROWS, ROWS)
+                one = band[:, :, 0]
+                for r in range(1, ROWS):
+                    one = mix(one * M1 + band[:, :, r])
+                bands.append(one)
+                bit = (m >> np.uint64(40)).astype(np.int64) % BITS + np.arange(len(m))[:, None] * BITS
+                odds.append(np.packbits((np.bincount(bit.ravel(), minlength=len(m) * BITS) & 1).astype(np.uint8)).view(np.int64).reshape(len(m), -1))
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
         yield pa.RecordBatch.from_arrays(
-            [b.column("rid"), b.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(signed(np.concatenate(k)) if k else [], pa.int64()) for k in keys], lists(signed(np.ascontiguousarray(bands)), BANDED // ROWS), lists(odd, BITS // 64)],
+            [b.column("rid"), b.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(signed(np.concatenate(k)) if k else [], pa.int64()) for k in keys], lists(signed(np.concatenate(bands))), lists(np.concatenate(odds))],
             names=["rid", "doc_id", "n", "k1", "k2", "bands", "sketch"])
 
 
