@@ -214,7 +214,7 @@ def train(found: list[np.ndarray], votes: np.ndarray, y: np.ndarray, features: i
     """
     k = len(HEURISTICS)
     if not len(y):
-        return np.zeros(features), np.zeros((k, 3)), 0.0 if features else -30.0
+        return np.zeros(features), np.zeros((k, 3)), -30.0
     rows = len(y)
     each = np.arange(rows, dtype=np.int32)
     row = np.concatenate([np.repeat(each, [len(x) for x in found]), np.repeat(each, k)])
@@ -231,6 +231,29 @@ def train(found: list[np.ndarray], votes: np.ndarray, y: np.ndarray, features: i
     return x[:features], x[features:n].reshape(k, 3), float(x[n])
 
 
+def _trained(own: list[np.ndarray]):
+    """Weights of each target from all training rows; own: which features a target uses."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        votes, y, found = [], [], []
+        for b in batches:
+            votes.append(b.column("votes").to_numpy(zero_copy_only=False))
+            y.append([b.column(t).to_numpy(zero_copy_only=False) for t in TARGETS])
+            found += [np.frombuffer(x.as_buffer(), np.int32).copy() for x in b.column("found")]
+        votes = np.concatenate([np.zeros(0, np.int64), *votes]).astype(np.int64)
+        for k in range(len(TARGETS)):
+            p = np.concatenate([np.zeros(0), *[x[k] for x in y]])
+            to = np.where(own[k], np.cumsum(own[k]) - 1, -1).astype(np.int32)
+            use = np.flatnonzero(~np.isnan(p))
+            w = np.zeros(len(to))
+            w[own[k]], by_vote, bias = train([to[f][to[f] >= 0] for f in (found[i] for i in use)], votes[use], p[use], int(own[k].sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([by_vote.ravel().tolist()], pa.list_(pa.float64())), pa.array([bias])], names=["target", "weights", "by_vote", "bias"])
+
+    return run
+
+
 def scores(model, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """[target][text] log odds of bad; model: slots and, for each target, their weights, weights of votes and bias."""
     slots, parts = model
@@ -302,15 +325,11 @@ def fit(docs: DataFrame, labels: DataFrame):
     tell = [beyond_chance(f"n{k}", f"y{k}", mean[t] or 0.0).alias(t) for k, t in enumerate(TARGETS)]
     chosen = seen.select("slot", *tell).where(" or ".join(TARGETS)).toPandas().sort_values("slot")
     slots = chosen["slot"].to_numpy()
-    got = rows.mapInArrow(_weighed(spark.sparkContext.broadcast(slots)), "rid long, votes int, quality double, toxic double, found binary").toPandas().sort_values("rid")
-    found, parts = [np.frombuffer(x, np.int32) for x in got.pop("found")], []
-    for t in TARGETS:
-        own = chosen[t].to_numpy(bool)  # a target uses the features that tell on it
-        to = np.where(own, np.cumsum(own) - 1, -1).astype(np.int32)
-        use = np.flatnonzero(~np.isnan(got[t].to_numpy(np.float64)))
-        w = np.zeros(len(slots))
-        w[own], by_vote, bias = train([to[f][to[f] >= 0] for f in (found[i] for i in use)], got["votes"].to_numpy()[use], got[t].to_numpy(np.float64)[use], int(own.sum()))
-        parts.append((w, by_vote, bias if len(use) else -30.0))
+    own = [chosen[t].to_numpy(bool) for t in TARGETS]  # a target uses the features that tell on it
+    # One task holds the training rows, whose number is bounded, as numbers of weighed features; the driver gets weights.
+    got = rows.mapInArrow(_weighed(spark.sparkContext.broadcast(slots)), "rid long, votes int, quality double, toxic double, found binary")
+    got = got.repartition(1).sortWithinPartitions("rid").mapInArrow(_trained(own), "target int, weights array<double>, by_vote array<double>, bias double")
+    parts = [(np.array(r["weights"]), np.array(r["by_vote"]).reshape(-1, 3), r["bias"]) for r in got.orderBy("target").collect()]
     return post, votes, (slots, parts)
 
 
