@@ -54,3 +54,11 @@ def test_datasets(spark, tmp_path):
         datasets.dataset(spark, "x")
     with pytest.raises(ValueError):
         datasets.validated(spark.createDataFrame([(0, [1.0]), (0, [1.0, 2.0])], "vec_id long, embedding array<double>"))
+
+
+def test_build_graph_saves_what_it_built(spark, tmp_path):
+    b = spark.createDataFrame([(i, [float(i % 5), float(i // 5)]) for i in range(20)], "vec_id long, embedding array<double>")
+    assert graph_files.build_graph(b, "HNSW", f"file://{tmp_path}/h", R=8, L=8) > 0
+    g = graph_files.load(spark, f"file://{tmp_path}/h")
+    assert g.edges.select("src").distinct().count() == 20 and g.entries.count() == 1
+    assert {r["layer"] for r in g.upper.collect()} <= {1, 2, 3} if g.upper is not None else True

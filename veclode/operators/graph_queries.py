@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..plans.scratch import written
+from ..plans.scratch import scratch_dir, written
 from . import builders as B
 from . import graph as G
 from . import knn
@@ -31,6 +33,15 @@ def _exhaustive(b: DataFrame) -> DataFrame:
     return G.search(g, _q(b), b, K, ef=b.count(), others=True)
 
 
+def _stored(b: DataFrame) -> DataFrame:
+    """The edges of a graph that was saved and loaded."""
+    from ..sources import graph_files
+
+    path = f"{scratch_dir(b.sparkSession)}/veclode/graph-{uuid.uuid4().hex}"
+    graph_files.save(G.Graph(_knn(b), G.medoid(b).select("ep")), path)
+    return graph_files.load(b.sparkSession, path).edges
+
+
 def _levels(b: DataFrame) -> DataFrame:
     return b.select("vec_id", B.level(F.col("vec_id"), DEGREE // 2).alias("level"))
 
@@ -125,6 +136,7 @@ SELECT src, (i - 1)::INT AS pos, kept[i] AS dst, dists[i] AS dist FROM (SELECT *
 def entries():
     return [
         ("knn_graph", _knn, f"WITH {E}, {_near(K)} SELECT src, (row_number() OVER (PARTITION BY src ORDER BY dist, dst) - 1)::INT AS pos, dst, dist FROM g"),
+        ("graph_stored", _stored, f"WITH {E}, {_near(K)} SELECT src, (row_number() OVER (PARTITION BY src ORDER BY dist, dst) - 1)::INT AS pos, dst, dist FROM g"),
         ("reverse_edges", lambda b: G.lists(G.reversed_edges(_knn(b)), 5), f"WITH {E}, {_near(K)}, r AS (SELECT dst AS src, (row_number() OVER (PARTITION BY dst ORDER BY dist, src) - 1)::INT AS pos, src AS dst, dist FROM g) SELECT * FROM r WHERE pos < 5"),
         ("degree_stats", lambda b: G.degree_statistics(G.reversed_edges(_knn(b)), b), f"WITH {E}, {_near(K)}, n AS (SELECT e.vec_id, count(g.src) AS n FROM e LEFT JOIN g ON g.dst = e.vec_id GROUP BY 1) SELECT min(n) AS min_degree, max(n) AS max_degree, avg(n) AS avg_degree FROM n"),
         ("medoid", G.medoid, f"WITH {E}, {MEDOID} SELECT ep, dist FROM ep"),

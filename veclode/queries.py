@@ -3,6 +3,7 @@ by 20 as a query, against all rows, without itself."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -297,6 +298,22 @@ SELECT count(*) AS hits, (SELECT count(DISTINCT q_id) FROM t) AS n_queries, coun
     add("refine_pq8_l2", pq_refined, sql_refined(inner, "L2"))
     add("pq_recall", pq_recall, None)
 
+    def stored(b):
+        """The rows as a named data set in a folder: base, queries and the true neighbours."""
+        from .plans.scratch import scratch_dir
+        from .sources import datasets
+
+        folder = f"{scratch_dir(b.sparkSession)}/veclode/sets-{uuid.uuid4().hex}"
+        rows = datasets.validated(scaled(b))
+        rows.write.parquet(f"{folder}/lastfm-64-dot/base")
+        query_rows(rows).write.parquet(f"{folder}/lastfm-64-dot/queries")
+        d = datasets.dataset(b.sparkSession, "lastfm-64-dot", folder)
+        knn.exact(d.get_queries(), d.get_database(), 2 * K, d.metric, others=True).write.parquet(f"{folder}/lastfm-64-dot/truth")
+        return d
+
+    add("dataset_database", lambda b: stored(b).get_database().select("vec_id", F.col("embedding").alias("unit")), f"WITH {SCALED}, {UNIT} SELECT vec_id, v AS unit FROM u")
+    add("dataset_groundtruth", lambda b: stored(b).get_groundtruth(K), sql_knn([SCALED, UNIT], "u", "u", "IP"))
+
     from .operators import graph_queries
 
     for name, f, sql in graph_queries.entries():
