@@ -47,10 +47,13 @@ def write(path, documents, item, empty=False):
     put = lambda n, rows, schema: pq.write_table(pa.Table.from_pylist([] if empty else rows, schema), path / f"{n}.parquet")
     put("documents", documents, doc)
     labels = [{"doc_id": 17, "quality": 0, "toxic": 0}, {"doc_id": 18, "quality": 1, "toxic": 1}, {"doc_id": 6, "quality": 1, "toxic": 0}, {"doc_id": 6, "quality": 1, "toxic": None}, {"doc_id": None, "quality": 0, "toxic": 0}, {"doc_id": 999, "quality": 0, "toxic": 1}]
-    put("labels", labels, pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())]))
-    put("benchmark", [{"item_id": 1, "text": item}, {"item_id": 2, "text": None}, {"item_id": 3, "text": "too short"}, {"item_id": 1, "text": item}], pa.schema([("item_id", pa.int64()), ("text", pa.string())]))
-    turns = [{"conv_id": c, "turn": k, "role": x, "text": y} for c, k, x, y in [(1, 1, "assistant", "b<c>\\"), (1, 0, "user", "hi"), (1, 1, "assistant", "b<c>\\"), (2, 0, None, None), (None, None, "assistant", ""), (3, 0, "user", "</turn>\n<turn assistant>x"), (3, 1, "a<>\n", "é")]]
-    put("conversations", turns, pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]))
+    # further columns whose names operators use themselves
+    labels = [x | {"rid": 1, "pattern": 2, "votes": 3, "labelled": "x", "text": "y", "bad": 1, "q": 0.5} for x in labels]
+    put("labels", labels, pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32()), ("rid", pa.int64()), ("pattern", pa.int64()), ("votes", pa.int64()), ("labelled", pa.string()), ("text", pa.string()), ("bad", pa.int64()), ("q", pa.float64())]))
+    items = [{"item_id": i, "text": x, "rid": 7, "iid": 7, "nr": 7, "same": "z", "h": 1} for i, x in ((1, item), (2, None), (3, "too short"), (1, item))]
+    put("benchmark", items, pa.schema([("item_id", pa.int64()), ("text", pa.string()), ("rid", pa.int64()), ("iid", pa.int64()), ("nr", pa.int64()), ("same", pa.string()), ("h", pa.int64())]))
+    turns = [{"conv_id": c, "turn": k, "role": x, "text": y, "seq": 9, "segment": "s", "context": 9, "n_context": 9} for c, k, x, y in [(1, 1, "assistant", "b<c>\\"), (1, 0, "user", "hi"), (1, 1, "assistant", "b<c>\\"), (2, 0, None, None), (None, None, "assistant", ""), (3, 0, "user", "</turn>\n<turn assistant>x"), (3, 1, "a<>\n", "é")]]
+    put("conversations", turns, pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("seq", pa.int64()), ("segment", pa.string()), ("context", pa.int64()), ("n_context", pa.int64())]))
     return str(path)
 
 
@@ -341,6 +344,20 @@ def test_op10_targets_and_seats(spark):
     assert max(shards.values()) - min(shards.values()) <= 1
 
 
+def test_texts_longer_than_what_is_read_at_a_time(spark, tmp_path_factory):
+    r = random.Random(11)
+    long = prose(r, 240_000) + " to" + "ken=abcdef1 " + prose(r, 20)
+    assert len(long.encode()) > 1 << 20
+    rows = [(1, long), (2, long + " and a tail"), (3, long[500_000:502_000]), (4, prose(r, 50)), (5, None)]
+    sf = write(tmp_path_factory.mktemp("t") / "long", [{"doc_id": d, "text": t, "source": "s"} for d, t in rows], "an item of some words")
+    assert got(spark, "op1", sf, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]) == Counter((d, *brute.op1(t)) for d, t in rows)
+    assert got(spark, "op5", sf, ["n_words", "n_removed", "kept_sha256"]) == Counter((d, *x) for (d, _), x in zip(rows, brute.op5(rows), strict=True))
+    assert got(spark, "op7", sf, ["n_assign", "n_access", "n_hex", "base_sha256"]) == Counter((d, *brute.op7(t)) for d, t in rows)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in Q[FIND["op8"]](spark, sf).collect()} == {d: (n, c if n else d) for (d, _), (n, c, _) in zip(rows, brute.op8(rows), strict=True)}
+    removed = {x["doc_id"]: x["n_removed"] for x in Q[FIND["op2"]](spark, sf).collect()}
+    assert removed == {1: len(long.encode()), 2: len(long.encode()), 3: len(rows[2][1].encode()), 4: 0, 5: 0}
+
+
 @pytest.mark.parametrize("name", sorted(Q))
 def test_empty_tables(spark, nothing, name):
     assert Q[name](spark, nothing).count() == (1 if name.startswith("op6") else 0)
