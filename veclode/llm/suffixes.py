@@ -271,12 +271,14 @@ def _bucketed_places(places: DataFrame, key: list[str]) -> DataFrame:
     return written(places.join(often, key).select("n", "rid", "i", F.col("_pointer").alias("bucket")), "places")
 
 
-def refined(phrases: DataFrame):
+def refined(phrases: DataFrame, chains: DataFrame):
     """Rounds of refinement over phrases (n, rid, i, h1, h2): yields k = 1, 2, 4 ... and (n, rid, i, bucket) of all
-    places whose k phrases are met again, until there are none."""
-    k, level = 1, _bucketed_places(phrases, ["h1", "h2"])
+    places whose k phrases are met again. A text takes part as long as it has chains (rid, i, e) of 2k phrases or more; texts
+    that have a chain in common have it both, so none loses its partner."""
+    k, level, long = 1, _bucketed_places(phrases, ["h1", "h2"]), chains.select("rid", (F.col("e") - F.col("i")).alias("m"))
     while level.limit(1).count():
         yield k, level
+        level = level.join(long.where(F.col("m") >= 2 * k).select("rid").distinct(), "rid", "left_semi")
         later = level.select("rid", (F.col("i") - k).alias("i"), F.col("bucket").alias("later"))
         level, k = _bucketed_places(level.join(later, ["rid", "i"]), ["bucket", "later"]), 2 * k
 
@@ -285,16 +287,19 @@ def settled(rows: DataFrame) -> DataFrame:
     """(rid, lo, hi, lead): windows in chains of phrases that are met again; lead: the one of its bucket that stands for all.
     rows: (n, rid, i, e, lo, hi, h1, h2), phrases where e is null, else chains."""
     chains, none = rows.where("e is not null"), "rid long, lo int, hi int, lead boolean"
-    longest = chains.agg(F.max(F.col("e") - F.col("i"))).first()[0] or 0
+    # A window has at most LENGTH phrases: a handful of powers of two.
+    powers = {r["k"] for r in chains.select(F.expr("bigint(shiftleft(1L, int(floor(log2(e - i)))))").alias("k")).distinct().collect()}
     out = rows.sparkSession.createDataFrame([], none)
-    for k, level in refined(rows.where("e is null").select("n", "rid", "i", "h1", "h2")):
+    for k, level in refined(rows.where("e is null").select("n", "rid", "i", "h1", "h2"), chains):
+        if k not in powers:
+            continue
         own = chains.where((F.col("e") - F.col("i") >= k) & (F.col("e") - F.col("i") < 2 * k))
         own = own.join(level.select("rid", "i", F.col("bucket").alias("b1")), ["rid", "i"])
         own = own.join(level.select("rid", (F.col("i") + k).alias("e"), F.col("bucket").alias("b2")), ["rid", "e"])
         own = written(own.select("n", "rid", "lo", "hi", (F.col("e") - F.col("i")).alias("m"), "b1", "b2"), "chains")
         often = written(own.groupBy("m", "b1", "b2").agg(F.count(F.lit(1)).alias("_n"), F.min("n").alias("_first")).where("_n > 1"), "often")
         out = out.unionByName(own.join(often, ["m", "b1", "b2"]).select("rid", "lo", "hi", (F.col("n") == F.col("_first")).alias("lead")))
-        if 2 * k > longest:  # a window has no longer chain
+        if k == max(powers):
             break
     return written(out, "settled")
 
