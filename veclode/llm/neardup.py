@@ -6,7 +6,8 @@
   MinHashes agree: ``J = 1 + n / (4 k) * ln(1 - 2 ones / n)``. Pairs whose estimate lies more than five deviations
   below the threshold are let go, as are those whose sets differ too much in size.
 * Rounds of stars: in every bucket that holds several components a hub, from another component than the last round's, is
-  compared with the nodes of all others; confirmed links join components, until a round finds none.
+  compared with the nodes of all others; confirmed links join components, as long as a round links one in ``PAYS`` of
+  the nodes in such buckets. The number of rounds decides nothing but the work that is left to the next step.
 * In buckets that still hold several components, nodes of different components are compared, block by block. A bucket of
   more than ``HOT`` nodes, as one very common passage makes it, is split by the nodes' other buckets first: only nodes that
   share another band as well meet (a pair at 85 % shares no other with probability 5e-8, one at 80 % with 6e-6).
@@ -29,7 +30,7 @@ SHINGLE, PERCENT = 5, 85
 HASHES, BANDED, ROWS, BITS = 1024, 96, 4, 4096
 #: Deviations above the expected ones in the XOR of two sketches from which a pair is let go.
 DEVIATIONS = 5.6
-BLOCK, HOT = 512, 1024
+BLOCK, HOT, PAYS = 4096, 1024, 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _A = (mix(np.arange(1, HASHES + 1, dtype=np.uint64) * M2) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -147,15 +148,15 @@ def _pairs_across(batches, percent: int):
     def pairs(rid, comp, block, n, split, sk, bands, bucket, i, j):
         left, right = (np.arange(len(rid)),) * 2 if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
         out_a, out_b = [], []
-        for c in range(0, len(left), 256):
-            x = left[c : c + 256]
-            ok = comp[x][:, None] != comp[right][None, :]
-            ok &= percent * np.maximum(n[x][:, None], n[right][None, :]) <= 100 * np.minimum(n[x][:, None], n[right][None, :])
+        for c, e in ((c, e) for c in range(0, len(left), 256) for e in range(0, len(right), 256)):
+            x, y = left[c : c + 256], right[e : e + 256]
+            ok = comp[x][:, None] != comp[y][None, :]
+            ok &= percent * np.maximum(n[x][:, None], n[y][None, :]) <= 100 * np.minimum(n[x][:, None], n[y][None, :])
             if i == j:
-                ok &= x[:, None] < right[None, :]
+                ok &= x[:, None] < y[None, :]
             u, v = np.nonzero(ok)
-            ones = np.bitwise_count((sk[x[u]] ^ sk[right[v]]).view(np.uint64)).sum(axis=1)
-            u, v = x[u[ones < most]], right[v[ones < most]]
+            ones = np.bitwise_count((sk[x[u]] ^ sk[y[v]]).view(np.uint64)).sum(axis=1)
+            u, v = x[u[ones < most]], y[v[ones < most]]
             first = (bands[u] == bands[v]).argmax(axis=1)
             own = (bands[u, first] == bucket) | split[u]
             a, b = rid[u[own]], rid[v[own]]
@@ -241,12 +242,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         p = p.join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b")
         return written(p.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
-    comps = written(nodes.select(F.col("rid").alias("node"), F.col("rid").alias("comp")), "comps")
-    hubs = None
-    while True:
+    def still_open(comps: DataFrame) -> DataFrame:
+        """Members (bucket, size, rid, comp) of buckets that hold several components."""
         m = member.join(comps.withColumnRenamed("node", "rid"), "rid")
         split = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        m = written(m.join(split, "bucket"), "open")
+        return written(m.join(split, "bucket"), "open")
+
+    comps, hubs = nodes.select(F.col("rid").alias("node"), F.col("rid").alias("comp")), None
+    m = still_open(comps)
+    while True:
         fresh = m
         if hubs is not None:  # not from the component of the last hub
             last = hubs.join(comps.select(F.col("node").alias("hub"), F.col("comp").alias("last")), "hub").select("bucket", "last")
@@ -256,10 +260,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         stars = stars.join(side("a"), "a").join(side("b"), "b")
         stars = stars.where(F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100).where(_ones(F.col("sa"), F.col("sb")) < most_ones(percent)).select("a", "b")
         links = confirmed(stars)
-        if not links.limit(1).count():
+        found, before = links.count(), m.count()
+        if found:
+            comps, hubs = joined(comps, links), hubs.drop("hub_comp")
+            m = still_open(comps)
+        if found * PAYS <= before:  # the rest is compared at once, whatever is left
             break
-        comps = joined(comps, links)
-        hubs = hubs.drop("hub_comp")
 
     # m holds the buckets with several components still. Hot ones are split by the other bands of their nodes.
     hot = m.where(F.col("size") > HOT).select("bucket", "rid", "comp")
