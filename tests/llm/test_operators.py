@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline on awkward tables, against plain Python."""
+"""The operators and the pipeline on awkward tables, against plain Python."""
 
 import hashlib
 import random
@@ -54,6 +54,12 @@ def write(path, documents, item, empty=False):
     put("benchmark", items, pa.schema([("item_id", pa.int64()), ("text", pa.string()), ("rid", pa.int64()), ("iid", pa.int64()), ("nr", pa.int64()), ("same", pa.string()), ("h", pa.int64())]))
     turns = [{"conv_id": c, "turn": k, "role": x, "text": y, "seq": 9, "segment": "s", "context": 9, "n_context": 9} for c, k, x, y in [(1, 1, "assistant", "b<c>\\"), (1, 0, "user", "hi"), (1, 1, "assistant", "b<c>\\"), (2, 0, None, None), (None, None, "assistant", ""), (3, 0, "user", "</turn>\n<turn assistant>x"), (3, 1, "a<>\n", "é")]]
     put("conversations", turns, pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("seq", pa.int64()), ("segment", pa.string()), ("context", pa.int64()), ("n_context", pa.int64())]))
+    inf, nan = float("inf"), float("nan")
+    vectors = [[(i * 7 + j * j) % 23 / 11 - 1 for j in range(64)] for i in range(40)]
+    vectors += [vectors[3], vectors[3], None, [], [0.5] * 63, [0.5] * 65, [nan] + [0.0] * 63, [0.0] * 63 + [-inf], [None] + [0.0] * 63]
+    rows = [{"vec_id": i, "embedding": x} for i, x in enumerate(vectors)] + [{"vec_id": 3, "embedding": vectors[9]}, {"vec_id": None, "embedding": vectors[8]}, {"vec_id": None, "embedding": vectors[7]}]
+    rows = [x | {"label": 1, "v": "own", "cluster": 9, "n": 1, "distance": "x"} for x in rows]
+    put("embeddings", rows, pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float64())), ("label", pa.int32()), ("v", pa.string()), ("cluster", pa.int32()), ("n", pa.int64()), ("distance", pa.string())]))
     return str(path)
 
 

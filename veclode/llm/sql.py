@@ -1,6 +1,7 @@
 """DuckDB SQL of the operators that SQL can express on whole tables; tests hold the others against plain Python."""
 
 from . import mixing
+from .centroids import OP11_SQL
 from .chat import OP6_SQL
 
 WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -59,4 +60,4 @@ SELECT doc_id, size, source_size, target, (CASE WHEN source_size > 0 THEN won //
 FROM z JOIN q ON q.source IS NOT DISTINCT FROM z.source
 """
 
-ORACLES = {"op2_suffix_dedup": OP2_SQL, "op5_fingerprint_dedup": OP5_SQL, "op6_chat": OP6_SQL, "op8_near_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
+ORACLES = {"op2_suffix_dedup": OP2_SQL, "op5_fingerprint_dedup": OP5_SQL, "op6_chat": OP6_SQL, "op8_near_dedup": OP8_SQL, "op10_mixing": OP10_SQL, "op11_centroids": OP11_SQL}
