@@ -5,6 +5,7 @@ Arithmetic is in double. Distances are smaller-is-better: squared L2, negated do
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +14,28 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def sound(v: Column, width: int) -> Column:
+    """v as doubles, or an error if it is null, of another length than width or has an element that isn't a finite number."""
+    x = doubles(v)
+    good = v.isNotNull() & (F.size(v) == width) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    said = F.concat(F.lit(f"a vector is not {width} finite numbers: "), F.coalesce(v.cast("string").substr(1, 100), F.lit("null")))
+    return F.when(F.coalesce(good, F.lit(False)), x).otherwise(F.raise_error(said).cast("array<double>"))
+
+
+def matrix(column, width: int) -> np.ndarray:
+    """The vectors of an Arrow list column as rows; an error says how many are null, of another length than width or have
+    an element that isn't a finite number."""
+    x = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    flat = x.flatten().to_numpy(zero_copy_only=False)
+    if not x.null_count and len(flat) == len(x) * width and (not len(x) or (np.diff(x.offsets.to_numpy()) == width).all()) and np.isfinite(flat.sum()):
+        return flat.reshape(-1, width)
+    rows = [v.as_py() for v in x]
+    bad = sum(v is None or len(v) != width or not all(e is not None and np.isfinite(e) for e in v) for v in rows)
+    if bad:
+        raise ValueError(f"{bad} of {len(rows)} vectors are not {width} finite numbers")
+    return np.array(rows, np.float64).reshape(-1, width)
+
+
 def l2(a: Column, b: Column) -> Column:
     """Squared Euclidean distance."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)

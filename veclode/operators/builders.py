@@ -194,7 +194,7 @@ class Index:
         """What the graph is built on, (vec_id, v): the vectors that codes stand for, and their metric."""
         metric = self.metric if self.kind == "HNSW" else "L2"
         z = Q.fit(self.quant, base, "IP" if self.quant == "SQ1" else metric)
-        v = V.doubles(F.col("embedding"))
+        v = V.sound(F.col("embedding"), z.dim)
         return base.select("vec_id", z.code_vector(z.encode(v)).alias("v")), z.kind
 
     def build(self, base: DataFrame) -> G.Graph:

@@ -190,7 +190,7 @@ def groups(batches, key: str, columns: tuple[str, ...]):
         cols = []
         for c in (key, *columns):
             x = b.column(c)
-            cols.append(x.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if c == "v" else x.to_numpy(zero_copy_only=False))
+            cols.append(V.matrix(x, x.value_lengths()[0].as_py() or 0) if c == "v" else x.to_numpy(zero_copy_only=False))
         cut = np.concatenate(([0], np.flatnonzero(np.diff(cols[0])) + 1, [b.num_rows]))
         for s, e in zip(cut[:-1], cut[1:], strict=True):
             if now is not None and cols[0][s] != now:

@@ -22,6 +22,8 @@ from ..functions import vectors as V
 def unit(base: DataFrame) -> float:
     """The grid's steps to one: a power of two so that the values of all rows (v) fit a 64-bit sum."""
     r = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("m")).first()
+    if not np.isfinite(r["m"] or 0.0):
+        raise ValueError("vectors have elements that aren't finite")
     return steps(r["m"] or 0.0, r["n"])
 
 
@@ -49,7 +51,8 @@ def _codes(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _rows_of(b, c: np.ndarray) -> np.ndarray:
     n, _, sd = c.shape
-    return b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)[:, : n * sd].reshape(b.num_rows, n, sd)
+    lengths = b.column("v").value_lengths()
+    return V.matrix(b.column("v"), max(lengths[0].as_py() or 0, n * sd))[:, : n * sd].reshape(b.num_rows, n, sd)
 
 
 def _lists(x: np.ndarray):

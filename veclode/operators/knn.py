@@ -79,17 +79,12 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(self.q_id[np.nonzero(ok)[0]]), pa.array(self.i[ok]), pa.array(self.d[ok])], names=["q_id", "vec_id", "dist"])
 
 
-def _matrix(column, width: int) -> np.ndarray:
-    x = column.combine_chunks() if hasattr(column, "combine_chunks") else column
-    return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if len(x) else np.zeros((0, width))
-
-
 def _nearest_of_partition(sent, k: int, kind: str, others: bool):
     def run(batches):
         q_id, q = sent.value
         best = _Best(q_id, q, k, kind, others)
         for b in batches:
-            best.add(b.column("vec_id").to_numpy(zero_copy_only=False), _matrix(b.column("v"), q.shape[1]))
+            best.add(b.column("vec_id").to_numpy(zero_copy_only=False), V.matrix(b.column("v"), q.shape[1]))
         yield best.batch()
 
     return run
@@ -99,8 +94,8 @@ def _nearest_of_block(width: int, k: int, kind: str, others: bool):
     def run(key, queries, base):
         import pyarrow as pa
 
-        best = _Best(queries.column("q_id").to_numpy(), _matrix(queries.column("v"), width), k, kind, others)
-        best.add(base.column("vec_id").to_numpy(), _matrix(base.column("v"), width))
+        best = _Best(queries.column("q_id").to_numpy(), V.matrix(queries.column("v"), width), k, kind, others)
+        best.add(base.column("vec_id").to_numpy(), V.matrix(base.column("v"), width))
         return pa.Table.from_batches([best.batch()])
 
     return run
@@ -116,7 +111,9 @@ FOUND = "q_id long, vec_id long, dist double"
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, kind: str = "L2", others: bool = False) -> DataFrame:
-    """q_id, rank, vec_id, dist of the k nearest base rows (vec_id, v) of each query (q_id, v); v: array of finite doubles.
+    """q_id, rank, vec_id, dist of the k nearest base rows (vec_id, v) of each query (q_id, v).
+
+    v: arrays of finite doubles, all of one length; any other is an error that says how many there are.
 
     A query set of up to SENT bytes, which is counted first, goes to all tasks, and each partition of the base keeps its
     k best. A larger one stays where it is: both sides are cut into blocks by hash, every pair of blocks is one
@@ -130,8 +127,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, kind: str = "L2", other
     if not n:
         return ranked(queries.select("q_id", F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("dist")), k)
     if n * width * 8 <= SENT:
-        part = queries.select("q_id", "v").toPandas()
-        sent = spark.sparkContext.broadcast((part["q_id"].to_numpy(np.int64), np.array(part["v"].tolist(), np.float64).reshape(n, width)))
+        part = queries.select("q_id", "v").toArrow()
+        sent = spark.sparkContext.broadcast((part["q_id"].to_numpy(), V.matrix(part["v"], width)))
         return ranked(base.select("vec_id", "v").mapInArrow(_nearest_of_partition(sent, k, kind, others), FOUND), k)
     blocks = lambda rows: max(1, -(-rows * width * 8 // BLOCK))
     of_q, of_b = blocks(n), blocks(base.count())

@@ -34,9 +34,10 @@ def trim_rank(n: int, ratio: float) -> int:
     return int(np.float32(n) * np.float32(ratio)) + 1
 
 
-def elements(df: DataFrame) -> DataFrame:
-    """A row an element: vec_id, pos, x."""
-    return df.select("vec_id", F.posexplode(V.doubles(F.col("embedding"))).alias("pos", "x"))
+def elements(df: DataFrame, dim: int = 0) -> DataFrame:
+    """A row an element: vec_id, pos, x. dim: another length, or an element that isn't finite, is an error."""
+    v = F.col("embedding")
+    return df.select("vec_id", F.posexplode(V.sound(v, dim) if dim else V.doubles(v)).alias("pos", "x"))
 
 
 def _prefix(df: DataFrame, dim: int, ratio: float) -> tuple[DataFrame, int]:
@@ -44,10 +45,10 @@ def _prefix(df: DataFrame, dim: int, ratio: float) -> tuple[DataFrame, int]:
     n = df.count()
     take = int(np.float32(n * dim) * np.float32(ratio)) if ratio < 1 else n * dim
     if take >= n * dim:
-        return elements(df), n * dim
+        return elements(df, dim), n * dim
     rows, rest = divmod(take, dim)
     last = kth_smallest(df, "vec_id", rows + 1)
-    e = elements(df.where(F.col("vec_id") <= last))
+    e = elements(df.where(F.col("vec_id") <= last), dim)
     return e.where((F.col("vec_id") < last) | (F.col("pos") < rest)), take
 
 
@@ -203,7 +204,7 @@ def fit(name: str, base: DataFrame, metric: str = "L2", calibration: str = "per_
     first = base.select(F.size("embedding").alias("d")).first()
     q = Quantizer(n, metric, first["d"] if first else 0)
     if n == "SQ8U" and metric == "IP":
-        sizes = elements(base).select(F.abs("x").alias("x"))
+        sizes = elements(base, q.dim).select(F.abs("x").alias("x"))
         q.dif = trimmed(sizes, "x", 1)[1]
     elif n in GLOBAL:
         part, count = _prefix(base, q.dim, GLOBAL[n][2])
@@ -224,7 +225,7 @@ def fit(name: str, base: DataFrame, metric: str = "L2", calibration: str = "per_
 
 def per_dim_limits(base: DataFrame, top: int, dim: int = 0, chunk: int = 0) -> dict[int, tuple[float, float]]:
     """pos -> the top-th smallest and largest element of each dimension, or of each ``chunk`` elements of the flat data."""
-    e = elements(base)
+    e = elements(base, dim)
     if chunk:  # positions in the flat data, in the order of vec_id, which is dense from 0
         e = e.select(F.floor((F.col("vec_id") * dim + F.col("pos")) / chunk).cast("int").alias("pos"), "x")
     return trimmed_by(e.select("pos", "x"), top)
