@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from . import codes
 from . import quantizers as Q
 
 #: Bytes of query vectors that are sent to all tasks at most, bytes of a block of vectors where there are more queries,
@@ -15,18 +16,6 @@ from . import quantizers as Q
 SENT, BLOCK, TILE, CHUNK = 64 << 20, 32 << 20, 1 << 21, 1 << 16
 
 
-def _distances(q: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
-    """Distances of rows of q and y, summed in the order of the elements like the column expressions."""
-    out = np.zeros(len(q))
-    for j in range(q.shape[1]):
-        if kind == "L2":
-            d = q[:, j] - y[:, j]
-            out += d * d
-        else:
-            out += q[:, j] * y[:, j]
-    return out if kind == "L2" else -out
-
-
 class _Best:
     """The k nearest rows seen of each query (ids, vectors), by (dist, vec_id).
 
@@ -40,20 +29,15 @@ class _Best:
         self.i = np.full((len(q), k), np.iinfo(np.int64).max)
         self.qq = (q * q).sum(axis=1)
 
-    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        for s in range(0, len(ids), 2048):
-            y, i = x[s : s + 2048], ids[s : s + 2048]
-            step = max(1, TILE // len(y))
+    def add(self, ids: np.ndarray, blocks) -> None:
+        for at, y in blocks:
+            step = max(1, TILE // codes.BLOCK)
             for t in range(0, len(self.q), step):
-                self._block(slice(t, t + step), y, i)
-
-    def _block(self, at: slice, y: np.ndarray, i: np.ndarray) -> None:
-        q, qq, yy = self.q[at], self.qq[at], (y * y).sum(axis=1)
-        d, unit = q @ y.T, (4 * q.shape[1] + 16) * 2.0**-53
-        if self.kind == "L2":
-            d, error = qq[:, None] + yy - 2 * d, unit * (qq + yy.max())
-        else:
-            d, error = -d, unit * np.sqrt(qq * yy.max())
+                self._block(slice(t, t + step), y, ids[at])
+
+    def _block(self, at: slice, y, i: np.ndarray) -> None:
+        q = self.q[at]
+        d, error = y.near(q, self.qq[at], self.kind)
         if self.others:
             d[self.q_id[at][:, None] == i[None, :]] = np.inf
         limit = self.d[at][:, -1]
@@ -62,7 +46,7 @@ class _Best:
         row, col = np.nonzero((d <= (limit + error)[:, None]) & np.isfinite(d))
         if not len(row):
             return
-        dist = np.concatenate([_distances(q[row[c : c + CHUNK]], y[col[c : c + CHUNK]], self.kind) for c in range(0, len(row), CHUNK)])
+        dist = np.concatenate([y.exactly(q[row[c : c + CHUNK]], col[c : c + CHUNK], self.kind) for c in range(0, len(row), CHUNK)])
         had = np.isfinite(self.d[at])
         r0 = np.nonzero(had)[0]
         row, dist, own = np.concatenate((r0, row)), np.concatenate((self.d[at][had], dist)), np.concatenate((self.i[at][had], i[col]))
@@ -79,23 +63,23 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(self.q_id[np.nonzero(ok)[0]]), pa.array(self.i[ok]), pa.array(self.d[ok])], names=["q_id", "vec_id", "dist"])
 
 
-def _nearest_of_partition(sent, k: int, kind: str, others: bool):
+def _nearest_of_partition(sent, read, k: int, kind: str, others: bool):
     def run(batches):
         q_id, q = sent.value
         best = _Best(q_id, q, k, kind, others)
         for b in batches:
-            best.add(b.column("vec_id").to_numpy(zero_copy_only=False), V.matrix(b.column("v"), q.shape[1]))
+            best.add(b.column("vec_id").to_numpy(zero_copy_only=False), read.blocks(b.column(read.column)))
         yield best.batch()
 
     return run
 
 
-def _nearest_of_block(width: int, k: int, kind: str, others: bool):
+def _nearest_of_block(width: int, read, k: int, kind: str, others: bool):
     def run(key, queries, base):
         import pyarrow as pa
 
         best = _Best(queries.column("q_id").to_numpy(), V.matrix(queries.column("v"), width), k, kind, others)
-        best.add(base.column("vec_id").to_numpy(), V.matrix(base.column("v"), width))
+        best.add(base.column("vec_id").to_numpy(), read.blocks(base.column(read.column)))
         return pa.Table.from_batches([best.batch()])
 
     return run
@@ -110,7 +94,7 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 FOUND = "q_id long, vec_id long, dist double"
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, kind: str = "L2", others: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int, kind: str = "L2", others: bool = False, read=None) -> DataFrame:
     """q_id, rank, vec_id, dist of the k nearest base rows (vec_id, v) of each query (q_id, v).
 
     v: arrays of finite doubles, all of one length; any other is an error that says how many there are.
@@ -118,7 +102,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, kind: str = "L2", other
     A query set of up to SENT bytes, which is counted first, goes to all tasks, and each partition of the base keeps its
     k best. A larger one stays where it is: both sides are cut into blocks by hash, every pair of blocks is one
     group, and what is shuffled is each side once for every block of the other, as a comparison of all with all needs.
-    others: leave out the base row with the query's own id.
+    others: leave out the base row with the query's own id. read: how blocks are read from base, by default from v.
     """
     spark, kind = queries.sparkSession, kind.upper()
     V.metric(kind)
@@ -126,17 +110,18 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, kind: str = "L2", other
     n, width = size["n"], max(size["d"] or 1, 1)
     if not n:
         return ranked(queries.select("q_id", F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("dist")), k)
+    read = read or codes.Plain(width)
     if n * width * 8 <= SENT:
         part = queries.select("q_id", "v").toArrow()
         sent = spark.sparkContext.broadcast((part["q_id"].to_numpy(), V.matrix(part["v"], width)))
-        return ranked(base.select("vec_id", "v").mapInArrow(_nearest_of_partition(sent, k, kind, others), FOUND), k)
+        return ranked(base.select("vec_id", read.column).mapInArrow(_nearest_of_partition(sent, read, k, kind, others), FOUND), k)
     blocks = lambda rows: max(1, -(-rows * width * 8 // BLOCK))
     of_q, of_b = blocks(n), blocks(base.count())
     own = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     q = queries.select("q_id", "v", own("q_id", of_q).alias("i"), each(of_b).alias("j"))
-    b = base.select("vec_id", "v", own("vec_id", of_b).alias("j"), each(of_q).alias("i"))
-    return ranked(q.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(_nearest_of_block(width, k, kind, others), FOUND), k)
+    b = base.select("vec_id", read.column, own("vec_id", of_b).alias("j"), each(of_q).alias("i"))
+    return ranked(q.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(_nearest_of_block(width, read, k, kind, others), FOUND), k)
 
 
 def exact(queries: DataFrame, base: DataFrame, k: int, metric: str = "L2", others: bool = False) -> DataFrame:
@@ -145,23 +130,22 @@ def exact(queries: DataFrame, base: DataFrame, k: int, metric: str = "L2", other
     return nearest(q, base.select("vec_id", V.doubles(F.col("embedding")).alias("v")), k, metric, others)
 
 
-def with_bias(v: Column, bias: Column, query: bool) -> Column:
-    """A dot product with one more element adds a term: 1 on the query's side, -bias on the other."""
-    return F.concat(v, F.array(F.lit(1.0) if query else -bias))
-
-
 def flat(queries: DataFrame, base: DataFrame, k: int, quantizer: Q.Quantizer, others: bool = False) -> DataFrame:
     """Search over codes; dist is on the quantizer's scale."""
-    v = V.doubles(F.col("embedding"))
-    qv, kind = quantizer.query_vector(v), quantizer.kind
-    b = base.withColumn("_v", v).withColumn("_c", quantizer.encode(F.col("_v")))
-    bv = quantizer.code_vector(F.col("_c"), F.col("_v"))
-    bias = quantizer.bias(F.col("_v"))
+    if quantizer.name == "FP32":
+        return exact(queries, base, k, quantizer.metric, others)
+    return flat_codes(queries, codes.stored(base, quantizer), k, quantizer, others)
+
+
+def flat_codes(queries: DataFrame, stored: DataFrame, k: int, quantizer: Q.Quantizer, others: bool = False) -> DataFrame:
+    """The same over codes (vec_id, code) of :func:`codes.stored`, which may be a table."""
+    v, kind = V.sound(F.col("embedding"), quantizer.dim), quantizer.kind
+    qv = quantizer.query_vector(v)
     if quantizer.name == "SQ8P":
         kind = "IP"
-        if bias is not None:  # |x|^2 - 2 x q
-            qv, bv = with_bias(F.transform(qv, lambda x: x * 2.0), F.lit(0.0), True), with_bias(bv, bias, False)
-    return nearest(queries.select("q_id", qv.alias("v")), b.select("vec_id", bv.alias("v")), k, kind, others)
+        if quantizer.metric == "L2":  # |x|^2 - 2 x q: a dot product with one more element, 1 on the query's side
+            qv = F.concat(F.transform(qv, lambda x: x * 2.0), F.array(F.lit(1.0)))
+    return nearest(queries.select("q_id", qv.alias("v")), stored, k, kind, others, codes.Packed(quantizer))
 
 
 def refine(candidates: DataFrame, queries: DataFrame, base: DataFrame, k: int, metric: str = "L2", quantizer: str = "FP32") -> DataFrame:
