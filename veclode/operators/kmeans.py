@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 
@@ -156,25 +157,117 @@ def _rows(base: DataFrame, k: int, seed: int) -> np.ndarray:
     return np.array(got["v"].tolist(), np.float64)
 
 
-def _plus_plus(base: DataFrame, k: int, seed: int) -> np.ndarray:
-    """k-means++: each next row with a chance in proportion to its squared distance to the nearest one taken.
+#: Rounds of oversampling, each of which takes as many candidates as there are to be centroids.
+OVERSAMPLING = 5
+
+
+def _draws(h: np.ndarray, n: int) -> np.ndarray:
+    """Numbers in (0, 1] [row][sub-space] from a hash of each row."""
+    x = h.astype(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-53
+
+
+def _race(sent, take: int):
+    """A task's ``take`` first rows of each sub-space in a race: -ln(u) / squared distance to the nearest candidate."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        c = sent.value
+        n, _, sd = c.shape
+        score, ids, part = np.zeros((n, 0)), np.zeros((n, 0), np.int64), np.zeros((n, 0, sd))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _rows_of(b, c)
+            d = _codes(x, c)[1]
+            with np.errstate(divide="ignore"):
+                s = np.where(d > 0, -np.log(_draws(b.column("h").to_numpy(), n)) / d, np.inf).T
+            score, ids, part = np.hstack((score, s)), np.hstack((ids, np.tile(b.column("vec_id").to_numpy(), (n, 1)))), np.concatenate((part, x.transpose(1, 0, 2)), axis=1)
+            if score.shape[1] > take:
+                first = np.argpartition(score, take - 1, axis=1)[:, :take]
+                score, ids, part = np.take_along_axis(score, first, 1), np.take_along_axis(ids, first, 1), np.take_along_axis(part, first[:, :, None], 1)
+        sq, at = np.nonzero(np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([pa.array(sq.astype(np.int32)), pa.array(score[sq, at]), pa.array(ids[sq, at]), _lists(part[sq, at].reshape(-1, sd))], names=["sq", "score", "vec_id", "part"])
+
+    return run
+
+
+def _nearest_counts(sent):
+    """How many of a task's rows each candidate is nearest to."""
 
-    The draw is by exponential races: the row with the smallest -ln(u) / weight, u from a hash of vec_id, which one
-    aggregation finds.
+    def run(batches):
+        import pyarrow as pa
+
+        c = sent.value
+        n, k, _ = c.shape
+        rows = np.zeros(n * k, np.int64)
+        for b in batches:
+            if b.num_rows:
+                rows += np.bincount((_codes(_rows_of(b, c), c)[0] + np.arange(n) * k).ravel(), minlength=n * k)
+        at = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(rows[at])], names=["at", "n"])
+
+    return run
+
+
+def _weighted_plus_plus(c: np.ndarray, w: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ on candidates c with weights w: k of them, or all that differ."""
+    r = np.random.default_rng(seed)
+    got = [int(np.argmax(w))]
+    d = ((c - c[got[0]]) ** 2).sum(axis=1)
+    while len(got) < k and (w * d).max() > 0:
+        upto = np.cumsum(w * d)
+        i = min(int(np.searchsorted(upto, r.random() * upto[-1], "right")), int(np.flatnonzero(w * d)[-1]))
+        got.append(i)
+        d = np.minimum(d, ((c - c[i]) ** 2).sum(axis=1))
+    return c[got]
+
+
+def spread(base: DataFrame, k: int, n: int, sub: int, seed: int = 1) -> np.ndarray:
+    """Centroids to start from [sub-space][k][element] by oversampling (k-means||), for all sub-spaces of base (vec_id, v) at once.
+
+    Each round takes about k rows of every sub-space as candidates, by exponential races whose chances grow with the squared
+    distance to the candidates so far; then candidates are weighed by the rows they are nearest to and k of them
+    are drawn by k-means++. That is a fixed number of passes for any k; the driver holds OVERSAMPLING * k candidates a
+    sub-space. Where a sub-space has fewer than k distinct values, its first centroid fills the rest.
     """
-    c = _rows(base, 1, seed)
-    for t in range(1, k):
-        w = assign(base, c[None]).where("dist > 0").select("vec_id", "dist")
-        u = (F.pmod(F.xxhash64("vec_id", F.lit(seed * 1000003 + t)), F.lit(2**40)).cast("double") + 1) / 2.0**40
-        got = w.select(F.struct((-F.log(u) / F.col("dist")).alias("s"), "vec_id").alias("x")).agg(F.min("x").alias("x")).first()["x"]
-        if got is None:
-            raise ValueError(f"fewer than {k} distinct rows")
-        c = np.vstack([c, np.array(base.where(F.col("vec_id") == got["vec_id"]).select("v").first()["v"])])
+    spark = base.sparkSession
+    c = np.ascontiguousarray(_rows(base, 1, seed)[0][: n * sub].reshape(n, 1, sub))
+    for t in range(OVERSAMPLING):
+        rows = base.select("vec_id", "v", F.xxhash64("vec_id", F.lit(seed * 1000003 + t)).alias("h"))
+        found = rows.mapInArrow(_race(spark.sparkContext.broadcast(c), k), "sq int, score double, vec_id long, part array<double>")
+        at = F.row_number().over(Window.partitionBy("sq").orderBy("score", "vec_id"))
+        got = found.withColumn("r", at).where(F.col("r") <= k).select("sq", "r", "part").toPandas().sort_values(["sq", "r"])
+        if not len(got):
+            break
+        more = [np.array(g["part"].tolist(), np.float64) for _, g in got.groupby("sq")]
+        at_sub = {int(s): x for s, x in zip(sorted(got["sq"].unique()), more, strict=True)}
+        size = max(map(len, more))
+        c = np.concatenate((c, np.stack([np.concatenate((x, np.tile(c[s, :1], (size - len(x), 1)))) for s in range(n) for x in [at_sub.get(s, c[s, :0])]])), axis=1)
+    got = base.select("v").mapInArrow(_nearest_counts(spark.sparkContext.broadcast(c)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    w = np.zeros(c.shape[0] * c.shape[1])
+    w[got["at"]] = got["n"]
+    w = w.reshape(c.shape[:2])
+    out = np.empty((n, k, sub))
+    for s in range(n):
+        x = _weighted_plus_plus(c[s], w[s], k, seed + s)
+        out[s] = np.concatenate((x, np.tile(x[:1], (k - len(x), 1))))
+    return out
+
+
+def _plus_plus(base: DataFrame, k: int, seed: int) -> np.ndarray:
+    width = base.select(F.size("v").alias("d")).first()
+    c = spread(base, k, 1, width["d"], seed)[0] if width else np.zeros((0, 1))
+    if len(np.unique(c, axis=0)) < k:
+        raise ValueError(f"fewer than {k} distinct rows")
     return c
 
 
 class Clustering:
-    """k-means with fit, predict and transform. init: "random", "kmeans++" or an array of centroids.
+    """k-means with fit, predict and transform. init: "random", "kmeans++" (by oversampling) or an array of centroids.
 
     Training uses all rows unless ``sample`` bounds them (chosen by hash).
     """
@@ -214,11 +307,12 @@ class Clustering:
 
 def pq_codebook(base: DataFrame, dim: int, sub: int = 4, k: int = 256, epochs: int = 10, seed: int = 1, start: np.ndarray | None = None) -> np.ndarray:
     """Codebook [sub-space][k][sub]; elements beyond the last whole sub-space are left out. With fewer rows than k, as
-    many centroids as rows. start: rows whose parts are the first centroids, else k rows drawn by hash."""
-    v = base.select("vec_id", V.doubles(F.col("embedding")).alias("v"))
+    many centroids as rows. start: rows whose parts are the first centroids, else they are spread by oversampling."""
+    v = base.select("vec_id", V.sound(F.col("embedding"), dim).alias("v"))
     n = dim // sub
-    rows = _rows(v, min(k, base.count()), seed) if start is None else start
-    return lloyd(v, np.ascontiguousarray(rows[:, : n * sub].reshape(len(rows), n, sub).transpose(1, 0, 2)), epochs)
+    if start is None:
+        return lloyd(v, spread(v, min(k, base.count()), n, sub, seed), epochs)
+    return lloyd(v, np.ascontiguousarray(start[:, : n * sub].reshape(len(start), n, sub).transpose(1, 0, 2)), epochs)
 
 
 def _lookup(sent, kind: str):

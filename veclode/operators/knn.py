@@ -161,9 +161,10 @@ def refine(candidates: DataFrame, queries: DataFrame, base: DataFrame, k: int, m
     return ranked(pairs.select("q_id", "vec_id", distance(F.col("_q"), F.col("_b")).alias("dist")), k)
 
 
-def two_stage(queries: DataFrame, base: DataFrame, k: int, metric: str, quantizer: Q.Quantizer, refiner: str = "FP32", others: bool = False) -> DataFrame:
-    """Search over codes for int(k * factor) candidates, then re-rank; if that is k, there is nothing to re-rank."""
-    wide = int(k * quantizer.factor)
+def two_stage(queries: DataFrame, base: DataFrame, k: int, metric: str, quantizer: Q.Quantizer, refiner: str = "FP32", others: bool = False, factor: float | None = None) -> DataFrame:
+    """Search over codes for int(k * factor) candidates, by default the quantizer's factor, then re-rank; if that is k, there
+    is nothing to re-rank."""
+    wide = int(k * (factor or quantizer.factor))
     found = flat(queries, base, wide, quantizer, others)
     return found if wide == k else refine(found, queries, base, k, metric, refiner)
 
