@@ -58,8 +58,9 @@ def doubled(base: DataFrame) -> DataFrame:
 def lists(edges: DataFrame, cap: int) -> DataFrame:
     """Each node's ``cap`` nearest distinct targets: src, pos, dst, dist."""
     e = edges.where("src <> dst").groupBy("src", "dst").agg(F.min("dist").alias("dist"))
-    w = Window.partitionBy("src").orderBy("dist", "dst")
-    return e.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < cap).select("src", "pos", "dst", "dist")
+    # Compared as it is, a rank lets each task drop what is beyond the cap before rows move, so a hub's list is bounded too.
+    e = e.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("_r") <= cap)
+    return e.select("src", (F.col("_r") - 1).alias("pos"), "dst", "dist")
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -234,19 +235,27 @@ def pruned(candidates: DataFrame, base: DataFrame, cap: int, scan: int, angle: b
     return c.mapInArrow(_occlude(cap, angle, metric), "src long, pos int, dst long, dist double")
 
 
-def linked_back(edges: DataFrame, base: DataFrame, cap: int, metric: str = "L2") -> DataFrame:
-    """Edges with their reverse ones; a node that then has more than ``cap`` is pruned anew, in one deterministic pass."""
-    both = written(lists(edges.select("src", "dst", "dist").unionByName(reversed_edges(edges)), 2**31 - 1), "both")
+def linked_back(edges: DataFrame, base: DataFrame, cap: int, metric: str = "L2", scan: int | None = None) -> DataFrame:
+    """Edges with their reverse ones; a node that then has more than ``cap`` is pruned anew, in one deterministic pass over its
+    ``scan`` (cap + 100) nearest candidates: so many rows a node at most, whatever leads to it, are ranked or get vectors."""
+    scan = scan or cap + 100
+    both = written(lists(edges.select("src", "dst", "dist").unionByName(reversed_edges(edges)), scan), "both")
     many = both.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("src")
     few = both.join(many, "src", "left_anti")
-    return few.unionByName(pruned(both.join(many, "src", "left_semi").select("src", "dst", "dist"), base, cap, 2**31 - 1, metric=metric))
+    return few.unionByName(pruned(both.join(many, "src", "left_semi").select("src", "dst", "dist"), base, cap, scan, metric=metric))
+
+
+#: Lost nodes x nodes with room that are compared all with all; where there are more, lost nodes search the graph.
+COMPARED, FOUND = 1 << 30, 32
 
 
 def grown(edges: DataFrame, entries: DataFrame, base: DataFrame, cap: int, metric: str = "L2") -> DataFrame:
     """Edges with further ones until every node is reached from the entries, none of them from a node with ``cap`` edges.
 
     A round attaches lost nodes that no smaller lost node points to: to the nearest of their own targets that is reached
-    and has room, or to the nearest such node of all; of several that want one node's room the nearest get it.
+    and has room, or to the nearest such node of all; of several that want one node's room the nearest get it. Where lost nodes
+    and nodes with room are too many to compare all, lost ones search the graph for reached nodes and take the
+    nearest with room in their pool; only those whose pool has no room left are compared with all.
     """
     e = written(edges.select("src", "dst", "dist"), "edges")
     while True:
@@ -264,7 +273,13 @@ def grown(edges: DataFrame, entries: DataFrame, base: DataFrame, cap: int, metri
         near = e.join(roots.withColumnRenamed("vec_id", "src"), "src", "left_semi").join(room.select(F.col("vec_id").alias("dst")), "dst", "left_semi")
         near = written(near.groupBy("src").agg(F.min(F.struct("dist", "dst")).alias("x")).select(F.col("src").alias("dst"), F.col("x.dst").alias("src"), F.col("x.dist").alias("dist")), "near")
         far = roots.join(near.select(F.col("dst").alias("vec_id")), "vec_id", "left_anti").join(base, "vec_id").select(F.col("vec_id").alias("q_id"), "v")
-        far = nearest(written(far, "far"), base.join(room.select("vec_id"), "vec_id", "left_semi"), 1, metric).select(F.col("q_id").alias("dst"), F.col("vec_id").alias("src"), "dist")
-        new = near.select("src", "dst", "dist").unionByName(far.select("src", "dst", "dist"))
+        far = written(far, "far")
+        new, to = near.select("src", "dst", "dist"), lambda found: found.select(F.col("vec_id").alias("src"), F.col("q_id").alias("dst"), "dist")
+        if far.count() * room.count() > COMPARED:
+            begin = far.select("q_id").crossJoin(F.broadcast(entries.select(F.col("ep").alias("vec_id"))))  # entries: one row, or few
+            pool = beam(far, base, e, begin, FOUND, metric).pool.join(room.select("vec_id"), "vec_id", "left_semi")
+            pool = written(ranked(pool, 1), "attached")
+            new, far = new.unionByName(to(pool)), far.join(pool.select("q_id"), "q_id", "left_anti")
+        new = new.unionByName(to(nearest(far, base.join(room.select("vec_id"), "vec_id", "left_semi"), 1, metric)))
         new = new.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).join(room.withColumnRenamed("vec_id", "src"), "src").where("r <= room")
         e = written(e.unionByName(new.select("src", "dst", "dist")), "edges")

@@ -12,6 +12,7 @@ from ..plans.scratch import written
 from . import graph as G
 from . import knn
 from . import quantizers as Q
+from . import shards
 
 
 class Searcher:
@@ -52,8 +53,52 @@ class Searcher:
         self.codes = self.codes.persist()
 
 
-def sweep(searcher: Searcher, queries: DataFrame, truth: DataFrame, k: int, efs: list[int], runs: int = 1) -> DataFrame:
-    """ef, recall, qps (best of runs): one row a search width."""
+class ShardSearcher:
+    """The same on a graph in shards: a search is one pass over the shards, and counts its comparisons on the way.
+
+    probe: how many cells a query asks (all by default); built_on: the quantizer that the index was built on, for probing.
+    """
+
+    def __init__(self, index: shards.ShardedGraph, base: DataFrame, metric: str = "L2", quantizer: str = "FP32", refine_quant: str = "", probe: int | None = None, built_on: Q.Quantizer | None = None) -> None:
+        self.index, self.base, self.metric, self.ef, self.probe, self.built_on = index, base, metric.upper(), 32, probe, built_on
+        self.quantizer = Q.fit(quantizer, base, metric)
+        if self.quantizer.name == "SQ8P":
+            raise ValueError("SQ8P codes have a scale of their own each; use flat search")
+        self.refiner = Q.known(refine_quant) if refine_quant else ""
+        if self.refiner and self.refiner not in Q.REFINERS:
+            raise ValueError(f"can't re-rank by {self.refiner}")
+        self.nodes = shards.coded(index, base, self.quantizer)
+        self.found: DataFrame | None = None
+
+    def set_ef(self, ef: int) -> None:
+        self.ef = ef
+
+    def batch_search(self, queries: DataFrame, k: int, others: bool = False) -> DataFrame:
+        """queries: (q_id, embedding); q_id, rank, vec_id, dist. Fewer than k rows where fewer nodes were reached."""
+        z, wide = self.quantizer, int(k * self.quantizer.factor) if self.refiner else k
+        v = V.sound(F.col("embedding"), z.dim)
+        q = queries.select("q_id", z.query_vector(v).alias("v"), *([(self.built_on.query_vector(v) if self.built_on else v).alias("near")] if self.probe else []))
+        self.found = written(shards.search(self.index, self.nodes, q, wide, max(wide + others, self.ef), z.kind, z, others, self.probe), "found")
+        found = knn.ranked(self.found.select("q_id", "vec_id", "dist"), wide)
+        return found if wide == k else knn.refine(found, queries, self.base, k, self.metric, self.refiner)
+
+    search = batch_search
+
+    def comparisons(self) -> DataFrame:
+        """q_id and dist_cmps of the last search, on all layers of all shards it asked."""
+        each = self.found.groupBy("q_id", "shard").agg(F.max("dist_cmps").alias("n"))
+        return each.groupBy("q_id").agg(F.sum("n").alias("dist_cmps"))
+
+    def get_last_search_dist_cmps(self) -> float:
+        return self.comparisons().agg(F.avg("dist_cmps")).first()[0]
+
+    def optimize(self) -> None:
+        """Keeps the coded shards in memory; results don't change."""
+        self.nodes = self.nodes.persist()
+
+
+def sweep(searcher: Searcher | ShardSearcher, queries: DataFrame, truth: DataFrame, k: int, efs: list[int], runs: int = 1) -> DataFrame:
+    """ef, recall (of the first run), qps (best of runs) and mean comparisons a query: one row a search width."""
     n, out = queries.count(), []
     for ef in efs:
         searcher.set_ef(ef)
@@ -63,8 +108,8 @@ def sweep(searcher: Searcher, queries: DataFrame, truth: DataFrame, k: int, efs:
             found = written(searcher.batch_search(queries, k), "found")
             best = max(best, n / (time.time() - began))
             share = share if share is not None else knn.recall(found, truth, k).first()["recall"]
-        out.append((ef, share, best))
-    return queries.sparkSession.createDataFrame(out, "ef int, recall double, qps double")
+        out.append((ef, share, best, searcher.get_last_search_dist_cmps()))
+    return queries.sparkSession.createDataFrame(out, "ef int, recall double, qps double, dist_cmps double")
 
 
 #: Fixed values of the quick benchmark.
@@ -95,6 +140,8 @@ class Benchmark:
         from .builders import Index
 
         c, spark = self.config, base.sparkSession
+        if c["index"] == "HNSW":
+            return self._fit_shards(base, name, rebuild)
         graph = None
         if self.folder and not rebuild and graph_files.exists(spark, self.path(name) + "/meta/_SUCCESS"):
             graph = graph_files.load(spark, self.path(name))
@@ -105,7 +152,26 @@ class Benchmark:
             if self.folder:
                 graph_files.save(graph, self.path(name), overwrite=True)
                 graph = graph_files.load(spark, self.path(name))
-        self.searcher = Searcher(graph, base, self.metric, c["search_quant"], c["refine_quant"])
+        rows, kind = Index(c["index"], self.metric, c["build_quant"], c["R"], c["L"]).vectors(base)
+        self.searcher = ShardSearcher(shards.of_graph(graph, rows, kind), base, self.metric, c["search_quant"], c["refine_quant"])
+        return self
+
+    def _fit_shards(self, base: DataFrame, name: str, rebuild: bool) -> Benchmark:
+        from ..sources import graph_files
+        from .builders import Index
+
+        c, spark = self.config, base.sparkSession
+        if self.folder and not rebuild and graph_files.exists(spark, self.path(name) + "/about/_SUCCESS"):
+            graph = shards.load(spark, self.path(name))
+        else:
+            began = time.time()
+            rows, kind = Index("HNSW", self.metric, c["build_quant"], c["R"], c["L"]).vectors(base)
+            graph = shards.hnsw(written(rows, "codes"), c["R"], c["L"], kind)
+            self.seconds = time.time() - began
+            if self.folder:
+                graph.save(self.path(name))
+                graph = shards.load(spark, self.path(name))
+        self.searcher = ShardSearcher(graph, base, self.metric, c["search_quant"], c["refine_quant"])
         return self
 
     def set_query_arguments(self, ef: int) -> None:
@@ -116,8 +182,9 @@ class Benchmark:
         return self.found
 
     def sweep(self, queries: DataFrame, truth: DataFrame, to: str | None = None) -> DataFrame:
-        """ef, recall, qps; to: a folder that gets the rows as CSV."""
+        """ef, recall, qps, dist_cmps and build_seconds (null if the index was read); to: a folder that gets the rows as CSV."""
         rows = sweep(self.searcher, queries, truth, self.config["k"], self.config["efs"], self.config["runs"])
+        rows = rows.withColumn("build_seconds", F.lit(self.seconds).cast("double"))
         if to:
             rows.coalesce(1).write.option("header", True).csv(to)
         return rows
