@@ -81,12 +81,13 @@ def _walk(x, links, starts, q, ef, kind, wide):
 
 
 def search(shard: Shard, q: np.ndarray, ef: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """:func:`walk` on the ground layer, from where a pool of one ends on the layers above; distances are summed in the order of
-    the elements, and equal ones rank by node."""
+    """:func:`walk` on the ground layer, from where a pool of one ends on the layers above and from the entry, which leads to all
+    nodes; distances are summed in the order of the elements, and equal ones rank by node."""
     at, compared = np.full((len(q), 1), shard.entry), np.zeros(len(q), np.int64)
     for links in shard.links[:0:-1]:
         at, _, n = walk(shard.x, links, at, q, 1, kind)
         compared += n
+    at = np.column_stack((at, np.full(len(q), shard.entry)))
     ids, dist, n = walk(shard.x, shard.links[0], at, q, ef, kind)
     for s in range(0, len(q), QUERIES):
         r, c = np.nonzero(ids[s : s + QUERIES] >= 0)
@@ -211,28 +212,44 @@ def reached(links: np.ndarray, entry: int) -> np.ndarray:
     return seen
 
 
+#: Lost nodes that are strung on one node in a round, besides those as far as the last one, as copies are.
+CHAIN = 8
+
+
 def attach(shard: Shard, dist: np.ndarray, kind: str, pool: int = 32) -> None:
     """Make every node reachable from the entry on the ground layer, within the lists' length.
 
-    A lost node is looked for like a query; the nearest node found gives it an edge. Where that one's list is full, the lost node
-    takes its farthest edge over: what it led to is then reached through the lost node, so no reached node is lost.
+    A lost node is looked for like a query; the nearest node found gives it an edge, and where several want that node they form
+    a chain. Where a list is full, the lost node takes its farthest edge over: what that led to is then reached through
+    the lost node, so no reached node is lost.
     """
-    links = shard.links[0]
+    x, links = shard.x, shard.links[0]
+
+    def put(a: int, b: int) -> int | None:
+        """An edge from a to b; the node that it drives out of a's list, if that is full."""
+        if b in links[a]:
+            return None
+        slot, out = int((links[a] >= 0).sum()), None
+        if slot == links.shape[1]:
+            slot, out = slot - 1, int(links[a, -1])
+        links[a, slot], dist[a, slot] = b, _pairs(x[a : a + 1], x[b : b + 1], kind)[0]
+        links[a], dist[a] = (c[0] for c in _nearest_first(links[a : a + 1], dist[a : a + 1], links.shape[1]))
+        return out
+
     while len(lost := np.flatnonzero(~reached(links, shard.entry))):
-        found, d, _ = walk(shard.x, links, np.full((len(lost), 1), shard.entry), shard.x[lost], pool, kind)
+        found, d, _ = walk(x, links, np.full((len(lost), 1), shard.entry), x[lost], pool, kind)
         room = np.where(found >= 0, links[found, -1] < 0, False)
-        pick = np.where(room.any(axis=1), room.argmax(axis=1), 0)
+        # Without room anywhere near, lost nodes spread over all that were found, so that a round attaches many.
+        pick = np.where(room.any(axis=1), room.argmax(axis=1), np.arange(len(lost)) % (found >= 0).sum(axis=1))
         at, near = found[np.arange(len(lost)), pick], d[np.arange(len(lost)), pick]
         order = np.lexsort((lost, near, at))
-        for i in order[np.unique(at[order], return_index=True)[1]]:  # one lost node for each node that takes one
-            t, v = at[i], lost[i]
-            slot = int((links[t] >= 0).sum())
-            if slot == links.shape[1]:
-                slot -= 1
-                old = links[t, slot]
-                if old not in links[v]:
-                    last = min(int((links[v] >= 0).sum()), links.shape[1] - 1)
-                    links[v, last], dist[v, last] = old, _pairs(shard.x[v : v + 1], shard.x[old : old + 1], kind)[0]
-                    links[v], dist[v] = (c[0] for c in _nearest_first(links[v : v + 1], dist[v : v + 1], links.shape[1]))
-            links[t, slot], dist[t, slot] = v, near[i]
-            links[t], dist[t] = (c[0] for c in _nearest_first(links[t : t + 1], dist[t : t + 1], links.shape[1]))
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        for s, e in zip(first, np.append(first[1:], len(order)), strict=True):
+            a = int(at[order[s]])
+            own = order[s:e]
+            far = np.flatnonzero((np.arange(len(own)) >= CHAIN) & (near[own] != near[np.append(own[:1], own[:-1])]))
+            for v in lost[own[: far[0] if len(far) else len(own)]].tolist():
+                out = put(a, v)
+                if out is not None and out != v:
+                    put(v, out)
+                a = v
