@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veclode.operators.graph import Graph
-from veclode.sources import datasets, graph_files
+from veclode.sources import datasets, graph_files, graph_format
 
 LISTS = [[1, 2], [0], [0, 1], []]
 EDGES = sorted((i, p, d) for i, ids in enumerate(LISTS) for p, d in enumerate(ids))
@@ -62,3 +62,45 @@ def test_build_graph_saves_what_it_built(spark, tmp_path):
     g = graph_files.load(spark, f"file://{tmp_path}/h")
     assert g.edges.select("src").distinct().count() == 20 and g.entries.count() == 1
     assert {r["layer"] for r in g.upper.collect()} <= {1, 2, 3} if g.upper is not None else True
+
+
+@pytest.mark.parametrize("kind", ["native", "diskann", "nsg", "hnswlib"])
+def test_byte_ranges(spark, tmp_path, monkeypatch, kind):
+    """A file in many ranges, and cut into a folder of parts at any byte, reads the same."""
+    (tmp_path / "g").write_bytes(content(kind))
+    whole = sorted(map(tuple, graph_format.read(spark, f"file://{tmp_path}/g", kind).collect()))
+    ranges = graph_format.plan(graph_format.Bytes(f"{tmp_path}/g"), kind, 8)
+    assert len(ranges) >= 4
+    cut = graph_format.read(spark, f"file://{tmp_path}/g", kind, 8)
+    assert sorted(map(tuple, cut.collect())) == whole and cut.rdd.getNumPartitions() == len(ranges)
+    (tmp_path / "parts").mkdir()
+    for i in range(0, len(content(kind)), 7):
+        (tmp_path / "parts" / f"{i:04d}").write_bytes(content(kind)[i : i + 7])
+    assert sorted(map(tuple, graph_format.read(spark, str(tmp_path / "parts"), kind, 12).collect())) == whole
+
+
+def test_native_round_trip_with_layers(spark, tmp_path):
+    edges = [(i, p, (i * 7 + p * 3 + 1) % 500) for i in range(500) for p in range(i % 5)]
+    upper = [(layer, i, p, (i + 40 * (p + 1)) % 500) for i in range(0, 500, 40) for layer in (1, 2) if i % (40 * layer) == 0 for p in range(1 + layer)]
+    g = Graph(spark.createDataFrame(edges, "src long, pos int, dst long").repartition(5), spark.createDataFrame([(0,)], "ep long"), spark.createDataFrame(upper, "layer int, src long, pos int, dst long"))
+    nodes = spark.range(500).select(F.col("id").alias("vec_id"))
+    graph_format.write_native(g, nodes, f"file://{tmp_path}/native")
+    names = sorted(p.name for p in (tmp_path / "native").iterdir())
+    assert names[0] == "0-ground-head" and "2-upper-head" in names and sum(n.startswith("1-ground") for n in names) >= 2
+    (tmp_path / "one").write_bytes(b"".join((tmp_path / "native" / n).read_bytes() for n in names))
+    for path, split in ((f"file://{tmp_path}/native", 1000), (f"file://{tmp_path}/one", 1000), (f"file://{tmp_path}/one", 1 << 20)):
+        rows = graph_format.read(spark, path, "native", split)
+        assert sorted(map(tuple, rows.where("layer = 0").select("src", "pos", "dst").collect())) == sorted(edges)
+        assert sorted(map(tuple, rows.where("layer > 0").collect())) == sorted(upper)
+    back = graph_files.load(spark, f"file://{tmp_path}/native", "native")
+    assert [r["ep"] for r in back.entries.collect()] == [0] and back.size() == 400
+    with pytest.raises(ValueError, match="gaps"):
+        graph_format.write_native(g, nodes.where("vec_id <> 3"), f"file://{tmp_path}/other")
+
+
+def test_broken_files(spark, tmp_path):
+    (tmp_path / "g").write_bytes(content("nsg")[:-6])
+    with pytest.raises(Exception, match="beyond the file"):
+        graph_format.plan(graph_format.Bytes(f"{tmp_path}/g"), "nsg")
+    with pytest.raises(FileNotFoundError):
+        graph_format.Bytes(f"{tmp_path}/none")

@@ -1,22 +1,16 @@
-"""Graphs as Parquet tables, and readers of four binary layouts.
-
-A binary file is one task's work, as its layout is serial; Parquet is the format to keep graphs in. All numbers are
-little-endian; a list is padded with -1.
-"""
+"""Graphs as Parquet tables, and in four binary layouts through :mod:`graph_format`. Parquet is the format to keep graphs in."""
 
 from __future__ import annotations
 
 import json
-import struct
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
+from . import graph_format
 
-FORMATS = ("parquet", "native", "diskann", "nsg", "hnswlib")
-ROWS = "layer int, src long, pos int, dst long"
+FORMATS = ("parquet", *graph_format.LAYOUTS)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -41,79 +35,13 @@ def load(spark: SparkSession, path: str, format: str = "parquet") -> Graph:
     if format == "parquet":
         has = json.loads(spark.read.text(f"{path}/meta").first()[0])["upper"]
         return Graph(spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/upper") if has else None)
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse(format), ROWS)
+    rows = graph_format.read(spark, path, format)
     entries = rows.where("layer < 0").select(F.col("dst").alias("ep"))
     upper = rows.where("layer > 0").withColumn("dist", F.lit(None).cast("double"))
     edges = rows.where("layer = 0").select("src", "pos", "dst", F.lit(None).cast("double").alias("dist"))
     return Graph(edges, entries, upper.select("layer", "src", "pos", "dst", "dist") if format == "native" and upper.limit(1).count() else None)
 
 
-def _matrix(layer: int, ids: np.ndarray):
-    src, pos = np.nonzero(ids >= 0)
-    return np.full(len(src), layer), src, pos, ids[src, pos]
-
-
-def _ragged(data: bytes, at: int, end: int):
-    """Lists that each begin with their length."""
-    out, src = [], 0
-    while at < end:
-        (k,) = struct.unpack_from("<i", data, at)
-        ids = np.frombuffer(data, "<i4", k, at + 4)
-        out.append((np.zeros(k, np.int64), np.full(k, src), np.arange(k), ids))
-        at, src = at + 4 + 4 * k, src + 1
-    return out
-
-
-def parse(data: bytes, format: str) -> tuple[list[int], list[tuple]]:
-    """Entry points, and columns (layer, src, pos, dst) of one file's edges."""
-    if format == "native":
-        (n,) = struct.unpack_from("<i", data, 0)
-        eps = list(struct.unpack_from(f"<{n}i", data, 4))
-        at = 4 + 4 * n
-        rows, width = struct.unpack_from("<ii", data, at)
-        out = [_matrix(0, np.frombuffer(data, "<i4", rows * width, at + 8).reshape(rows, width))]
-        at += 8 + 4 * rows * width
-        if at < len(data):
-            rows, width, ep = struct.unpack_from("<iii", data, at)
-            eps, at = [ep], at + 12
-            for src in range(rows):
-                (k,) = struct.unpack_from("<i", data, at)
-                ids = np.frombuffer(data, "<i4", k, at + 4).reshape(-1, width)
-                layer, pos = np.nonzero(ids >= 0)
-                out.append((layer + 1, np.full(len(pos), src), pos, ids[layer, pos]))
-                at += 4 + 4 * k
-        return eps, out
-    if format == "diskann":
-        size, _, ep = struct.unpack_from("<QIi", data, 0)
-        return [ep], _ragged(data, 24, size)
-    if format == "nsg":
-        _, ep = struct.unpack_from("<ii", data, 0)
-        return [ep], _ragged(data, 8, len(data))
-    _, rows, _, size, _, _, level, ep, _, _ = struct.unpack_from("<QQQQQQiiQQ", data, 0)
-    if level > 1:
-        raise ValueError("a file of this layout with more than one upper layer isn't supported")
-    out, at = [], 96
-    for src in range(rows):
-        (k,) = struct.unpack_from("<i", data, at)
-        out.append((np.zeros(k, np.int64), np.full(k, src), np.arange(k), np.frombuffer(data, "<i4", k, at + 4)))
-        at += size
-    return [ep], out
-
-
-def _parse(format: str):
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for data in b.column("content").to_pylist():
-                eps, cols = parse(data, format)
-                cols.append((np.full(len(eps), -1), np.full(len(eps), -1), np.arange(len(eps)), np.array(eps)))
-                layer, src, pos, dst = (np.concatenate([c[i] for c in cols]) for i in range(4))
-                yield pa.RecordBatch.from_arrays([pa.array(layer.astype(np.int32)), pa.array(src.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(dst.astype(np.int64))], names=["layer", "src", "pos", "dst"])
-
-    return run
-
-
 def build_graph(base: DataFrame, index_type: str, path: str, metric: str = "L2", quant: str = "FP32", R: int = 32, L: int = 0) -> float:
     """Build an index, save it, and return the seconds that building took."""
     from ..operators.builders import Index
