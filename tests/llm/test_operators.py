@@ -195,6 +195,23 @@ def test_op5_index_verifies_compacts_and_reopens(spark, tmp_path):
     assert index.texts().count() == 60
 
 
+def test_op5_appends_again_after_a_lost_driver(spark, tmp_path, monkeypatch):
+    """The driver is lost after the texts are written and before the manifest is: the batch comes again in a new session."""
+    r = random.Random(14)
+    shared = prose(r, 40)
+    docs = spark.createDataFrame([(i, i, prose(r, 20) + " " + shared) for i in range(6)], "rid long, doc long, text string")
+    root = f"file://{tmp_path}/index"
+    fingerprints.Index(spark, root, 2).append(docs.where("rid < 3")).count()
+    with monkeypatch.context() as m:
+        m.setattr(fingerprints.Index, "_list", lambda self: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            fingerprints.Index(spark, root).append(docs.where("rid >= 3"))
+    index = fingerprints.Index(spark.newSession(), root)
+    assert index.texts().count() == 3
+    out = index.append(docs.where("rid >= 3")).collect()
+    assert sorted(x["rid"] for x in out) == [3, 4, 5] and fingerprints.Index(spark, root).texts().count() == 6
+
+
 def test_op6(spark, messy):
     rows = {r["conv_id"]: r for r in Q[FIND["op6"]](spark, messy[0]).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()

@@ -262,10 +262,11 @@ class Run(NamedTuple):
     level: int
     fps: str  # folders of its two tables
     windows: str
+    batches: str  # names of the batches whose entries it has
 
 
-MANIFEST = "version int, parts int, buckets int, level int, fps string, windows string"
-TEXTS = "rid long, doc long, size int, zipped binary"
+MANIFEST = "version int, parts int, buckets int, level int, fps string, windows string, batches string"
+TEXTS = "rid long, doc long, batch string, size int, zipped binary"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -278,6 +279,9 @@ class Index:
 
     ``append`` a batch of documents (rid, doc, text), unique: rid is doc; it returns (rid, places): first words, packed, of
     windows that an earlier document has. A document of an earlier batch may come again with places known before.
+
+    A batch counts from the moment the manifest lists it. What a lost driver leaves behind is not listed, neither runs nor
+    texts, and the batch is appended again as if nothing had been.
     """
 
     def __init__(self, spark: SparkSession, root: str, parts: int = 16, unique: bool = True) -> None:
@@ -289,7 +293,7 @@ class Index:
             last = rows.agg(F.max("version")).first()[0]
             for r in rows.where(F.col("version") == last).orderBy(F.desc("level"), "fps").collect():  # a row a run: their number is logarithmic
                 self.version, self.parts, self.buckets = r["version"], r["parts"], r["buckets"]
-                self.runs.append(Run(r["level"], r["fps"], r["windows"]))
+                self.runs.append(Run(r["level"], r["fps"], r["windows"], r["batches"]))
 
     def _write(self, rows: DataFrame, name: str) -> str:
         path = f"{self.root}/{name}-{uuid.uuid4().hex}"
@@ -300,8 +304,12 @@ class Index:
         return reopened(self.spark, path, PACKED, "part", self.buckets)
 
     def texts(self) -> DataFrame:
-        """All texts of the index (rid, doc, size, zipped), bucketed by rid."""
-        return reopened(self.spark, f"{self.root}/texts", TEXTS, "rid", self.buckets)
+        """All texts of the index (rid, doc, size, zipped), bucketed by rid. A file holds one batch, so those of a batch that
+        isn't listed aren't read."""
+        return self._texts_of([b for run in self.runs for b in run.batches.split(",")])
+
+    def _texts_of(self, batches: list[str]) -> DataFrame:
+        return reopened(self.spark, f"{self.root}/texts", TEXTS, "rid", self.buckets).where(F.col("batch").isin(batches)).drop("batch")
 
     def _list(self) -> None:
         self.version += 1
@@ -313,7 +321,7 @@ class Index:
         while len(self.runs) > 1 and self.runs[-1].level == self.runs[-2].level:
             new, old = self.runs.pop(), self.runs.pop()
             merged = lambda x, y, f: self._open(x).groupBy("part").cogroup(self._open(y).groupBy("part")).applyInArrow(f, PACKED)
-            self.runs.append(Run(new.level + 1, self._write(merged(old.fps, new.fps, _compact), "fps"), self._write(merged(old.windows, new.windows, _compact_windows), "windows")))
+            self.runs.append(Run(new.level + 1, self._write(merged(old.fps, new.fps, _compact), "fps"), self._write(merged(old.windows, new.windows, _compact_windows), "windows"), f"{old.batches},{new.batches}"))
             self._list()
 
     def append(self, batch: DataFrame) -> DataFrame:
@@ -326,23 +334,26 @@ class Index:
         for old in self.runs:
             hits = hits.unionByName(own.groupBy("part").cogroup(self._open(old.fps).groupBy("part")).applyInArrow(_meet(self.parts), PACKED))
         asked = bucketed(hits.select("part", "a", "b").groupBy("part").applyInArrow(_gather, "rid long, fps binary"), "rid", "asked", self.buckets)
-        self._keep(batch)
-        held = self.texts().join(asked.hint("shuffle_hash"), "rid").select("rid", "doc", "size", "zipped", "fps")
+        name = self._keep(batch)
+        held = self._texts_of([name, *(b for run in self.runs for b in run.batches.split(","))]).join(asked.hint("shuffle_hash"), "rid").select("rid", "doc", "size", "zipped", "fps")
         named = bucketed(held.mapInArrow(_name_windows(self.parts, self.unique), PACKED), "part", "named", self.buckets)
         windows = self._write(named.groupBy("part").applyInArrow(_verify(self.parts, self.unique), PACKED), "windows")
         gone = self._open(windows).where("kind = 1")
         for old in self.runs:
             gone = gone.unionByName(named.groupBy("part").cogroup(self._open(old.windows).groupBy("part")).applyInArrow(_older(self.parts, self.unique), PACKED))
         places = written(gone.select("part", "a", "b").groupBy("part").applyInArrow(_places, "rid long, places binary"), "places")
-        self.runs.append(Run(0, fps, windows))
+        self.runs.append(Run(0, fps, windows, name))
         self._list()
         return places
 
-    def _keep(self, batch: DataFrame) -> None:
-        at = f"veclode_texts_{uuid.uuid4().hex}"
+    def _keep(self, batch: DataFrame) -> str:
+        """The batch's name, under which its texts are in the folder now."""
+        name = uuid.uuid4().hex
+        at = f"veclode_texts_{name}"
         self.spark.sql(f"CREATE TABLE {at} ({TEXTS}) USING parquet CLUSTERED BY (rid) INTO {self.buckets} BUCKETS LOCATION '{self.root}/texts'")
-        zipped(batch).write.mode("append").format("parquet").bucketBy(self.buckets, "rid").saveAsTable(at)
+        zipped(batch.select("rid", "doc", F.lit(name).alias("batch"), "text")).write.mode("append").format("parquet").bucketBy(self.buckets, "rid").saveAsTable(at)
         self.spark.sql(f"DROP TABLE {at}")
+        return name
 
 
 def _gather(key, table):
