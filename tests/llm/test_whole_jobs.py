@@ -196,3 +196,48 @@ def test_op4_short_items(spark):
     benchmark = spark.createDataFrame([x[:2] for x in items], "item_id long, text string")
     found = {(x["rid"], x["item_id"]) for x in decontaminate.overlaps(spark.createDataFrame(docs, "rid long, text string"), benchmark).collect()}
     assert found == {(i, i) for i, _, leaks in items if leaks}
+
+
+def passage_texts(r, n, common, own):
+    """n texts of one passage and words of their own: no two are linked."""
+    passage = [f"p{r.randrange(10**9)}" for _ in range(common)]
+    return [(i, " ".join([*passage, *(f"w{r.randrange(10**9)}" for _ in range(own))])) for i in range(n)]
+
+
+def test_op8_hot_buckets_blocks_and_rounds_lose_nothing(spark, monkeypatch):
+    """Buckets beyond HOT, many blocks and several star rounds, against all pairs."""
+    monkeypatch.setattr(neardup, "HOT", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    r = random.Random(12)
+    rows = passage_texts(r, 60, 75, 25)
+    for i in range(60):  # pairs about the threshold, among texts that all share the passage
+        words = rows[i][1].split()
+        k = r.choice((2, 4, 6, 8, 10, 12))
+        rows.append((100 + i, " ".join([*words[:-k], *(f"x{r.randrange(10**9)}" for _ in range(k))])))
+    at = 200
+    for _ in range(4):  # chains: each is near the one before, not the first
+        words = [f"c{r.randrange(10**9)}" for _ in range(80)]
+        for _ in range(9):
+            words = [*words]
+            words[r.randrange(5, 75)] = f"y{r.randrange(10**9)}"
+            rows.append((at, " ".join(words)))
+            at += 1
+    docs = spark.createDataFrame(rows, "rid long, text string").withColumn("doc_id", F.col("rid"))
+    for pays in (1, 20, 10**9):
+        monkeypatch.setattr(neardup, "PAYS", pays)
+        assert {x["rid"]: x["component_id"] for x in neardup.near_duplicates(docs).collect()} == {d: c for (d, _), (_, c, _) in zip(rows, brute.op8(rows), strict=True)}
+
+
+def test_op8_rows_for_a_common_passage_grow_with_the_texts(spark, monkeypatch):
+    """Rows that nodes of a hot bucket become: none for texts that share the passage only."""
+    monkeypatch.setattr(neardup, "HOT", 50)
+    r, seen = random.Random(13), {}
+    real = neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, name, *a, **k: seen.__setitem__(name, out := real(df, name, *a, **k)) or out)
+    for n in (200, 400, 800):
+        docs = spark.createDataFrame(passage_texts(r, n, 75, 25), "rid long, text string").withColumn("doc_id", F.col("rid"))
+        out = neardup.near_duplicates(docs)
+        assert out.where("component_id <> doc_id").count() == 0
+        assert seen["hot"].count() == n  # all texts are in hot buckets
+        rare = seen["rare"]
+        assert rare.count() <= 16 * n and rare.groupBy("bucket").count().where("count > 1").count() == 0

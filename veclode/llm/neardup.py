@@ -9,8 +9,10 @@
   compared with the nodes of all others; confirmed links join components, as long as a round links one in ``PAYS`` of
   the nodes in such buckets. The number of rounds decides nothing but the work that is left to the next step.
 * In buckets that still hold several components, nodes of different components are compared, block by block. A bucket of
-  more than ``HOT`` nodes, as one very common passage makes it, is split by the nodes' other buckets first: only nodes that
-  share another band as well meet (a pair at 85 % shares no other with probability 5e-8, one at 80 % with 6e-6).
+  more than ``HOT`` nodes, as one very common passage makes it, is split by rare shingles first, which loses no link: of
+  two sets of size n that meet the threshold t, in any order that all sets share, the first ``n - ceil(t n) + 1`` shingles
+  of each have one in common. The order is by how often shingles occur in the hot buckets (counted in ``SLOTS`` slots), so a
+  passage comes last, and texts that share nothing else don't meet.
   Pairs inside a component would change nothing, so no group of copies is expanded into all its pairs.
 * A link counts if the full sets of 64-bit shingle names meet the threshold.
 """
@@ -31,6 +33,8 @@ HASHES, BANDED, ROWS, BITS = 1024, 96, 4, 4096
 #: Deviations above the expected ones in the XOR of two sketches from which a pair is let go.
 DEVIATIONS = 5.6
 BLOCK, HOT, PAYS = 4096, 1024, 20
+#: Slots in which shingles are counted to tell rare ones from common ones.
+SLOTS = 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _A = (mix(np.arange(1, HASHES + 1, dtype=np.uint64) * M2) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -112,6 +116,40 @@ def _shingled(batches):
         yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(out, pa.binary())], names=["rid", "shingles"])
 
 
+def _slot(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(48)).astype(np.int64) % SLOTS
+
+
+def _counted(batches):
+    """How often the shingles of a slot occur in a task's sets."""
+    import pyarrow as pa
+
+    n = np.zeros(SLOTS, np.int64)
+    for b in batches:
+        for x in b.column("shingles"):
+            n += np.bincount(_slot(np.frombuffer(x.as_buffer(), np.uint64)), minlength=SLOTS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+
+
+def _rare(sent, percent: int):
+    """The first shingles of each set, the rarest first: as many as two sets that meet the threshold can't both do without."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rid, out = [], []
+            for r, x in zip(b.column("rid").to_pylist(), b.column("shingles"), strict=True):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                first = s[np.argsort(sent.value[_slot(s)], kind="stable")[: len(s) - -(-percent * len(s) // 100) + 1]]
+                rid.append(np.full(len(first), r, np.int64))
+                out.append(signed(first))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rid) if rid else [], pa.int64()), pa.array(np.concatenate(out) if out else [], pa.int64())], names=["rid", "bucket"])
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches):
         import pyarrow as pa
@@ -267,12 +305,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if found * PAYS <= before:  # the rest is compared at once, whatever is left
             break
 
-    # m holds the buckets with several components still. Hot ones are split by the other bands of their nodes.
-    hot = m.where(F.col("size") > HOT).select("bucket", "rid", "comp")
-    hot = hot.join(nodes.select("rid", "bands"), "rid").select("rid", "comp", F.col("bucket").alias("own"), F.explode("bands").alias("band")).where("band <> own")
-    hot = written(hot.select(F.xxhash64("own", "band").alias("bucket"), "rid", "comp"), "split")
-    parts = hot.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "size")
-    hot = hot.join(parts, "bucket").select("bucket", "size", "rid", "comp", F.lit(True).alias("split"))
+    # m holds the buckets with several components still. Nodes of hot ones meet at a rare shingle instead.
+    hot = written(m.where(F.col("size") > HOT).select("rid", "comp").distinct(), "hot")
+    own = sets.join(hot.select("rid"), "rid", "left_semi")
+    often = np.zeros(SLOTS, np.int64)
+    counts = own.select("shingles").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    often[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    first = own.select("rid", "shingles").mapInArrow(_rare(spark.sparkContext.broadcast(often), percent), "rid long, bucket long").join(hot, "rid")
+    first = written(first, "rare")
+    parts = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "size")
+    hot = first.join(parts, "bucket").select("bucket", "size", "rid", "comp", F.lit(True).alias("split"))
     m = m.where(F.col("size") <= HOT).select("bucket", "size", "rid", "comp", F.lit(False).alias("split")).unionByName(hot)
     nb = F.ceil(F.col("size") / BLOCK).cast("int")
     m = m.withColumn("block", F.pmod(F.xxhash64("rid"), nb).cast("int"))
