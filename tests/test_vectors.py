@@ -239,6 +239,17 @@ def test_nn_descent_recall(spark, data):
     assert len(truth & got) / len(truth) > 0.95
 
 
+def test_nn_descent_progress(spark, data):
+    v = G.doubled(table(spark, data[:120]))
+    p = B.Progress(v, 5, nodes=30)
+    B.nn_descent(v, 5, sample=4, iterations=3, progress=p)
+    r = [x["recall"] for x in p.rows(spark).orderBy("round").collect()]
+    assert len(r) == 4 and r == sorted(r) and r[0] < 0.5 and r[-1] > 0.8
+    q = B.Progress(v, 5, nodes=30, gain=2.0)  # no round can gain that much
+    B.nn_descent(v, 5, sample=4, iterations=3, progress=q)
+    assert len(q.recalls) == 3 and q.recalls[1] == r[1]
+
+
 @pytest.mark.parametrize("kind", ["NSG", "SSG", "HNSW", "RNNDESCENT"])
 def test_index(spark, data, kind):
     b = table(spark, data[:60])

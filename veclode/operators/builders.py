@@ -51,11 +51,37 @@ def _with_distance(pairs: DataFrame, base: DataFrame, metric: str = "L2") -> Dat
     return p.withColumn("dist", V.metric(metric)(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
-def nn_descent(base: DataFrame, k: int, sample: int = 10, pool: int | None = None, iterations: int = 10, seed: int = 1, metric: str = "L2") -> DataFrame:
+class Progress:
+    """Recall of NN-Descent by round, on a sample of nodes that is drawn by hash and whose true neighbours are found once.
+
+    ``gain``: a round that adds less than this share of the sample's neighbours is the last one; without it rounds go on until
+    nothing changes.
+    """
+
+    def __init__(self, base: DataFrame, k: int, metric: str = "L2", nodes: int = 100, gain: float | None = None, seed: int = 1) -> None:
+        self.k, self.gain, self.recalls = k, gain, []
+        first = base.select(F.col("vec_id").alias("q_id"), "v").orderBy(F.xxhash64("q_id", F.lit(seed)), "q_id").limit(nodes)
+        self.truth = written(knn.nearest(written(first, "sample"), base, k, metric, others=True).select("q_id", "vec_id"), "truth")
+        self.size = max(self.truth.count(), 1)
+
+    def add(self, pool: DataFrame) -> bool:
+        """Note the recall of a round's pool (src, dst, dist); whether rounds should go on."""
+        own = G.lists(pool.join(self.truth.select(F.col("q_id").alias("src")).distinct(), "src", "left_semi"), self.k)
+        hits = own.join(self.truth, (F.col("src") == F.col("q_id")) & (F.col("dst") == F.col("vec_id"))).count()
+        self.recalls.append(hits / self.size)
+        return self.gain is None or len(self.recalls) < 2 or self.recalls[-1] - self.recalls[-2] >= self.gain
+
+    def rows(self, spark) -> DataFrame:
+        """(round, recall), a row a round; round 0 is the random start."""
+        return spark.createDataFrame(list(enumerate(self.recalls)), "round int, recall double")
+
+
+def nn_descent(base: DataFrame, k: int, sample: int = 10, pool: int | None = None, iterations: int = 10, seed: int = 1, metric: str = "L2", progress: Progress | None = None) -> DataFrame:
     """Approximate kNN graph: neighbours of a common neighbour are compared with each other, new ones with all.
 
     Every node keeps its ``pool`` (k + 50) nearest; per round it offers up to ``sample`` new and old ones, and as many
-    that point to it, so a round compares at most (2 * sample) ** 2 pairs a node whatever the degrees.
+    that point to it, so a round compares at most (2 * sample) ** 2 pairs a node whatever the degrees. progress: notes
+    each round's recall, and may end the rounds.
     """
     pool = pool or k + 50
     best = Window.partitionBy("src").orderBy("dist", "dst")
@@ -66,6 +92,8 @@ def nn_descent(base: DataFrame, k: int, sample: int = 10, pool: int | None = Non
 
     e = top(_with_distance(_draws(base, sample, seed), base, metric).withColumn("new", F.lit(True)))
     for t in range(iterations):
+        if progress is not None and not progress.add(e):
+            break
         offer = e.withColumn("r", F.row_number().over(Window.partitionBy("src", "new").orderBy("dist", "dst"))).where(F.col("r") <= sample).drop("r")
         offer = written(offer, "offer")
         back = offer.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist", "new")
@@ -80,6 +108,8 @@ def nn_descent(base: DataFrame, k: int, sample: int = 10, pool: int | None = Non
         e = top(kept.unionByName(got.select("src", "dst", "dist", "new")))
         if not e.where("new").limit(1).count():
             break
+    if progress is not None:
+        progress.add(e)
     return G.lists(e, k)
 
 

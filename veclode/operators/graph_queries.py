@@ -139,6 +139,14 @@ def _nn_recall(b: DataFrame) -> DataFrame:
     return knn.recall(e, knn.exact(_q(b), b, K, others=True), K)
 
 
+def _progress(b: DataFrame) -> DataFrame:
+    """Recall of every round of NN-Descent on every 20th row or so, the random start included."""
+    v = G.doubled(b)
+    p = B.Progress(v, K, nodes=max(1, b.count() // 20))
+    B.nn_descent(v, K, progress=p)
+    return p.rows(b.sparkSession)
+
+
 #: Largest degree of each index with R = DEGREE, and recall that a search with a pool of WIDE must reach.
 CAPS, WIDE, RECALL = {"NSG": DEGREE, "SSG": DEGREE, "HNSW": DEGREE, "RNNDESCENT": DEGREE}, 64, 0.9
 
@@ -252,6 +260,7 @@ def entries():
         ("quick_sweep", _quick, None),
         ("nndescent_build", lambda b: B.nn_descent(G.doubled(b), K), None),
         ("nndescent_recall", _nn_recall, None),
+        ("nndescent_progress", _progress, None),
         ("nndescent_checked", _nn_reached, "SELECT count(*) AS n_queries, TRUE AS recall_reached FROM embeddings WHERE vec_id % 20 = 0"),
         ("rnndescent_build", lambda b: B.rnn_descent(G.doubled(b), DEGREE).edges, None),
         ("nsg_build", _index("NSG"), None),
