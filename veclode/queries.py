@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
-from .operators import kmeans, knn
+from .operators import codes, kmeans, knn
 from .operators import quantizers as Q
+from .plans.scratch import written
 
 K, CLUSTERS, EPOCHS = 10, 10, 10
 #: A product quantizer's elements a sub-space, centroids in each, rounds.
 SUB, CODES, PQ_EPOCHS = 4, 256, 10
+#: Candidates for each neighbour from which product codes come to a recall of 0.9.
+WIDE = 6.0
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +197,15 @@ def _centroid_rows(spark: SparkSession, c: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(s, k, [float(x) for x in v]) for s, book in enumerate(c) for k, v in enumerate(book)], "sq int, cid int, centroid array<double>")
 
 
+def _stored_bytes(b: DataFrame) -> DataFrame:
+    """Bytes of a stored code, and how many rows have one."""
+    out = None
+    for name in ("FP16", "SQ8U", "SQ6", "SQ4U", "SQ2U", "SQ1"):
+        rows = codes.stored(b, Q.fit(name, b, "IP" if name == "SQ1" else "L2")).groupBy(F.octet_length("code").alias("bytes")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("quantizer"), "bytes", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 Entry = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
 
@@ -263,6 +275,7 @@ SELECT count(*) AS hits, (SELECT count(DISTINCT q_id) FROM t) AS n_queries, coun
             return b.select("vec_id", z.encode(v()).alias("c")).select("vec_id", z.decode(F.col("c")).alias("decoded"))
 
         add(f"decode_{name.lower()}", decode_dim, f"WITH {', '.join([E, *sql_codes(name)])} SELECT vec_id, list_transform(list_zip(code, los, difs), lambda z: z[1] / {float(Q.PER_DIM[name][0])} * z[3] + z[2]) AS decoded FROM c, p")
+    add("stored_bytes", _stored_bytes, "SELECT * FROM (VALUES ('FP16', 2 * 64), ('SQ8U', 64), ('SQ6', 48), ('SQ4U', 32), ('SQ2U', 16), ('SQ1', 8)) t(quantizer, bytes), (SELECT count(*) AS n FROM embeddings)")
     for name, bits in Q.BITS.items():
         m, unit, per = ("IP" if name == "SQ1" else "L2"), *((3, 4) if bits == 6 else (1, 8 // bits))
         add(f"pack_{name.lower()}", lambda b, name=name, m=m, bits=bits: b.select("vec_id", V.packed(Q.fit(name, b, m).encode(v()), bits).alias("bytes")),
@@ -286,16 +299,20 @@ SELECT count(*) AS hits, (SELECT count(DISTINCT q_id) FROM t) AS n_queries, coun
             sql_knn([*ctes, coded[2:], f"bv AS (SELECT vec_id, flatten(list(c ORDER BY z.sq)) AS v FROM z JOIN {m} ON {m}.sq = z.sq AND {m}.cid = z.cid GROUP BY vec_id)"], "e", "bv", mm))
 
     def pq_recall(b):
-        """Recall of the product quantizer's own ranking and of its candidates re-ranked."""
-        z, q = Q.fit("PQ8", b, codebook=_codebook(b)), query_rows(b)
-        truth = knn.exact(q, b, K, others=True)
-        return knn.recall(knn.flat(q, b, K, z, others=True), truth, K).withColumn("stage", F.lit("flat")).unionByName(knn.recall(knn.two_stage(q, b, K, "L2", z, others=True), truth, K).withColumn("stage", F.lit("refined")))
-
-    def pq_refined(b):
-        return knn.two_stage(query_rows(b), b, K, "L2", Q.fit("PQ8", b, codebook=_codebook(b)), others=True)
-
-    inner = sql_knn([*ctes, coded[2:], f"bv AS (SELECT vec_id, flatten(list(c ORDER BY z.sq)) AS v FROM z JOIN {m} ON {m}.sq = z.sq AND {m}.cid = z.cid GROUP BY vec_id)"], "e", "bv", "L2", int(K * Q.FACTOR["PQ8"]))
-    add("refine_pq8_l2", pq_refined, sql_refined(inner, "L2"))
+        """Recall of the product quantizer's own ranking, of its candidates re-ranked, and of more of them; the codebook starts
+        from oversampled candidates."""
+        z, q = Q.fit("PQ8", b), query_rows(b)
+        truth = written(knn.exact(q, b, K, others=True), "truth")
+        stored = written(codes.stored(b, z), "codes")
+        out = knn.recall(knn.flat_codes(q, stored, K, z, others=True), truth, K).withColumn("stage", F.lit("flat"))
+        for stage, f in (("refined", z.factor), ("wide", WIDE)):
+            found = knn.refine(knn.flat_codes(q, stored, int(K * f), z, others=True), q, b, K)
+            out = out.unionByName(knn.recall(found, truth, K).withColumn("stage", F.lit(stage)))
+        return out
+
+    for name, f in (("refine_pq8_l2", Q.FACTOR["PQ8"]), ("refine_pq8_wide_l2", WIDE)):
+        inner = sql_knn([*ctes, coded[2:], f"bv AS (SELECT vec_id, flatten(list(c ORDER BY z.sq)) AS v FROM z JOIN {m} ON {m}.sq = z.sq AND {m}.cid = z.cid GROUP BY vec_id)"], "e", "bv", "L2", int(K * f))
+        add(name, lambda b, f=f: knn.two_stage(query_rows(b), b, K, "L2", Q.fit("PQ8", b, codebook=_codebook(b)), others=True, factor=f), sql_refined(inner, "L2"))
     add("pq_recall", pq_recall, None)
 
     def stored(b):
