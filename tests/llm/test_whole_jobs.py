@@ -223,8 +223,10 @@ def test_op8_hot_buckets_blocks_and_rounds_lose_nothing(spark, monkeypatch):
             rows.append((at, " ".join(words)))
             at += 1
     docs = spark.createDataFrame(rows, "rid long, text string").withColumn("doc_id", F.col("rid"))
-    for pays in (1, 20, 10**9):
+    for pays, many, sets in ((1, 4, 1 << 22), (20, 0, 500), (10**9, 0, 1 << 22)):
         monkeypatch.setattr(neardup, "PAYS", pays)
+        monkeypatch.setattr(neardup, "MANY", many)
+        monkeypatch.setattr(neardup, "SETS", sets)
         assert {x["rid"]: x["component_id"] for x in neardup.near_duplicates(docs).collect()} == {d: c for (d, _), (_, c, _) in zip(rows, brute.op8(rows), strict=True)}
 
 
@@ -241,3 +243,21 @@ def test_op8_rows_for_a_common_passage_grow_with_the_texts(spark, monkeypatch):
         assert seen["hot"].count() == n  # all texts are in hot buckets
         rare = seen["rare"]
         assert rare.count() <= 16 * n and rare.groupBy("bucket").count().where("count > 1").count() == 0
+
+
+def test_op8_texts_just_under_the_threshold_state_no_pairs(spark, monkeypatch):
+    """A group whose pairs are all at about 82 %: sketches let them pass, so blocks are compared on full sets."""
+    r, seen = random.Random(15), {}
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for i in range(120):
+        words = [*base]
+        words[3:16] = [f"e{i}x{k}" for k in range(13)]
+        rows.append((i, " ".join(words)))
+    rows.append((500, rows[7][1] + " tail"))
+    real = neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, name, *a, **k: seen.__setitem__(name, out := real(df, name, *a, **k)) or out)
+    docs = spark.createDataFrame(rows, "rid long, text string").withColumn("doc_id", F.col("rid"))
+    out = {x["rid"]: x["component_id"] for x in neardup.near_duplicates(docs).collect()}
+    assert out == {d: c for (d, _), (_, c, _) in zip(rows, brute.op8(rows), strict=True)} and out[500] == 7
+    assert seen["dense"].count() >= 100 and seen["pairs"].count() < 4 * 120

@@ -14,6 +14,8 @@
   of each have one in common. The order is by how often shingles occur in the hot buckets (counted in ``SLOTS`` slots), so a
   passage comes last, and texts that share nothing else don't meet.
   Pairs inside a component would change nothing, so no group of copies is expanded into all its pairs.
+* A block whose sketches let more than ``MANY`` pairs a node pass, as texts just under the threshold do, states no pairs: it is
+  compared once more with the full sets at hand, and states a link only where that joins components.
 * A link counts if the full sets of 64-bit shingle names meet the threshold.
 """
 
@@ -35,6 +37,8 @@ DEVIATIONS = 5.6
 BLOCK, HOT, PAYS = 4096, 1024, 20
 #: Slots in which shingles are counted to tell rare ones from common ones.
 SLOTS = 1 << 16
+#: Pairs a node from which a block is compared on full sets, and shingles of a block then.
+MANY, SETS = 4, 1 << 22
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _A = (mix(np.arange(1, HASHES + 1, dtype=np.uint64) * M2) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -178,7 +182,7 @@ def _across(percent: int):
 def _pairs_across(batches, percent: int):
     """Rows (bucket, split, i, j, rid, n, comp, sketch, bands, block) in the order of (bucket, i, j): pairs of nodes of
     different components, one of block i and one of block j, whose sizes and sketches agree; each pair only in the
-    first bucket that it shares, unless that was split."""
+    first bucket that it shares, unless that was split. Of a block with too many only its bucket (dense)."""
     import pyarrow as pa
 
     most = most_ones(percent)
@@ -206,8 +210,11 @@ def _pairs_across(batches, percent: int):
     cols = ("bucket", "i", "j")
 
     def flush(held):
-        a, b = pairs(*(np.concatenate([h[k] for h in held]) for k in range(7)), *key)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a) if a else [], pa.int64()), pa.array(np.concatenate(b) if b else [], pa.int64())], names=["a", "b"])
+        cols = [np.concatenate([h[k] for h in held]) for k in range(7)]
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in pairs(*cols, *key))
+        if len(a) > MANY * len(cols[0]):
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([key[0]], pa.int64())], names=["a", "b", "dense"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "dense"])
 
     for batch in batches:
         k = [batch.column(c).to_numpy(zero_copy_only=False) for c in cols]
@@ -227,6 +234,52 @@ def _pairs_across(batches, percent: int):
         yield flush(held)
 
 
+def _exactly(percent: int):
+    """The same blocks with full sets: links that join components, as a forest."""
+    most = most_ones(percent)
+
+    def run(key, table):
+        import pyarrow as pa
+
+        i, j = (key[c].as_py() for c in (1, 2))
+        rid, comp, block = (table.column(c).to_numpy() for c in ("rid", "comp", "block"))
+        sk = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, BITS // 64).view(np.uint64)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        n = np.array([len(s) for s in sets], np.int64)
+        name, token = np.unique(np.concatenate(sets), return_inverse=True)
+        at = np.concatenate(([0], np.cumsum(n)))
+        root = {int(c): int(c) for c in comp}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out, mark = [], np.zeros(len(name), bool)
+        right = np.flatnonzero(block == j)
+        for u in np.flatnonzero(block == i):
+            own = find(int(comp[u]))
+            v = right[right > u] if i == j else right
+            v = v[percent * np.maximum(n[u], n[v]) <= 100 * np.minimum(n[u], n[v])]
+            v = v[np.bitwise_count(sk[v] ^ sk[u]).sum(axis=1) < most]
+            v = v[np.array([find(int(c)) != own for c in comp[v]], bool)]
+            if not len(v):
+                continue
+            mark[token[at[u] : at[u + 1]]] = True
+            rows = np.repeat(at[v] - np.concatenate(([0], np.cumsum(n[v])[:-1])), n[v]) + np.arange(n[v].sum())
+            both = np.add.reduceat(mark[token[rows]].astype(np.int64), np.concatenate(([0], np.cumsum(n[v])[:-1])))
+            mark[token[at[u] : at[u + 1]]] = False
+            for w in v[100 * both >= percent * (n[u] + n[v] - both)]:
+                a, b = find(int(comp[u])), find(int(comp[w]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((min(rid[u], rid[w]), max(rid[u], rid[w])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _ones(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
@@ -316,11 +369,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     parts = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "size")
     hot = first.join(parts, "bucket").select("bucket", "size", "rid", "comp", F.lit(True).alias("split"))
     m = m.where(F.col("size") <= HOT).select("bucket", "size", "rid", "comp", F.lit(False).alias("split")).unionByName(hot)
-    nb = F.ceil(F.col("size") / BLOCK).cast("int")
-    m = m.withColumn("block", F.pmod(F.xxhash64("rid"), nb).cast("int"))
-    m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), nb - 1))).withColumns({"i": F.least("block", "_o"), "j": F.greatest("block", "_o")})
-    m = m.join(nodes, "rid").select("bucket", "split", "i", "j", "rid", "n", "comp", "sketch", "bands", "block").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = confirmed(m.mapInArrow(_across(percent), "a long, b long").distinct())
+
+    def blocks(m: DataFrame, nb: Column) -> DataFrame:
+        """Members with their block of nb, once for each pair (i, j) of blocks that has it."""
+        m = m.withColumn("block", F.pmod(F.xxhash64("rid"), nb).cast("int"))
+        return m.withColumn("_o", F.explode(F.sequence(F.lit(0), nb - 1))).withColumns({"i": F.least("block", "_o"), "j": F.greatest("block", "_o")})
+
+    each = blocks(m, F.ceil(F.col("size") / BLOCK).cast("int")).join(nodes, "rid").select("bucket", "split", "i", "j", "rid", "n", "comp", "sketch", "bands", "block")
+    each = each.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    found = written(each.mapInArrow(_across(percent), "a long, b long, dense long"), "pairs")
+    more = confirmed(found.where("dense is null").select("a", "b").distinct())
+    if more.limit(1).count():
+        comps = joined(comps, more)
+    dense = m.join(found.where("dense is not null").select(F.col("dense").alias("bucket")).distinct(), "bucket").select("bucket", "rid")
+    dense = written(dense.join(comps.withColumnRenamed("node", "rid"), "rid").join(nodes.select("rid", "n", "sketch"), "rid"), "dense")
+    wide = dense.groupBy("bucket").agg(F.ceil(F.sum("n") / SETS).cast("int").alias("nb"))
+    dense = blocks(dense.join(wide, "bucket"), F.col("nb")).join(sets, "rid").select("bucket", "i", "j", "rid", "comp", "block", "sketch", "shingles")
+    more = written(dense.groupBy("bucket", "i", "j").applyInArrow(_exactly(percent), "a long, b long"), "links")
     if more.limit(1).count():
         comps = joined(comps, more)
 
