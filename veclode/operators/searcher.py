@@ -56,11 +56,12 @@ class Searcher:
 class ShardSearcher:
     """The same on a graph in shards: a search is one pass over the shards, and counts its comparisons on the way.
 
-    probe: how many cells a query asks (all by default); built_on: the quantizer that the index was built on, for probing.
+    probe: how many cells a query asks (all by default); built_on: the quantizer that the index was built on, for probing;
+    graph: the whole graph that the shards were laid out from, if there is one.
     """
 
-    def __init__(self, index: shards.ShardedGraph, base: DataFrame, metric: str = "L2", quantizer: str = "FP32", refine_quant: str = "", probe: int | None = None, built_on: Q.Quantizer | None = None) -> None:
-        self.index, self.base, self.metric, self.ef, self.probe, self.built_on = index, base, metric.upper(), 32, probe, built_on
+    def __init__(self, index: shards.ShardedGraph, base: DataFrame, metric: str = "L2", quantizer: str = "FP32", refine_quant: str = "", probe: int | None = None, built_on: Q.Quantizer | None = None, graph: G.Graph | None = None) -> None:
+        self.index, self.base, self.metric, self.ef, self.probe, self.built_on, self.graph = index, base, metric.upper(), 32, probe, built_on, graph
         self.quantizer = Q.fit(quantizer, base, metric)
         if self.quantizer.name == "SQ8P":
             raise ValueError("SQ8P codes have a scale of their own each; use flat search")
@@ -153,7 +154,7 @@ class Benchmark:
                 graph_files.save(graph, self.path(name), overwrite=True)
                 graph = graph_files.load(spark, self.path(name))
         rows, kind = Index(c["index"], self.metric, c["build_quant"], c["R"], c["L"]).vectors(base)
-        self.searcher = ShardSearcher(shards.of_graph(graph, rows, kind), base, self.metric, c["search_quant"], c["refine_quant"])
+        self.searcher = ShardSearcher(shards.of_graph(graph, rows, kind), base, self.metric, c["search_quant"], c["refine_quant"], graph=graph)
         return self
 
     def _fit_shards(self, base: DataFrame, name: str, rebuild: bool) -> Benchmark:
