@@ -11,6 +11,7 @@ from pathlib import Path
 
 import brute
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -261,3 +262,56 @@ def test_op8_texts_just_under_the_threshold_state_no_pairs(spark, monkeypatch):
     out = {x["rid"]: x["component_id"] for x in neardup.near_duplicates(docs).collect()}
     assert out == {d: c for (d, _), (_, c, _) in zip(rows, brute.op8(rows), strict=True)} and out[500] == 7
     assert seen["dense"].count() >= 100 and seen["pairs"].count() < 4 * 120
+
+
+def leaks(text, item):
+    """Whether a window of 16 words (all of a shorter item) has 80 % of its words equal at their places."""
+    w = min(16, len(item))
+    for d in range(-len(item) + w, len(text) - w + 1):
+        same = [0 <= d + i < len(text) and text[d + i] == x for i, x in enumerate(item)]
+        if any(0 <= d + i and d + i + w <= len(text) and sum(same[i : i + w]) * 5 >= w * 4 for i in range(len(item) - w + 1)):
+            return True
+    return False
+
+
+def phrased(r, phrase, n_items, n_texts, every, after=2):
+    """Items around one phrase, and texts around it of which every so many go on like an item, some words changed."""
+    word = lambda: f"w{r.randrange(10**9)}"
+    items = [[*(word() for _ in range(r.randrange(10))), *phrase, *(word() for _ in range(r.randrange(after, 10)))] for _ in range(n_items)]
+    docs = []
+    for i in range(n_texts):
+        middle = phrase
+        if i % every == 0:
+            middle = [x if r.random() > 0.12 else word() for x in r.choice(items)]
+        docs.append([*(word() for _ in range(r.randrange(20))), *middle, *(word() for _ in range(r.randrange(20)))])
+    return items, docs
+
+
+def frames(spark, items, docs):
+    rows = lambda x: [(i, " ".join(w)) for i, w in enumerate(x)]
+    return spark.createDataFrame(rows(docs), "rid long, text string"), spark.createDataFrame(rows(items), "item_id long, text string")
+
+
+@pytest.mark.parametrize("few", [0, 16, 10**6])
+def test_op4_common_seeds_in_blocks(spark, monkeypatch, few):
+    monkeypatch.setattr(decontaminate, "FEW", few)
+    monkeypatch.setattr(decontaminate, "BLOCK", 16)
+    r = random.Random(11)
+    items, docs = phrased(r, [f"p{i}" for i in range(11)], 30, 80, 3)
+    items += [items[3], ["short", "item", "of", "five", "words"]]
+    docs += [items[0], ["p5"], [*items[-1][:4], "other", "tail"], docs[0]]
+    found = {(x["rid"], x["item_id"]) for x in decontaminate.overlaps(*frames(spark, items, docs)).collect()}
+    assert found == {(i, j) for i, x in enumerate(docs) for j, y in enumerate(items) if leaks(x, y)}
+    assert len(found) > 20
+
+
+def test_op4_rows_for_a_common_phrase_grow_with_the_texts(spark, monkeypatch):
+    """One phrase of 11 words in m items and n texts: rows are of m + n, not of m x n."""
+    rows = {}
+    real = decontaminate.in_blocks
+    monkeypatch.setattr(decontaminate, "in_blocks", lambda a, b: rows.update(hits=a.count(), places=b.count()) or real(a, b))
+    items, docs = phrased(random.Random(12), [f"p{i}" for i in range(11)], 300, 3000, 10**6, 5)  # 11 words are no match of an item of 16 and more
+    docs[0] = items[7]  # the only match
+    found = {(x["rid"], x["item_id"]) for x in decontaminate.overlaps(*frames(spark, items, docs)).collect()}
+    assert found == {(0, 7)}
+    assert rows["hits"] <= 13 * 3000 and rows["places"] <= 13 * 300  # the phrase has 13 seeds

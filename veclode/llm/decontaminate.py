@@ -6,7 +6,9 @@ texts by hash; a filter (bits of three hashes of every benchmark seed, about 48
 likely places of the texts into that join. Items with the same words are one item until the end, so what is joined grows
 with distinct items; a hit of a seed that several places of an item share counts once a diagonal. Around a hit the text and the item are laid over each other on the hit's diagonal, and the text
 is contaminated if in some window of 16 words (all of a shorter item) at least 80 % are equal at their places.
-Words are compared in lower case (A-Z) without ASCII punctuation, by 64-bit names.
+A seed of more than 16 places of the benchmark, as a common phrase is, never meets the texts pair by pair: its places and
+its hits, each with the words that a window around it can reach, are dealt to blocks, and a task compares a block of places
+with a block of hits. Words are compared in lower case (A-Z) without ASCII punctuation, by 64-bit names.
 
 Cases: null or blank texts and items have no words and match nothing; texts of any length are read whole, windows that
 tie for the best count alike; items of up to
@@ -17,7 +19,7 @@ an empty table of texts gives no rows, an empty benchmark no contaminated ones.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import M1, M2, M3, keyed, mix, signed, small_batches, spans_of, table, texts, written
@@ -37,6 +39,9 @@ WINDOW, PERCENT = 16, 80
 #: Bits of the filter at least and at most (64 MB), bits of a part of it that one group builds, and words kept on either side of
 #: a hit.
 LEAST, MOST, PART, AROUND = 1 << 24, 1 << 29, 1 << 19, 32
+#: Places of the benchmark up to which a seed's hits are laid over each of them, rows of a block beyond that, and words of a
+#: window before or after a hit.
+FEW, BLOCK, REACH = 16, 1024, WINDOW - 1
 PLAIN = np.arange(256, dtype=np.uint8)
 PLAIN[65:91] += 32
 PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 32
@@ -182,6 +187,55 @@ def _overlap(batches):
         yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("iid"), pa.array(best, pa.int64()), pa.array(size, pa.int64())], names=["rid", "iid", "equal", "size"])
 
 
+def _around(words: str, place: str) -> list[Column]:
+    """The words that a window around a place can reach, and how many the text lacks before them."""
+    at, low = F.col(place), F.greatest(F.col(place) - REACH, F.lit(0))
+    return [F.greatest(REACH - at, F.lit(0)).alias("lead"), F.substring(words, low * 8 + 1, (at + REACH + 1 - low) * 8).alias("near")]
+
+
+def _near(table) -> tuple[np.ndarray, np.ndarray]:
+    """A row of 2 * REACH + 1 words around each place, and which of them there are."""
+    n = table.num_rows
+    word, there = np.zeros((n, 2 * REACH + 1), np.uint64), np.zeros((n, 2 * REACH + 1), bool)
+    for i, (x, lead) in enumerate(zip(table.column("near").to_pylist(), table.column("lead").to_pylist(), strict=True)):
+        x = np.frombuffer(x, np.uint64)
+        word[i, lead : lead + len(x)], there[i, lead : lead + len(x)] = x, True
+    return word, there
+
+
+def _compared(key, hits, places):
+    """Judge a block of a seed's hits against a block of its places, by the windows around the seed."""
+    import pyarrow as pa
+
+    rid = hits.column("rid").to_numpy()
+    (text, in_text), (item, in_item) = _near(hits), _near(places)
+    out: list[list] = [[np.zeros(0, np.int64)] for _ in range(4)]
+    for i, (iid, k, w) in enumerate(zip(*(places.column(c).to_pylist() for c in ("iid", "k", "size")), strict=True)):
+        both = in_text & in_item[i]
+        sums = np.zeros((2, len(rid), 2 * REACH + 2), np.int16)
+        np.cumsum(both, axis=1, out=sums[0, :, 1:])
+        np.cumsum(both & (text == item[i]), axis=1, out=sums[1, :, 1:])
+        first = np.arange(REACH + len(ALL[k]) - w, REACH + 1)  # windows that hold the seed
+        whole, equal = sums[:, :, first + w] - sums[:, :, first]
+        best = np.where(whole == w, equal, 0).max(axis=1).astype(np.int64)
+        ok = best * 100 >= w * PERCENT
+        for x, y in zip(out, (rid[ok], np.full(ok.sum(), iid), best[ok], np.full(ok.sum(), w)), strict=True):
+            x.append(y)
+    return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["rid", "iid", "equal", "size"])
+
+
+def in_blocks(hits: DataFrame, places: DataFrame) -> DataFrame:
+    """(rid, iid, equal, size) of hits (h, rid, lead, near) and places of items (h, iid, k, size, lead, near) that share a
+    passage. A side's rows are repeated for each block of the other, so rows are 2 / BLOCK of all pairs at most."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    both = hits.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(places.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "h")
+    both = written(both.select("h", blocks("n").alias("n"), blocks("m").alias("m")), "blocks")
+    own = lambda *c: F.xxhash64(*c)
+    a = hits.join(both, "h").withColumn("x", F.pmod(own("rid", "near", "lead"), F.col("n")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    b = places.join(both, "h").withColumn("y", F.pmod(own("iid", "near", "lead"), F.col("m")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return a.drop("n", "m").groupBy("h", "x", "y").cogroup(b.drop("n", "m").groupBy("h", "x", "y")).applyInArrow(_compared, "rid long, iid long, equal long, size long")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(rid, item_id, percent) of texts (rid unique, text) that share a passage with a benchmark item (item_id, text)."""
     spark = docs.sparkSession
@@ -198,11 +252,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(bits.tobytes())
     used = sorted(r["k"] for r in seed.select("k").distinct().collect())  # a mask without seeds hits nothing
     regions = written(docs.select("rid", "text").mapInArrow(_regions(sent, size, used), "rid long, start long, region binary, hits array<struct<h:long,p:int>>"), "regions")
-    hits = regions.select("rid", "start", F.inline("hits")).join(seed.select("h", "iid", "q"), "h")
-    lines = hits.select("rid", "start", "iid", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
-    names = items.select("iid", "text").mapInArrow(_words, "iid long, item binary")
+    names = written(items.select("iid", "text").mapInArrow(_words, "iid long, item binary"), "names")
+    hits = regions.select("rid", "start", F.inline("hits"))
+    common = written(seed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select("h"), "common")
+    lines = hits.join(seed.select("h", "iid", "q").join(common, "h", "left_anti"), "h")
+    lines = lines.select("rid", "start", "iid", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
     lines = lines.join(regions.select("rid", "start", "region"), ["rid", "start"]).join(names, "iid")
     judged = lines.select("rid", "iid", "region", "item", "diagonal").mapInArrow(_overlap, "rid long, iid long, equal long, size long")
+    if not common.isEmpty():
+        near = regions.select("rid", "region", F.inline("hits")).join(common, "h").select("h", "rid", *_around("region", "p")).distinct()
+        places = seed.join(common, "h").join(names, "iid")
+        places = places.select("h", "iid", "k", F.least(F.lit(WINDOW), F.length("item") / 8).cast("long").alias("size"), *_around("item", "q")).distinct()
+        judged = judged.unionByName(in_blocks(written(near, "near"), written(places, "places")))
     judged = judged.where(F.col("equal") * 100 >= F.col("size") * PERCENT).groupBy("rid", "iid").agg(F.max(F.col("equal") * 100 / F.col("size")).alias("percent"))
     ids = items.select("iid", "same").join(named.select("same", "item_id"), "same").select("iid", "item_id")
     return judged.join(ids, "iid").select("rid", "item_id", "percent")
