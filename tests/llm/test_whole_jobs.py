@@ -63,6 +63,15 @@ def test_op10_small_sources_beside_large_ones(spark):
         assert {s: got[s]["quota"] for s in t} == {s: won[s] for s in t}
 
 
+def test_op10_ranges_of_any_size_mix_alike(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "case id % 7 when 0 then null when 1 then 'a' else 'b' end as source", "id * 37 % 101 as size")
+    mixed = lambda n: Counter(tuple(x) for x in mixing.mix(docs, range_rows=n).select("doc_id", "taken", "words").selectExpr("doc_id", "taken", "string(words)").collect())
+    whole = mixed(mixing.RANGE_ROWS)
+    assert sum(whole.values()) == 3000
+    for n in (1, 4):
+        assert mixed(n) == whole
+
+
 def test_pipeline_mixing_keeps_small_sources(spark):
     rows = [(i, "w " * 50_000, "big") for i in range(40)] + [(100 + i, "one two three four five", f"s{i}") for i in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

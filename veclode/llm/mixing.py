@@ -4,7 +4,8 @@ The words to be taken are cut into equal blocks (seats). A source with target ``
 seat number ``s``; the highest bids win, which gives each source an integer quota, and as seats go to shards in turn,
 each (source, shard) a quota too. Documents of a source are laid end to end in the order of a seeded hash; laid out
 again and again they are a tape, of which each shard takes the blocks of its quota, shard after shard. Only
-built-in functions are used, and no group of documents is ordered whole: a source is split in ``RANGES`` hash ranges.
+built-in functions are used, and no group of documents is ordered whole: a source is split in ``RANGES`` parts by its hash,
+and each part, where there are many documents, in intervals of the hash. The order doesn't depend on how many.
 
 Cases: a null text has size 0 and is taken 0 times; a null source is a source, the last one; repeated rows count each
 for itself (ties of the order are broken by size, which leaves equal rows interchangeable); texts of any length only count;
@@ -23,6 +24,8 @@ from .common import n_words, table
 #: Blocks that the mix is cut into, at least; and blocks of the smallest target, at least, down to blocks of one word.
 SEATS, FINE = 65536, 64
 SHARDS, SEED, RANGES, MOST = 16, "mix-1", 256, 3
+#: Rows that a range of a source has at most, about, so that no task orders more.
+RANGE_ROWS = 1 << 17
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -94,11 +97,13 @@ def quotas(goals: DataFrame, seats: int = SEATS, shards: int = SHARDS) -> DataFr
     return g.alias("g").join(per.alias("p"), F.col("g.source").eqNullSafe(F.col("p.source")), "left").select("g.source", "source_size", "weight", "target", "block", F.coalesce("quota", F.lit(0)).alias("quota"), "by_shard")
 
 
-def mix(docs: DataFrame, size: str = "size", source: str = "source", seed: str = SEED, seats: int = SEATS, shards: int = SHARDS) -> DataFrame:
+def mix(docs: DataFrame, size: str = "size", source: str = "source", seed: str = SEED, seats: int = SEATS, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """docs (with doc_id, ``size`` and ``source``) with source_size, target, quota, block, ``words`` (array: how many of the
     document's words each shard of the mix takes, repeats counted) and taken, their sum."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    d = docs.withColumn("_h", key).withColumn("_range", F.pmod(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), F.lit(RANGES)))
+    cuts = docs.count() // (RANGES * range_rows) + 1
+    first = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")
+    d = docs.withColumn("_h", key).withColumn("_range", F.pmod(first, F.lit(RANGES)) * cuts + F.shiftright(first * cuts, 32))
     parts = d.groupBy(F.col(source).alias("source"), "_range").agg(F.sum(size).alias("_n"))
     q = quotas(targets(parts.groupBy("source").agg(F.sum("_n").alias("source_size"))), seats, shards)
     # Where each shard's part of the source's tape ends, from the quotas by shard.
