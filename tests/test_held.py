@@ -67,3 +67,21 @@ def test_builders_join_no_pairs_with_vectors(spark, base, monkeypatch, kind):
 def test_larger_graphs_have_further_entries(spark, base, monkeypatch):
     monkeypatch.setattr(B, "EACH", 30)
     assert 5 <= B.Index("NSG", R=6, L=20).build(base.withColumnRenamed("v", "embedding")).entries.count() <= 6
+
+
+def test_descents_look_vectors_up(spark, base, monkeypatch):
+    """Rounds of both descents in tasks give the graph that joins give, up to what a round of the other form sees."""
+    x = np.random.default_rng(2).normal(size=(90, 4))
+    b = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, v array<double>").persist()
+    e = B._with_distance(B._draws(b, 12, 1), b).withColumn("new", F.lit(True)).persist()
+    h = held.hold(b)
+    rows = e.join(b.select(F.col("vec_id").alias("dst"), "v"), "dst").select("src", "dst", "dist", "new", "v").repartition("src").sortWithinPartitions("src", "dist", "dst")
+    want = sorted(map(tuple, rows.mapInArrow(B._reroute, "src long, dst long, dist double, new boolean").collect()))
+    got = sorted(map(tuple, held.rerouted(h, e, 96).collect()))
+    assert [(a, c, n) for a, c, _, n in got] == [(a, c, n) for a, c, _, n in want] and np.allclose([r[2] for r in got], [r[2] for r in want])
+    hood = e.where("pmod(src + dst, 3) > 0").select("src", "dst", (F.col("dst") % 2 == 0).alias("new"))
+    near = {tuple(r) for r in held.joined(h, hood, e, 10**6).select("src", "dst").collect()}
+    of = {}
+    for s, d, n in hood.collect():
+        of.setdefault(s, []).append((d, n))
+    assert near == {(u, w) for own in of.values() for u, nu in own for w, nw in own if u != w and (nu or nw)}
