@@ -76,3 +76,16 @@ def test_shards_narrower_than_the_pool(spark):
     f.set_ef(300)
     assert rows(f.batch_search(queries(b), 5, others=True)) == rows(knn.exact(queries(b), b, 5, others=True))
     assert f.get_last_search_dist_cmps() >= 300
+
+
+def test_finished_shards_are_searched_anew():
+    """Nodes that were inserted early don't keep what they found among few: lists fill up, and searches find more."""
+    x = np.random.default_rng(6).normal(size=(2000, 32))
+    own = np.floor(-np.log(np.random.default_rng(7).random(2000)) / np.log(8)).astype(int)
+    s = W.inserted(W.Shard(x), own, 8, 48, "L2")
+    q = x[::20]
+    true = np.argsort(((q[:, None] - x[None]) ** 2).sum(axis=2), axis=1, kind="stable")[:, :11]
+    found = W.search(s, q, 32, "L2")[0]
+    share = np.mean([len({*a[:11]} & {*b}) for a, b in zip(found, true, strict=True)]) / 11
+    assert share >= 0.97 and (s.links[0] >= 0).sum(axis=1).mean() > 11
+    assert W.reached(s.links[0], s.entry).all() and s.links[0].shape[1] == 16
